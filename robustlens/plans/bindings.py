@@ -155,3 +155,93 @@ METRIC_SQL = "obs AS (SELECT " + ", ".join(f"{e} AS {a}" for a, e in METRIC_COLS
 # --- embeddings as vectors, filters, deltas and grids -------------------------------------------
 def embedding_cols(spark, sf_dir):
     return table(spark, sf_dir, "embeddings")
+    # (rows: vec_id, embedding of 64 values = an 8x8 grid, label)
+
+
+BANDS = 8
+
+
+def filters(spark, sf_dir):
+    """Eight-band radial power per vector: band b is the energy of grid row b; w is its l1 filter."""
+    from ..functions.arrays import asum, normalize
+    e = table(spark, sf_dir, "embeddings")
+    bands = F.array(*[asum(F.transform(F.slice("embedding", BANDS * k + 1, BANDS),
+                                       lambda x: x.cast("double") * x.cast("double"))) for k in range(BANDS)])
+    out = e.select(F.col("vec_id").alias("item_id"), (F.col("label") % 8 + 1).cast("int").alias("level_no"),
+                   bands.alias("radial"))
+    return out.withColumn("w", normalize("radial"))
+
+
+FILTERS_SQL = """filters AS (SELECT *, list_transform(radial, lambda x: x / list_sum(radial)) AS w FROM (
+  SELECT vec_id AS item_id, CAST(label % 8 + 1 AS INT) AS level_no,
+    list_transform(range(0, 8), lambda k: list_sum(list_transform(CAST(embedding[8*k+1:8*k+8] AS DOUBLE[]), lambda x: x * x))) AS radial
+  FROM embeddings)),
+avgf AS (SELECT level_no, list_transform(m, lambda x: x / list_sum(m)) AS w FROM (
+  SELECT level_no, list(m ORDER BY k) AS m FROM (
+    SELECT level_no, k, avg(radial[k]) AS m FROM filters, range(1, 9) t(k) GROUP BY level_no, k) GROUP BY level_no))"""
+
+
+def variants(spark, sf_dir):
+    """Clean vector v beside its perturbed variant v+1; the perturbation is the label of v+1."""
+    e = table(spark, sf_dir, "embeddings")
+    c = e.select("vec_id", F.col("embedding").alias("clean"), F.col("label").alias("channel"))
+    p = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("pert"),
+                 F.col("label").alias("perturbation"))
+    return c.join(p, "vec_id")
+
+
+VARIANTS_SQL = """variants AS (SELECT c.vec_id, CAST(c.embedding AS DOUBLE[]) AS clean, CAST(p.embedding AS DOUBLE[]) AS pert,
+  c.label AS channel, p.label AS perturbation FROM embeddings c JOIN embeddings p ON p.vec_id = c.vec_id + 1)"""
+
+DELTA_ELEMENTS = [f"((l_orderkey * {i} + l_linenumber * {i * i}) % 11) / 10e0" for i in range(1, BANDS + 1)]
+TRIAL_EXTRA["d"] = "array(" + ", ".join(DELTA_ELEMENTS) + ")"
+_DUCK_DELTA = "[" + ", ".join(DELTA_ELEMENTS) + "]"
+
+
+def pairs(spark, sf_dir, *extra):
+    """Trials with outcome columns, their filter and the first-order and quadratic overlap."""
+    from ..functions.arrays import overlap, quadratic_overlap
+    from ..operators.aggregates import mean_vector
+    from ..operators.joins import with_filters
+    from ..operators.trials import with_outcomes
+    from ..functions.arrays import normalize
+    f = filters(spark, sf_dir)
+    avg = mean_vector(f, "radial", "level_no").select("level_no", normalize("mean_vec").alias("w"))
+    t = with_outcomes(trials(spark, sf_dir, "d", *extra))
+    return (with_filters(t, f, avg).withColumn("predicted", overlap("w", "d"))
+            .withColumn("predicted_quadratic", quadratic_overlap("w", "d")))
+
+
+def PAIRS(*extra):
+    """`WITH .. pairs AS (..)` prefix for oracles over trials joined with filters."""
+    cols = {**TRIAL_COLS, **{k: TRIAL_EXTRA[k] for k in extra}, "d": _DUCK_DELTA}
+    t = "trials AS (SELECT " + ", ".join(f"{e} AS {a}" for a, e in cols.items()) + " FROM lineitem)"
+    return ("WITH " + t + ", " + OUTCOMES_SQL + ", " + FILTERS_SQL + """, pw AS (
+  SELECT tr.*, coalesce(f.w, a.w) AS w, f.w IS NOT NULL AS own FROM tr LEFT JOIN filters f USING (item_id, level_no)
+  LEFT JOIN avgf a USING (level_no)),
+pairs AS (SELECT *, list_dot_product(w, d) AS predicted,
+  list_dot_product(list_transform(w, lambda x: x * x), list_transform(d, lambda x: x * x)) AS predicted_quadratic
+  FROM pw WHERE w IS NOT NULL)""")
+
+
+def scene_objects(spark, sf_dir):
+    """Scene = order, object = line number (its lowest part key), named by part type, with a brand attribute."""
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("scene"), F.col("l_linenumber").alias("oid")) \
+        .agg(F.min("l_partkey").alias("p_partkey"))
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("name"), F.col("p_brand").alias("attr"),
+                                               F.col("p_size").alias("size"))
+    return li.join(part, "p_partkey").select("scene", "oid", "name", "attr", "size")
+
+
+SCENE_SQL = """so AS (SELECT scene, oid, p_type AS name, p_brand AS attr, p_size AS size FROM (
+    SELECT l_orderkey AS scene, l_linenumber AS oid, min(l_partkey) AS p_partkey FROM lineitem GROUP BY 1, 2) JOIN part USING (p_partkey)),
+rel AS (SELECT a.scene, a.oid AS subject, b.oid AS target, CASE WHEN a.oid % 2 = 0 THEN 'left of' ELSE 'behind' END AS relation
+  FROM so a JOIN so b ON a.scene = b.scene AND b.oid = a.oid + 1)"""
+
+
+def scene_relations(objects):
+    """Edge to the object with the next line number of the same scene."""
+    a = objects.select("scene", F.col("oid").alias("subject"), (F.col("oid") + 1).alias("target"))
+    t = objects.select("scene", F.col("oid").alias("target"))
+    return a.join(t, ["scene", "target"]).select(
+        "scene", "subject", "target", F.when(F.col("subject") % 2 == 0, "left of").otherwise("behind").alias("relation"))
