@@ -30,25 +30,30 @@ def average_ranks(df, value, group=None):
     return j.select(*keys, value, "k", (F.col("off") + F.col("upto") - (F.col("k") - 1) / F.lit(2.0)).alias("rank"))
 
 
-def critical_cutoff(curve, keys, threshold, direction="below", cutoff="cutoff", acc="acc"):
+def critical_cutoff(curve, keys, threshold, direction="auto", cutoff="cutoff", acc="acc"):
     """First crossing of the threshold along the cutoffs, linearly interpolated.
 
-    `curve` has one row per (keys, cutoff). With no crossing the curve already beyond the threshold gives
-    its first cutoff, otherwise its last.
+    `curve` has one row per (keys, cutoff). `direction` is increasing (accuracy rises with the cutoff),
+    decreasing, or auto (from the end points). A curve beyond the threshold at its first point gives the
+    first cutoff; one that never crosses gives the last.
     """
     w = Window.partitionBy(*keys).orderBy(cutoff)
-    beyond = (lambda c: c < threshold) if direction == "below" else (lambda c: c >= threshold)
-    c = curve.withColumn("nx", F.lead(acc).over(w)).withColumn("nc", F.lead(cutoff).over(w))
-    cross = ~beyond(F.col(acc)) & beyond(F.col("nx"))
-    step = F.try_divide(F.lit(float(threshold)) - F.col(acc), F.col("nx") - F.col(acc))
-    at = F.when(F.abs(F.col("nx") - F.col(acc)) < 1e-12, F.col(cutoff)).otherwise(
-        F.col(cutoff) + step * (F.col("nc") - F.col(cutoff)))
+    pt = F.struct(F.col(cutoff).alias("i"), F.col(acc).alias("a"))
+    whole = Window.partitionBy(*keys)
+    c = (curve.withColumn("nx", F.lead(acc).over(w)).withColumn("nc", F.lead(cutoff).over(w))
+         .withColumn("fst", F.min(pt).over(whole)).withColumn("lst", F.max(pt).over(whole)))
+    rising = {"increasing": F.lit(True), "decreasing": F.lit(False)}.get(direction, F.col("lst.a") >= F.col("fst.a"))
+    c = c.withColumn("up", rising)
+    a0, a1 = F.col(acc), F.col("nx")
+    cross = F.when(F.col("up"), (a0 < threshold) & (a1 >= threshold)).otherwise((a0 >= threshold) & (a1 < threshold))
+    frac = F.coalesce(F.try_divide(F.lit(float(threshold)) - a0, a1 - a0), F.lit(0.5))
+    at = F.col(cutoff) + frac * (F.col("nc") - F.col(cutoff))
     g = c.groupBy(*keys).agg(
         F.min(F.when(cross, F.struct(F.col(cutoff).alias("i"), at.alias("v")))).alias("hit"),
-        F.min(F.struct(F.col(cutoff).alias("i"), F.col(acc).alias("a"))).alias("first"),
-        F.max(F.struct(F.col(cutoff).alias("i"), F.col(acc).alias("a"))).alias("last"))
-    fallback = F.when(beyond(F.col("first.a")), F.col("first.i")).otherwise(F.col("last.i"))
-    return g.select(*keys, F.coalesce("hit.v", fallback).alias("critical_cutoff"), F.col("hit").isNotNull().alias("crossed"))
+        F.min("fst").alias("fst"), F.max("lst").alias("lst"), F.bool_or("up").alias("up"))
+    done = F.when(F.col("up"), F.col("fst.a") >= threshold).otherwise(F.col("fst.a") < threshold)
+    return g.select(*keys, F.when(done, F.col("fst.i")).otherwise(F.coalesce("hit.v", "lst.i")).alias("critical_cutoff"),
+                    (~done & F.col("hit").isNotNull()).alias("crossed"))
 
 
 def curve_diagnostic(curve, keys, threshold, cutoff="cutoff", acc="acc"):
@@ -78,9 +83,11 @@ def monotone(points, keys, order, value):
 
 
 def layer_groups(df, layer="layer", n_layers="n_layers"):
-    """Early / mid / late thirds of the layer stack."""
-    third = F.floor(F.col(n_layers) / 3)
-    return df.withColumn("layer_group", F.when(F.col(layer) < third, "early").when(F.col(layer) < 2 * third, "mid").otherwise("late"))
+    """Early / mid / late thirds of the layer stack, each at least one layer where the depth allows it."""
+    n = F.col(n_layers)
+    first = F.greatest(F.lit(1), F.floor(n / 3))
+    second = F.least(F.greatest(first + 1, F.floor(2 * n / 3)), n)
+    return df.withColumn("layer_group", F.when(F.col(layer) < first, "early").when(F.col(layer) < second, "mid").otherwise("late"))
 
 
 def top_margin(scores):

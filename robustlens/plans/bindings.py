@@ -225,17 +225,21 @@ pairs AS (SELECT *, list_dot_product(w, d) AS predicted,
 
 
 def scene_objects(spark, sf_dir):
-    """Scene = order, object = line number (its lowest part key), named by part type, with a brand attribute."""
+    """Scene = order, object = line number (its lowest part key), named by the noun of the part name,
+    described by its adjective and part type."""
     li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("scene"), F.col("l_linenumber").alias("oid")) \
         .agg(F.min("l_partkey").alias("p_partkey"))
-    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("name"), F.col("p_brand").alias("attr"),
-                                               F.col("p_size").alias("size"))
-    return li.join(part, "p_partkey").select("scene", "oid", "name", "attr", "size")
+    part = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey", "split_part(p_name, ' ', 2) AS name", "split_part(p_name, ' ', 1) AS adj", "lower(p_type) AS kind",
+        "p_name AS full_name", "p_size AS size")
+    return li.join(part, "p_partkey").select("scene", "oid", "name", "adj", "kind", "full_name", "size")
 
 
-SCENE_SQL = """so AS (SELECT scene, oid, p_type AS name, p_brand AS attr, p_size AS size FROM (
+SCENE_SQL = """so AS (SELECT scene, oid, split_part(p_name, ' ', 2) AS name, split_part(p_name, ' ', 1) AS adj, lower(p_type) AS kind,
+    p_name AS full_name, p_size AS size FROM (
     SELECT l_orderkey AS scene, l_linenumber AS oid, min(l_partkey) AS p_partkey FROM lineitem GROUP BY 1, 2) JOIN part USING (p_partkey)),
-rel AS (SELECT a.scene, a.oid AS subject, b.oid AS target, CASE WHEN a.oid % 2 = 0 THEN 'left of' ELSE 'behind' END AS relation
+rel AS (SELECT a.scene, a.oid AS subject, b.oid AS target,
+  CASE a.oid % 4 WHEN 0 THEN 'to the left of' WHEN 1 THEN 'behind' WHEN 2 THEN 'near' ELSE 'above' END AS relation
   FROM so a JOIN so b ON a.scene = b.scene AND b.oid = a.oid + 1)"""
 
 
@@ -243,5 +247,16 @@ def scene_relations(objects):
     """Edge to the object with the next line number of the same scene."""
     a = objects.select("scene", F.col("oid").alias("subject"), (F.col("oid") + 1).alias("target"))
     t = objects.select("scene", F.col("oid").alias("target"))
-    return a.join(t, ["scene", "target"]).select(
-        "scene", "subject", "target", F.when(F.col("subject") % 2 == 0, "left of").otherwise("behind").alias("relation"))
+    return a.join(t, ["scene", "target"]).select("scene", "subject", "target", F.expr(
+        "CASE subject % 4 WHEN 0 THEN 'to the left of' WHEN 1 THEN 'behind' WHEN 2 THEN 'near' ELSE 'above' END").alias("relation"))
+
+
+def grid_cells(spark, sf_dir):
+    """Each embedding as an 8x8 grid in long form: (vec_id, label, r, c, x)."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("pos", "x"))
+    return e.select("vec_id", "label", F.floor(F.col("pos") / 8).cast("int").alias("r"), (F.col("pos") % 8).alias("c"),
+                    F.col("x").cast("double").alias("x"))
+
+
+CELLS_SQL = """cells AS (SELECT vec_id, label, CAST((pos - 1) // 8 AS INT) AS r, CAST((pos - 1) % 8 AS INT) AS c, CAST(x AS DOUBLE) AS x
+  FROM (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings))"""
