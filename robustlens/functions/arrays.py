@@ -8,6 +8,14 @@ EPS = 1e-8
 TINY = 1e-12
 
 
+def let(value, body):
+    """Bind `value` once and use it many times in `body`.
+
+    Inside a lambda an expression is evaluated per element; a bound variable is not.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def doubles(a):
     return F.transform(col(a), lambda x: x.cast("double"))
 
@@ -45,10 +53,10 @@ def cosine(a, b):
 
 def normalize(a, kind="l1"):
     """Filter normalisation; an all-zero filter becomes the uniform one."""
-    total = asum(a) if kind == "l1" else norm(a)
     n = F.size(col(a)).cast("double")
     flat = F.lit(1.0) / n if kind == "l1" else F.lit(1.0) / F.sqrt(n)
-    return F.transform(col(a), lambda x: F.when(total == 0, flat).otherwise(F.try_divide(x, total)))
+    return let(asum(a) if kind == "l1" else norm(a), lambda total: F.when(
+        total == 0, F.array_repeat(flat, F.size(col(a)))).otherwise(F.transform(col(a), lambda x: F.try_divide(x, total))))
 
 
 def bandwidth(a):
@@ -70,8 +78,7 @@ def quadratic_overlap(w, d):
 
 
 def centred(a):
-    m = amean(a)
-    return F.transform(col(a), lambda x: x - m)
+    return let(amean(a), lambda m: F.transform(col(a), lambda x: x - m))
 
 
 def centred_overlap(w, d, mode):
@@ -112,63 +119,70 @@ def centroid_norm(a):
 
 def delta_family(d):
     """zero / low_freq / high_freq / broadband by the centroid of |delta|."""
-    mag = F.transform(col(d), lambda x: F.abs(x))
-    total, n = asum(mag), F.size(col(d))
-    c = F.try_divide(moment1(mag), total)
-    return (F.when((n == 0) | (total <= 1e-6), "zero").when(c < n / F.lit(3.0), "low_freq")
-            .when(c > n * F.lit(2.0) / F.lit(3.0), "high_freq").otherwise("broadband"))
+    def label(s):
+        c = F.try_divide(s["m1"], s["total"])
+        return (F.when((s["n"] == 0) | (s["total"] <= 1e-6), "zero").when(c < s["n"] / F.lit(3.0), "low_freq")
+                .when(c > s["n"] * F.lit(2.0) / F.lit(3.0), "high_freq").otherwise("broadband"))
+    return let(F.transform(col(d), lambda x: F.abs(x)), lambda mag: let(
+        F.struct(asum(mag).alias("total"), moment1(mag).alias("m1"), F.size(mag).alias("n")), label))
 
 
 def spectral_features(a, entropy_threshold=0.86, dominance_margin=0.12):
     """Struct of third masses, normalised entropy, centroid and the dominant-third or broadband label."""
     mag = F.transform(F.filter(col(a), lambda x: x.isNotNull() & ~F.isnan(x)), lambda x: F.abs(x))
-    total, n = asum(mag), F.size(mag)
-    p = F.transform(mag, lambda x: F.try_divide(x, total))
-    n1 = F.ceil(n / F.lit(3.0)).cast("int")            # the first third takes the larger share
-    n2 = F.ceil((n - n1) / F.lit(2.0)).cast("int")
-    low, mid = asum(F.slice(p, F.lit(1), n1)), asum(F.slice(p, n1 + 1, n2))
-    high = asum(F.slice(p, n1 + n2 + 1, n - n1 - n2))
-    ent = F.try_divide(-asum(F.transform(p, lambda x: x * F.log(F.greatest(x, F.lit(TINY))))), F.log(n.cast("double")))
-    top = F.greatest(low, mid, high)
-    second = low + mid + high - top - F.least(low, mid, high)
-    label = (F.when((ent >= entropy_threshold) & (top - second < dominance_margin), "broadband")
-             .when(low == top, "low").when(mid == top, "mid").otherwise("high"))
-    empty = (n == 0) | (total <= TINY)
-    return F.struct(F.when(empty, "broadband").otherwise(label).alias("signature"),
-                    F.when(empty, 0.0).otherwise(low).alias("low_mass"),
-                    F.when(empty, 0.0).otherwise(mid).alias("mid_mass"),
-                    F.when(empty, 0.0).otherwise(high).alias("high_mass"),
-                    F.when(empty | (n <= 1), 0.0).otherwise(ent).alias("entropy"),
-                    F.when(~empty, asum(F.transform(p, lambda x, i: x * i))).alias("centroid"))
+
+    def measure(p, s):
+        n = s["n"]
+        n1 = F.ceil(n / F.lit(3.0)).cast("int")            # the first third takes the larger share
+        n2 = F.ceil((n - n1) / F.lit(2.0)).cast("int")
+        plogp = asum(F.transform(p, lambda x: x * F.log(F.greatest(x, F.lit(TINY)))))
+        return F.struct(asum(F.slice(p, F.lit(1), n1)).alias("low"), asum(F.slice(p, n1 + 1, n2)).alias("mid"),
+                        asum(F.slice(p, n1 + n2 + 1, n - n1 - n2)).alias("high"),
+                        F.try_divide(-plogp, F.log(n.cast("double"))).alias("ent"), moment1(p).alias("cen"))
+
+    def close(q, s):
+        low, mid, high, ent = q["low"], q["mid"], q["high"], q["ent"]
+        empty = (s["n"] == 0) | (s["total"] <= TINY)
+        top = F.greatest(low, mid, high)
+        second = low + mid + high - top - F.least(low, mid, high)
+        label = (F.when((ent >= entropy_threshold) & (top - second < dominance_margin), "broadband")
+                 .when(low == top, "low").when(mid == top, "mid").otherwise("high"))
+        return F.struct(F.when(empty, "broadband").otherwise(label).alias("signature"),
+                        F.when(empty, 0.0).otherwise(low).alias("low_mass"),
+                        F.when(empty, 0.0).otherwise(mid).alias("mid_mass"),
+                        F.when(empty, 0.0).otherwise(high).alias("high_mass"),
+                        F.when(empty | (s["n"] <= 1), 0.0).otherwise(ent).alias("entropy"),
+                        F.when(~empty, q["cen"]).alias("centroid"))
+    return let(mag, lambda m: let(F.struct(asum(m).alias("total"), F.size(m).alias("n")), lambda s: let(
+        F.transform(m, lambda x: F.try_divide(x, s["total"])), lambda p: let(measure(p, s), lambda q: close(q, s)))))
 
 
 def js_divergence(p, q):
     """Jensen-Shannon divergence (nats) after clipping to EPS and renormalising; 0 when a side is empty."""
     def prep(a):
-        total = asum(a)
-        clipped = F.transform(col(a), lambda x: F.greatest(F.try_divide(x, total), F.lit(EPS)))
-        t2 = asum(clipped)
-        return F.transform(clipped, lambda x: x / t2)
-    pn, qn = prep(p), prep(q)
-    mean = F.zip_with(pn, qn, lambda x, y: (x + y) / 2)
-    kl_p = asum(F.zip_with(pn, mean, lambda x, m: x * F.log(x / m)))
-    kl_q = asum(F.zip_with(qn, mean, lambda x, m: x * F.log(x / m)))
-    return F.when((asum(p) > EPS) & (asum(q) > EPS), (kl_p + kl_q) / 2).otherwise(0.0)
+        clipped = let(asum(a), lambda t: F.transform(col(a), lambda x: F.greatest(F.try_divide(x, t), F.lit(EPS))))
+        return let(clipped, lambda c: let(asum(c), lambda t: F.transform(c, lambda x: x / t)))
+
+    def half(x, y):
+        m = (x + y) / 2
+        return x * F.log(x / m) + y * F.log(y / m)
+    js = asum(F.zip_with(prep(p), prep(q), half)) / 2
+    return F.when((asum(p) > EPS) & (asum(q) > EPS), js).otherwise(0.0)
 
 
 def softmax_entropy(values):
     """Entropy of the softmax of the finite scores; null when there are none."""
     v = F.filter(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    top = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x - top))
-    total = asum(e)
-    return F.when(F.size(v) > 0, -asum(F.transform(e, lambda x: (x / total)
-                                                   * F.log(F.greatest(x / total, F.lit(1e-12))))))
+
+    def entropy(e):
+        return let(asum(e), lambda t: -asum(F.transform(e, lambda x: (x / t) * F.log(F.greatest(x / t, F.lit(1e-12))))))
+    return let(v, lambda f: F.when(F.size(f) > 0, let(F.array_max(f), lambda top: let(
+        F.transform(f, lambda x: F.exp(x - top)), entropy))))
 
 
 def mass_entropy(values):
     """Entropy of non-negative scores normalised to sum one (0 if no mass)."""
-    pos = F.transform(values, lambda x: F.greatest(x, F.lit(0.0)))
-    total = asum(pos)
-    return F.when(total > 0, -asum(F.transform(pos, lambda x: F.when(x > 0, (x / total) * F.log(x / total + 1e-12))
-                                               .otherwise(0.0)))).otherwise(0.0)
+    def entropy(p):
+        return let(asum(p), lambda t: F.when(t > 0, -asum(F.transform(
+            p, lambda x: F.when(x > 0, (x / t) * F.log(x / t + 1e-12)).otherwise(0.0)))).otherwise(0.0))
+    return let(F.transform(values, lambda x: F.greatest(x, F.lit(0.0))), entropy)

@@ -19,7 +19,8 @@ def average_ranks(df, value, group=None):
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("k"))
     # an order-preserving bucket: the cuts are value quantiles of the distinct values (at most 64 doubles)
     cuts = counts.agg(F.percentile_approx(value, [i / 64 for i in range(1, 64)], 1000).alias("c")).select("c").scalar()
-    counts = counts.withColumn("bkt", F.size(F.filter(cuts, lambda c: c < F.col(value))))
+    counts = counts.withColumn("_cuts", cuts)
+    counts = counts.withColumn("bkt", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     sizes = counts.groupBy(*keys, "bkt").agg(F.sum("k").alias("n"))
     # at most 64 bucket rows per group take part in this window
     w = Window.partitionBy(*keys).orderBy("bkt")
