@@ -3,6 +3,7 @@ first folded to (item, group), so that distinct counts become plain counts."""
 from pyspark.sql import functions as F
 
 from ..functions.numeric import div0, mean0, safe_corr, sd0, sdp0
+from .windows import exact_quantiles
 
 ANY = "Any"
 
@@ -64,15 +65,28 @@ def mean_std(df, value, *keys):
     return df.groupBy(*keys).agg(mean0(value).alias("mean"), sd0(value).alias("std"))
 
 
-def mean_ci(value, prefix):
-    """n, mean, median, sample std and the 1.96*s/sqrt(n) half-width as aggregate columns."""
+def mean_ci_columns(value, prefix):
+    """n, mean, sample std and the 1.96*s/sqrt(n) half-width as mergeable aggregate columns."""
     v = F.col(value).cast("double")
     s = F.coalesce(F.stddev_samp(v), F.when(F.count(v) > 0, F.lit(0.0)))
-    return [F.count(v).alias("n"), F.avg(v).alias(f"mean_{prefix}"),
-            F.percentile(v, F.lit(0.5)).alias(f"median_{prefix}"), s.alias(f"std_{prefix}"),
+    return [F.count(v).alias("n"), F.avg(v).alias(f"mean_{prefix}"), s.alias(f"std_{prefix}"),
             (F.lit(1.96) * F.try_divide(s, F.sqrt(F.count(v).cast("double")))).alias(f"ci95_{prefix}")]
 
 
+def with_medians(summary, df, keys, values):
+    """Add the exact median of each value column to a summary keyed by `keys` (one pass for all columns)."""
+    pair = F.explode(F.array(*[F.struct(F.lit(p).alias("_p"), F.col(v).cast("double").alias("_v")) for v, p in values.items()]))
+    long = df.select(*keys, pair.alias("z")).select(*keys, "z.*")
+    med = exact_quantiles(long, "_v", [0.5], [*keys, "_p"])
+    wide = med.groupBy(*keys).agg(*[F.max(F.when(F.col("_p") == p, F.col("q0"))).alias(f"median_{p}") for p in values.values()])
+    return summary.join(wide, list(keys))
+
+
+def mean_ci(df, keys, value, prefix):
+    """n, mean, exact median, sample std and confidence half-width per group."""
+    return with_medians(df.groupBy(*keys).agg(*mean_ci_columns(value, prefix)), df, keys, {value: prefix})
+
+
 def directional(drift="loglik_drift"):
     """Mean of positive drifts, mean of negative drifts and mean |drift|; 0 when there is none."""
     d = F.col(drift)
@@ -140,11 +154,12 @@ def metric_summary(obs, *keys):
 
 def signature_matrix(rows, keys):
     """Volatility and erosion statistics and overlap correlations per key combination."""
-    return rows.groupBy(*keys).agg(
-        *mean_ci("volatility", "volatility"),
-        *mean_ci("erosion", "erosion")[1:],
+    out = rows.groupBy(*keys).agg(
+        *mean_ci_columns("volatility", "volatility"),
+        *mean_ci_columns("erosion", "erosion")[1:],
         safe_corr("predicted", "volatility", 3, None).alias("r_volatility"),
         safe_corr("predicted", "erosion", 3, None).alias("r_erosion"))
+    return with_medians(out, rows, keys, {"volatility": "volatility", "erosion": "erosion"})
 
 
 def coverage_flags(df, item, kind, kinds):

@@ -138,3 +138,64 @@ dis AS (SELECT * FROM (SELECT cls.*, word, row_number() OVER (PARTITION BY scene
   ORDER BY md5(concat_ws('|', '11', CAST(scene AS VARCHAR), CAST(oid AS VARCHAR), word))) AS k FROM cls JOIN voc USING (category) WHERE word <> value) WHERE k <= 3)"""
 HARDNESS_SQL = CLASSIFIED_SQL + """, hard AS (SELECT scene, oid, count(*) AS same_category,
   count(*) FILTER (WHERE EXISTS (SELECT 1 FROM att WHERE att.scene = dis.scene AND att.value = dis.word)) AS scene_present FROM dis GROUP BY 1, 2)"""
+
+
+def first_by_hash(df, seed, group, *order):
+    """The row of each group with the smallest hash, as one partial aggregate over the needed columns."""
+    cols = [c for c in df.columns if c not in group]
+    pick = F.min(F.struct(hash_hex(seed, *order).alias("_h"), *cols)).alias("_p")
+    return df.groupBy(*group).agg(pick).select(*group, *[F.col(f"_p.{c}").alias(c) for c in cols])
+
+
+def answer_position(category, value, opts, seed):
+    """Letter of the right value once the value and its distractors are put in hash order."""
+    def h(x):
+        return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("scene").cast("string"), x))
+    smaller = F.size(F.filter(opts, lambda x: h(x) < h(value)))
+    return F.char(F.lit(65) + smaller)
+
+
+def scene_questions(objects, relations):
+    """One question per scene and rung from a scene graph (F12): presence, attribute, relation, attribute by relation.
+
+    Targets, polarity and options come from hash order. A negative relation needs a provably false opposite; the
+    fourth rung reuses the second's target, options and answer and adds the relation clause.
+    """
+    scene = ["scene"]
+    yes = hash_int(23, "scene") % 2 == 0
+    target = first_by_hash(objects.select("scene", "oid", "name"), 22, scene, "scene", "oid")
+    l1 = target.join(negative_names(objects.select("scene", "name"), 21), "scene", "left").where(yes | F.col("negative").isNotNull())
+    l1 = l1.select("scene", F.lit(1).alias("level_no"), F.concat(F.lit("Is there a "), F.when(yes, F.col("name")).otherwise(F.col("negative")), F.lit(" in this image?")).alias("question"),
+                   F.when(yes, "A").otherwise("B").alias("answer"))
+    cls = classified_attribute(objects).select("scene", "oid", "name", "category", "value")
+    t2 = first_by_hash(cls, 24, scene, "scene", "oid").withColumn("opts", distractors(F.col("category"), F.col("value"), 3, 11, "scene", "oid"))
+    t2 = t2.withColumn("answer", answer_position(F.col("category"), F.col("value"), F.col("opts"), 27))
+    l2 = t2.select("scene", F.lit(2).alias("level_no"), F.concat(F.lit("What "), "category", F.lit(" is the "), "name", F.lit("?")).alias("question"), "answer")
+    named = named_relations(objects, relations)
+    pos = hash_int(26, "scene") % 2 == 0
+    usable = named.where(pos | opposite(F.col("relation")).isNotNull()).select("scene", "subject", "subject_name", "target_name", "relation")
+    l3 = first_by_hash(usable, 25, scene, "scene", "subject")
+    l3 = l3.select("scene", F.lit(3).alias("level_no"), F.concat(F.lit("Is the "), "subject_name", F.lit(" "), F.when(pos, F.col("relation")).otherwise(opposite(F.col("relation"))), F.lit(" the "), "target_name", F.lit("?")).alias("question"),
+                   F.when(pos, "A").otherwise("B").alias("answer"))
+    r4 = named.select("scene", F.col("subject").alias("oid"), "relation", "target_name")
+    l4 = t2.join(r4, ["scene", "oid"]).select("scene", F.lit(4).alias("level_no"), F.concat(F.lit("What "), "category", F.lit(" is the "), "name", F.lit(" that is "), "relation", F.lit(" the "), "target_name", F.lit("?")).alias("question"), "answer")
+    return l1.unionByName(l2).unionByName(l3).unionByName(l4)
+
+
+def identifying_attribute(objects):
+    """First category (color, shape, material, size) whose remaining description is unique in the scene.
+
+    Each description is counted by its own key, so no scene is held as a whole.
+    """
+    from ..functions.wordlists import IDENTIFYING_ORDER
+    all_attrs = ("size", "color", "material", "shape")
+    out = objects
+    for c in IDENTIFYING_ORDER:
+        rest = ["scene", *[a for a in all_attrs if a != c]]
+        out = out.join(objects.groupBy(*rest).agg(F.count("*").alias(f"k_{c}")), rest)
+    attr, phrase = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for c in reversed(IDENTIFYING_ORDER):
+        parts = [F.col(a) for a in all_attrs if a != c] + ([F.lit("object")] if c == "shape" else [])
+        attr = F.when(F.col(f"k_{c}") == 1, c).otherwise(attr)
+        phrase = F.when(F.col(f"k_{c}") == 1, F.concat_ws(" ", *parts)).otherwise(phrase)
+    return out.select("scene", "oid", attr.alias("attribute"), F.concat_ws(" ", *all_attrs).alias("full_phrase"), phrase.alias("phrase"))

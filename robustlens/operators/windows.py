@@ -9,26 +9,51 @@ def flip_threshold(trials, keys, cutoff="cutoff"):
     return trials.groupBy(*keys).agg(F.min(F.when(F.col("changed"), F.col(cutoff))).alias("threshold"))
 
 
-def average_ranks(df, value, group=None):
-    """Average rank (ties share their mean) of every distinct value per group: (group.., value, k, rank).
+def ordered_counts(df, value, keys=(), buckets=64):
+    """Distinct values per group with their count `k` and the 0-based position `first` of their first copy.
 
-    Values are counted first. The prefix sum over distinct values runs per value bucket with a small
-    table of bucket offsets, so neither one hot value nor one hot group ends up in a single task.
+    Values are counted first (map-side combined). Each group is then cut into order-preserving buckets at
+    its own approximate quantiles, the bucket counts (at most `buckets` rows per group) give the offsets and
+    a window runs inside one bucket only: neither a hot value nor a hot group ends up in a single task.
     """
-    keys = list(group or [])
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("k"))
-    # an order-preserving bucket: the cuts are value quantiles of the distinct values (at most 64 doubles)
-    cuts = counts.agg(F.percentile_approx(value, [i / 64 for i in range(1, 64)], 1000).alias("c")).select("c").scalar()
-    counts = counts.withColumn("_cuts", cuts)
-    counts = counts.withColumn("bkt", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    sizes = counts.groupBy(*keys, "bkt").agg(F.sum("k").alias("n"))
-    # at most 64 bucket rows per group take part in this window
-    w = Window.partitionBy(*keys).orderBy("bkt")
-    offs = sizes.select(*keys, "bkt", (F.sum("n").over(w) - F.col("n")).alias("off"))
-    inside = Window.partitionBy(*keys, "bkt").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = counts.withColumn("upto", F.sum("k").over(inside))
-    j = run.join(offs, keys + ["bkt"])
-    return j.select(*keys, value, "k", (F.col("off") + F.col("upto") - (F.col("k") - 1) / F.lit(2.0)).alias("rank"))
+    keys = list(keys)
+    by = keys or ["_all"]
+    df = df if keys else df.withColumn("_all", F.lit(0))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("k"))
+    probs = [i / buckets for i in range(1, buckets)]
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, probs, 10 * buckets).alias("_cuts"))
+    c = counts.join(cuts, by)
+    c = c.withColumn("bkt", F.size(F.filter("_cuts", lambda q: q < F.col(value)))).drop("_cuts")
+    sizes = c.groupBy(*by, "bkt").agg(F.sum("k").alias("n"))
+    w = Window.partitionBy(*by)
+    offs = sizes.select(*by, "bkt", (F.sum("n").over(w.orderBy("bkt")) - F.col("n")).alias("off"),
+                        F.sum("n").over(w).alias("total"))
+    inside = Window.partitionBy(*by, "bkt").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = c.withColumn("upto", F.sum("k").over(inside)).join(offs, by + ["bkt"])
+    return run.select(*keys, value, "k", (F.col("off") + F.col("upto") - F.col("k")).alias("first"), "total")
+
+
+def average_ranks(df, value, group=None):
+    """Average rank (ties share their mean) of every distinct value per group: (group.., value, k, rank)."""
+    o = ordered_counts(df, value, group or [])
+    return o.select(*(group or []), value, "k", (F.col("first") + (F.col("k") + 1) / F.lit(2.0)).alias("rank"))
+
+
+def exact_quantiles(df, value, probs, keys=()):
+    """Exact linearly interpolated quantiles per group: (keys.., q0, q1, ..). Scales with `ordered_counts`."""
+    o = ordered_counts(df, value, keys)
+    v = F.col(value).cast("double")
+    aggs = []
+    for i, p in enumerate(probs):
+        pos = (F.col("total") - 1) * F.lit(float(p))
+        lo, frac = F.floor(pos), pos - F.floor(pos)
+
+        def at(idx):
+            return F.max(F.when((idx >= F.col("first")) & (idx < F.col("first") + F.col("k")), v))
+        aggs += [at(lo).alias(f"_l{i}"), at(F.ceil(pos)).alias(f"_h{i}"), F.max(frac).alias(f"_f{i}")]
+    g = o.groupBy(*keys).agg(*aggs)
+    return g.select(*keys, *[(F.col(f"_l{i}") + F.col(f"_f{i}") * (F.col(f"_h{i}") - F.col(f"_l{i}"))).alias(f"q{i}")
+                             for i in range(len(probs))])
 
 
 def critical_cutoff(curve, keys, threshold, direction="auto", cutoff="cutoff", acc="acc"):

@@ -252,7 +252,7 @@ def CI(v, p):
 
 @query("a28_mean_ci", f"{b.T()} SELECT family, level_no, {CI('volatility', 'volatility')} FROM tr GROUP BY family, level_no")
 def a28(spark, sf):
-    out = outcomes(spark, sf).groupBy("family", "level_no").agg(*ag.mean_ci("volatility", "volatility"))
+    out = ag.mean_ci(outcomes(spark, sf), ["family", "level_no"], "volatility", "volatility")
     return rounded(out, *[c for c in out.columns if c.endswith("_volatility")])
 
 
@@ -383,7 +383,7 @@ def a38(spark, sf):
     from ..operators.windows import flip_threshold
     t = outcomes(spark, sf, "mode", "cutoff", "order_id")
     th = flip_threshold(t, ["mode", "order_id"]).groupBy("mode").agg(
-        r6(F.avg("threshold")).alias("mean_threshold"), r6(F.percentile("threshold", F.lit(0.5))).alias("median_threshold"))
+        r6(F.avg("threshold")).alias("mean_threshold"), r6(F.percentile("threshold", F.lit(0.5))).alias("median_threshold"))   # a handful of distinct cutoffs
     return t.groupBy("mode", "cutoff").agg(
         F.sum(F.col("changed").cast("long")).alias("flips"), F.count("*").alias("total"),
         r6(F.avg(F.col("changed").cast("double"))).alias("rate")).join(th, "mode")

@@ -109,8 +109,10 @@ FROM avgf a, range(1, 9) t(b), bw WHERE bw.level_no = a.level_no GROUP BY a.leve
 def a21(spark, sf):
     f = b.filters(spark, sf)
     avg = ag.mean_vector(f, "radial", "level_no").select("level_no", F.posexplode(normalize("mean_vec")).alias("band", "w"))
-    bw = f.groupBy("level_no").agg(r6(F.avg(bandwidth("radial"))).alias("mean_bw"), r6(sdp0(bandwidth("radial"))).alias("std_bw"),
-                                   r6(F.percentile(bandwidth("radial"), F.lit(0.5))).alias("median_bw"))
+    g = f.select("level_no", bandwidth("radial").alias("g"))
+    bw = g.groupBy("level_no").agg(r6(F.avg("g")).alias("mean_bw"), r6(sdp0("g")).alias("std_bw"))
+    med = wn.exact_quantiles(g, "g", [0.5], ["level_no"]).select("level_no", r6("q0").alias("median_bw"))
+    bw = bw.join(med, "level_no")
     return avg.join(bw, "level_no").select("level_no", (F.col("band") + 1).alias("band"), r6("w").alias("w"), "mean_bw", "std_bw", "median_bw")
 
 
