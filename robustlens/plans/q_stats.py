@@ -87,7 +87,7 @@ def t07(spark, sf):
 
 
 # p-values in SQL: the t and F tails as ratios of one integrand, midpoint rule in the angle
-def _TAIL(t2, d1, d2, points=4000):
+def _TAIL(t2, d1, d2, points=40000):
     """P(F(d1, d2) > t2) for the row: integrand sin^(d1-1) cos^(d2-1); theta from atan(sqrt(d1*F/d2)) to pi/2."""
     th = f"atan(sqrt({d1} * {t2} / {d2}))"
     f = f"exp(({d1} - 1) * ln(greatest(sin({{a}}), 1e-300)) + ({d2} - 1) * ln(greatest(cos({{a}}), 1e-300)))"

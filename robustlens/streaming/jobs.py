@@ -65,7 +65,7 @@ ITEM_OUT = "item_id BIGINT, n INT, flips INT, flip_margin DOUBLE, keep_margin DO
 ITEM_STATE = "n INT, flips INT, sum_flip DOUBLE, sum_keep DOUBLE, expected INT"
 
 
-def item_state(key, batches, state: GroupState):
+def item_state(key, batches, state: GroupState, timeout_ms=None):
     """Fold the variants of one item; emit it once the expected number has arrived, or on timeout as incomplete."""
     def row(n, flips, sf, sk, done):
         return pd.DataFrame({"item_id": [key[0]], "n": [n], "flips": [flips], "flip_margin": [sf / flips if flips else None],
@@ -87,12 +87,20 @@ def item_state(key, batches, state: GroupState):
         yield row(n, flips, sf, sk, True)
     else:
         state.update((n, flips, sf, sk, expected))
-        state.setTimeoutDuration(3_600_000)
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
 
 
-def items_when_complete(stream):
-    """One row per item at its end (X04). State per item is five numbers."""
-    return stream.groupBy("item_id").applyInPandasWithState(item_state, ITEM_OUT, ITEM_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+def items_when_complete(stream, timeout_ms=None):
+    """One row per item at its end (X04). State per item is five numbers.
+
+    Give `timeout_ms` for a continuously running query, so that incomplete items are emitted too; a drain-and-stop
+    run (availableNow) must go without, since processing-time timeouts would keep it alive.
+    """
+    def fold(key, batches, state):
+        yield from item_state(key, batches, state, timeout_ms)
+    kind = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
+    return stream.groupBy("item_id").applyInPandasWithState(fold, ITEM_OUT, ITEM_STATE, "append", kind)
 
 
 def append_parquet(stream, out, checkpoint):
