@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+def _lgamma(v):
+    return np.array([math.lgamma(x) for x in np.ravel(v)]).reshape(np.shape(v))
 
 
 def _fraction(a, b, x, steps=2000):
@@ -55,7 +56,7 @@ def t_sf2(t, dof):
 
 
 def norm_sf2(z):
-    return np.vectorize(lambda v: math.erfc(abs(v) / math.sqrt(2)), otypes=[float])(z)
+    return np.array([math.erfc(abs(v) / math.sqrt(2)) for v in np.ravel(z)]).reshape(np.shape(z))
 
 
 def t_ppf(p, dof):
