@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import cohens_d, div0, mean0, r6, safe_corr, sd0, sdp0
 from ..operators import aggregates as ag
 from ..operators import trials as tr
+from ..session import materialize
 from . import bindings as b
 from .registry import query
 from .sqlkit import CORR, DIV0, R
@@ -272,8 +273,10 @@ sig AS (SELECT *, CASE WHEN went >= 0.86 AND greatest(wl, wm, wh) - (wl + wm + w
 def signature_rows(spark, sf):
     from ..functions.arrays import spectral_features
     p = b.pairs(spark, sf).withColumn("df", spectral_features("d")).withColumn("wf", spectral_features("w"))
-    return p.withColumn("delta_signature", F.col("df.signature")).withColumn(
-        "filter_signature", F.when(F.col("wf.signature") == "broadband", "broadband").otherwise("narrow"))
+    rows = p.select("family", "predicted", "volatility", "erosion", F.col("df.signature").alias("delta_signature"),
+                    F.when(F.col("wf.signature") == "broadband", "broadband").otherwise("narrow").alias("filter_signature"))
+    # moments and medians read these rows several times: label them once, keep six narrow columns
+    return materialize(spark, rows, "signatures")
 
 
 @query("a29_signature_matrix", f"""{_SIG} SELECT delta_signature, filter_signature, {CI('volatility', 'volatility')},

@@ -8,6 +8,7 @@ from ..operators import regression as rg
 from ..operators import stats as st
 from ..operators import trials as tr
 from ..operators import windows as wn
+from ..session import materialize
 from . import bindings as b
 from .q_aggregates import _DROP, _GP, _MS, grouped, metric_means, outcomes, rounded
 from .q_joins import _CTRL, _COS, _L2
@@ -340,7 +341,8 @@ k AS (SELECT target, view, predicted, y, {RK('predicted', 'target, view')} AS a,
 SELECT target, view, CAST(count(*) AS BIGINT) AS n, {R(CORR('predicted', 'y'))} AS r, {R(CORR('a', 'b'))} AS rho, {CORR('predicted', 'y')} > 0.7 AND count(*) >= 30 AS passed FROM k GROUP BY 1, 2""")
 def t26(spark, sf):
     g = grouped(spark, sf).withColumns({c: F.round(c, 9) for c in ("predicted", *_TG)})
-    w = tr.level_views(tr.unpivot_targets(g.select("level_no", "predicted", *_TG), list(_TG)))
+    g = materialize(spark, g.select("level_no", "predicted", *_TG), "grouped")   # read by both correlations
+    w = tr.level_views(tr.unpivot_targets(g, list(_TG)))
     r = st.pearson(w, ["target", "view"], "predicted", "value")
     rho = st.spearman(w, ["target", "view"], "predicted", "value").drop("n")
     out = r.join(rho, ["target", "view"]).withColumn("passed", (F.col("r") > 0.7) & (F.col("n") >= 30))
@@ -369,7 +371,7 @@ def matched(spark, sf):
 @query("t28_matched_fixed_effects", f"""{b.PAIRS()}, {_MU} SELECT CAST(count(*) AS BIGINT) AS n_units, CAST(sum(n) AS BIGINT) AS n_rows, {R('sum(sxy) / sqrt(sum(sxx) * sum(syy))')} AS fe_r, {R('sum(sxy) / sum(sxx)')} AS fe_slope, {R('sum(sxy) / sqrt(sum(sxx) * sum(syy))')} AS fe_std_beta,
   CAST(count(r) AS BIGINT) AS within_n, {R('avg(r)')} AS within_mean, {R('avg((r > 0)::INT)')} AS within_positive_rate, {R('quantile_cont(r, 0.5)')} AS within_median FROM mu""")
 def t28(spark, sf):
-    u = matched(spark, sf)
+    u = materialize(spark, matched(spark, sf), "units")   # read by the sums and by the median
     s = st.fixed_effects_summary(u)
     med = wn.exact_quantiles(u.select("r"), "r", [0.5]).select("q0").scalar()
     return rounded(s.withColumn("within_median", med), "fe_r", "fe_slope", "fe_std_beta", "within_mean", "within_positive_rate", "within_median")
