@@ -32,7 +32,12 @@ def gram(df, xs, y, cluster, keys=()):
     return d.groupBy(*keys, cluster).agg(*aggs)
 
 
-def _center(g, k, within, keys):
+def _few(df, keyed):
+    """An unkeyed fit has exactly one key row, so that side may be broadcast; keyed fits are left to adaptive execution."""
+    return df if keyed else F.broadcast(df)
+
+
+def _center(g, k, within, keys, keyed):
     """Cross products about the key means (pooled) or about the cluster's own means (within)."""
     m = k + 1
     if within:
@@ -43,7 +48,7 @@ def _center(g, k, within, keys):
         mu = [F.lit(0.0)] * m
     else:
         tot = g.groupBy(*keys).agg(F.sum("n").alias("key_n"), *[F.sum(f"s{i}").alias(f"key_s{i}") for i in range(m)])
-        g = g.join(tot, list(keys))
+        g = g.join(_few(tot, keyed), list(keys))
         mu = [F.col(f"key_s{i}") / F.col("key_n") for i in range(m)]
         dev = [F.col(f"s{i}") - F.col("n") * mu[i] for i in range(m)]
         cross = {(i, j): F.col(f"q{i}_{j}") - F.col(f"s{i}") * mu[j] - mu[i] * F.col(f"s{j}") + F.col("n") * mu[i] * mu[j]
@@ -62,7 +67,7 @@ def fit(df, xs, y, cluster, keys=(), within=False, absorb=None, raw=None):
     df = df if keys else df.withColumn("_one", F.lit("all"))
     k, m = len(xs), len(xs) + 1
     g = gram(df, xs, y, cluster, own)
-    c = _center(g, k, within, own)
+    c = _center(g, k, within, own, bool(keys))
     total = c.groupBy(*own).agg(
         F.sum("n").alias("n"), F.count("*").alias("g"), F.first("shift").alias("shift"),
         *[F.sum(f"c{i}_{j}").alias(f"c{i}_{j}") for i, j in _pairs(m)], *[F.first(f"m{i}").alias(f"m{i}") for i in range(m)])
@@ -120,7 +125,7 @@ def fit(df, xs, y, cluster, keys=(), within=False, absorb=None, raw=None):
             yield out
     beta = total.mapInPandas(solve, solved_schema)
 
-    s = c.join(beta, own)
+    s = c.join(_few(beta, keys), own)
     b = [F.col("beta")[i] for i in range(k)]
 
     def cr(i, j):
@@ -129,10 +134,10 @@ def fit(df, xs, y, cluster, keys=(), within=False, absorb=None, raw=None):
     score.append(F.col(f"d{k}") - sum((b[j] * F.col(f"d{j}") for j in range(1, k)), b[0] * F.col("d0")))
     u = s.select(*own, *[e.alias(f"u{i}") for i, e in enumerate(score)])
     meat = u.groupBy(*own).agg(*[F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"b{i}_{j}") for i, j in _pairs(m)])
-    final = total.join(beta, own).join(meat, own)
+    final = total.join(_few(beta, keys), own).join(_few(meat, keys), own)
     if raw is not None:
         var = complete_cases(df, [*xs, y], [cluster, *own]).groupBy(*own).agg(*[F.var_pop(r).alias(f"w{i}") for i, r in enumerate(raw)])
-        final = final.join(var, own)
+        final = final.join(_few(var, keys), own)
 
     fields = [("predictor", "string"), ("beta", "double"), ("standardized_beta", "double"), ("stderr", "double"), ("t_stat", "double"),
               ("p_value", "double"), ("classical_stderr", "double"), ("classical_t", "double"), ("classical_p", "double"),
