@@ -3,7 +3,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import licenses, tokencount
+from . import language, licenses, quality, sample, tokencount
 
 QUERIES, ORACLES = {}, {}
 
@@ -36,6 +36,20 @@ def op1(spark, sf_dir):
                         F.array_join("labels", ",").alias("labels"), "score", F.size("spans").cast("long").alias("n_spans"))
 
 
+@query("op5_quality_scores")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where("quality = 1"))
+    return quality.score_quality(docs.withColumn("held_out", sample.held_out()), model).select("doc_id", "held_out", "score", "predicted")
+
+
 @query("op8_token_counts")
 def op8(spark, sf_dir):
     return tokencount.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
+
+
+@query("op10_language_id")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs)
+    return language.identify(docs.select("doc_id", "text", sample.held_out().alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")

@@ -47,8 +47,8 @@ def _powers(n):
 _MULT = mix(np.arange(11, 11 + 64, dtype=np.uint64)) | _u(1)
 
 
-def chunks(column, limit=CHUNK):
-    """Yield (first row, offsets, bytes) for runs of rows of an Arrow string column; offsets start at 0."""
+def chunks(column, limit=CHUNK, most=1 << 20):
+    """Yield (first row, offsets, bytes) for runs of at most `most` rows of an Arrow string column; offsets start at 0."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -61,7 +61,7 @@ def chunks(column, limit=CHUNK):
     a = 0
     while a < n:
         b = int(np.searchsorted(off, off[a] + limit, "right")) - 1
-        b = min(max(b, a + 1), n)
+        b = min(max(b, a + 1), n, a + most)
         yield a, off[a:b + 1] - off[a], data[off[a]:off[b]]
         a = b
 
@@ -101,6 +101,11 @@ def word_bounds(data, offsets):
     return data, starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+def rows_of(offsets):
+    """The text that each byte (or word) belongs to."""
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+
+
 def words(column, unicode_lower=True, limit=CHUNK):
     """Yield (first row, index of each text's first word (one more than texts), word hashes, bytes, starts, ends)."""
     if unicode_lower:
