@@ -3,7 +3,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import language, licenses, quality, sample, tokencount
+from . import decontam, language, licenses, quality, sample, tokencount, topk
 
 QUERIES, ORACLES = {}, {}
 
@@ -36,6 +36,26 @@ def op1(spark, sf_dir):
                         F.array_join("labels", ",").alias("labels"), "score", F.size("spans").cast("long").alias("n_spans"))
 
 
+@query("op2_benchmark_overlap")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.find_overlaps(docs, table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_exact_topk", """
+WITH v AS (
+  SELECT vec_id AS id, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.id AS query_id, v.id AS vec_id, CAST(list_inner_product(q.w, v.w) AS BIGINT) AS score FROM v q JOIN v ON q.id <> v.id WHERE q.id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+""")
+def op3(spark, sf_dir):
+    rows = topk.integer_rows(table(spark, sf_dir, "embeddings"))
+    return topk.search(rows.where("id % 100 = 0"), rows, 10)
+
+
 @query("op5_quality_scores")
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
