@@ -3,7 +3,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import decontam, language, licenses, quality, sample, tokencount, topk
+from . import decontam, language, licenses, mixing, quality, sample, tokencount, topk
 
 QUERIES, ORACLES = {}, {}
 
@@ -44,8 +44,8 @@ def op2(spark, sf_dir):
 
 @query("op3_exact_topk", """
 WITH v AS (
-  SELECT vec_id AS id, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS w FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id AS id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT q.id AS query_id, v.id AS vec_id, CAST(list_inner_product(q.w, v.w) AS BIGINT) AS score FROM v q JOIN v ON q.id <> v.id WHERE q.id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
@@ -56,6 +56,36 @@ def op3(spark, sf_dir):
     return topk.search(rows.where("id % 100 = 0"), rows, 10)
 
 
+@query("op4_source_mix", """
+WITH RECURSIVE d AS (SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) - 1 AS i FROM d),
+w AS (SELECT source, count(*) AS n, CAST(floor(1000 * sqrt(count(*))) AS BIGINT) AS s FROM d GROUP BY source),
+a AS (SELECT source, (n + 15) // 16 AS blocks, greatest(1, s * 1000 // CAST(sum(s) OVER () AS BIGINT)) AS a, row_number() OVER (ORDER BY source NULLS FIRST) AS k FROM w),
+l AS (SELECT list(a ORDER BY k) AS a, list(blocks ORDER BY k) AS blocks, CAST(count(*) AS BIGINT) AS m FROM a),
+sim AS (
+  SELECT CAST(-1 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS period, blocks AS rest, list_transform(a, lambda x: CAST(0 AS BIGINT)) AS b,
+         list_transform(a, lambda x: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS pick, CAST(0 AS BIGINT) AS block FROM l
+  UNION ALL
+  SELECT slot + 1, t + 1, period, rest, b, list_transform(range(1, m + 1), lambda j: done[j] + CASE WHEN j = pick THEN 1 ELSE 0 END), pick, blocks[pick] - rest[pick] + done[pick]
+  FROM (
+    SELECT *, list_min(list_transform(list_filter(range(1, m + 1), lambda j: done[j] < b[j] AND done[j] * period // b[j] <= t),
+                                      lambda j: ((done[j] + 1) * period + b[j] - 1) // b[j] * 1000 + j)) % 1000 AS pick
+    FROM (
+      SELECT slot, t, rest, b, done, m, blocks, CAST(list_sum(b) AS BIGINT) AS period
+      FROM (
+        SELECT slot, CASE WHEN t = period THEN 0 ELSE t END AS t, m, blocks,
+               CASE WHEN t = period THEN list_transform(range(1, m + 1), lambda j: rest[j] - b[j]) ELSE rest END AS rest,
+               CASE WHEN t = period THEN list_transform(range(1, m + 1), lambda j: least(a[j], rest[j] - b[j])) ELSE b END AS b,
+               CASE WHEN t = period THEN list_transform(range(1, m + 1), lambda j: CAST(0 AS BIGINT)) ELSE done END AS done
+        FROM sim, l))
+    WHERE period > 0))
+SELECT r.doc_id, r.source, r.i // 16 AS mix_block, sim.slot AS mix_slot, r.i % 16 AS mix_pos
+FROM r JOIN a ON r.source IS NOT DISTINCT FROM a.source JOIN sim ON sim.pick = a.k AND sim.block = r.i // 16 AND sim.slot >= 0
+""")
+def op4(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 @query("op5_quality_scores")
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
