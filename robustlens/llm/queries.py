@@ -3,7 +3,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import decontam, language, licenses, mixing, quality, sample, tokencount, topk
+from . import chat, decontam, language, licenses, mixing, quality, sample, tokencount, topk
 
 QUERIES, ORACLES = {}, {}
 
@@ -93,6 +93,43 @@ def op5(spark, sf_dir):
     return quality.score_quality(docs.withColumn("held_out", sample.held_out()), model).select("doc_id", "held_out", "score", "predicted")
 
 
+@query("op7_quote_links", r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, row_number() OVER () AS id FROM conversations),
+s AS (SELECT id, conv_id, turn, string_split_regex(text, '\r?\n') AS lines FROM m),
+l AS (SELECT id, conv_id, turn, unnest(lines) AS line, unnest(range(len(lines))) AS k FROM s),
+q AS (
+  SELECT *, length(regexp_replace(regexp_extract(line, '^\s{0,3}((?:>\s?)+)(.*)$', 1), '\s', '', 'g')) AS level,
+         CASE WHEN regexp_matches(line, '^\s{0,3}((?:>\s?)+)(.*)$') THEN regexp_extract(line, '^\s{0,3}((?:>\s?)+)(.*)$', 2) ELSE line END AS body FROM l),
+b AS (
+  SELECT *, trim(body) = '' AS blank,
+         CASE WHEN lag(level) OVER w IS DISTINCT FROM level OR trim(lag(body) OVER w) = '' THEN 1 ELSE 0 END AS begins FROM q WINDOW w AS (PARTITION BY id ORDER BY k)),
+p AS (SELECT *, sum(begins) OVER (PARTITION BY id ORDER BY k) AS passage FROM b),
+u AS (
+  SELECT DISTINCT conv_id, turn, level, trim(regexp_replace(lower(body), '\s+', ' ', 'g')) AS unit FROM (
+    SELECT conv_id, turn, level, body FROM p UNION ALL
+    SELECT conv_id, turn, level, string_agg(body, ' ' ORDER BY k) FROM p WHERE NOT blank GROUP BY id, conv_id, turn, level, passage)),
+k AS (
+  SELECT a.conv_id, a.turn, a.level, a.unit, max(o.turn) AS source FROM u a JOIN u o ON a.conv_id = o.conv_id AND a.unit = o.unit AND o.level = 0 AND o.turn < a.turn
+  WHERE a.level > 0 AND a.unit <> '' GROUP BY ALL),
+best AS (
+  SELECT conv_id, turn, source, count(*) OVER (PARTITION BY conv_id, turn) AS n_linked,
+         row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, length(unit) DESC, source DESC) AS i FROM k),
+t AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM (SELECT DISTINCT conv_id, turn FROM m)),
+n AS (SELECT t.conv_id, t.turn, coalesce(source, before) AS answers, coalesce(n_linked, 0) AS n_linked FROM t LEFT JOIN (SELECT * FROM best WHERE i = 1) x ON t.conv_id = x.conv_id AND t.turn = x.turn),
+f AS (SELECT *, answers IS NOT NULL AND turn = min(turn) OVER (PARTITION BY conv_id, answers) AS goes_on FROM n),
+r AS (
+  SELECT conv_id, turn, turn AS branch, CAST(0 AS BIGINT) AS pos FROM f WHERE NOT goes_on
+  UNION ALL SELECT f.conv_id, f.turn, r.branch, r.pos + 1 FROM r JOIN f ON f.conv_id = r.conv_id AND f.answers = r.turn AND f.goes_on),
+o AS (
+  SELECT id, trim(regexp_replace(regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY k) FILTER (level = 0), ''), '\n\s*\n(\s*\n)*', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g')) AS own_text,
+         count(*) FILTER (level > 0) AS n_quotes FROM p GROUP BY id)
+SELECT m.conv_id, m.turn, m.role, n.answers, r.branch, r.pos, o.n_quotes, n.n_linked, o.own_text
+FROM m JOIN o USING (id) JOIN n ON n.conv_id = m.conv_id AND n.turn = m.turn JOIN r ON r.conv_id = m.conv_id AND r.turn = m.turn
+""")
+def op7(spark, sf_dir):
+    return chat.format_chat(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "answers", "branch", "pos", "n_quotes", "n_linked", "own_text")
+
+
 @query("op8_token_counts")
 def op8(spark, sf_dir):
     return tokencount.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
