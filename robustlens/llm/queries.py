@@ -3,7 +3,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import chat, decontam, language, licenses, mixing, quality, sample, tokencount, topk
+from . import chat, decontam, language, licenses, mixing, neardup, quality, sample, tokencount, topk
 
 QUERIES, ORACLES = {}, {}
 
@@ -93,6 +93,11 @@ def op5(spark, sf_dir):
     return quality.score_quality(docs.withColumn("held_out", sample.held_out()), model).select("doc_id", "held_out", "score", "predicted")
 
 
+@query("op6_near_duplicates")
+def op6(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 @query("op7_quote_links", r"""
 WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, row_number() OVER () AS id FROM conversations),
 s AS (SELECT id, conv_id, turn, string_split_regex(text, '\r?\n') AS lines FROM m),
