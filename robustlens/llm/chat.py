@@ -75,13 +75,12 @@ def branches(nodes):
         "conv_id", "turn", F.when(F.col("turn") == F.col("first"), F.col("answers")).otherwise(F.col("turn")).alias("branch"),
         F.when(F.col("turn") == F.col("first"), 1).otherwise(0).cast("long").alias("pos"))
     up = materialize(spark, up, "branches")
-    while True:
-        far = up.select("conv_id", F.col("turn").alias("branch"), F.col("branch").alias("b2"), F.col("pos").alias("p2"))
-        new = materialize(spark, up.join(far, ["conv_id", "branch"]).select("conv_id", "turn", F.col("b2").alias("branch"), (F.col("pos") + F.col("p2")).alias("pos"), (F.col("p2") > 0).alias("moved")), "branches")
-        moved = new.where("moved").limit(1).count()
-        up = new.drop("moved")
-        if not moved:
-            return up
+    done, active = up.where("pos = 0"), up.where("pos > 0")
+    while not active.isEmpty():
+        far = done.union(active).select("conv_id", F.col("turn").alias("branch"), F.col("branch").alias("b2"), F.col("pos").alias("p2"))
+        new = materialize(spark, active.join(far, ["conv_id", "branch"]).select("conv_id", "turn", F.col("b2").alias("branch"), (F.col("pos") + F.col("p2")).alias("pos"), "p2"), "branches")
+        done, active = done.union(new.where("p2 = 0").drop("p2")), new.where("p2 > 0").drop("p2")
+    return done
 
 
 def format_chat(messages, conv="conv_id", turn="turn", role="role", text="text"):
