@@ -3,7 +3,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import chat, decontam, language, licenses, mixing, neardup, quality, sample, tokencount, topk
+from . import chat, decontam, language, licenses, mixing, neardup, passages, quality, sample, tokencount, topk
 
 QUERIES, ORACLES = {}, {}
 
@@ -140,6 +140,11 @@ def op8(spark, sf_dir):
     return tokencount.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
 
 
+@query("op9_repeated_passages")
+def op9(spark, sf_dir):
+    return passages.repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "first_doc_id", "first_word", "end_word", "class_id", "removed")
+
+
 @query("op10_language_id")
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
