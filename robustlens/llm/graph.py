@@ -1,4 +1,4 @@
-"""Connected components of links between long ids, by contraction."""
+"""Links from bucket collisions without pairing a bucket with itself, and connected components by contraction."""
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -27,3 +27,41 @@ def components(links):
         edges = materialize(spark, edges.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
         if edges.isEmpty():
             return found
+
+
+def stars(entries):
+    """(bucket, last, node, centre) of every bucket of two nodes or more: the centre is the node with the largest buckets in all, which an
+    original shares with most of its edited copies; ties go to the least id. Centres themselves are left out."""
+    sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = materialize(entries.sparkSession, entries.join(sizes, "bucket"), "entries")
+    weight = held.groupBy("node").agg(F.sum("n").alias("weight"))
+    ranked = held.join(weight, "node").groupBy("bucket").agg(F.min(F.struct(-F.col("weight"), "node")).alias("c")).select("bucket", F.col("c.node").alias("centre"))
+    return materialize(entries.sparkSession, held.drop("n").join(ranked, "bucket").where("node <> centre"), "stars")
+
+
+def banded_links(bands, prepare, compare):
+    """(a, b) of alike nodes among those that share a band; `bands` has distinct (node, band, key).
+
+    In each bucket all nodes are compared with the centre only. Those unlike it go on in buckets of one band more (this one and a later one), with
+    new centres, until no bucket holds two of them: as many levels as there are bands at most, and pairs in proportion to bucket entries.
+    `prepare(nodes)` is called once with the candidates, `compare(pairs)` gives the alike ones of (a, b).
+    """
+    spark = bands.sparkSession
+    bands = materialize(spark, bands, "bands")
+    level, found = bands.select("node", F.xxhash64("band", "key").alias("bucket"), F.col("band").alias("last")), []
+    while True:
+        members = stars(level)
+        if members.isEmpty():
+            break
+        if not found:
+            prepare(members.select("node").union(members.select("centre")).distinct())
+        close = materialize(spark, compare(members.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()).select("a", "b"), "alike")
+        found.append(close)
+        rest = members.join(close.select(F.col("a").alias("centre"), F.col("b").alias("node")), ["centre", "node"], "left_anti").select("node", "bucket", "last")
+        level = rest.join(bands, "node").where("band > last").select("node", F.xxhash64("bucket", "band", "key").alias("bucket"), F.col("band").alias("last"))
+    if not found:
+        return spark.createDataFrame([], "a long, b long")
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out
