@@ -62,12 +62,16 @@ def yes_no_margin(scores, yes, no):
 
 
 def parse_options(raw):
-    """Non-empty strings of a literal list such as ['a', "b"]; bad input gives an empty array."""
-    text = F.regexp_replace(F.trim(col(raw)), r"^\((.*)\)$", "[$1]")
+    """Non-empty strings of a literal list, tuple or dict such as ['a', "b", None, True,]; bad input gives an empty array."""
+    text = F.regexp_replace(F.trim(col(raw)), r"(?s)^\((.*)\)$", "[$1]")
+    text = F.regexp_replace(text, r",\s*([\]}])$", "$1")
+    for word, value in (("None", "null"), ("True", '"True"'), ("False", '"False"')):   # bare words, not those inside quotes
+        quoted = r"""'(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+\""""
+        text = F.regexp_replace(text, rf"\G((?:[^'\"{word[0]}]|{quoted}|{word[0]}(?!{word[1:]}\b))*+){word}\b", "$1" + value)
     parsed = F.from_json(text, "array<string>", {"allowSingleQuotes": "true"})
     as_map = F.map_values(F.from_json(text, "map<string,string>", {"allowSingleQuotes": "true"}))
     vals = F.coalesce(F.when(text.startswith("["), parsed), F.when(text.startswith("{"), as_map), F.array().cast("array<string>"))
-    return F.filter(F.transform(vals, lambda o: F.trim(o)), lambda o: o.isNotNull() & (o != "") & (o != "None"))
+    return F.filter(F.transform(vals, lambda o: F.trim(o)), lambda o: o.isNotNull() & (o != ""))
 
 
 def letter_labels(options):
@@ -197,7 +201,7 @@ def part_level(name):
 
 def part_prompt(name):
     parts = F.filter(F.split(F.regexp_replace(col(name), "_", " "), r"\s+"), lambda p: p != "")
-    chain = F.array_join(F.concat(F.reverse(F.slice(parts, 2, 100)), F.slice(parts, 1, 1)), " of the ")
+    chain = F.array_join(F.concat(F.reverse(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))), F.slice(parts, 1, 1)), " of the ")
     return F.when(F.size(parts) == 0, "segment the object").otherwise(F.concat(F.lit("segment the "), chain))
 
 

@@ -76,5 +76,5 @@ def hash_hex(seed, *cols):
 
 
 def hash_int(seed, *cols):
-    """A non-negative 28-bit integer from `hash_hex`."""
-    return F.conv(F.substring(hash_hex(seed, *cols), 1, 7), 16, 10).cast("long")
+    """A non-negative 60-bit integer from `hash_hex`."""
+    return F.conv(F.substring(hash_hex(seed, *cols), 1, 15), 16, 10).cast("long")

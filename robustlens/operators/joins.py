@@ -1,17 +1,9 @@
-"""Joins of clean and perturbed tables. All are equi joins; dimensions are broadcast only when checked small."""
+"""Joins of clean and perturbed tables. All are equi joins; adaptive execution broadcasts a side by its measured bytes."""
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import hash_int
 
-BROADCAST_ROWS = 200_000  # row bound below which a dimension is sent to every executor
-
-
-def with_dimension(facts, dim, keys, how="inner", max_rows=BROADCAST_ROWS):
-    """Join a dimension; it is broadcast only if its row count is proven small, else shuffled."""
-    small = dim.limit(max_rows + 1).count() <= max_rows
-    return facts.join(F.broadcast(dim) if small else dim, keys, how)
-
 
 def argmax_label(scores, labels):
     """Label of the largest score, the first listed one on ties; null for an empty map."""

@@ -109,8 +109,11 @@ def option_hardness(objects, seed=11):
 
 
 def best_box_match(pred, gt):
-    """Best-IoU ground-truth box of the same frame for every predicted box; first wins, 0 if none overlaps."""
-    p = pred.select("frame", "k", "x", "y", "s")
+    """Best-IoU ground-truth box of the same frame for every predicted box; first wins, 0 if none overlaps.
+
+    Equal predictions are matched once and come back as often as they were given.
+    """
+    p = pred.groupBy("frame", "k", "x", "y", "s").agg(F.count("*").alias("copies"))
     g = gt.select("frame", *[F.col(c).alias(f"g_{c}") for c in ("k", "x", "y", "s")])
 
     def side(a, ga):
@@ -119,7 +122,7 @@ def best_box_match(pred, gt):
     union = F.col("s") * F.col("s") + F.col("g_s") * F.col("g_s") - inter
     j = p.join(g, "frame", "left").withColumn("iou", F.coalesce(F.when(union > 0, inter / union), F.lit(0.0)))
     best = F.max(F.struct("iou", (-F.col("g_k")).alias("nk"))).alias("b")
-    return j.groupBy("frame", "k", "x", "y", "s").agg(best).select(
+    return j.groupBy("frame", "k", "x", "y", "s", "copies").agg(best).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
         "frame", "k", "x", "y", "s", F.col("b.iou").alias("best_iou"), F.when(F.col("b.iou") > 0, -F.col("b.nk")).alias("matched"))
 
 

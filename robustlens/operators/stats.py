@@ -3,14 +3,18 @@
 Facts are reduced to moments by one aggregation; tests then run on the few summary rows.
 """
 import hashlib
+import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.arrays import let
 from ..functions.numeric import hash_int, safe_corr, safe_slope
 from .windows import average_ranks
 
-PRIME = 268435399  # fixed value: a prime below 2^28; products of two residues stay in a long
+PRIME = (1 << 61) - 1   # a Mersenne prime: residues of products need no division
 
 
 def pearson(df, keys, x, y, min_n=3, default=0.0):
@@ -46,7 +50,7 @@ def ladder(points, keys, order, *values):
 
 
 def kendall_tau(pts, x, y):
-    """Tau-b over a short array of structs; 0 when a side is constant."""
+    """Tau-b over a short array of structs; 1 below three points, 0 when a side is constant."""
     def total(f):
         per = F.transform(pts, lambda a, i: F.aggregate(F.slice(pts, i + 2, F.size(pts)), F.lit(0.0), lambda s, b: s + f(a, b)))
         return F.aggregate(per, F.lit(0.0), lambda s, v: s + v)
@@ -55,7 +59,7 @@ def kendall_tau(pts, x, y):
         return F.signum(b[c].cast("double") - a[c].cast("double"))
     s = total(lambda a, b: sg(a, b, x) * sg(a, b, y))
     tx, ty = total(lambda a, b: F.abs(sg(a, b, x))), total(lambda a, b: F.abs(sg(a, b, y)))
-    return F.coalesce(F.try_divide(s, F.sqrt(tx * ty)), F.lit(0.0))
+    return F.when(F.size(pts) < 3, F.lit(1.0)).otherwise(F.coalesce(F.try_divide(s, F.sqrt(tx * ty)), F.lit(0.0)))
 
 
 def ladder_spearman(pts, x, y):
@@ -178,38 +182,75 @@ def slope_summary(slopes):
 
 
 # --- bootstrap -------------------------------------------------------------------------------------
-# fixed values: cumulative probabilities of a Poisson(1) count
-POISSON_CDF = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-               0.9994058151824183, 0.9999167588507119)
+def _poisson_cdf():
+    """Cumulative probabilities of a Poisson(1) count until what is left is under 2^-53, the step of a double below 1."""
+    out, total, p, k = [], 0.0, math.exp(-1), 0
+    while 1 - (total := total + p) > 2.0 ** -53:
+        out.append(total)
+        k += 1
+        p /= k
+    return tuple(out)
+
+
+POISSON_CDF = _poisson_cdf()
 
 
 def draw_coefficients(n_boot, seed):
     """Multiplier and offset of every draw's hash, from md5 of (seed, draw)."""
     def h(tag, i):
-        return int(hashlib.md5(f"{tag}{seed}|{i}".encode()).hexdigest()[:7], 16)
+        return int(hashlib.md5(f"{tag}{seed}|{i}".encode()).hexdigest()[:15], 16)
     return [(1 + h("a", i) % (PRIME - 1), h("c", i) % PRIME) for i in range(n_boot)]
 
 
-def poisson_weight(u):
-    w = F.when(u < POISSON_CDF[0], 0)
-    for i, c in enumerate(POISSON_CDF[1:], start=1):
-        w = w.when(u < c, i)
-    return w.otherwise(len(POISSON_CDF))
+def hash_residues(x, a, c):
+    """(x * a + c) modulo the Mersenne prime, for uint64 arrays below it, in 32-bit halves."""
+    m, half, low = np.uint64(PRIME), np.uint64(32), np.uint64(0xFFFFFFFF)
+    ah, al, xh, xl = a >> half, a & low, x >> half, x & low
+    mid = ah * xl + al * xh
+    bottom = al * xl
+    total = (ah * xh << np.uint64(3)) + (mid >> np.uint64(29)) + ((mid & np.uint64((1 << 29) - 1)) << half)
+    total = (total & m) + (total >> np.uint64(61)) + (bottom & m) + (bottom >> np.uint64(61)) + c
+    return total % m
 
 
 def bootstrap_sums(units, keys, unit_cols, sums, n_boot=1000, seed=42):
     """Poisson-bootstrap totals: one row per (keys, draw) with the weighted sum of every `sums` column.
 
-    `units` are pre-aggregated resampling units (items, clusters), so the fan-out multiplies them and not the
-    facts; weights are a hash of (unit, draw), the same on every retry, and each draw combines map-side.
+    `units` are pre-aggregated resampling units (items, clusters). An Arrow batch forms its units x draws weight matrix and multiplies it with
+    the sums, so a task hands on n_boot rows per key and nothing is fanned out; weights are a hash of (unit, draw), the same on every retry.
     """
-    coef = draw_coefficients(n_boot, seed)
-    draws = F.arrays_zip(F.array(*[F.lit(a).cast("long") for a, _ in coef]).alias("a"), F.array(*[F.lit(c).cast("long") for _, c in coef]).alias("c"))
-    x = hash_int("unit", *unit_cols)
-    d = units.select(*keys, *sums, x.alias("_x")).select(*keys, *sums, "_x", F.posexplode(draws).alias("draw", "_z"))
-    u = ((F.col("_x") * F.col("_z.a") + F.col("_z.c")) % PRIME) / F.lit(float(PRIME))
-    d = d.withColumn("_w", poisson_weight(u))
-    return d.groupBy(*keys, "draw").agg(*[F.sum(F.col("_w") * F.col(s)).alias(s) for s in sums])
+    keys = list(keys)
+    a, c = (np.array(v, np.uint64) for v in zip(*draw_coefficients(n_boot, seed)))
+    cdf, at_once, held = np.array(POISSON_CDF), 1024, 256
+
+    def run(batches):
+        totals = {}
+
+        def rows():
+            for key, t in totals.items():
+                out = pd.DataFrame(t, columns=sums)
+                for k, v in zip(keys, key):
+                    out[k] = pd.Series([v] * len(out), dtype=object)
+                out["draw"] = np.arange(n_boot, dtype=np.int32)
+                yield out[[*keys, "draw", *sums]]
+            totals.clear()
+        for pdf in batches:
+            x, values = pdf["_x"].to_numpy(np.uint64), pdf[sums].to_numpy(float)
+            groups = pdf.groupby(keys, dropna=False, sort=False).indices if keys else {(): np.arange(len(pdf))}
+            for key, rows_of in groups.items():
+                key = key if isinstance(key, tuple) else (key,)
+                for i in range(0, len(rows_of), at_once):
+                    r = rows_of[i:i + at_once]
+                    u = hash_residues(x[r, None], a, c).astype(float) / float(PRIME)
+                    part = np.searchsorted(cdf, u, "right").astype(float).T @ values[r]
+                    totals[key] = totals[key] + part if key in totals else part
+            if len(totals) > held:
+                yield from rows()
+        yield from rows()
+
+    fields = [units.schema[k] for k in keys] + [T.StructField("draw", T.IntegerType())] + [T.StructField(s, T.DoubleType()) for s in sums]
+    d = units.select(*keys, *[F.col(s).cast("double").alias(s) for s in sums], hash_int("unit", *unit_cols).alias("_x"))
+    return d.mapInPandas(run, T.StructType(fields)).groupBy(*keys, "draw").agg(*[F.sum(s).alias(s) for s in sums])
 
 
 # weighted statistics the bootstrap can resample, from unit sums
@@ -225,12 +266,15 @@ STATISTICS = {
 
 
 def bootstrap_ci(units, keys, unit_cols, statistic, n_boot=1000, ci=0.95, seed=42):
-    """Percentile interval of a registered statistic (the percentile sees n_boot values per key)."""
+    """Point estimate and percentile interval of a registered statistic (the percentile sees n_boot values per key)."""
+    keys = list(keys)
     sums, stat = STATISTICS[statistic]
     d = bootstrap_sums(units, keys, unit_cols, list(sums), n_boot, seed).withColumn("stat", stat())
     lo = (1 - ci) / 2
     g = d.groupBy(*keys).agg(F.percentile("stat", F.array(F.lit(lo), F.lit(1 - lo))).alias("q"))
-    return g.select(*keys, F.col("q")[0].alias("ci_lower"), F.col("q")[1].alias("ci_upper"))
+    g = g.select(*keys, F.col("q")[0].alias("ci_lower"), F.col("q")[1].alias("ci_upper"))
+    own = units.groupBy(*keys).agg(*[F.sum(s).alias(s) for s in sums]).select(*keys, stat().alias("estimate"))
+    return g.join(own, keys) if keys else g.withColumn("estimate", own.scalar())
 
 
 # --- matched fixed effects ---------------------------------------------------------------------------

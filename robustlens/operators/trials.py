@@ -102,22 +102,19 @@ def drop_marked_columns(df, *markers):
     return df.select(*[c for c in df.columns if not any(m in c for m in markers)])
 
 
-def predictor_list(df, base=("csem", "cprompt", "hopt")):
-    """Design columns for a slice: `is_binary` and `prediction_entropy` only where they vary / exist.
+def predictor_names(columns, base=("csem", "cprompt", "hopt")):
+    """Aggregate giving the design columns of a slice: `is_binary` and `prediction_entropy` only where they vary / exist."""
+    names = [F.lit(c) for c in base]
+    if "is_binary" in columns:
+        names.append(F.when((F.min("is_binary") == 0) & (F.max("is_binary") == 1), F.lit("is_binary")))
+    if "prediction_entropy" in columns:
+        names.append(F.when(F.count("prediction_entropy") > 0, F.lit("prediction_entropy")))
+    return F.filter(F.array(*names), lambda x: x.isNotNull())
 
-    One aggregate row reaches the driver.
-    """
-    probes = [F.min("is_binary").alias("lo"), F.max("is_binary").alias("hi")]
-    has_entropy = "prediction_entropy" in df.columns
-    if has_entropy:
-        probes.append(F.count("prediction_entropy").alias("n_ent"))
-    row = df.agg(*probes).first()
-    out = list(base)
-    if row["lo"] == 0 and row["hi"] == 1:
-        out.append("is_binary")
-    if has_entropy and row["n_ent"]:
-        out.append("prediction_entropy")
-    return out
+
+def predictor_list(df, base=("csem", "cprompt", "hopt")):
+    """The design columns of one slice as a Python list; one aggregate row reaches the driver."""
+    return list(df.agg(predictor_names(df.columns, base).alias("p")).first()["p"])
 
 
 def spectrum_sources(df, spaces=("image", "vision")):

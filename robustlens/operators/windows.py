@@ -12,17 +12,20 @@ def flip_threshold(trials, keys, cutoff="cutoff"):
 def ordered_counts(df, value, keys=(), buckets=64):
     """Distinct values per group with their count `k` and the 0-based position `first` of their first copy.
 
-    Values are counted first (map-side combined). Each group is then cut into order-preserving buckets at
+    Nulls and NaN have no place in an order and are left out. Values are counted first (map-side combined). Each group is then cut into order-preserving buckets at
     its own approximate quantiles, the bucket counts (at most `buckets` rows per group) give the offsets and
     a window runs inside one bucket only: neither a hot value nor a hot group ends up in a single task.
     """
     keys = list(keys)
     by = keys or ["_all"]
     df = df if keys else df.withColumn("_all", F.lit(0))
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("k"))
+    counts = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, value).agg(F.count("*").alias("k"))
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, probs, 10 * buckets).alias("_cuts"))
-    c = counts.join(cuts, by)
+    cuts = F.percentile_approx(value, probs, 10 * buckets).alias("_cuts")
+    if keys:
+        c = counts.join(counts.groupBy(*by).agg(cuts), by)
+    else:
+        c = counts.withColumn("_cuts", counts.agg(cuts).scalar())
     c = c.withColumn("bkt", F.size(F.filter("_cuts", lambda q: q < F.col(value)))).drop("_cuts")
     sizes = c.groupBy(*by, "bkt").agg(F.sum("k").alias("n"))
     w = Window.partitionBy(*by)

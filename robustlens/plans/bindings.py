@@ -198,15 +198,20 @@ TRIAL_EXTRA["d"] = "array(" + ", ".join(DELTA_ELEMENTS) + ")"
 _DUCK_DELTA = "[" + ", ".join(DELTA_ELEMENTS) + "]"
 
 
+def filter_tables(spark, sf_dir):
+    """Filters of items, and the average filter of each level."""
+    from ..functions.arrays import normalize
+    from ..operators.aggregates import mean_vector
+    f = filters(spark, sf_dir)
+    return f, mean_vector(f, "radial", "level_no").select("level_no", normalize("mean_vec").alias("w"))
+
+
 def pairs(spark, sf_dir, *extra):
     """Trials with outcome columns, their filter and the first-order and quadratic overlap."""
     from ..functions.arrays import overlap, quadratic_overlap
-    from ..operators.aggregates import mean_vector
     from ..operators.joins import with_filters
     from ..operators.trials import with_outcomes
-    from ..functions.arrays import normalize
-    f = filters(spark, sf_dir)
-    avg = mean_vector(f, "radial", "level_no").select("level_no", normalize("mean_vec").alias("w"))
+    f, avg = filter_tables(spark, sf_dir)
     t = with_outcomes(trials(spark, sf_dir, "d", *extra))
     return (with_filters(t, f, avg).withColumn("predicted", overlap("w", "d"))
             .withColumn("predicted_quadratic", quadratic_overlap("w", "d")))

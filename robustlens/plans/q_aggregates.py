@@ -98,8 +98,12 @@ def a09(spark, sf):
 _BANDS = ("low", "mid", "high")
 
 
+_THIRDS = ((1, 22), (23, 21), (44, 21))   # first value and size of each third of 64 values
+
+
 def _band(i):
-    return f"list_sum(list_transform(({{v}})[{21 * i + 1}:{21 * i + 21}], lambda x: x * x)) / 21"
+    a, n = _THIRDS[i]
+    return f"list_sum(list_transform(({{v}})[{a}:{a + n - 1}], lambda x: x * x)) / {n}"
 
 
 _BAND_SQL = "WITH " + b.VARIANTS_SQL + ", bd AS (SELECT *, (vec_id + perturbation) % 2 = 0 AS is_flip, " + ", ".join(
@@ -114,7 +118,8 @@ def band_deltas(spark, sf):
     v = b.variants(spark, sf)
 
     def energy(c, i):
-        return asum(F.transform(F.slice(c, 21 * i + 1, 21), lambda x: x.cast("double") * x.cast("double"))) / 21
+        a, n = _THIRDS[i]
+        return asum(F.transform(F.slice(c, a, n), lambda x: x.cast("double") * x.cast("double"))) / n
     cols = {}
     for i, n in enumerate(_BANDS):
         d = energy("pert", i) - energy("clean", i)

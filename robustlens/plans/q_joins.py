@@ -66,7 +66,7 @@ FROM orders LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) n ON n.n_nat
 def j06(spark, sf):
     cats = b.table(spark, sf, "nation").where("n_regionkey <> 2").select(F.col("n_nationkey").alias("category_id"), "n_name")
     ann = b.table(spark, sf, "orders").select((F.col("o_orderkey") % 1000).alias("image_id"), (F.col("o_custkey") % 30).alias("category_id"))
-    return jn.with_dimension(ann, cats, ["category_id"], "left").groupBy("image_id", F.coalesce("n_name", F.lit("unknown")).alias("category")).agg(F.count("*").alias("n"))
+    return ann.join(cats, "category_id", "left").groupBy("image_id", F.coalesce("n_name", F.lit("unknown")).alias("category")).agg(F.count("*").alias("n"))
 
 
 @query("j07_relation_lookup", f"""WITH {b.SCENE_SQL} SELECT s.name AS subject_name, rel.relation, t.name AS target_name, CAST(count(*) AS BIGINT) AS n
@@ -167,15 +167,15 @@ def a13(spark, sf):
     return rounded(g, "pert_mean", "pert_std", "ctrl_mean", "ctrl_std", "pert_l2", "ctrl_l2", "cohen_d")
 
 
-@query("j13_best_iou_match", """WITH f AS (SELECT l_orderkey AS frame, l_linenumber AS k, l_partkey % 50 AS x, l_suppkey % 50 AS y, l_quantity AS s FROM lineitem),
+@query("j13_best_iou_match", """WITH f AS (SELECT l_orderkey AS frame, l_linenumber AS k, l_partkey % 50 AS x, l_suppkey % 50 AS y, l_quantity AS s, row_number() OVER () AS rid FROM lineitem),
 p AS (SELECT * FROM f WHERE k % 2 = 0), g AS (SELECT * FROM f WHERE k % 2 = 1),
-m AS (SELECT p.frame, p.k, p.x, p.y, p.s, g.k AS gk, greatest(0, least(p.x + p.s, g.x + g.s) - greatest(p.x, g.x)) * greatest(0, least(p.y + p.s, g.y + g.s) - greatest(p.y, g.y)) AS i, g.s AS gs FROM p LEFT JOIN g ON p.frame = g.frame),
+m AS (SELECT p.rid, p.frame, p.k, p.x, p.y, p.s, g.k AS gk, greatest(0, least(p.x + p.s, g.x + g.s) - greatest(p.x, g.x)) * greatest(0, least(p.y + p.s, g.y + g.s) - greatest(p.y, g.y)) AS i, g.s AS gs FROM p LEFT JOIN g ON p.frame = g.frame),
 u AS (SELECT *, CASE WHEN gk IS NULL OR s * s + gs * gs - i <= 0 THEN 0 ELSE i / (s * s + gs * gs - i) END AS iou FROM m)
 SELECT frame, k, x, y, s, round(max(iou), 6) + 0e0 AS best_iou, CASE WHEN max(iou) > 0 THEN arg_min(gk, gk) FILTER (WHERE iou = mx) END AS matched
-FROM (SELECT *, max(iou) OVER (PARTITION BY frame, k, x, y, s) AS mx FROM u) GROUP BY 1, 2, 3, 4, 5""")
+FROM (SELECT *, max(iou) OVER (PARTITION BY rid) AS mx FROM u) GROUP BY rid, frame, k, x, y, s""")
 def j13(spark, sf):
     f = b.table(spark, sf, "lineitem").selectExpr("l_orderkey AS frame", "l_linenumber AS k", "l_partkey % 50 AS x", "l_suppkey % 50 AS y", "l_quantity AS s")
-    return rounded(sc.best_box_match(f.where("k % 2 = 0").distinct(), f.where("k % 2 = 1")), "best_iou")
+    return rounded(sc.best_box_match(f.where("k % 2 = 0"), f.where("k % 2 = 1")), "best_iou")
 
 
 @query("j14_filter_comparison", f"""WITH {b.FILTERS_SQL}, c AS (SELECT f.item_id, f.level_no, f.w, g.w AS cw FROM filters f JOIN filters g ON g.item_id = f.item_id + 1),

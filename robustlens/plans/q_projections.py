@@ -111,18 +111,18 @@ def p11(spark, sf):
         F.count("*").alias("n"), r6(F.sum("loglik_drift")).alias("total_drift"))
 
 
-@query("p12_spectrum_sources", f"""WITH e AS (SELECT vec_id, embedding FROM embeddings),
+@query("p12_spectrum_sources", f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS d FROM embeddings),
 s AS (SELECT vec_id, 'image' AS space, CASE WHEN vec_id % 3 = 0 THEN 'raw' ELSE 'relative' END AS normalization,
-        CASE WHEN vec_id % 3 = 0 THEN embedding[1:8] ELSE embedding[9:16] END AS delta FROM e
+        CASE WHEN vec_id % 3 = 0 THEN d ELSE list_transform(d, lambda x: x * 2) END AS delta FROM e
       UNION ALL SELECT vec_id, 'vision', CASE WHEN vec_id % 5 = 0 THEN 'relative' ELSE 'raw' END,
-        CASE WHEN vec_id % 5 = 0 THEN embedding[25:32] ELSE embedding[17:24] END FROM e WHERE NOT (vec_id % 7 = 0 AND vec_id % 5 <> 0))
-SELECT space, normalization, CAST(count(*) AS BIGINT) AS n, {R('sum(list_sum(CAST(delta AS DOUBLE[])))')} AS total FROM s GROUP BY space, normalization""")
+        CASE WHEN vec_id % 5 = 0 THEN list_transform(d, lambda x: x * 8) ELSE list_transform(d, lambda x: x * 4) END FROM e WHERE NOT (vec_id % 7 = 0 AND vec_id % 5 <> 0))
+SELECT space, normalization, CAST(count(*) AS BIGINT) AS n, {R('sum(list_sum(delta))')} AS total FROM s GROUP BY space, normalization""")
 def p12(spark, sf):
     e = b.table(spark, sf, "embeddings").selectExpr(
-        "vec_id", "slice(embedding, 1, 8) AS image_raw",
-        "CASE WHEN vec_id % 3 = 0 THEN slice(embedding, 1, 0) ELSE slice(embedding, 9, 8) END AS image_relative",
-        "CASE WHEN vec_id % 7 = 0 THEN NULL ELSE slice(embedding, 17, 8) END AS vision_raw",
-        "CASE WHEN vec_id % 5 = 0 THEN slice(embedding, 25, 8) END AS vision_relative")
+        "vec_id", "transform(embedding, x -> CAST(x AS DOUBLE)) AS d").selectExpr(
+        "vec_id", "d AS image_raw", "CASE WHEN vec_id % 3 = 0 THEN slice(d, 1, 0) ELSE transform(d, x -> x * 2) END AS image_relative",
+        "CASE WHEN vec_id % 7 = 0 THEN NULL ELSE transform(d, x -> x * 4) END AS vision_raw",
+        "CASE WHEN vec_id % 5 = 0 THEN transform(d, x -> x * 8) END AS vision_relative")
     s = tr.spectrum_sources(e)
     total = F.aggregate("delta", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return s.groupBy("space", "normalization").agg(F.count("*").alias("n"), r6(F.sum(total)).alias("total"))
@@ -183,13 +183,11 @@ def p16(spark, sf):
 
 
 @query("p17_predictor_list", f"""{b.T()} SELECT level_no, CAST(count(*) AS BIGINT) AS n,
-  CASE WHEN min(is_binary) = 0 AND max(is_binary) = 1 THEN 'csem,cprompt,hopt,is_binary' ELSE 'csem,cprompt,hopt' END AS predictors
-FROM (SELECT level_no % 3 AS level_no, is_binary FROM tr WHERE level_no % 3 <> 1 OR level_no % 2 = 0) GROUP BY level_no""")
+  concat('csem,cprompt,hopt', CASE WHEN min(is_binary) = 0 AND max(is_binary) = 1 THEN ',is_binary' ELSE '' END, CASE WHEN count(entropy) > 0 THEN ',prediction_entropy' ELSE '' END) AS predictors
+FROM (SELECT level_no % 3 AS level_no, is_binary, CASE WHEN level_no = 3 THEN abs(loglik_drift) END AS entropy FROM tr) GROUP BY level_no""")
 def p17(spark, sf):
-    t = b.trials(spark, sf).where("level_no % 3 <> 1 OR level_no % 2 = 0").selectExpr("level_no % 3 AS level_no", "is_binary")
-    both = (F.min("is_binary") == 0) & (F.max("is_binary") == 1)
-    names = F.concat_ws(",", F.lit("csem"), F.lit("cprompt"), F.lit("hopt"), F.when(both, F.lit("is_binary")))
-    return t.groupBy("level_no").agg(F.count("*").alias("n"), names.alias("predictors"))
+    t = b.trials(spark, sf).selectExpr("level_no % 3 AS level_no", "is_binary", "CASE WHEN level_no = 3 THEN abs(loglik_drift) END AS prediction_entropy")
+    return t.groupBy("level_no").agg(F.count("*").alias("n"), F.concat_ws(",", tr.predictor_names(t.columns)).alias("predictors"))
 
 
 @query("p18_skip_null_base", """SELECT o_orderstatus AS model, CAST(count(*) AS BIGINT) AS n FROM orders
@@ -199,10 +197,10 @@ def p18(spark, sf):
     return o.where(F.col("base_label").isNotNull()).groupBy("model").agg(F.count("*").alias("n"))
 
 
-@query("p19_drop_marked_columns", f"""SELECT vec_id, {R('list_sum(CAST(embedding[1:8] AS DOUBLE[]))')} AS w_t FROM embeddings""")
+@query("p19_drop_marked_columns", f"""SELECT vec_id, {R('list_sum(CAST(embedding AS DOUBLE[]))')} AS w_t FROM embeddings""")
 def p19(spark, sf):
     e = b.table(spark, sf, "embeddings").select(
-        "vec_id", r6(F.aggregate(F.slice("embedding", 1, 8), F.lit(0.0), lambda a, x: a + x.cast("double"))).alias("w_t"),
+        "vec_id", r6(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))).alias("w_t"),
         F.col("embedding").alias("w_t_l2"), F.lit(1).alias("l2_norm"))
     return tr.drop_marked_columns(e, "_l2", "l2_")
 
@@ -230,12 +228,12 @@ def m03(spark, sf):
         *[r6(F.sum(c)).alias(c) for c in ("erosion", "recovery", "volatility")])
 
 
-@query("m09_delta_family", """WITH e AS (SELECT vec_id, CAST(embedding[1:8] AS DOUBLE[]) AS d0 FROM embeddings),
+@query("m09_delta_family", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS d0 FROM embeddings),
 d AS (SELECT vec_id, list_transform(d0, lambda x: CASE WHEN vec_id % 10 = 0 THEN 0e0 ELSE abs(x) END) AS d FROM e),
-x AS (SELECT vec_id, list_sum(d) AS tot, CASE WHEN list_sum(d) > 0 THEN list_sum(list_transform(range(0, 8), lambda i: i * d[i + 1])) / list_sum(d) END AS c FROM d)
-SELECT CASE WHEN tot <= 1e-6 THEN 'zero' WHEN c < 8 / 3e0 THEN 'low_freq' WHEN c > 16 / 3e0 THEN 'high_freq' ELSE 'broadband' END AS delta_family,
+x AS (SELECT vec_id, list_sum(d) AS tot, CASE WHEN list_sum(d) > 0 THEN list_sum(list_transform(range(0, 64), lambda i: i * d[i + 1])) / list_sum(d) END AS c FROM d)
+SELECT CASE WHEN tot <= 1e-6 THEN 'zero' WHEN c < 64 / 3e0 THEN 'low_freq' WHEN c > 128 / 3e0 THEN 'high_freq' ELSE 'broadband' END AS delta_family,
   CAST(count(*) AS BIGINT) AS n FROM x GROUP BY 1""")
 def m09(spark, sf):
     e = b.table(spark, sf, "embeddings").selectExpr(
-        "transform(slice(embedding, 1, 8), x -> CASE WHEN vec_id % 10 = 0 THEN 0e0 ELSE CAST(x AS DOUBLE) END) AS d")
+        "transform(embedding, x -> CASE WHEN vec_id % 10 = 0 THEN 0e0 ELSE CAST(x AS DOUBLE) END) AS d")
     return e.groupBy(delta_family("d").alias("delta_family")).agg(F.count("*").alias("n"))

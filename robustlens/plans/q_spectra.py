@@ -58,12 +58,12 @@ def m08(spark, sf):
     return b.filters(spark, sf).select("item_id", r6(ar.tail_mass("w")).alias("tail_mass"), r6(ar.centroid("w")).alias("centroid"), r6(ar.centroid_norm("w")).alias("centroid_normalised"))
 
 
-@query("m10_spectral_features", f"""WITH x AS (SELECT vec_id, list_transform(CAST(embedding[1:8] AS DOUBLE[]), lambda x: abs(x)) AS a FROM embeddings), p AS (SELECT vec_id, list_transform(a, lambda x: x / list_sum(a)) AS p FROM x),
-f AS (SELECT vec_id, list_sum(p[1:3]) AS lo, list_sum(p[4:6]) AS mi, list_sum(p[7:8]) AS hi, -list_sum(list_transform(p, lambda x: x * ln(greatest(x, 1e-12)))) / ln(8) AS ent, list_sum(list_transform(range(1, 9), lambda i: (i - 1) * p[i])) AS cen FROM p)
+@query("m10_spectral_features", f"""WITH x AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x)) AS a FROM embeddings), p AS (SELECT vec_id, list_transform(a, lambda x: x / list_sum(a)) AS p FROM x),
+f AS (SELECT vec_id, list_sum(p[1:22]) AS lo, list_sum(p[23:43]) AS mi, list_sum(p[44:64]) AS hi, -list_sum(list_transform(p, lambda x: x * ln(greatest(x, 1e-12)))) / ln(64) AS ent, list_sum(list_transform(range(1, 65), lambda i: (i - 1) * p[i])) AS cen FROM p)
 SELECT vec_id, CASE WHEN ent >= 0.86 AND greatest(lo, mi, hi) - (lo + mi + hi - greatest(lo, mi, hi) - least(lo, mi, hi)) < 0.12 THEN 'broadband' WHEN lo = greatest(lo, mi, hi) THEN 'low' WHEN mi = greatest(lo, mi, hi) THEN 'mid' ELSE 'high' END AS signature,
   {R('lo')} AS low_mass, {R('mi')} AS mid_mass, {R('hi')} AS high_mass, {R('ent')} AS entropy, {R('cen')} AS centroid FROM f""")
 def m10(spark, sf):
-    e = b.table(spark, sf, "embeddings").select("vec_id", ar.doubles(F.slice("embedding", 1, 8)).alias("a"))
+    e = b.table(spark, sf, "embeddings").select("vec_id", ar.doubles("embedding").alias("a"))
     f = e.select("vec_id", ar.spectral_features("a").alias("f")).select("vec_id", "f.*")
     return rounded(f, "low_mass", "mid_mass", "high_mass", "entropy", "centroid")
 

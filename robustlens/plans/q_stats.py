@@ -43,7 +43,7 @@ def t03(spark, sf):
     m = outcomes(spark, sf).groupBy("family", "level_no").agg(F.round(F.avg("accuracy_drop"), 9).alias("v"))
     lad = st.ladder(m, ["family"], "level_no", "v")
     mono = F.forall(F.sequence(F.lit(2), F.greatest(F.size("pts"), F.lit(2))), lambda i: F.coalesce(
-        F.try_element_at("pts", i - 1)["v"] <= F.try_element_at("pts", i)["v"], F.lit(True)))
+        F.try_element_at("pts", i - 1)["v"] <= F.try_element_at("pts", i)["v"], F.lit(True))) | (F.size("pts") < 3)
     return lad.select("family", r6(st.kendall_tau(F.col("pts"), "ord", "v")).alias("tau"), mono.alias("monotone"))
 
 
@@ -116,7 +116,7 @@ def t07ci(spark, sf):
                     r6(F.col("effect") + F.col("crit") * F.col("sem")).alias("ci_upper"), r6(pv.t_pvalue("t_stat", "dof")).alias("p_value"))
 
 
-_B, _SEED = 100, 42
+_B, _SEED = 1000, 42
 _W = "CASE " + " ".join(f"WHEN u < {c} THEN {i}" for i, c in enumerate(st.POISSON_CDF)) + f" ELSE {len(st.POISSON_CDF)} END"
 
 
@@ -125,25 +125,25 @@ def BOOT(units, unit_cols, sums, keys, n_boot=_B, seed=_SEED):
     coef = ", ".join(f"({i}, {a}, {c})" for i, (a, c) in enumerate(st.draw_coefficients(n_boot, seed)))
     k = "".join(f"{x}, " for x in keys)
     return f"""co(draw, a, c) AS (VALUES {coef}), ux AS (SELECT *, {HI('unit', *unit_cols)} AS x FROM {units}),
-uw AS (SELECT {k}draw, {', '.join(sums)}, ((x * a + c) % {st.PRIME}) / {st.PRIME}e0 AS u FROM ux, co),
+uw AS (SELECT {k}draw, {', '.join(sums)}, CAST((CAST(x AS HUGEINT) * a + c) % {st.PRIME} AS DOUBLE) / {st.PRIME}e0 AS u FROM ux, co),
 bd AS (SELECT {k}draw, {', '.join(f'sum(({_W}) * {s}) AS {s}' for s in sums)} FROM uw GROUP BY {k}draw)"""
 
 
 @query("t08_bootstrap_mean", f"""{b.T()}, un AS (SELECT level_no, item_id, sum(volatility) AS s, count(*) AS n FROM tr GROUP BY 1, 2), {BOOT('un', ['item_id'], ['s', 'n'], ['level_no'])}
-SELECT level_no, {R("quantile_cont(CAST(s / n AS DOUBLE), 0.025)")} AS ci_lower, {R("quantile_cont(CAST(s / n AS DOUBLE), 0.975)")} AS ci_upper FROM bd GROUP BY level_no""")
+SELECT level_no, {R("quantile_cont(CAST(s / n AS DOUBLE), 0.025)")} AS ci_lower, {R("quantile_cont(CAST(s / n AS DOUBLE), 0.975)")} AS ci_upper, (SELECT {R('sum(s) / sum(n)')} FROM un WHERE un.level_no = bd.level_no) AS estimate FROM bd GROUP BY level_no""")
 def t08(spark, sf):
     un = outcomes(spark, sf).groupBy("level_no", "item_id").agg(F.sum("volatility").alias("s"), F.count("*").alias("n"))
-    return rounded(st.bootstrap_ci(un, ["level_no"], ["item_id"], "mean", _B, 0.95, _SEED), "ci_lower", "ci_upper")
+    return rounded(st.bootstrap_ci(un, ["level_no"], ["item_id"], "mean", _B, 0.95, _SEED), "ci_lower", "ci_upper", "estimate")
 
 
 @query("u02_bootstrap_correlation", f"""{b.T()}, un AS (SELECT family, item_id, count(*) AS n, sum(csem) AS sx, sum(volatility) AS sy, sum(csem * csem) AS qxx, sum(volatility * volatility) AS qyy, sum(csem * volatility) AS qxy FROM tr GROUP BY 1, 2),
 {BOOT('un', ['item_id'], ['n', 'sx', 'sy', 'qxx', 'qyy', 'qxy'], ['family'])}, r AS (SELECT family, (qxy - sx * sy / n) / sqrt((qxx - sx * sx / n) * (qyy - sy * sy / n)) AS r FROM bd)
-SELECT family, {R('quantile_cont(CAST(r AS DOUBLE), 0.025)')} AS ci_lower, {R('quantile_cont(CAST(r AS DOUBLE), 0.975)')} AS ci_upper FROM r GROUP BY family""")
+SELECT family, {R('quantile_cont(CAST(r AS DOUBLE), 0.025)')} AS ci_lower, {R('quantile_cont(CAST(r AS DOUBLE), 0.975)')} AS ci_upper, (SELECT {R('(sum(qxy) - sum(sx) * sum(sy) / sum(n)) / sqrt((sum(qxx) - sum(sx) * sum(sx) / sum(n)) * (sum(qyy) - sum(sy) * sum(sy) / sum(n)))')} FROM un WHERE un.family = r.family) AS estimate FROM r GROUP BY family""")
 def u02(spark, sf):
     x, y = F.col("csem"), F.col("volatility")
     un = outcomes(spark, sf).groupBy("family", "item_id").agg(
         F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("qxx"), F.sum(y * y).alias("qyy"), F.sum(x * y).alias("qxy"))
-    return rounded(st.bootstrap_ci(un, ["family"], ["item_id"], "corr", _B, 0.95, _SEED), "ci_lower", "ci_upper")
+    return rounded(st.bootstrap_ci(un, ["family"], ["item_id"], "corr", _B, 0.95, _SEED), "ci_lower", "ci_upper", "estimate")
 
 
 _CI9 = "tanh(atanh(greatest(least(r, 0.999999), -0.999999)) {s} 1.96 / sqrt(n - 3))"

@@ -6,7 +6,7 @@ from ..session import scratch_path
 from ..sources import sinks
 from ..streaming import jobs
 from . import bindings as b
-from .q_aggregates import outcomes, rounded
+from .q_aggregates import _GM, _GP, outcomes, rounded
 from .registry import query
 from .sqlkit import R
 
@@ -32,13 +32,16 @@ def x01(spark, sf):
     return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"), r6(F.sum("value")).alias("total"))
 
 
-@query("x02_running_pairs", f"{b.PAIRS()}, g AS (SELECT item_id, level_no, family, avg(list_dot_product(w, d)) AS p, avg(volatility) AS v, count(*) AS n FROM pairs WHERE own GROUP BY 1, 2, 3) SELECT item_id, level_no, family, {R('p')} AS predicted, {R('v')} AS volatility, CAST(n AS BIGINT) AS n FROM g")
+_X02 = (*_GM, "recovery", "clean_accuracy", "perturbed_accuracy", "net_drop", "relative_drop")
+
+
+@query("x02_running_pairs", f"{_GP}, h AS (SELECT item_id, level_no, family, avg(recovery) AS recovery FROM pairs GROUP BY 1, 2, 3), q AS (SELECT g.*, recovery, CASE WHEN clean_accuracy > 1e-8 THEN net_drop / clean_accuracy END AS relative_drop FROM g JOIN h USING (item_id, level_no, family)) SELECT item_id, level_no, family, "
+       + ", ".join(f"{R(c)} AS {c}" for c in _X02) + ", ci_count, ic_count, n FROM q")
 def x02(spark, sf):
     out, cp = paths(spark, "pairs")
-    t = b.trials(spark, sf, "d").select("item_id", "level_no", "family", "loglik_drift", "d")
-    s = feed(spark, t, "item_id BIGINT, level_no INT, family STRING, loglik_drift DOUBLE, d ARRAY<DOUBLE>")
-    jobs.write_partials(s, jobs.pair_partials(b.filters(spark, sf)), out, cp).awaitTermination()
-    return rounded(jobs.merge_pairs(spark.read.parquet(f"{out}/*")), "predicted", "volatility")
+    t = b.trials(spark, sf, "d")
+    jobs.write_partials(feed(spark, t, t.schema), jobs.pair_partials(*b.filter_tables(spark, sf)), out, cp).awaitTermination()
+    return rounded(jobs.merge_pairs(spark.read.parquet(f"{out}/*")), *_X02)
 
 
 @query("x03_running_transitions", f"""{b.T()} SELECT perturbation, CAST(count(*) AS BIGINT) AS instances, CAST(sum(changed::INT) AS BIGINT) AS changed, CAST(count(*) FILTER (WHERE clean_correct = 1 AND pert_correct = 0) AS BIGINT) AS r2w, CAST(count(*) FILTER (WHERE clean_correct = 0 AND pert_correct = 1) AS BIGINT) AS w2r FROM tr GROUP BY perturbation""")

@@ -72,12 +72,12 @@ def f03(spark, sf):
                     lb.label_to_yes_no("lab", "options").alias("first_is"))
 
 
-_RAW = """CASE p_partkey % 5 WHEN 0 THEN concat('["', p_type, '", " ', p_name, ' "]') WHEN 1 THEN concat("['", p_type, "', '', '", p_brand, "']")
-  WHEN 2 THEN 'not a list' WHEN 3 THEN concat("('", p_name, "', 'x')") ELSE concat("{'a': '", p_brand, "', 'b': '", p_type, "'}") END"""
+_RAW = """CASE p_partkey % 5 WHEN 0 THEN concat('["', p_type, '", " ', p_name, ' "]') WHEN 1 THEN concat("['", p_type, "', '', None, True, '", p_brand, "',]")
+  WHEN 2 THEN 'not a list' WHEN 3 THEN concat("('", p_name, "', 'x',)") ELSE concat("{'a': '", p_brand, "', 'b': '", p_type, "'}") END"""
 
 
-@query("f04_parse_options", """SELECT p_partkey AS item_id, CASE p_partkey % 5 WHEN 0 THEN concat(p_type, '|', p_name) WHEN 1 THEN concat(p_type, '|', p_brand) WHEN 2 THEN '' WHEN 3 THEN concat(p_name, '|x') ELSE concat(p_brand, '|', p_type) END AS opts,
-  CAST(CASE p_partkey % 5 WHEN 2 THEN 0 ELSE 2 END AS INT) AS n FROM part""")
+@query("f04_parse_options", """SELECT p_partkey AS item_id, CASE p_partkey % 5 WHEN 0 THEN concat(p_type, '|', p_name) WHEN 1 THEN concat(p_type, '|True|', p_brand) WHEN 2 THEN '' WHEN 3 THEN concat(p_name, '|x') ELSE concat(p_brand, '|', p_type) END AS opts,
+  CAST(CASE p_partkey % 5 WHEN 2 THEN 0 WHEN 1 THEN 3 ELSE 2 END AS INT) AS n FROM part""")
 def f04(spark, sf):
     p = b.table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), F.expr(_RAW).alias("raw"))
     return p.select("item_id", lb.parse_options("raw").alias("o")).select("item_id", F.array_join("o", "|").alias("opts"), F.size("o").alias("n"))

@@ -19,12 +19,12 @@ def w01(spark, sf):
     return rounded(wn.average_ranks(outcomes(spark, sf), "loglik_drift", ["family"]), "loglik_drift", "rank")
 
 
-_CURVE = "cv AS (SELECT item_id % 500 AS item_id, mode, level_no, cutoff, avg(pert_correct) AS acc FROM tr GROUP BY 1, 2, 3, 4)"
+_CURVE = "cv AS (SELECT item_id, mode, level_no, cutoff, avg(pert_correct) AS acc FROM tr GROUP BY 1, 2, 3, 4)"
 
 
 def curve(spark, sf):
     t = outcomes(spark, sf, "mode", "cutoff")
-    return t.groupBy((F.col("item_id") % 500).alias("item_id"), "mode", "level_no", "cutoff").agg(F.avg("pert_correct").alias("acc"))
+    return t.groupBy("item_id", "mode", "level_no", "cutoff").agg(F.avg("pert_correct").alias("acc"))
 
 
 _CRIT = f"""{_CURVE}, o AS (SELECT *, lead(acc) OVER w AS nx, lead(cutoff) OVER w AS nc, first_value(acc) OVER (PARTITION BY item_id, mode, level_no ORDER BY cutoff) AS fa,

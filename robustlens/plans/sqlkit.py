@@ -25,4 +25,4 @@ def H(seed, *cols):
 
 
 def HI(seed, *cols):
-    return f"CAST(('0x' || substr({H(seed, *cols)}, 1, 7)) AS BIGINT)"
+    return f"CAST(('0x' || substr({H(seed, *cols)}, 1, 15)) AS BIGINT)"

@@ -12,10 +12,10 @@ SECTION_MARKS = (("FLIP", "AVg"), ("CONFUSION", CONFUSION_HEADER), ("FREQUENCY",
 
 
 def log_lines(spark, path):
-    """(worker, pos, line) of summary files. A summary is one worker's short report, so it is read whole."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
-    f = files.select(F.regexp_extract(F.col("_metadata.file_path"), "worker=?([0-9]+)", 1).cast("int").alias("worker"), F.split("value", "\n").alias("l"))
-    return f.select("worker", F.posexplode("l").alias("pos", "line")).withColumn("line", F.trim("line")).where("line <> ''")
+    """(file, worker, pos, line) of summary files. A summary is one worker's short report, so it is read whole and keeps its line order."""
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    f = files.select(F.col("_metadata.file_path").alias("file"), F.regexp_extract(F.col("_metadata.file_path"), "worker=?([0-9]+)", 1).cast("int").alias("worker"), F.split("value", "\n").alias("l"))
+    return f.select("file", "worker", F.posexplode("l").alias("pos", "line")).withColumn("line", F.trim("line")).where("line <> ''")
 
 
 def fields(line="line"):
@@ -36,7 +36,7 @@ def sections(lines):
     for name, text in reversed(SECTION_MARKS):
         mark = F.when(F.contains("line", F.lit(text)), name).otherwise(mark)
     cond = F.when(F.contains("line", F.lit(CONFUSION_HEADER)), F.coalesce(F.nullif(F.regexp_extract("line", r"\[(.*)\]", 1), F.lit("")), F.lit("all")))
-    w = Window.partitionBy("worker").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = lines.withColumn("_m", mark).withColumn("_c", cond)
     return d.withColumn("section", F.last("_m", ignorenulls=True).over(w)).withColumn("condition", F.last("_c", ignorenulls=True).over(w)).where("_m IS NULL").drop("_m", "_c")
 

@@ -11,10 +11,10 @@ from . import schemas
 
 
 def read_jsonl(spark, path, schema, streaming=False):
-    """JSON lines with a declared schema; blank lines give no row, a missing path gives an empty table."""
+    """JSON lines with a declared schema; blank lines give no row, a malformed one fails the scan, a missing path gives an empty table."""
     try:
         reader = spark.readStream if streaming else spark.read
-        df = reader.schema(schema).option("mode", "PERMISSIVE").json(path)
+        df = reader.schema(schema).option("mode", "FAILFAST").json(path)
         df.columns
         return df
     except AnalysisException as e:
@@ -25,7 +25,7 @@ def read_jsonl(spark, path, schema, streaming=False):
 
 def read_json_arrays(spark, path, schema):
     """Files that each hold one top-level JSON array. Not splittable: rewrite once to Parquet with `to_parquet`."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
 def to_parquet(spark, df, name):
@@ -91,11 +91,10 @@ def manifest_frames(manifest):
 
 def coco_annotations(docs):
     """Images, annotations and categories of annotation documents, joined to one row per annotation."""
-    from ..operators.joins import with_dimension
     im = docs.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image_id"), "i.file_name", "i.width", "i.height")
     an = docs.select(F.explode("annotations").alias("a")).select("a.*")
     ca = docs.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), F.col("c.name").alias("category")).distinct()
-    rows = with_dimension(an, ca, ["category_id"], "left").withColumn("category", F.coalesce("category", F.lit("unknown")))
+    rows = an.join(ca, "category_id", "left").withColumn("category", F.coalesce("category", F.lit("unknown")))
     return im.join(rows, "image_id", "left")
 
 

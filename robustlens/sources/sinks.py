@@ -2,7 +2,6 @@
 import hashlib
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 
@@ -41,11 +40,10 @@ def cache_key(version, **parts):
 def cached_table(spark, root, version, build, **parts):
     """Parquet table keyed by (version, parts): read if present and complete, else built once and read back."""
     path = f"{root}/cache-{cache_key(version, **parts)}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):   # absent or half written
         build().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 def rename_parts(spark, path, prefix):

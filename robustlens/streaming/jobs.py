@@ -4,7 +4,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.arrays import overlap
+from ..functions.arrays import overlap, quadratic_overlap
+from ..operators.joins import with_filters
+from ..operators.trials import with_outcomes
 
 
 def json_stream(spark, path, schema, files_per_batch=None):
@@ -29,17 +31,26 @@ def write_partials(stream, partial, out, checkpoint):
 GROUP_KEYS = ("item_id", "level_no", "family")
 
 
-def pair_partials(filters):
-    """Stream-static join with the filter table and partial sums per (item, level, family)."""
+PAIR_MEASURES = ("predicted", "predicted_quadratic", "csem", "cprompt", "hopt", "is_binary", "accuracy_drop", "loglik_drift", "volatility", "erosion",
+                 "recovery", "clean_correct", "pert_correct")
+
+
+def pair_partials(filters, average):
+    """Stream-static join with the filter table, the level average where an item has no filter of its own, and partial sums of every
+    measure per (item, level, family) (X02)."""
     def partial(df):
-        j = df.join(filters.select("item_id", "level_no", "w"), ["item_id", "level_no"]).withColumn("p", overlap("w", "d"))
-        return j.groupBy(*GROUP_KEYS).agg(F.sum("p").alias("sp"), F.sum(F.abs("loglik_drift")).alias("sv"), F.count("*").alias("n"))
+        j = with_filters(with_outcomes(df), filters, average).withColumn("predicted", overlap("w", "d")).withColumn("predicted_quadratic", quadratic_overlap("w", "d"))
+        right, wrong = (F.col("clean_correct") == 1) & (F.col("pert_correct") == 0), (F.col("clean_correct") == 0) & (F.col("pert_correct") == 1)
+        return j.groupBy(*GROUP_KEYS).agg(*[F.sum(m).cast("double").alias(m) for m in PAIR_MEASURES], F.count_if(right).alias("ci_count"), F.count_if(wrong).alias("ic_count"), F.count("*").alias("n"))
     return partial
 
 
 def merge_pairs(partials):
-    """Group means from the batches' partial sums."""
-    return partials.groupBy(*GROUP_KEYS).agg((F.sum("sp") / F.sum("n")).alias("predicted"), (F.sum("sv") / F.sum("n")).alias("volatility"), F.sum("n").alias("n"))
+    """Group means, counts and net change from the batches' partial sums."""
+    g = partials.groupBy(*GROUP_KEYS).agg(*[(F.sum(m) / F.sum("n")).alias(m) for m in PAIR_MEASURES], *[F.sum(c).alias(c) for c in ("ci_count", "ic_count", "n")])
+    net = (F.col("ci_count") - F.col("ic_count")) / F.col("n")
+    return (g.withColumnsRenamed({"clean_correct": "clean_accuracy", "pert_correct": "perturbed_accuracy"}).withColumn("net_drop", net)
+            .withColumn("relative_drop", F.when(F.col("clean_accuracy") > 1e-8, F.try_divide("net_drop", "clean_accuracy"))))
 
 
 def running_transitions(stream):

@@ -84,7 +84,15 @@ def test_bootstrap_mean_is_near_the_estimate(spark):
     d = spark.range(500).select("id", (F.col("id") % 17).cast("double").alias("s"), F.lit(1.0).alias("n"))
     ci = st.bootstrap_ci(d, [], ["id"], "mean", 300).first()
     mean = np.mean([i % 17 for i in range(500)])
-    assert ci.ci_lower < mean < ci.ci_upper and ci.ci_upper - ci.ci_lower < 1.2
+    assert ci.ci_lower < mean < ci.ci_upper and ci.ci_upper - ci.ci_lower < 1.2 and ci.estimate == pytest.approx(mean)
+
+
+def test_draw_hashes_and_poisson_table():
+    g = np.random.default_rng(5)
+    x, a, c = (g.integers(0, st.PRIME, 500).astype(np.uint64) for _ in range(3))
+    assert st.hash_residues(x, a, c).tolist() == [(int(p) * int(q) + int(r)) % st.PRIME for p, q, r in zip(x, a, c)]
+    assert st.hash_residues(np.array([st.PRIME - 1], np.uint64), np.array([st.PRIME - 1], np.uint64), np.array([st.PRIME - 1], np.uint64))[0] == ((st.PRIME - 1) ** 2 + st.PRIME - 1) % st.PRIME
+    assert len(st.POISSON_CDF) > 15 and 1 - st.POISSON_CDF[-1] < 2e-15 and list(st.POISSON_CDF) == sorted(st.POISSON_CDF)
 
 
 def test_control_draws_are_distinct_and_never_self(spark):
@@ -178,8 +186,10 @@ def test_sources_missing_path_and_blank_lines(spark, tmp_path):
     from robustlens.sources import readers
     assert readers.read_jsonl(spark, str(tmp_path / "nowhere"), "a INT").count() == 0
     (tmp_path / "x.json").write_text('{"a": 1}\n\n{"a": 2}\n')
-    rows = readers.read_jsonl(spark, str(tmp_path / "x.json"), "a INT").where("a IS NOT NULL")
-    assert sorted(r.a for r in rows.collect()) == [1, 2]
+    assert sorted(r.a for r in readers.read_jsonl(spark, str(tmp_path / "x.json"), "a INT").collect()) == [1, 2]
+    (tmp_path / "bad.json").write_text('{"a": 1}\n{"a": \n')
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        readers.read_jsonl(spark, str(tmp_path / "bad.json"), "a INT").collect()
 
 
 def test_array_sidecar_files(spark, tmp_path):
@@ -189,3 +199,63 @@ def test_array_sidecar_files(spark, tmp_path):
     files = spark.read.format("binaryFile").load(str(tmp_path))
     got = {r.path.rsplit("/", 1)[-1]: r for r in readers.decode_arrays(files).collect()}
     assert got["good.npz"].h == 2 and got["good.npz"].data == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0] and got["bad.npz"].data is None
+
+
+def test_log_sections_follow_line_order_within_their_file(spark, tmp_path):
+    from robustlens.sources import logs
+    for run, extra in (("a", 0), ("b", 40)):
+        (tmp_path / run / "worker=0").mkdir(parents=True)
+        body = ["====== SUMMARY ======"] + ["filler"] * extra + [logs.FLIP_HEADER, "Scale 0.1 0.2", logs.CONFUSION_HEADER, "Scale 1 2 3 4"]
+        (tmp_path / run / "worker=0" / "summary.txt").write_text("\n".join(body))
+    lines = logs.log_lines(spark, str(tmp_path)).repartition(7, "line")
+    assert {r.pos for r in lines.where("line = 'Scale 1 2 3 4'").collect()} == {4, 44}
+    got = sorted((r.section, r.metric, r.value) for r in logs.section_rows(lines).collect())
+    assert got == sorted([("FLIP", "avg_rate", 0.1), ("FLIP", "ve_rate", 0.2)] * 2 + [("CONFUSION", m, float(i + 1)) for i, m in enumerate(("r2w", "w2r", "r2r", "w2w"))] * 2)
+
+
+@pytest.mark.parametrize("raw, want", [
+    ("('a','b',)", ["a", "b"]), ("['a', 'b',]", ["a", "b"]), ("['x', None, True]", ["x", "True"]), ("['None', \"it's, None, here\", False]", ["None", "it's, None, here", "False"]),
+    ("{'k': None, 'm': 'v',}", ["v"]), ("nonsense", []), (None, []), ("[1, 2.5]", ["1", "2.5"])])
+def test_option_literals(spark, raw, want):
+    from robustlens.functions.labels import parse_options
+    assert spark.createDataFrame([(raw,)], "o string").select(parse_options("o").alias("o")).first().o == want
+
+
+def test_part_prompt_keeps_every_part(spark):
+    from robustlens.functions.labels import part_prompt
+    name = "_".join(f"p{i}" for i in range(130))
+    text = spark.createDataFrame([(name,)], "n string").select(part_prompt("n").alias("t")).first().t
+    assert text == "segment the " + " of the ".join([f"p{i}" for i in range(129, 0, -1)] + ["p0"])
+
+
+def test_tau_below_three_points_and_quantiles_with_nan(spark):
+    d = spark.createDataFrame([([(1.0, 2.0), (2.0, 1.0)],), ([(1.0, 1.0), (2.0, 2.0), (3.0, 3.0)],)], "pts array<struct<ord: double, v: double>>")
+    assert [r.t for r in d.select(st.kendall_tau(d.pts, "ord", "v").alias("t")).collect()] == [1.0, 1.0]
+    q = wn.exact_quantiles(spark.createDataFrame([(1.0,), (float("nan"),), (2.0,), (3.0,), (None,)], "v double"), "v", [0.5]).first()
+    assert q.q0 == 2.0
+
+
+def test_repeated_predictions_are_all_matched(spark):
+    from robustlens.operators.scenes import best_box_match
+    box = "frame int, k int, x double, y double, s double"
+    got = best_box_match(spark.createDataFrame([(1, 2, 0.0, 0.0, 2.0)] * 3, box), spark.createDataFrame([(1, 1, 0.0, 0.0, 2.0)], box)).collect()
+    assert len(got) == 3 and {(r.best_iou, r.matched) for r in got} == {(1.0, 1)}
+
+
+def test_half_written_cache_is_built_again(spark, tmp_path):
+    from robustlens.sources import sinks
+    build = lambda: spark.range(3)
+    sinks.cached_table(spark, str(tmp_path), "v", build, a=1)
+    done = next(tmp_path.glob("cache-*/_SUCCESS"))
+    done.unlink()
+    assert sinks.cached_table(spark, str(tmp_path), "v", lambda: spark.range(5), a=1).count() == 5 and done.exists()
+
+
+def test_no_cartesian_product_without_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        d = spark.range(100).select((F.col("id") % 7).cast("double").alias("v"), "id")
+        for df in (wn.exact_quantiles(d, "v", [0.5]), wn.average_ranks(d, "v"), st.spearman(d.withColumn("id", F.col("id").cast("double")), [], "v", "id")):
+            assert "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
