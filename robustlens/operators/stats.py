@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.arrays import let
 from ..functions.numeric import hash_int, safe_corr, safe_slope
+from ..session import materialize
 from .windows import average_ranks
 
 PRIME = (1 << 61) - 1   # a Mersenne prime: residues of products need no division
@@ -23,24 +24,27 @@ def pearson(df, keys, x, y, min_n=3, default=0.0):
 
 
 def spearman(df, keys, x, y, min_n=3, default=0.0):
-    """Rank correlation with average ranks, from (x, y) counts: rows are folded before any join.
+    """Rank correlation with average ranks, from (x, y) counts: rows are folded and written once, and both ranks start from that table.
 
     Ranks are centred at their known mean (n+1)/2, so the sums stay well conditioned.
     """
     keys = list(keys)
-    by = keys or ["_all"]
-    df = df if keys else df.withColumn("_all", F.lit(0))
-    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("k"))
-    full = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rx = average_ranks(full, x, by).select(*by, x, F.col("rank").alias("rx"))
-    ry = average_ranks(full, y, by).select(*by, y, F.col("rank").alias("ry"))
-    n = cells.groupBy(*by).agg(F.sum("k").alias("n"))
-    j = cells.join(rx, by + [x]).join(ry, by + [y]).join(n, by)
-    a, b, k = F.col("rx") - (F.col("n") + 1) / 2, F.col("ry") - (F.col("n") + 1) / 2, F.col("k")
-    g = j.groupBy(*by).agg(F.max("n").alias("n"), F.sum(k * a * b).alias("sab"), F.sum(k * a * a).alias("saa"), F.sum(k * b * b).alias("sbb"))
+    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(F.count("*").alias("k"))
+    cells = materialize(df.sparkSession, cells, "cells")
+    rx = average_ranks(cells, x, keys, "k").select(*keys, x, F.col("rank").alias("rx"))
+    ry = average_ranks(cells, y, keys, "k").select(*keys, y, F.col("rank").alias("ry"))
+    j = cells.join(rx, keys + [x]).join(ry, keys + [y])
+    a, b, k = F.col("rx"), F.col("ry"), F.col("k")
+    n = cells.groupBy(*keys).agg(F.sum("k").alias("n"))
+    if keys:
+        j = j.join(n, keys)
+    else:
+        j = j.withColumn("n", n.scalar())
+    a, b = a - (F.col("n") + 1) / 2, b - (F.col("n") + 1) / 2
+    g = j.groupBy(*keys).agg(F.max("n").alias("n"), F.sum(k * a * b).alias("sab"), F.sum(k * a * a).alias("saa"), F.sum(k * b * b).alias("sbb"))
     rho = F.when((F.col("n") >= min_n) & (F.col("saa") > 0) & (F.col("sbb") > 0),
                  F.col("sab") / F.sqrt(F.col("saa") * F.col("sbb"))).otherwise(F.lit(default).cast("double"))
-    return g.select(*keys, "n", rho.alias("rho"))
+    return g.select(*keys, F.coalesce("n", F.lit(0)).alias("n"), rho.alias("rho"))
 
 
 def ladder(points, keys, order, *values):

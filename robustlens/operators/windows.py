@@ -4,24 +4,27 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
+_BUCKETS = 64
+
+
 def flip_threshold(trials, keys, cutoff="cutoff"):
     """First cutoff at which the prediction differs from the base (null if it never does)."""
     return trials.groupBy(*keys).agg(F.min(F.when(F.col("changed"), F.col(cutoff))).alias("threshold"))
 
 
-def ordered_counts(df, value, keys=(), buckets=64):
+def ordered_counts(df, value, keys=(), weight=None):
     """Distinct values per group with their count `k` and the 0-based position `first` of their first copy.
 
     Nulls and NaN have no place in an order and are left out. Values are counted first (map-side combined). Each group is then cut into order-preserving buckets at
-    its own approximate quantiles, the bucket counts (at most `buckets` rows per group) give the offsets and
-    a window runs inside one bucket only: neither a hot value nor a hot group ends up in a single task.
+    its own approximate quantiles; the bucket counts give the offsets and
+    a window runs inside one bucket only: neither a hot value nor a hot group ends up in a single task. `weight` counts rows folded before.
     """
     keys = list(keys)
     by = keys or ["_all"]
     df = df if keys else df.withColumn("_all", F.lit(0))
-    counts = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, value).agg(F.count("*").alias("k"))
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = F.percentile_approx(value, probs, 10 * buckets).alias("_cuts")
+    counts = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, value).agg((F.sum(weight) if weight else F.count("*")).alias("k"))
+    probs = [i / _BUCKETS for i in range(1, _BUCKETS)]
+    cuts = F.percentile_approx(value, probs, 10 * _BUCKETS).alias("_cuts")
     if keys:
         c = counts.join(counts.groupBy(*by).agg(cuts), by)
     else:
@@ -36,9 +39,9 @@ def ordered_counts(df, value, keys=(), buckets=64):
     return run.select(*keys, value, "k", (F.col("off") + F.col("upto") - F.col("k")).alias("first"), "total")
 
 
-def average_ranks(df, value, group=None):
+def average_ranks(df, value, group=None, weight=None):
     """Average rank (ties share their mean) of every distinct value per group: (group.., value, k, rank)."""
-    o = ordered_counts(df, value, group or [])
+    o = ordered_counts(df, value, group or [], weight)
     return o.select(*(group or []), value, "k", (F.col("first") + (F.col("k") + 1) / F.lit(2.0)).alias("rank"))
 
 
