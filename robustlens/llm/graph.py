@@ -32,11 +32,14 @@ def components(links):
 def stars(entries):
     """(bucket, last, node, centre) of every bucket of two nodes or more: the centre is the node with the largest buckets in all, which an
     original shares with most of its edited copies; ties go to the least id. Centres themselves are left out."""
-    sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = materialize(entries.sparkSession, entries.join(sizes, "bucket"), "entries")
+    spark = entries.sparkSession
+    # What is aggregated by bucket is written before it is joined, so that adaptive execution can split a hot bucket.
+    sizes = materialize(spark, entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    held = materialize(spark, entries.join(sizes, "bucket"), "entries")
     weight = held.groupBy("node").agg(F.sum("n").alias("weight"))
     ranked = held.join(weight, "node").groupBy("bucket").agg(F.min(F.struct(-F.col("weight"), "node")).alias("c")).select("bucket", F.col("c.node").alias("centre"))
-    return materialize(entries.sparkSession, held.drop("n").join(ranked, "bucket").where("node <> centre"), "stars")
+    ranked = materialize(spark, ranked, "centres")
+    return materialize(spark, held.drop("n").join(ranked, "bucket").where("node <> centre"), "stars")
 
 
 def banded_links(bands, prepare, compare):
