@@ -10,8 +10,8 @@ def _lgamma(v):
     return np.array([math.lgamma(x) for x in np.ravel(v)]).reshape(np.shape(v))
 
 
-def _fraction(a, b, x, steps=2000):
-    """Lentz evaluation of the incomplete-beta continued fraction, element-wise."""
+def _fraction(a, b, x, steps=200_000):
+    """Lentz evaluation of the incomplete-beta continued fraction, element-wise; raises if it has not converged."""
     tiny = 1e-300
     c = np.ones_like(x)
     d = 1 - (a + b) * x / (a + 1)
@@ -27,7 +27,9 @@ def _fraction(a, b, x, steps=2000):
             step = c * d
             h = h * step
         if np.nanmax(np.abs(step - 1), initial=0) < 1e-15:
-            break
+            return h
+    if np.nanmax(np.abs(step - 1), initial=0) > 1e-9:
+        raise ArithmeticError("incomplete beta did not converge")
     return h
 
 
@@ -51,8 +53,10 @@ def f_sf(f, d1, d2):
 
 def t_sf2(t, dof):
     """Two-sided tail of Student's t."""
-    t = np.asarray(t, dtype=float)
-    return f_sf(t * t, 1.0, dof)
+    t, dof = np.broadcast_arrays(np.asarray(t, dtype=float), np.asarray(dof, dtype=float))
+    many = dof > 1e7           # the normal tail differs by less than 1e-7 there, and log-gamma differences lose digits
+    out = f_sf(np.where(many, 1.0, t * t), 1.0, np.where(many, 1.0, dof))
+    return np.where(many, norm_sf2(t), out)
 
 
 def norm_sf2(z):
@@ -96,5 +100,11 @@ def t_critical(dof: pd.Series) -> pd.Series:
 
 
 def corr_t(r, n):
-    """t statistic of a correlation."""
-    return F.try_divide(r * F.sqrt((n - 2).cast("double")), F.sqrt(F.greatest(1 - r * r, F.lit(1e-300))))
+    """t statistic of a correlation; null below three points."""
+    return F.when(n > 2, r * F.sqrt((n - 2).cast("double")) / F.sqrt(F.greatest(1 - r * r, F.lit(1e-300))))
+
+
+def corr_pvalue(r, n):
+    """Two-sided p of a correlation; 1 where it is undefined or rests on fewer than three points."""
+    r, n = (F.col(c) if isinstance(c, str) else c for c in (r, n))
+    return t_pvalue(corr_t(r, n), (n - 2).cast("double"))

@@ -17,18 +17,49 @@ from .registry import query
 from .sqlkit import CORR, DIV0, HI, R, SLOPE
 
 
-@query("t01_pearson", f"{b.T()} SELECT family, level_no, CAST(count(*) AS BIGINT) AS n, {R(CORR('csem', 'loglik_drift'))} AS r FROM tr GROUP BY 1, 2")
+# p-values in SQL: the t and F tails as ratios of one integrand, midpoint rule in the angle
+def _TAIL(t2, d1, d2, points=40000):
+    """P(F(d1, d2) > t2) for the row: integrand sin^(d1-1) cos^(d2-1); theta from atan(sqrt(d1*F/d2)) to pi/2."""
+    th = f"atan(sqrt({d1} * {t2} / {d2}))"
+    f = f"exp(({d1} - 1) * ln(greatest(sin({{a}}), 1e-300)) + ({d2} - 1) * ln(greatest(cos({{a}}), 1e-300)))"
+    lo = f"({th} + (pi() / 2 - {th}) * (i + 0.5) / {points})"
+    al = f"(pi() / 2 * (i + 0.5) / {points})"
+    return (f"(SELECT sum({f.format(a=lo)}) * (pi() / 2 - {th}) / (sum({f.format(a=al)}) * (pi() / 2)) FROM range({points}) r(i))")
+
+
+def R4(x):
+    return f"(round(CAST({x} AS DOUBLE), 4) + 0e0)"
+
+
+def TP(t, dof):
+    """Two-sided p of a t statistic to four digits; 1 where it is undefined."""
+    return R4(f"CASE WHEN ({t}) IS NULL OR ({dof}) <= 0 THEN 1 ELSE {_TAIL(f'(({t}) * ({t}))', '1', f'CAST(({dof}) AS DOUBLE)')} END")
+
+
+def RP(r, n):
+    """Two-sided p of a correlation to four digits."""
+    t2 = f"(({r}) * ({r}) * (({n}) - 2) / greatest(1 - ({r}) * ({r}), 1e-300))"
+    return R4(f"CASE WHEN ({r}) IS NULL OR ({n}) <= 2 THEN 1 ELSE {_TAIL(t2, '1', f'CAST(({n}) - 2 AS DOUBLE)')} END")
+
+
+def p4(c):
+    return F.round(c, 4) + 0.0
+
+
+@query("t01_pearson", f"{b.T()}, q AS (SELECT family, level_no, count(*) AS n, {CORR('csem', 'loglik_drift')} AS r FROM tr GROUP BY 1, 2) SELECT family, level_no, CAST(n AS BIGINT) AS n, {R('r')} AS r, {RP('q.r', 'q.n')} AS p_value FROM q")
 def t01(spark, sf):
-    return rounded(st.pearson(outcomes(spark, sf), ["family", "level_no"], "csem", "loglik_drift"), "r")
+    r = st.pearson(outcomes(spark, sf), ["family", "level_no"], "csem", "loglik_drift")
+    return rounded(r.withColumn("p_value", p4(pv.corr_pvalue("r", "n"))), "r")
 
 
 def RK(x, part):
     return f"(rank() OVER (PARTITION BY {part} ORDER BY {x}) + (count(*) OVER (PARTITION BY {part}, {x}) - 1) / 2.0)"
 
 
-@query("t02_spearman", f"{b.T()}, k AS (SELECT family, {RK('csem', 'family')} AS a, {RK('loglik_drift', 'family')} AS b FROM tr) SELECT family, CAST(count(*) AS BIGINT) AS n, {R(CORR('a', 'b'))} AS rho FROM k GROUP BY 1")
+@query("t02_spearman", f"{b.T()}, k AS (SELECT family, {RK('csem', 'family')} AS a, {RK('loglik_drift', 'family')} AS b FROM tr) , q AS (SELECT family, count(*) AS n, {CORR('a', 'b')} AS rho FROM k GROUP BY 1) SELECT family, CAST(n AS BIGINT) AS n, {R('rho')} AS rho, {RP('q.rho', 'q.n')} AS p_value FROM q")
 def t02(spark, sf):
-    return rounded(st.spearman(outcomes(spark, sf), ["family"], "csem", "loglik_drift"), "rho")
+    r = st.spearman(outcomes(spark, sf), ["family"], "csem", "loglik_drift")
+    return rounded(r.withColumn("p_value", p4(pv.corr_pvalue("rho", "n"))), "rho")
 
 
 def TAU(cte, key, o, x):
@@ -56,14 +87,15 @@ def _FSQL(src):
 
 @query("t04_anova", f"""{b.T()}, c AS (SELECT level_no, perturbation, avg(accuracy_drop) AS m, count(*) AS n FROM tr GROUP BY 1, 2), w AS (SELECT level_no, sum(n) AS n, sum(n * m) AS s, sum(n * m * m) AS q FROM c GROUP BY 1),
 d AS (SELECT level_no, count(*) AS n, sum(accuracy_drop) AS s, sum(accuracy_drop * accuracy_drop) AS q FROM tr GROUP BY 1), a AS (SELECT 'cell_means' AS grain, * FROM {_FSQL('w')} UNION ALL SELECT 'rows', * FROM {_FSQL('d')})
-SELECT grain, {R('((B - S * S / N) / (k - 1)) / ((Q - B) / (N - k))')} AS f_stat, CAST(k - 1 AS DOUBLE) AS df1, CAST(N - k AS DOUBLE) AS df2 FROM a""")
+, q AS (SELECT grain, ((B - S * S / N) / (k - 1)) / ((Q - B) / (N - k)) AS f, CAST(k - 1 AS DOUBLE) AS df1, CAST(N - k AS DOUBLE) AS df2 FROM a)
+SELECT grain, {R('f')} AS f_stat, df1, df2, {R4(_TAIL('q.f', 'q.df1', 'q.df2'))} AS p_value FROM q""")
 def t04(spark, sf):
     t = outcomes(spark, sf)
     cell = t.groupBy("level_no", "perturbation").agg(F.avg("accuracy_drop").alias("m"), F.count("*").alias("n"))
     w = cell.groupBy("level_no").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q"))
     d = t.groupBy("level_no").agg(F.count("*").alias("n"), F.sum("accuracy_drop").alias("s"), F.sum(F.col("accuracy_drop") * F.col("accuracy_drop")).alias("q"))
     both = w.withColumn("grain", F.lit("cell_means")).unionByName(d.withColumn("grain", F.lit("rows")))
-    return rounded(st.anova(both, ["grain"]), "f_stat")
+    return rounded(st.anova(both, ["grain"]).withColumn("p_value", p4(pv.f_pvalue("f_stat", "df1", "df2"))), "f_stat")
 
 
 _MIRC = """cell AS (SELECT item_id, level_no, avg(volatility) AS volatility, avg(accuracy_drop) AS accuracy_drop FROM tr GROUP BY 1, 2),
@@ -71,10 +103,11 @@ mir AS (SELECT 'volatility' AS outcome, CAST(x.level_no AS INT) AS rung, x.volat
   UNION ALL SELECT 'accuracy_drop', CAST(x.level_no AS INT), x.accuracy_drop, y.accuracy_drop FROM cell x JOIN cell y ON x.item_id = y.item_id AND y.level_no = x.level_no + 4 WHERE x.level_no <= 4)"""
 
 
-@query("t06_paired_ttest", f"""{b.T()}, {_MIRC} SELECT CAST(count(*) AS BIGINT) AS n_pairs, {R('avg(base - wordy)')} AS effect, {R('avg(base - wordy) / (stddev_samp(base - wordy) / sqrt(count(*)))')} AS t_stat FROM mir WHERE outcome = 'volatility'""")
+@query("t06_paired_ttest", f"""{b.T()}, {_MIRC} , q AS (SELECT count(*) AS n, avg(base - wordy) AS ef, avg(base - wordy) / (stddev_samp(base - wordy) / sqrt(count(*))) AS t FROM mir WHERE outcome = 'volatility')
+SELECT CAST(n AS BIGINT) AS n_pairs, {R('ef')} AS effect, {R('t')} AS t_stat, {TP('q.t', 'q.n - 1')} AS p_value FROM q""")
 def t06(spark, sf):
     m = jn.mirror_cells(outcomes(spark, sf), ["volatility"])
-    return rounded(m.agg(*st.paired_columns("base_volatility", "wordy_volatility")).select("n_pairs", "effect", "t_stat"), "effect", "t_stat")
+    return rounded(m.agg(*st.paired_columns("base_volatility", "wordy_volatility")).select("n_pairs", "effect", "t_stat", p4(pv.t_pvalue("t_stat", "dof")).alias("p_value")), "effect", "t_stat")
 
 
 _T07 = f"""{b.T()}, {_MIRC}, g AS (SELECT outcome, rung, count(*) AS n, avg(base) AS mb, avg(wordy) AS mw, avg(base - wordy) AS ef, stddev_samp(base - wordy) AS sd FROM mir GROUP BY GROUPING SETS ((outcome, rung), (outcome)))"""
@@ -87,20 +120,6 @@ def t07(spark, sf):
     return rounded(out, "mean_x", "mean_y", "effect", "t_stat", "dz")
 
 
-# p-values in SQL: the t and F tails as ratios of one integrand, midpoint rule in the angle
-def _TAIL(t2, d1, d2, points=40000):
-    """P(F(d1, d2) > t2) for the row: integrand sin^(d1-1) cos^(d2-1); theta from atan(sqrt(d1*F/d2)) to pi/2."""
-    th = f"atan(sqrt({d1} * {t2} / {d2}))"
-    f = f"exp(({d1} - 1) * ln(greatest(sin({{a}}), 1e-300)) + ({d2} - 1) * ln(greatest(cos({{a}}), 1e-300)))"
-    lo = f"({th} + (pi() / 2 - {th}) * (i + 0.5) / {points})"
-    al = f"(pi() / 2 * (i + 0.5) / {points})"
-    return (f"(SELECT sum({f.format(a=lo)}) * (pi() / 2 - {th}) / (sum({f.format(a=al)}) * (pi() / 2)) FROM range({points}) r(i))")
-
-
-def R4(x):
-    return f"(round(CAST({x} AS DOUBLE), 4) + 0e0)"
-
-
 @query("u01_tail_probabilities", f"""{_T07}, q AS (SELECT outcome, rung, n - 1.0e0 AS dof, ef / (sd / sqrt(n)) AS t FROM g) SELECT outcome, rung, {R('t')} AS t_stat, {R4(_TAIL('q.t * q.t', '1', 'q.dof'))} AS p_value FROM q""")
 def u01(spark, sf):
     m = jn.mirror_cells(outcomes(spark, sf), ["volatility", "accuracy_drop"])
@@ -157,11 +176,16 @@ def t09(spark, sf):
     return c.select("perturbation", r6("r").alias("r"), r6(lo).alias("ci_lower"), r6(hi).alias("ci_upper"))
 
 
-@query("t10_linear_trend", f"""{b.T()}, g AS (SELECT perturbation, count(*) AS n, CASE WHEN count(*) >= 3 THEN {SLOPE('csem', 'volatility')} ELSE 0 END AS sl, avg(csem) AS mx, avg(volatility) AS my, {CORR('csem', 'volatility')} AS r, min(csem) AS a, max(csem) AS b, min(volatility) AS c, max(volatility) AS d FROM tr GROUP BY 1)
-SELECT perturbation, CAST(n AS BIGINT) AS n, {R('sl')} AS slope, {R('my - sl * mx')} AS intercept, {R('r')} AS pearson_r, {R('a')} AS x_min, {R('b')} AS x_max, {R('c')} AS y_min, {R('d')} AS y_max FROM g""")
+@query("t10_linear_trend", f"""{b.T()}, g AS (SELECT perturbation, count(*) AS n, CASE WHEN count(*) >= 3 THEN {SLOPE('csem', 'volatility')} ELSE 0 END AS sl, avg(csem) AS mx, avg(volatility) AS my, {CORR('csem', 'volatility')} AS r, min(csem) AS a, max(csem) AS b, min(volatility) AS c, max(volatility) AS d FROM tr GROUP BY 1),
+k AS (SELECT perturbation, {RK('csem', 'perturbation')} AS ra, {RK('volatility', 'perturbation')} AS rb FROM tr), s AS (SELECT perturbation, {CORR('ra', 'rb')} AS rho FROM k GROUP BY 1)
+SELECT perturbation, CAST(n AS BIGINT) AS n, {R('sl')} AS slope, {R('my - sl * mx')} AS intercept, {R('r')} AS pearson_r, {RP('g.r', 'g.n')} AS pearson_p, {R('rho')} AS spearman_rho, {RP('s.rho', 'g.n')} AS spearman_p, {R('a')} AS x_min, {R('b')} AS x_max, {R('c')} AS y_min, {R('d')} AS y_max FROM g JOIN s USING (perturbation)""")
 def t10(spark, sf):
-    out = st.linear_trend(outcomes(spark, sf), ["perturbation"], "csem", "volatility")
-    return rounded(out, *[c for c in out.columns if c not in ("perturbation", "n")])
+    t = outcomes(spark, sf)
+    rho = st.spearman(t, ["perturbation"], "csem", "volatility").select("perturbation", F.col("rho").alias("spearman_rho"))
+    out = st.linear_trend(t, ["perturbation"], "csem", "volatility").join(rho, "perturbation")
+    out = rounded(out, *[c for c in out.columns if c not in ("perturbation", "n", "pearson_r", "spearman_rho")])
+    out = out.withColumn("pearson_p", p4(pv.corr_pvalue("pearson_r", "n"))).withColumn("spearman_p", p4(pv.corr_pvalue("spearman_rho", "n")))
+    return rounded(out, "pearson_r", "spearman_rho")
 
 
 @query("t11_complexity_residual", f"""{b.T()}, f AS (SELECT greatest(regr_slope(csem, cprompt), 0) AS b, avg(csem) AS my, avg(cprompt) AS mx, var_pop(csem) AS vy, var_pop(cprompt) AS vx, covar_pop(csem, cprompt) AS c FROM tr WHERE level_no <= 4)
@@ -173,10 +197,12 @@ def t11(spark, sf):
 
 
 @query("t12_within_group_slopes", f"""{b.T()}, g AS (SELECT item_id, count(*) AS n, regr_slope(loglik_drift, csem) AS b, avg(csem) AS mx, avg(loglik_drift) AS my, CASE WHEN count(*) >= 3 AND min(loglik_drift) < max(loglik_drift) THEN {CORR('csem', 'loglik_drift')} END AS r FROM tr GROUP BY 1 HAVING min(csem) < max(csem))
-SELECT CAST(count(*) AS BIGINT) AS n_groups, {R('avg(n)')} AS mean_points, {R('avg(b)')} AS mean_slope, {R('stddev_pop(b)')} AS std_slope, {R('avg(my - b * mx)')} AS mean_intercept, {R('coalesce(avg(r), 0)')} AS mean_within_r, {R('avg(b) / (stddev_samp(b) / sqrt(count(*)))')} AS t_stat FROM g""")
+, q AS (SELECT count(*) AS n, avg(b) / (stddev_samp(b) / sqrt(count(*))) AS t FROM g)
+SELECT CAST(count(*) AS BIGINT) AS n_groups, (SELECT {TP('q.t', 'q.n - 1')} FROM q) AS p_value, {R('avg(n)')} AS mean_points, {R('avg(b)')} AS mean_slope, {R('stddev_pop(b)')} AS std_slope, {R('avg(my - b * mx)')} AS mean_intercept, {R('coalesce(avg(r), 0)')} AS mean_within_r, {R('avg(b) / (stddev_samp(b) / sqrt(count(*)))')} AS t_stat FROM g""")
 def t12(spark, sf):
     out = st.slope_summary(st.group_slopes(outcomes(spark, sf), "item_id", "csem", "loglik_drift"))
-    return rounded(out, *[c for c in out.columns if c != "n_groups"])
+    out = rounded(out.withColumn("p_value", pv.t_pvalue("t_stat", (F.col("n_groups") - 1).cast("double"))), *[c for c in out.columns if c != "n_groups"])
+    return out.withColumn("p_value", p4(F.col("p_value")))
 
 
 # --- regression oracles: two predictors in closed form ------------------------------------------------------
@@ -234,9 +260,11 @@ def t16(spark, sf):
 
 
 @query("t17_vif", f"""{b.T()}, r AS (SELECT level_no, count(*) AS n, corr(csem, cprompt) AS a, corr(csem, volatility) AS b, corr(cprompt, volatility) AS c FROM tr GROUP BY 1), d AS (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS det FROM r)
-SELECT level_no, p AS predictor, CAST(n AS BIGINT) AS n, {R("CASE p WHEN 'csem' THEN (1 - c * c) / det WHEN 'cprompt' THEN (1 - b * b) / det ELSE (1 - a * a) / det END")} AS vif, {R('a')} AS first_pair_r FROM d, (VALUES ('csem'), ('cprompt'), ('volatility')) v(p)""")
+SELECT level_no, p AS predictor, CAST(n AS BIGINT) AS n, {R("CASE p WHEN 'csem' THEN (1 - c * c) / det WHEN 'cprompt' THEN (1 - b * b) / det ELSE (1 - a * a) / det END")} AS vif, {R('a')} AS first_pair_r, {RP('d.a', 'd.n')} AS first_pair_p, {R("CASE p WHEN 'csem' THEN 100 * (1 - det / (1 - c * c)) WHEN 'cprompt' THEN 100 * (1 - det / (1 - b * b)) ELSE 100 * (1 - det / (1 - a * a)) END")} AS collinearity_pct FROM d, (VALUES ('csem'), ('cprompt'), ('volatility')) v(p)""")
 def t17(spark, sf):
-    return rounded(rg.vif(outcomes(spark, sf), ["level_no"], ["csem", "cprompt", "volatility"]), "vif", "first_pair_r")
+    v = rg.vif(outcomes(spark, sf), ["level_no"], ["csem", "cprompt", "volatility"])
+    v = v.withColumn("first_pair_p", p4(pv.corr_pvalue("first_pair_r", "n"))).withColumn("collinearity_pct", 100 * (1 - 1 / F.col("vif")))
+    return rounded(v, "vif", "first_pair_r", "collinearity_pct")
 
 
 _PRED = ("csem", "cprompt", "hopt")
@@ -405,29 +433,35 @@ def t30(spark, sf):
 
 
 @query("t31_frequency_specificity", f"""WITH {b.METRIC_SQL}, g AS (SELECT model, count(*) FILTER (WHERE h) AS na, count(*) FILTER (WHERE NOT h) AS nb, avg(value) FILTER (WHERE h) AS ma, avg(value) FILTER (WHERE NOT h) AS mb, var_samp(value) FILTER (WHERE h) AS va, var_samp(value) FILTER (WHERE NOT h) AS vb
-  FROM (SELECT *, perturb = '5-LOW' AS h FROM obs WHERE perturb IN ('5-LOW', '2-HIGH')) GROUP BY model), s AS (SELECT *, ((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) AS sp FROM g)
-SELECT model, CAST(na AS BIGINT) AS n_a, CAST(nb AS BIGINT) AS n_b, {R('ma')} AS m_a, {R('mb')} AS m_b, {R('ma - mb')} AS difference, {R('(ma - mb) / sqrt(sp * (1.0 / na + 1.0 / nb))')} AS t_stat, {R('(ma - mb) / sqrt(sp)')} AS cohens_d, CAST(na + nb - 2 AS DOUBLE) AS dof FROM s""")
+  FROM (SELECT *, perturb = '5-LOW' AS h FROM obs WHERE perturb IN ('5-LOW', '2-HIGH')) GROUP BY model), s AS (SELECT *, ((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) AS sp FROM g),
+q AS (SELECT *, (ma - mb) / sqrt(sp * (1.0 / na + 1.0 / nb)) AS t, CAST(na + nb - 2 AS DOUBLE) AS dof FROM s)
+SELECT model, CAST(na AS BIGINT) AS n_a, CAST(nb AS BIGINT) AS n_b, {R('ma')} AS m_a, {R('mb')} AS m_b, {R('ma - mb')} AS difference, {R('t')} AS t_stat, {R('(ma - mb) / sqrt(sp)')} AS cohens_d, dof, {TP('q.t', 'q.dof')} AS p_value FROM q""")
 def t31(spark, sf):
     o = b.metric_obs(spark, sf).where("perturb IN ('5-LOW', '2-HIGH')").withColumn("high", F.col("perturb") == "5-LOW")
-    return rounded(st.two_sample(o, ["model"], "high", "value"), "m_a", "m_b", "difference", "t_stat", "cohens_d")
+    out = st.two_sample(o, ["model"], "high", "value").withColumn("p_value", p4(pv.t_pvalue("t_stat", "dof")))
+    return rounded(out, "m_a", "m_b", "difference", "t_stat", "cohens_d")
 
 
 _FAM32 = "CASE WHEN x.perturb IN ('2-HIGH', '3-MEDIUM') THEN 'lowfreq' ELSE 'highfreq' END"
 
 
-@query("t32_differential_sensitivity", f"""{_DROP}, p AS (SELECT {_FAM32} AS family, x.d AS a, y.d AS b FROM dr x JOIN dr y ON x.metric = y.metric AND x.perturb = y.perturb AND x.severity = y.severity WHERE x.model = 'F' AND y.model = 'O')
-SELECT coalesce(family, 'overall') AS family, CAST(count(*) AS BIGINT) AS n_pairs, {R('avg(a)')} AS mean_x, {R('avg(b)')} AS mean_y, {R('avg(a - b)')} AS effect, {R('avg(a - b) / (stddev_samp(a - b) / sqrt(count(*)))')} AS t_stat, {R('avg(a - b) / stddev_samp(a - b)')} AS dz FROM p GROUP BY GROUPING SETS ((family), ())""")
+@query("t32_differential_sensitivity", f"""{_DROP}, p AS (SELECT {_FAM32} AS family, x.d AS a, y.d AS b FROM dr x JOIN dr y ON x.metric = y.metric AND x.perturb = y.perturb AND x.severity = y.severity WHERE x.model = 'F' AND y.model = 'O'),
+q AS (SELECT coalesce(family, 'overall') AS family, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(a - b) AS ef, stddev_samp(a - b) AS sd FROM p GROUP BY GROUPING SETS ((family), ())),
+h AS (SELECT *, ef / (sd / sqrt(n)) AS t FROM q)
+SELECT family, CAST(n AS BIGINT) AS n_pairs, {R('ma')} AS mean_x, {R('mb')} AS mean_y, {R('ef')} AS effect, {R('t')} AS t_stat, {R('ef / sd')} AS dz, {TP('h.t', 'h.n - 1')} AS p_value FROM h""")
 def t32(spark, sf):
     d = jn.relative_to_base(metric_means(spark, sf))
     keys = ["metric", "perturb", "severity"]
     p = jn.shared_keys(d.where("model = 'F'").select(*keys, F.col("drop").alias("a")), d.where("model = 'O'").select(*keys, F.col("drop").alias("b")), keys)
     p = p.withColumn("family", F.when(F.col("perturb").isin("2-HIGH", "3-MEDIUM"), "lowfreq").otherwise("highfreq"))
-    out = p.groupingSets([["family"], []], "family").agg(*st.paired_columns("a", "b")).withColumn("family", F.coalesce("family", F.lit("overall"))).drop("sem", "dof")
+    out = p.groupingSets([["family"], []], "family").agg(*st.paired_columns("a", "b")).withColumn("family", F.coalesce("family", F.lit("overall")))
+    out = out.withColumn("p_value", p4(pv.t_pvalue("t_stat", "dof"))).drop("sem", "dof")
     return rounded(out, "mean_x", "mean_y", "effect", "t_stat", "dz")
 
 
 @query("t33_alignment_correlation", f"""{_DROP}, j AS (SELECT a.model, a.mean AS x, p.d AS y FROM ms a JOIN dr p ON p.metric = 'iou' AND p.model = a.model AND p.perturb = a.perturb AND p.severity = a.severity WHERE a.metric = 'dice' AND a.severity > 0),
-k AS (SELECT *, {RK('x', 'model')} AS rx, {RK('y', 'model')} AS ry FROM j) SELECT model, CAST(count(*) AS BIGINT) AS n, {R(f"CASE WHEN count(*) >= 10 THEN {CORR('x', 'y')} END")} AS pearson_r, {R(f"CASE WHEN count(*) >= 10 THEN {CORR('rx', 'ry')} END")} AS spearman_r FROM k GROUP BY model""")
+k AS (SELECT *, {RK('x', 'model')} AS rx, {RK('y', 'model')} AS ry FROM j) , q AS (SELECT model, count(*) AS n, CASE WHEN count(*) >= 10 THEN {CORR('x', 'y')} END AS r, CASE WHEN count(*) >= 10 THEN {CORR('rx', 'ry')} END AS rho FROM k GROUP BY model)
+SELECT model, CAST(n AS BIGINT) AS n, {R('r')} AS pearson_r, {RP('q.r', 'q.n')} AS pearson_p, {R('rho')} AS spearman_r, {RP('q.rho', 'q.n')} AS spearman_p FROM q""")
 def t33(spark, sf):
     ms = metric_means(spark, sf)
     keys = ["model", "perturb", "severity"]
@@ -435,7 +469,8 @@ def t33(spark, sf):
         jn.relative_to_base(ms).where("metric = 'iou'").select(*keys, F.col("drop").alias("y")), keys)
     r = st.pearson(j, ["model"], "x", "y", 10, None).withColumnRenamed("r", "pearson_r")
     rho = st.spearman(j, ["model"], "x", "y", 10, None).select("model", F.col("rho").alias("spearman_r"))
-    return rounded(r.join(rho, "model"), "pearson_r", "spearman_r")
+    out = r.join(rho, "model").withColumn("pearson_p", p4(pv.corr_pvalue("pearson_r", "n"))).withColumn("spearman_p", p4(pv.corr_pvalue("spearman_r", "n")))
+    return rounded(out, "pearson_r", "spearman_r")
 
 
 @query("t34_drift_effect_sizes", f"""WITH {b.METRIC_SQL}, m AS (SELECT model, metric, perturb, severity, count(*) AS n, avg(value) AS m, coalesce(var_samp(value), 0) AS v FROM obs GROUP BY 1, 2, 3, 4),
