@@ -1,8 +1,8 @@
 """OLS with classical and cluster-robust (CR1) errors from cross-product sums.
 
-One aggregation folds the facts to one small row per (key, cluster). Solving works on k x k matrices in Arrow
-batches of those key rows; the cluster scores come from the same folded table, so the facts are read once for the
-sums and never gathered. Many regressions (per view, perturbation, family) are one job with the key as a column.
+One aggregation folds the facts to one small row per (key, cluster), written once. Solving works on k x k matrices in Arrow
+batches of the key rows; grand means, totals and cluster scores all come from the folded table, so the facts are read once
+and never gathered. Many regressions (per view, perturbation, family) are one job with the key as a column.
 Fixed effects of a categorical are partialled out by demeaning within its levels, which gives the same
 coefficients and scores as K-1 dummy columns.
 """
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.pvalues import t_sf2
+from ..session import materialize
 from .trials import complete_cases
 
 
@@ -19,17 +20,30 @@ def _pairs(k):
     return [(i, j) for i in range(k) for j in range(i, k)]
 
 
-def gram(df, xs, y, cluster, keys=()):
-    """Counts, sums and cross products of (xs, y) per (keys, cluster); columns are shifted by their grand mean."""
-    cols = [*xs, y]
-    rows = complete_cases(df, cols, [cluster, *keys])
-    shift = rows.agg(*[F.avg(c).alias(c) for c in cols]).select(F.struct(*cols).alias("z")).scalar()
-    d = rows.withColumn("_sh", shift)
-    d = d.select(*keys, cluster, "_sh", *[(F.col(c).cast("double") - F.col(f"_sh.{c}")).alias(f"v{i}") for i, c in enumerate(cols)])
-    aggs = [F.count("*").alias("n"), F.first("_sh").alias("shift")]
-    aggs += [F.sum(f"v{i}").alias(f"s{i}") for i in range(len(cols))]
-    aggs += [F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"q{i}_{j}") for i, j in _pairs(len(cols))]
-    return d.groupBy(*keys, cluster).agg(*aggs)
+def fold(df, cols, by):
+    """One pass over the facts: count, means m<i> and centred cross products c<i>_<j> of `cols` per cell of `by`, written once."""
+    rows = complete_cases(df, cols, by)
+    v = [F.col(c).cast("double") for c in cols]
+    cells = rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(v)],
+                                  *[(F.covar_pop(v[i], v[j]) * F.count("*")).alias(f"c{i}_{j}") for i, j in _pairs(len(v))])
+    return materialize(df.sparkSession, cells, "cells")
+
+
+def cluster_sums(cells, cols, keys, cluster, centred=False):
+    """Counts, sums s<i> and cross products q<i>_<j> per (keys, cluster) from folded cells, about the grand mean, which is kept as `shift`.
+
+    The grand mean comes from the folded cells; `centred` cells are already about the means of their level and stay where they are.
+    """
+    if centred:
+        shift = F.struct(*[F.lit(0.0).alias(c) for c in cols])
+    else:
+        shift = cells.agg(*[(F.sum(F.col("n") * F.col(f"m{i}")) / F.sum("n")).alias(c) for i, c in enumerate(cols)]).select(F.struct(*cols).alias("z")).scalar()
+    d = cells.withColumn("shift", shift)
+    dev = [F.col(f"m{i}") - F.col(f"shift.{c}") for i, c in enumerate(cols)]
+    d = d.select(*keys, cluster, "n", "shift", *[f"c{i}_{j}" for i, j in _pairs(len(cols))], *[x.alias(f"d{i}") for i, x in enumerate(dev)])
+    return d.groupBy(*keys, cluster).agg(
+        F.sum("n").alias("n"), F.first("shift").alias("shift"), *[F.sum(F.col("n") * F.col(f"d{i}")).alias(f"s{i}") for i in range(len(cols))],
+        *[F.sum(F.col(f"c{i}_{j}") + F.col("n") * F.col(f"d{i}") * F.col(f"d{j}")).alias(f"q{i}_{j}") for i, j in _pairs(len(cols))])
 
 
 def _few(df, keyed):
@@ -57,16 +71,20 @@ def _center(g, k, within, keys, keyed):
                     *[u.alias(f"m{i}") for i, u in enumerate(mu)])
 
 
-def fit(df, xs, y, cluster, keys=(), within=False, absorb=None, raw=None):
-    """Coefficient table: one row per key and predictor (and the intercept of a pooled fit).
-
-    `within` demeans by cluster and drops clusters of one row. `absorb` is the number of categorical levels already
-    demeaned out of the rows (None for a plain fit); `raw` then holds the undemeaned columns for R2 and scaling.
-    """
+def fit(df, xs, y, cluster, keys=(), within=False):
+    """Coefficient table: one row per key and predictor (and the intercept of a pooled fit). `within` demeans by cluster and drops clusters of one row."""
     own = list(keys) or ["_one"]
     df = df if keys else df.withColumn("_one", F.lit("all"))
+    return fit_cells(fold(df, [*xs, y], [*own, cluster]), xs, y, cluster, keys, within)
+
+
+def fit_cells(cells, xs, y, cluster, keys=(), within=False, absorb=None, spread=None):
+    """`fit` from folded cells. `absorb` is the number of categorical levels already demeaned out of them (None for a plain fit); `spread`
+    then holds the variances w<i> of the undemeaned columns for R2 and scaling."""
+    own = list(keys) or ["_one"]
     k, m = len(xs), len(xs) + 1
-    g = gram(df, xs, y, cluster, own)
+    df = cells
+    g = cluster_sums(cells, [*xs, y], own, cluster, absorb is not None)
     c = _center(g, k, within, own, bool(keys))
     total = c.groupBy(*own).agg(
         F.sum("n").alias("n"), F.count("*").alias("g"), F.first("shift").alias("shift"),
@@ -135,9 +153,8 @@ def fit(df, xs, y, cluster, keys=(), within=False, absorb=None, raw=None):
     u = s.select(*own, *[e.alias(f"u{i}") for i, e in enumerate(score)])
     meat = u.groupBy(*own).agg(*[F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"b{i}_{j}") for i, j in _pairs(m)])
     final = total.join(_few(beta, keys), own).join(_few(meat, keys), own)
-    if raw is not None:
-        var = complete_cases(df, [*xs, y], [cluster, *own]).groupBy(*own).agg(*[F.var_pop(r).alias(f"w{i}") for i, r in enumerate(raw)])
-        final = final.join(_few(var, keys), own)
+    if spread is not None:
+        final = final.join(_few(spread, keys), own)
 
     fields = [("predictor", "string"), ("beta", "double"), ("standardized_beta", "double"), ("stderr", "double"), ("t_stat", "double"),
               ("p_value", "double"), ("classical_stderr", "double"), ("classical_t", "double"), ("classical_p", "double"),
@@ -147,6 +164,8 @@ def fit(df, xs, y, cluster, keys=(), within=False, absorb=None, raw=None):
                                                                 "int": T.IntegerType()}[t]) for a, t in fields])
     extra = 1 if intercept else (absorb or 0)
 
+    scaled = spread is not None
+
     def finish(batches):
         for pdf in batches:
             rows = []
@@ -158,7 +177,7 @@ def fit(df, xs, y, cluster, keys=(), within=False, absorb=None, raw=None):
                 if n < max(4, k + 1):
                     continue
                 rss = max(a[k, k] - bt @ a[:k, k], 0.0)
-                tss = float(r[f"w{k}"]) * n if raw is not None else a[k, k]
+                tss = float(r[f"w{k}"]) * n if scaled else a[k, k]
                 r2 = 1 - rss / tss if tss > 0 else 0.0
                 rank = rk + extra
                 dof = max(0, n - rank)
@@ -170,7 +189,7 @@ def fit(df, xs, y, cluster, keys=(), within=False, absorb=None, raw=None):
                 corr = (gc / (gc - 1)) * ((n - 1) / (n - p_all)) if gc > 1 and n > p_all else 1.0
                 cov = corr * inv @ meat_m[:k, :k] @ inv
                 sigma2 = rss / dof if dof > 0 else 0.0
-                sd = [np.sqrt(float(r[f"w{i}"])) if raw is not None else np.sqrt(a[i, i] / n) for i in range(m)]
+                sd = [np.sqrt(float(r[f"w{i}"])) if scaled else np.sqrt(a[i, i] / n) for i in range(m)]
                 names, est = list(xs), list(bt)
                 ses, cse = list(np.sqrt(np.maximum(np.diag(cov), 0))), list(np.sqrt(np.maximum(sigma2 * np.diag(inv), 0)))
                 std = [e * sd[i] / sd[k] if sd[k] > 0 and sd[i] > 0 else 0.0 for i, e in enumerate(bt)]
@@ -201,35 +220,28 @@ def fit(df, xs, y, cluster, keys=(), within=False, absorb=None, raw=None):
     return res if keys else res.drop("_one")
 
 
-def absorb_levels(df, cols, by):
-    """Demean columns within the levels of a categorical: rows keep their raw columns beside `<c>_a`.
-
-    The level means are aggregated once; they are joined back, and broadcast only if they prove few.
-    """
-    from .joins import with_dimension
-    means = df.groupBy(by).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols])
-    levels = means.count()
-    out = with_dimension(df, means, [by])
-    return out.withColumns({f"{c}_a": F.col(c) - F.col(f"_m_{c}") for c in cols}).drop(*[f"_m_{c}" for c in cols]), levels
-
-
 def long_format_fit(df, xs, y, cluster, by):
-    """Regression with and without the fixed effects of `by` (T20), as one table with a `model` column."""
+    """Regression with and without the fixed effects of `by` (T20), as one table with a `model` column. The facts are folded once to
+    (level, cluster); demeaning within a level moves only the cells' means."""
     cols = [*xs, y]
-    rows = complete_cases(df, cols, [cluster])
-    plain = fit(rows, xs, y, cluster).withColumn("model", F.lit("no_fe"))
-    dm, levels = absorb_levels(rows, cols, by)
-    alias = dm.select(cluster, *[F.col(c).alias(f"{c}_raw") for c in cols], *[F.col(f"{c}_a").alias(c) for c in cols])
-    fe = fit(alias, xs, y, cluster, absorb=levels, raw=[f"{c}_raw" for c in cols]).withColumn("model", F.lit("fe"))
+    m = len(cols)
+    cells = fold(df.withColumn("_one", F.lit("all")), cols, ["_one", by, cluster])
+    plain = fit_cells(cells, xs, y, cluster).withColumn("model", F.lit("no_fe"))
+    level = cells.groupBy(F.col(by).alias("_by")).agg(*[(F.sum(F.col("n") * F.col(f"m{i}")) / F.sum("n")).alias(f"l{i}") for i in range(m)])
+    level = materialize(df.sparkSession, level, "levels")
+    moved = cells.join(level, F.col(by) == F.col("_by")).withColumns({f"m{i}": F.col(f"m{i}") - F.col(f"l{i}") for i in range(m)}).drop("_by", *[f"l{i}" for i in range(m)])
+    sums = cluster_sums(cells, cols, ["_one"], cluster)
+    spread = sums.groupBy("_one").agg(*[(F.sum(f"q{i}_{i}") / F.sum("n") - F.pow(F.sum(f"s{i}") / F.sum("n"), F.lit(2))).alias(f"w{i}") for i in range(m)])
+    fe = fit_cells(moved, xs, y, cluster, absorb=level.count(), spread=spread).withColumn("model", F.lit("fe"))
     return plain.unionByName(fe)
 
 
 def fit_by_key(df, xs, y, cluster, key, min_rows):
-    """One fit per key with enough rows; the others are reported as skipped."""
-    counts = complete_cases(df, [*xs, y], [cluster, key]).groupBy(key).agg(F.count("*").alias("n_rows"))
+    """One fit per key with enough rows; the others are reported as skipped (T21, T22). Row counts come from the folded cells."""
+    cells = fold(df, [*xs, y], [key, cluster])
+    counts = cells.groupBy(key).agg(F.sum("n").alias("n_rows"))
     good = counts.where(F.col("n_rows") >= max(min_rows, len(xs) + 2))
-    # counts has one row per key; the semi join keeps the rows of keys that are fitted
-    res = fit(df.join(good.select(key), key, "left_semi"), xs, y, cluster, [key])
+    res = fit_cells(cells.join(good.select(key), key, "left_semi"), xs, y, cluster, [key])
     return counts.join(res, key, "left").withColumn("skipped", F.col("predictor").isNull())
 
 
