@@ -1,6 +1,5 @@
 """2-D grid jobs. Grids are row-major arrays, one per row; FFTs run on stacked Arrow batches in NumPy, while
 Spark partitions the rows. Nothing crosses rows, so the jobs are narrow and need no shuffle of their own."""
-import hashlib
 
 import numpy as np
 import pandas as pd
@@ -133,13 +132,16 @@ def delta_spectrum(variants, h, w, bands, suppress_dc=True):
     return variants.withColumn("_s", run("clean", "pert")).select("vec_id", "perturbation", "_s.delta", "_s.relative")
 
 
-def three_edges(radius, scheme):
-    top = float(radius.max())
-    if scheme == "log":
-        return np.geomspace(1.0, top + 1.0, 4) - 1.0
-    if scheme == "percentile":
-        return np.percentile(radius, [0.0, 33.3, 66.6, 100.0])
-    return np.linspace(0.0, top, 4)
+# where the two inner edges stand: shares of the largest radius, of its logarithm, or of the cells
+INNER_EDGES = {"equal": (1 / 3, 2 / 3), "log": (1 / 3, 2 / 3), "percentile": (0.333, 0.666)}
+
+
+def radial_thirds(radius, scheme):
+    """Band (0, 1, 2) of every cell by its radius; coinciding edges are set a millionth apart."""
+    share, top = np.array(INNER_EDGES[scheme]), float(radius.max())
+    edges = {"equal": lambda: top * share, "log": lambda: (top + 1.0) ** share - 1.0, "percentile": lambda: np.quantile(radius, share)}[scheme]()
+    apart = 1e-6 * np.arange(1, 3)
+    return np.searchsorted(np.maximum.accumulate(np.maximum(edges - apart, 0.0)) + apart, radius, side="right")
 
 
 def three_band_power(df, vec, h, w, scheme="equal"):
@@ -149,8 +151,7 @@ def three_band_power(df, vec, h, w, scheme="equal"):
         p = shifted_power(stack(col, h, w)).reshape(-1, h * w)
         y, x = np.indices((h, w))
         rad = np.hypot(y - h / 2.0, x - w / 2.0).ravel()
-        e = three_edges(rad, scheme)
-        cut = np.clip(np.searchsorted(e, rad, side="right") - 1, 0, 2)
+        cut = radial_thirds(rad, scheme)
         out = {"total": p.mean(axis=1)}
         for i, name in enumerate(("low", "mid", "high")):
             sel = cut == i
@@ -193,60 +194,71 @@ def linear_resize(df, vec, h, w, th, tw):
     return df.withColumn("resized", run(vec))
 
 
-def rng_for(seed, *key):
-    """A generator seeded by md5 of (seed, key): the same noise wherever the row is processed."""
-    return np.random.default_rng(int(hashlib.md5("|".join(map(str, (seed, *key))).encode()).hexdigest()[:15], 16))
+def noise(rows, cells):
+    """Standard normal values (len(rows), cells) from 60-bit row hashes: the same wherever a row is processed."""
+    def uniform(salt):
+        with np.errstate(over="ignore"):
+            x = rows.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(salt, salt + cells, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):   # fixed values: a published 64-bit finaliser
+                x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+            return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0 ** 53
+    return np.sqrt(-2 * np.log1p(-uniform(1))) * np.cos(2 * np.pi * uniform(1 + cells))
 
 
 def frequency_radius(h, w):
-    fy, fx = np.fft.fftfreq(h)[:, None], np.fft.fftfreq(w)[None, :]
-    return np.hypot(fy, fx)
+    """Distance of every frequency from zero, 1 at the farthest."""
+    rad = np.hypot(np.fft.fftfreq(h)[:, None], np.fft.fftfreq(w)[None, :])
+    return rad / max(rad.max(), 1e-6)
 
 
-def kernel(g, kind, s, rng):
-    """One perturbation of one numeric grid."""
-    h, w = g.shape
+def kernel(g, kind, s, rows):
+    """One kind of perturbation of strength s on a stack (n, h, w); `rows` are the rows' hashes, used by noise."""
+    n, h, w = g.shape
+
+    def keep(mask):
+        return np.fft.ifft2(np.fft.fft2(g, axes=(1, 2)) * mask, axes=(1, 2)).real
     if kind == "shift":
-        return np.roll(g, int(s), axis=(0, 1))
+        return np.roll(g, int(s), axis=2)          # horizontal, cyclic
     if kind == "pad_crop":
         k = int(s)
-        return np.pad(g, k)[:h, :w]
+        return np.pad(g, ((0, 0), (k, k), (k, k)))[:, :h, :w]
     if kind == "motion_blur":
         k = int(s)
-        pad = np.pad(g, ((0, 0), (k // 2, k - 1 - k // 2)), mode="edge")
-        return np.mean([pad[:, i:i + w] for i in range(k)], axis=0)
-    if kind == "occlusion":
-        k = int(s)
-        y, x = rng.integers(0, h - k + 1), rng.integers(0, w - k + 1)
+        pad = np.pad(g, ((0, 0), (0, 0), (k // 2, k - 1 - k // 2)), mode="edge")
+        return np.mean([pad[:, :, i:i + w] for i in range(k)], axis=0)
+    if kind == "occlusion":                      # a centred box that covers the share s of the area
+        bh, bw = max(1, round(h * s ** 0.5)), max(1, round(w * s ** 0.5))
         out = g.copy()
-        out[y:y + k, x:x + k] = 0.0
+        out[:, (h - bh) // 2:(h - bh) // 2 + bh, (w - bw) // 2:(w - bw) // 2 + bw] = 0.0
         return out
     if kind == "brightness":
         return g + s
     if kind == "contrast":
-        return (g - g.mean()) * s + g.mean()
+        mean = g.mean(axis=(1, 2), keepdims=True)
+        return (g - mean) * s + mean
     if kind == "gaussian_noise":
-        return g + rng.normal(0.0, s, g.shape)
-    f = np.fft.fft2(g)
-    rad = frequency_radius(h, w)
+        return g + s * noise(rows, h * w).reshape(n, h, w)
     if kind == "lowpass":
-        return np.fft.ifft2(f * (rad <= s)).real
+        return keep(frequency_radius(h, w) <= s)
     if kind == "highpass":
-        return np.fft.ifft2(f * (rad > s)).real
-    if kind == "band_noise":
-        noise = np.fft.fft2(rng.normal(0.0, 1.0, g.shape)) * (rad > 0.25)
-        return g + s * np.fft.ifft2(noise).real
+        return keep(frequency_radius(h, w) >= s)
+    if kind == "band_noise":                     # noise of the upper half of the frequencies, scaled to deviation s
+        z = np.fft.fft2(noise(rows, h * w).reshape(n, h, w), axes=(1, 2)) * (frequency_radius(h, w) >= 0.5)
+        z = np.fft.ifft2(z, axes=(1, 2)).real
+        return g + s * z / np.maximum(z.std(axis=(1, 2), keepdims=True), EPS)
     raise ValueError(f"unknown kind {kind}")
 
 
-def perturb_grids(df, specs, h, w, seed):
-    """Every grid under every spec: a row-wise fan-out of literals, then NumPy kernels per Arrow batch."""
+def perturb_grids(df, specs, h, w, seed, low=None, high=None):
+    """Every grid under every spec: a row-wise fan-out of literals, then one kernel call per spec of an Arrow batch; clipped to [low, high] if given."""
+    from ..functions.numeric import hash_int
     from .joins import fan_out
-    fanned = fan_out(df, specs)
+    fanned = fan_out(df, specs).withColumn("_h", hash_int(seed, df.columns[0], "kind", F.col("strength")))
 
     @F.pandas_udf("array<double>")
-    def run(key: pd.Series, grid: pd.Series, kind: pd.Series, strength: pd.Series) -> pd.Series:
-        out = [kernel(np.asarray(g, dtype=float).reshape(h, w), k, s, rng_for(seed, i, k, s)).ravel()
-               for i, g, k, s in zip(key, grid, kind, strength)]
-        return pd.Series(out)
-    return fanned.withColumn("perturbed", run(df.columns[0], "grid", "kind", "strength")).drop("grid")
+    def run(rows: pd.Series, grid: pd.Series, kind: pd.Series, strength: pd.Series) -> pd.Series:
+        g, out = stack(grid, h, w), np.empty((len(grid), h * w))
+        for (k, s), at in pd.DataFrame({"k": kind.to_numpy(), "s": strength.to_numpy()}).groupby(["k", "s"]).indices.items():
+            out[at] = kernel(g[at], k, float(s), rows.to_numpy()[at]).reshape(len(at), -1)
+        return lists(out if low is None and high is None else np.clip(out, low, high))
+    return fanned.withColumn("perturbed", run("_h", "grid", "kind", "strength")).drop("grid", "_h")

@@ -258,11 +258,15 @@ def m17(spark, sf):
     return z.select("vec_id", "band", r6("z.delta").alias("delta"), r6("z.relative").alias("relative"), "norm", "peak_band")
 
 
-@query("m18_three_band_power", f"""WITH {b.CELLS_SQL}, gx AS (SELECT vec_id AS id, r, c, x FROM cells), {_DFT}, e AS (SELECT *, sqrt(32e0) / 3 AS s FROM pw)
-SELECT id AS vec_id, {R('avg(p)')} AS total, {R('avg(p) FILTER (WHERE dist < s)')} AS low, {R('avg(p) FILTER (WHERE dist >= s AND dist < 2 * s)')} AS mid, {R('avg(p) FILTER (WHERE dist >= 2 * s)')} AS high FROM e GROUP BY id""")
+@query("m18_three_band_power", f"""WITH {b.CELLS_SQL}, gx AS (SELECT vec_id AS id, r, c, x FROM cells), {_DFT},
+e AS (SELECT 'equal' AS scheme, sqrt(32e0) / 3 AS a, 2 * sqrt(32e0) / 3 AS b UNION ALL SELECT 'log', (sqrt(32e0) + 1) ** (1 / 3e0) - 1, (sqrt(32e0) + 1) ** (2 / 3e0) - 1
+  UNION ALL SELECT 'percentile', quantile_cont(dist, 0.333), quantile_cont(dist, 0.666) FROM pw WHERE id = (SELECT min(id) FROM pw))
+SELECT id AS vec_id, scheme, {R('avg(p)')} AS total, {R('avg(p) FILTER (WHERE dist < a)')} AS low, {R('avg(p) FILTER (WHERE dist >= a AND dist < b)')} AS mid, {R('avg(p) FILTER (WHERE dist >= b)')} AS high FROM pw, e GROUP BY id, scheme""")
 def m18(spark, sf):
-    from ..operators.grids import three_band_power
-    return rounded(three_band_power(b.table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", 8, 8), "total", "low", "mid", "high")
+    from ..operators.grids import INNER_EDGES, three_band_power
+    e = b.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    parts = [three_band_power(e, "embedding", 8, 8, s).withColumn("scheme", F.lit(s)) for s in INNER_EDGES]
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), "total", "low", "mid", "high")
 
 
 @query("m20_dirichlet_energy", f"""WITH {b.CELLS_SQL}, e AS (SELECT a.vec_id, (b.x - a.x) ** 2 AS q FROM cells a JOIN cells b ON b.vec_id = a.vec_id AND ((b.r = a.r AND b.c = a.c + 1) OR (b.r = a.r + 1 AND b.c = a.c)))
@@ -312,8 +316,8 @@ def m25(spark, sf):
 def m34(spark, sf):
     from ..operators.grids import perturb_grids
     specs = [{"kind": k, "strength": float(s)} for k, ss in (
-        ("shift", (1, 2)), ("pad_crop", (1,)), ("motion_blur", (3,)), ("occlusion", (2, 3)), ("brightness", (0.1,)), ("contrast", (0.5,)),
-        ("gaussian_noise", (0.05,)), ("lowpass", (0.25,)), ("highpass", (0.25,)), ("band_noise", (0.1,))) for s in ss]
+        ("shift", (1, 2)), ("pad_crop", (1,)), ("motion_blur", (3,)), ("occlusion", (0.08, 0.2)), ("brightness", (0.1,)), ("contrast", (0.5,)),
+        ("gaussian_noise", (0.05,)), ("lowpass", (0.35,)), ("highpass", (0.35,)), ("band_noise", (0.1,))) for s in ss]
     e = b.table(spark, sf, "embeddings").select("vec_id", ar.doubles("embedding").alias("grid"))
     p = perturb_grids(e, specs, 8, 8, seed=13)
     return p.select("vec_id", "kind", "strength", r6(ar.asum("perturbed")).alias("total"), r6(ar.sq_norm("perturbed")).alias("energy"))

@@ -144,19 +144,49 @@ def test_boundary_f_against_brute_force():
     g = np.random.default_rng(2)
     for _ in range(50):
         p, q = g.random((8, 8)) > 0.6, g.random((8, 8)) > 0.6
-        assert mk.boundary_f(p, q, 1) == pytest.approx(brute_boundary_f(p, q, 1))
-    assert mk.boundary_f(np.zeros((8, 8), bool), np.zeros((8, 8), bool), 1) == 1.0
+        assert mk.rim_scores(p[None], q[None], 1)[0] == pytest.approx(brute_boundary_f(p, q, 1))
+    empty, full = np.zeros((2, 8, 8), bool), np.ones((2, 8, 8), bool)
+    assert mk.rim_scores(empty, empty, 1).tolist() == [1.0, 1.0] and mk.rim_scores(empty, full, 1).tolist() == [0.0, 0.0]
+    assert mk.rim_scores(full, full, 2).tolist() == [1.0, 1.0]
 
 
 def test_grid_kernels_keep_their_invariants():
-    g = np.random.default_rng(3).normal(size=(8, 8))
-    rng = gr.rng_for(1, 2)
-    assert np.sort(gr.kernel(g, "shift", 2, rng).ravel()) == pytest.approx(np.sort(g.ravel()))
-    assert gr.kernel(g, "brightness", 0.1, rng) == pytest.approx(g + 0.1)
-    assert gr.kernel(g, "contrast", 0.5, rng).mean() == pytest.approx(g.mean())
-    both = gr.kernel(g, "lowpass", 0.25, rng) + gr.kernel(g, "highpass", 0.25, rng)
-    assert both == pytest.approx(g)
-    assert np.allclose(gr.kernel(g, "gaussian_noise", 0.1, gr.rng_for(5, "a")), gr.kernel(g, "gaussian_noise", 0.1, gr.rng_for(5, "a")))
+    g = np.random.default_rng(3).normal(size=(5, 8, 8))
+    rows = np.arange(5)
+    assert np.sort(gr.kernel(g, "shift", 2, rows).ravel()) == pytest.approx(np.sort(g.ravel()))
+    assert gr.kernel(g, "brightness", 0.1, rows) == pytest.approx(g + 0.1)
+    assert gr.kernel(g, "contrast", 0.5, rows).mean(axis=(1, 2)) == pytest.approx(g.mean(axis=(1, 2)))
+    rad = gr.frequency_radius(8, 8)
+    assert rad.max() == 1.0 and gr.kernel(g, "lowpass", 1.0, rows) == pytest.approx(g) and gr.kernel(g, "highpass", 0.0, rows) == pytest.approx(g)
+    f = np.abs(np.fft.fft2(gr.kernel(g, "highpass", 0.5, rows), axes=(1, 2)))
+    assert np.allclose(f[:, rad < 0.5], 0) and not np.allclose(f[:, rad >= 0.5], 0)
+    box = gr.kernel(np.ones((1, 8, 8)), "occlusion", 0.25, rows)[0]
+    assert (box == 0).sum() == 16 and (box[2:6, 2:6] == 0).all()
+    many = gr.noise(np.arange(4000), 64)
+    assert abs(many.mean()) < 0.01 and abs(many.std() - 1) < 0.01 and np.allclose(many[7], gr.noise(np.array([7]), 64)[0])
+    assert (gr.kernel(g, "band_noise", 0.1, rows) - g).std(axis=(1, 2)) == pytest.approx(np.full(5, 0.1))
+
+
+def test_part_counts_against_flood_fill():
+    g = np.random.default_rng(6)
+    stack = g.random((40, 7, 9)) > 0.55
+    for m, n in zip(stack, mk.part_counts(stack)):
+        left, parts = {(int(y), int(x)) for y, x in np.argwhere(m)}, 0
+        while left:
+            parts, todo = parts + 1, [left.pop()]
+            while todo:
+                y, x = todo.pop()
+                near = {(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)} & left
+                left -= near
+                todo += near
+        assert parts == n
+
+
+@pytest.mark.parametrize("scheme", ["equal", "log", "percentile"])
+def test_radial_thirds(scheme):
+    rad = np.hypot(*np.indices((9, 9)))
+    assert set(gr.radial_thirds(rad, scheme).ravel()) == {0, 1, 2} and gr.radial_thirds(rad, scheme)[0, 0] == 0
+    assert set(gr.radial_thirds(np.zeros(4), scheme)) == {0}
 
 
 def test_pca_equals_numpy(spark):
