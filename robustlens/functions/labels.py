@@ -176,10 +176,6 @@ def render_prompt(style, hint, question, options):
     return F.concat_ws("\n", h, q, F.when(has, F.concat_ws("\n", F.lit(PROMPT_HEAD[style]), F.array_join(lines, "\n"))), tail)
 
 
-def style_of(mode):
-    return F.when(col(mode) == "text", "open").when(col(mode) == "text_mcq", "open_with_options").otherwise("mcq")
-
-
 def template_variants(question, wordy, seed_key):
     """Five prompt templates as an array of (template, question)."""
     q, w = col(question), F.coalesce(col(wordy), col(question))

@@ -23,11 +23,7 @@ OPPOSITE_RELATION = {
     "to the left of": "to the right of", "to the right of": "to the left of", "above": "below", "below": "above",
     "behind": "in front of", "in front of": "behind", "on top of": "under", "under": "on top of",
 }
-# fixed values: synthetic-scene attribute vocabulary and the order in which an identifying attribute is looked for
-SYNTHETIC_VOCAB = {
-    "color": ("gray", "red", "blue", "green", "brown", "purple", "cyan", "yellow"),
-    "material": ("rubber", "metal"), "shape": ("cube", "sphere", "cylinder"), "size": ("small", "large"),
-}
+
 IDENTIFYING_ORDER = ("color", "shape", "material", "size")
 
 # fixed values: wording of the wordy mirror prompts

@@ -6,17 +6,25 @@ from pyspark.sql import types as T
 
 
 def moment_parts(df, key, vec):
-    """Per-batch count, sum and cross-product matrix of every channel: d x d numbers per batch, never the rows."""
+    """Count, sum and cross-product matrix of every channel, added up over a task's batches: d x d numbers per task and channel, never the rows."""
     schema = T.StructType([df.schema[key], T.StructField("n", T.LongType()), T.StructField("s", T.ArrayType(T.DoubleType())),
                            T.StructField("q", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
+        total, held = {}, 256
+
+        def rows():
+            out = [(k, n, s.tolist(), q.ravel().tolist()) for k, (n, s, q) in total.items()]
+            total.clear()
+            return pd.DataFrame(out, columns=[f.name for f in schema])
         for pdf in batches:
-            rows = []
             for k, part in pdf.groupby(key):
                 x = np.stack(part[vec].to_numpy()).astype(float)
-                rows.append((k, len(x), x.sum(axis=0).tolist(), (x.T @ x).ravel().tolist()))
-            yield pd.DataFrame(rows, columns=[f.name for f in schema])
+                n, s, q = total.get(k, (0, 0.0, 0.0))
+                total[k] = n + len(x), s + x.sum(axis=0), q + x.T @ x
+            if len(total) > held:
+                yield rows()
+        yield rows()
     return df.select(key, vec).mapInPandas(run, schema)
 
 

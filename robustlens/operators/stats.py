@@ -333,15 +333,41 @@ def prediction_error(df, predicted="predicted", actual="actual"):
 def kde(df, keys, value, points=200):
     """Gaussian density on an even grid between the extremes, bandwidth 1.06*sd*n^(-1/5); needs two values.
 
-    Equal values are counted first; each distinct value then adds to the grid points with map-side combining.
+    Equal values are counted first; a task adds its values up on the grid, so it hands on one row per key and grid point.
     """
+    keys = list(keys)
     c = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("k"))
-    st = df.groupBy(*keys).agg(F.count(value).alias("n"), F.stddev_pop(value).alias("sd"), F.min(value).alias("lo"), F.max(value).alias("hi"))
-    st = st.where("n >= 2 AND sd > 0").withColumn("bw", 1.06 * F.col("sd") * F.pow(F.col("n"), F.lit(-0.2)))
-    d = c.join(st, list(keys)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    x = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (points - 1)
-    dens = F.col("k") * F.exp(-0.5 * F.pow((x - F.col("v")) / F.col("bw"), F.lit(2))) / (F.col("bw") * F.sqrt(F.lit(2 * 3.141592653589793)) * F.col("n"))
-    return d.groupBy(*keys, "i").agg(F.max(x).alias("x"), F.sum(dens).alias("density"))
+    st = df.groupBy(*keys).agg(F.count(value).alias("n"), F.stddev_pop(value).alias("sd"), F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
+    st = st.where("n >= 2 AND sd > 0").withColumn("bw", 1.06 * F.col("sd") * F.pow(F.col("n"), F.lit(-0.2))).drop("sd")
+    held, at_once = 1024, 4096
+
+    def run(batches):
+        total = {}
+
+        def rows():
+            for key, (x, d) in total.items():
+                out = pd.DataFrame({"i": np.arange(points, dtype=np.int32), "x": x, "density": d})
+                for k, v in zip(keys, key):
+                    out[k] = pd.Series([v] * points, dtype=object)
+                yield out[[*keys, "i", "x", "density"]]
+            total.clear()
+        for pdf in batches:
+            for key, at in pdf.groupby(keys, dropna=False, sort=False).indices.items():
+                key = key if isinstance(key, tuple) else (key,)
+                first = pdf.iloc[at[0]]
+                x = first["lo"] + (first["hi"] - first["lo"]) * np.arange(points) / (points - 1)
+                d = total[key][1] if key in total else np.zeros(points)
+                for i in range(0, len(at), at_once):
+                    part = pdf.iloc[at[i:i + at_once]]
+                    z = (x - part["v"].to_numpy()[:, None]) / first["bw"]
+                    d = d + part["k"].to_numpy() @ np.exp(-0.5 * z * z) / (first["bw"] * math.sqrt(2 * math.pi) * first["n"])
+                total[key] = x, d
+            if len(total) > held:
+                yield from rows()
+        yield from rows()
+
+    fields = [df.schema[k] for k in keys] + [T.StructField("i", T.IntegerType()), T.StructField("x", T.DoubleType()), T.StructField("density", T.DoubleType())]
+    return c.join(st, keys).mapInPandas(run, T.StructType(fields)).groupBy(*keys, "i").agg(F.max("x").alias("x"), F.sum("density").alias("density"))
 
 
 def histogram(df, keys, value):

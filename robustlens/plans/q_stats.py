@@ -512,28 +512,39 @@ def t35d(spark, sf):
     return g.where("b IS NOT NULL AND w IS NOT NULL").groupBy("metric", "layer_group").agg(r6(F.avg(F.abs(F.col("w") - F.col("b")))).alias("mean_abs_delta"))
 
 
-# fixed values: gate thresholds by test
-GATES = {"overlap_law_r": ("min", 0.7), "sample_r": ("min", 0.3), "monotone_tau": ("min", 0.6), "sign_stability": ("min", 0.6), "strong_rho": ("min", 0.8), "secondary_rho": ("min", 0.6)}
+# fixed values: gate thresholds by test; a minimum has to be passed, a maximum may be met
+GATES = {"overlap_law_r": ("min", 0.7), "overlap_law_n": ("min", 29.0), "sample_r": ("min", 0.3), "monotone_tau": ("min", 0.6), "sign_stability": ("min", 0.6),
+         "strong_rho": ("min", 0.8), "secondary_rho": ("min", 0.6), "dual_force_p": ("max", 0.05)}
 
 
-@query("t36_gates_verdict", f"""{b.T()}, s AS (SELECT family, {CORR('csem', 'volatility')} AS overlap_law_r, {CORR('cprompt', 'volatility')} AS sample_r, avg((loglik_drift > 0)::INT) AS sign_stability FROM tr GROUP BY 1),
-l AS (SELECT family, 'overlap_law_r' AS test, overlap_law_r AS value FROM s UNION ALL SELECT family, 'sample_r', sample_r FROM s UNION ALL SELECT family, 'sign_stability', sign_stability FROM s),
-p AS (SELECT family, coalesce(value > CASE test WHEN 'overlap_law_r' THEN 0.7 WHEN 'sample_r' THEN 0.3 ELSE 0.6 END, false) AS ok FROM l)
-SELECT family, CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS n_passed, CAST(count(*) AS BIGINT) AS n_total, bool_and(ok) AS supported FROM p GROUP BY family""")
+@query("t36_gates_verdict", f"""{b.T()}, s AS (SELECT family, CAST(count(*) AS DOUBLE) AS overlap_law_n, {CORR('csem', 'volatility')} AS overlap_law_r, {CORR('cprompt', 'volatility')} AS sample_r, avg((loglik_drift > 0)::INT) AS sign_stability FROM tr GROUP BY 1),
+k AS (SELECT family, {RK('csem', 'family')} AS a, {RK('cprompt', 'family')} AS c, {RK('volatility', 'family')} AS v FROM tr), rh AS (SELECT family, {CORR('a', 'v')} AS strong_rho, {CORR('c', 'v')} AS secondary_rho FROM k GROUP BY 1),
+m AS MATERIALIZED (SELECT family, level_no, round(avg(volatility), 9) AS v FROM tr GROUP BY 1, 2), ta AS (SELECT family, CASE WHEN tx * ty > 0 THEN s / sqrt(tx * ty) ELSE 0e0 END AS monotone_tau FROM {TAU('m', 'family', 'level_no', 'v')} q),
+w AS (SELECT * FROM s JOIN rh USING (family) JOIN ta USING (family)), x AS (SELECT *, {RP('w.overlap_law_r', 'w.overlap_law_n')} AS dual_force_p FROM w),
+""" + "l AS (" + " UNION ALL ".join(f"SELECT family, coalesce({t} {'>' if d == 'min' else '<='} {v}, false) AS ok FROM x" for t, (d, v) in GATES.items()) + """)
+SELECT family, CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS n_passed, CAST(count(*) AS BIGINT) AS n_total, bool_and(ok) AS supported, (SELECT x.overlap_law_r < 0 AND x.dual_force_p <= 0.05 FROM x WHERE x.family = l.family) AS falsified FROM l GROUP BY family""")
 def t36(spark, sf):
-    s = outcomes(spark, sf).groupBy("family").agg(safe_corr("csem", "volatility").alias("overlap_law_r"), safe_corr("cprompt", "volatility").alias("sample_r"),
-                                                  F.avg((F.col("loglik_drift") > 0).cast("double")).alias("sign_stability"))
-    tests = s.select("family", F.explode(F.array(*[F.struct(F.lit(t).alias("test"), F.col(t).alias("value")) for t in ("overlap_law_r", "sample_r", "sign_stability")])).alias("z")).select("family", "z.*")
+    t = outcomes(spark, sf)
+    s = t.groupBy("family").agg(safe_corr("csem", "volatility").alias("overlap_law_r"), F.count("*").alias("overlap_law_n"), safe_corr("cprompt", "volatility").alias("sample_r"),
+                                F.avg((F.col("loglik_drift") > 0).cast("double")).alias("sign_stability"))
+    for name, x in (("strong_rho", "csem"), ("secondary_rho", "cprompt")):
+        s = s.join(st.spearman(t, ["family"], x, "volatility").select("family", F.col("rho").alias(name)), "family")
+    m = t.groupBy("family", "level_no").agg(F.round(F.avg("volatility"), 9).alias("v"))
+    lad = st.ladder(m, ["family"], "level_no", "v")
+    s = s.join(lad.select("family", st.kendall_tau(F.col("pts"), "ord", "v").alias("monotone_tau")), "family")
+    s = s.withColumn("dual_force_p", p4(pv.corr_pvalue("overlap_law_r", "overlap_law_n")))
+    tests = s.select("family", F.explode(F.array(*[F.struct(F.lit(t).alias("test"), F.col(t).cast("double").alias("value")) for t in GATES])).alias("z")).select("family", "z.*")
     th = F.explode(F.array(*[F.struct(F.lit(k).alias("test"), F.lit(d).alias("direction"), F.lit(v).alias("threshold")) for k, (d, v) in GATES.items()]))
     thresholds = spark.range(1).select(th.alias("z")).select("z.*")   # the fixed threshold dimension
-    return st.verdict(st.gates(tests, F.broadcast(thresholds)), "family")
+    wrong = s.select("family", ((F.col("overlap_law_r") < 0) & (F.col("dual_force_p") <= 0.05)).alias("falsified"))
+    return st.verdict(st.gates(tests, F.broadcast(thresholds)), "family").join(wrong, "family")
 
 
-@query("t37_kde", f"""WITH s AS (SELECT model, count(*) AS n, stddev_pop(value) AS sd, min(value) AS lo, max(value) AS hi FROM (SELECT o_orderstatus AS model, round(o_totalprice / 100000, 2) AS value FROM orders) GROUP BY 1),
-v AS (SELECT o_orderstatus AS model, round(o_totalprice / 100000, 2) AS value, count(*) AS k FROM orders GROUP BY 1, 2), w AS (SELECT *, 1.06 * sd * n ** (-0.2) AS bw FROM s)
+@query("t37_kde", f"""WITH s AS (SELECT model, count(*) AS n, stddev_pop(value) AS sd, min(value) AS lo, max(value) AS hi FROM (SELECT o_orderstatus AS model, o_totalprice / 100000 AS value FROM orders) GROUP BY 1),
+v AS (SELECT o_orderstatus AS model, o_totalprice / 100000 AS value, count(*) AS k FROM orders GROUP BY 1, 2), w AS (SELECT *, 1.06 * sd * n ** (-0.2) AS bw FROM s)
 SELECT model, CAST(i AS INT) AS i, {R('max(lo + (hi - lo) * i / 199)')} AS x, {R('sum(k * exp(-0.5 * ((lo + (hi - lo) * i / 199 - value) / bw) ** 2) / (bw * sqrt(2 * pi()) * n))')} AS density FROM v JOIN w USING (model), range(0, 200) g(i) GROUP BY 1, 2""")
 def t37(spark, sf):
-    o = b.table(spark, sf, "orders").select(F.col("o_orderstatus").alias("model"), F.round(F.col("o_totalprice") / 100000, 2).alias("value"))
+    o = b.table(spark, sf, "orders").select(F.col("o_orderstatus").alias("model"), (F.col("o_totalprice") / 100000).alias("value"))
     return rounded(st.kde(o, ["model"], "value"), "x", "density")
 
 

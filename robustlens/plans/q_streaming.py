@@ -52,14 +52,18 @@ def x03(spark, sf):
     return jobs.last_batch(spark, out)
 
 
-@query("x04_item_state", f"""{b.T('order_id')} SELECT order_id AS item_id, CAST(count(*) AS INT) AS n, CAST(sum(changed::INT) AS INT) AS flips, {R('avg(loglik_drift) FILTER (WHERE changed)')} AS flip_margin, {R('avg(loglik_drift) FILTER (WHERE NOT changed)')} AS keep_margin, true AS complete FROM tr GROUP BY order_id""")
+@query("x04_item_state", f"""{b.T('order_id')}
+SELECT order_id AS item_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(changed::INT) AS BIGINT) AS flips, {R('avg(loglik_drift) FILTER (WHERE changed)')} AS flip_margin, {R('avg(loglik_drift) FILTER (WHERE NOT changed)')} AS keep_margin,
+  bool_or(changed) AS any_flip, coalesce(array_to_string(list_sort(list(DISTINCT family) FILTER (WHERE changed)), ','), '') AS flipped_types, order_id % 10 <> 3 AS complete FROM tr GROUP BY order_id""")
 def x04(spark, sf):
     out, cp = paths(spark, "items")
-    t = outcomes(spark, sf, "order_id").select(F.col("order_id").alias("item_id"), "changed", F.col("loglik_drift").alias("margin"))
-    expected = t.groupBy("item_id").agg(F.count("*").cast("int").alias("expected"))
-    s = feed(spark, t.join(expected, "item_id"), "item_id BIGINT, changed BOOLEAN, margin DOUBLE, expected INT")
-    jobs.append_parquet(jobs.items_when_complete(s), out, cp).awaitTermination()
-    return rounded(spark.read.parquet(out), "flip_margin", "keep_margin")
+    t = outcomes(spark, sf, "order_id").select(F.col("order_id").alias("item_id"), "changed", F.col("loglik_drift").alias("margin"), "family")
+    # one item in ten waits for one variant more than will come
+    expected = t.groupBy("item_id").agg(F.count("*").alias("k")).select("item_id", (F.col("k") + (F.col("item_id") % 10 == 3).cast("long")).alias("expected"))
+    s = feed(spark, t.join(expected, "item_id"), "item_id BIGINT, changed BOOLEAN, margin DOUBLE, family STRING, expected BIGINT")
+    jobs.write_partials(s, jobs.item_partials, out, cp).awaitTermination()
+    items = jobs.merge_items(spark.read.parquet(f"{out}/*")).withColumn("flipped_types", F.array_join("flipped_types", ","))
+    return rounded(items, "flip_margin", "keep_margin")
 
 
 @query("x05_baseline_then_perturbed", """WITH o AS (SELECT o_orderkey, o_custkey AS item_id, o_orderpriority AS perturb, (o_totalprice % 1000) / 1000 AS v FROM orders), base AS (SELECT item_id, max(v) AS bv FROM o WHERE perturb = '1-URGENT' GROUP BY 1)

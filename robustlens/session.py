@@ -1,5 +1,7 @@
 """Session helpers: a tuned local session for tests and benches, and the shared scratch folder."""
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,13 +31,27 @@ def shared_dir(spark):
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         base = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+        atexit.register(shutil.rmtree, base, ignore_errors=True)   # its own folder, local mode alone
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
+_SCRATCH = []
+
+
 def scratch_path(spark, name):
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path under the shared folder; `release` deletes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
+
+
+def release(spark):
+    """Delete the scratch tables made so far by this process. Results that still read them must have been written before."""
+    for path in _SCRATCH:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _SCRATCH.clear()
 
 
 def materialize(spark, df, name, partition_by=None):

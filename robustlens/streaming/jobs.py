@@ -1,8 +1,6 @@
 """Incremental forms of the batch operators. Every sink is replayable: a batch writes its own folder, named by its id,
 so a re-run of the batch overwrites the same rows. State lives in checkpoints in the shared folder."""
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.arrays import overlap, quadratic_overlap
 from ..operators.joins import with_filters
@@ -72,46 +70,20 @@ def last_batch(spark, out):
     return d.where(F.col("batch_id") == d.agg(F.max("batch_id").alias("b")).select("b").scalar()).drop("batch_id")
 
 
-ITEM_OUT = "item_id BIGINT, n INT, flips INT, flip_margin DOUBLE, keep_margin DOUBLE, complete BOOLEAN"
-ITEM_STATE = "n INT, flips INT, sum_flip DOUBLE, sum_keep DOUBLE, expected INT"
-
-
-def item_state(key, batches, state: GroupState, timeout_ms=None):
-    """Fold the variants of one item; emit it once the expected number has arrived, or on timeout as incomplete."""
-    def row(n, flips, sf, sk, done):
-        return pd.DataFrame({"item_id": [key[0]], "n": [n], "flips": [flips], "flip_margin": [sf / flips if flips else None],
-                             "keep_margin": [sk / (n - flips) if n > flips else None], "complete": [done]})
-    if state.hasTimedOut:
-        n, flips, sf, sk, _ = state.get
-        state.remove()
-        yield row(n, flips, sf, sk, False)
-        return
-    n, flips, sf, sk, expected = state.get if state.exists else (0, 0, 0.0, 0.0, 0)
-    for pdf in batches:
-        hit = pdf["changed"].to_numpy(dtype=bool)
-        n, flips = n + len(pdf), flips + int(hit.sum())
-        sf, sk = sf + float(pdf["margin"][hit].sum()), sk + float(pdf["margin"][~hit].sum())
-        expected = int(pdf["expected"].max())
-    if n >= expected:
-        if state.exists:
-            state.remove()
-        yield row(n, flips, sf, sk, True)
-    else:
-        state.update((n, flips, sf, sk, expected))
-        if timeout_ms:
-            state.setTimeoutDuration(timeout_ms)
-
-
-def items_when_complete(stream, timeout_ms=None):
-    """One row per item at its end (X04). State per item is five numbers.
-
-    Give `timeout_ms` for a continuously running query, so that incomplete items are emitted too; a drain-and-stop
-    run (availableNow) must go without, since processing-time timeouts would keep it alive.
-    """
-    def fold(key, batches, state):
-        yield from item_state(key, batches, state, timeout_ms)
-    kind = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
-    return stream.groupBy("item_id").applyInPandasWithState(fold, ITEM_OUT, ITEM_STATE, "append", kind)
+def item_partials(df):
+    """Partial fold of the variants of every item in a batch (X04): counts, margin sums and the perturbation types that flipped it."""
+    hit = F.col("changed")
+    return df.groupBy("item_id").agg(
+        F.count("*").alias("n"), F.count_if(hit).alias("flips"), F.sum(F.when(hit, F.col("margin"))).alias("sum_flip"), F.sum(F.when(~hit, F.col("margin"))).alias("sum_keep"),
+        F.max("expected").alias("expected"), F.collect_set(F.when(hit, F.col("family"))).alias("types"))   # as many as there are perturbation types
+
+
+def merge_items(partials):
+    """Items from the batches' partial folds: margins, flip flags by type, and whether all expected variants have come; a late variant counts too."""
+    g = partials.groupBy("item_id").agg(*[F.sum(c).alias(c) for c in ("n", "flips", "sum_flip", "sum_keep")], F.max("expected").alias("expected"),
+                                        F.array_sort(F.array_distinct(F.flatten(F.collect_list("types")))).alias("flipped_types"))   # one short array a batch
+    return g.select("item_id", "n", "flips", F.try_divide("sum_flip", "flips").alias("flip_margin"), F.try_divide(F.col("sum_keep"), F.col("n") - F.col("flips")).alias("keep_margin"),
+                    (F.col("flips") > 0).alias("any_flip"), "flipped_types", (F.col("n") >= F.col("expected")).alias("complete"))
 
 
 def append_parquet(stream, out, checkpoint):
