@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from .scenes import negative_names
-from .topk import largest, seeded_sample
+from .topk import largest, seeded_quota
 
 
 def build_manifest(annotations, negative_ratio, name_seed, pick_seed):
@@ -18,7 +18,7 @@ def build_manifest(annotations, negative_ratio, name_seed, pick_seed):
     neg = negative_names(names, name_seed).select(F.col("scene").alias("image_id"), F.col("negative").alias("concept"))
     if quota <= 0:
         return pos
-    picked = seeded_sample(neg, quota, pick_seed, "image_id").select("image_id", "concept", F.lit(False).alias("present"), F.lit(0).cast("long").alias("n_boxes"))
+    picked = seeded_quota(neg, quota, pick_seed, "image_id").select("image_id", "concept", F.lit(False).alias("present"), F.lit(0).cast("long").alias("n_boxes"))
     return pos.unionByName(picked)
 
 

@@ -13,6 +13,21 @@ def seeded_sample(df, n, seed, *keys):
     return df.withColumn("_h", h).orderBy("_h", *keys).limit(n).drop("_h")
 
 
+def seeded_quota(df, n, seed, *keys):
+    """The same n rows as `seeded_sample`, for an n that grows with the data: whole hash buckets, and an ordered take inside the last one alone.
+
+    One row, the last bucket and what stands before it, reaches the driver; the window runs over at most 65,536 bucket counts.
+    """
+    h = df.withColumn("_h", hash_hex(seed, *keys)).withColumn("_b", F.substring("_h", 1, 4))
+    sizes = h.groupBy("_b").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
+    last = sizes.where(F.col("upto") >= n).orderBy("_b").limit(1).first()
+    if last is None:
+        return df
+    whole = h.where(F.col("_b") < last["_b"])
+    part = h.where(F.col("_b") == last["_b"]).orderBy("_h", *keys).limit(int(n - last["upto"] + last["k"]))
+    return whole.union(part).drop("_h", "_b")
+
+
 def largest(df, keys, score, order, payload):
     """Row with the largest score per key, the first in `order` on ties: one partial aggregate."""
     best = F.max(F.struct(F.col(score).alias("s"), (-F.col(order)).alias("o"), *[F.col(c) for c in payload])).alias("b")

@@ -12,7 +12,7 @@ from ..sources import logs, readers, schemas, sinks
 from . import bindings as b
 from .q_aggregates import _TRANS, outcomes, rounded
 from .registry import query
-from .sqlkit import DIV0, H, R
+from .sqlkit import DIV0, H, HI, R
 
 
 def record_rows(spark, sf):
@@ -385,7 +385,7 @@ top AS (SELECT image_id, area, k, cat FROM (SELECT *, row_number() OVER (PARTITI
 pos AS (SELECT t.image_id, t.cat AS concept, true AS present, (SELECT count(*) FROM a WHERE a.image_id = t.image_id AND a.cat = t.cat) AS n_boxes FROM top t),
 v AS (SELECT cat AS name, row_number() OVER (ORDER BY cat) - 1 AS rk FROM (SELECT DISTINCT cat FROM a)), miss AS (SELECT i.image_id, v.name, row_number() OVER (PARTITION BY i.image_id ORDER BY v.rk) - 1 AS j, count(*) OVER (PARTITION BY i.image_id) AS n
   FROM (SELECT DISTINCT image_id FROM a) i, v WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.image_id = i.image_id AND a.cat = v.name)),
-neg AS (SELECT image_id, name FROM miss WHERE j = CAST(('0x' || substr({H(31, 'image_id')}, 1, 7)) AS BIGINT) % n),
+neg AS (SELECT image_id, name FROM miss WHERE j = {HI(31, 'image_id')} % n),
 quota AS (SELECT CAST(round(count(*) * 0.5) AS BIGINT) AS q FROM pos)
 SELECT image_id, concept, present, CAST(n_boxes AS BIGINT) AS n_boxes FROM pos UNION ALL SELECT image_id, name, false, 0 FROM (SELECT *, row_number() OVER (ORDER BY {H(32, 'image_id')}, image_id) AS rn FROM neg) WHERE rn <= (SELECT q FROM quota)""")
 def s25(spark, sf):
