@@ -18,18 +18,29 @@ from .windows import average_ranks
 PRIME = (1 << 61) - 1   # a Mersenne prime: residues of products need no division
 
 
-def pearson(df, keys, x, y, min_n=3, default=0.0):
-    return df.groupBy(*keys).agg(F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).alias("n"),
-                                 safe_corr(x, y, min_n, default).alias("r"))
-
-
-def spearman(df, keys, x, y, min_n=3, default=0.0):
+def pearson(df, keys, x, y, min_n=3, default=0.0, weight=None):
+    """Correlation per key. With `weight` a row stands for that many equal ones; values are then taken about their mean over the rows."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    if weight is None:
+        return df.groupBy(*keys).agg(F.count(F.when(both, 1)).alias("n"), safe_corr(x, y, min_n, default).alias("r"))
+    d = df.where(both)
+    k = F.col(weight)
+    mean = d.groupBy(*keys).agg(F.sum(weight).alias("n"), (F.sum(k * F.col(x)) / F.sum(k)).alias("_mx"), (F.sum(k * F.col(y)) / F.sum(k)).alias("_my"))
+    d = d.join(mean, list(keys)) if keys else with_scalars(d, mean).select("*", "_st.*")
+    a, b = F.col(x) - F.col("_mx"), F.col(y) - F.col("_my")
+    g = d.groupBy(*keys).agg(F.max("n").alias("n"), F.sum(k * a * b).alias("ab"), F.sum(k * a * a).alias("aa"), F.sum(k * b * b).alias("bb"),
+                             (F.min(x) < F.max(x)).alias("vx"), (F.min(y) < F.max(y)).alias("vy"))
+    r = F.when((F.col("n") >= min_n) & F.col("vx") & F.col("vy"), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).otherwise(F.lit(default).cast("double"))
+    return g.select(*keys, "n", r.alias("r"))
+
+
+def spearman(df, keys, x, y, min_n=3, default=0.0, weight=None):
     """Rank correlation with average ranks, from (x, y) counts: rows are folded and written once, and both ranks start from that table.
 
     Ranks are centred at their known mean (n+1)/2, so the sums stay well conditioned.
     """
     keys = list(keys)
-    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(F.count("*").alias("k"))
+    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg((F.sum(weight) if weight else F.count("*")).alias("k"))
     cells = materialize(df.sparkSession, cells, "cells")
     rx = average_ranks(cells, x, keys, "k").select(*keys, x, F.col("rank").alias("rx"))
     ry = average_ranks(cells, y, keys, "k").select(*keys, y, F.col("rank").alias("ry"))

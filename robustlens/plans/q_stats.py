@@ -364,28 +364,58 @@ def t25(spark, sf):
 _TG = ("volatility", "erosion", "accuracy_drop")
 
 
-@query("t26_overlap_law", f"""{_GP}, l AS ({' UNION ALL '.join(f"SELECT '{t}' AS target, level_no, round(predicted, 9) AS predicted, round({t}, 9) AS y FROM g" for t in _TG)}), w AS (SELECT l.*, v.view FROM l JOIN (VALUES ('primary', 1, 4), ('wordy', 5, 8), ('pooled', 1, 8)) v(view, lo, hi) ON level_no BETWEEN lo AND hi),
-k AS (SELECT target, view, predicted, y, {RK('predicted', 'target, view')} AS a, {RK('y', 'target, view')} AS b FROM w)
-SELECT target, view, CAST(count(*) AS BIGINT) AS n, {R(CORR('predicted', 'y'))} AS r, {R(CORR('a', 'b'))} AS rho, {CORR('predicted', 'y')} > 0.7 AND count(*) >= 30 AS passed FROM k GROUP BY 1, 2""")
+_VIEWS = ", ".join(["('primary', 1, 4)", "('wordy', 5, 8)", "('pooled', 1, 8)"] + [f"('level_{i}', {i}, {i})" for i in range(1, 9)])
+_GRAINS = " UNION ALL ".join(f"SELECT '{grain}' AS grain, '{t}' AS target, level_no, round(predicted, 9) AS predicted, round({t}, 9) AS y FROM {src}" for grain, src in (("grouped", "g"), ("sample", "pairs")) for t in _TG)
+
+
+@query("t26_overlap_law", f"""{_GP}, l AS ({_GRAINS}), w AS (SELECT l.*, v.view FROM l JOIN (VALUES {_VIEWS}) v(view, lo, hi) ON level_no BETWEEN lo AND hi),
+k AS (SELECT grain, target, view, predicted, y, {RK('predicted', 'grain, target, view')} AS a, {RK('y', 'grain, target, view')} AS b FROM w),
+q AS (SELECT grain, target, view, count(*) AS n, {CORR('predicted', 'y')} AS r, {CORR('a', 'b')} AS rho FROM k GROUP BY 1, 2, 3)
+SELECT grain, target, view, CAST(n AS BIGINT) AS n, {R('r')} AS r, {R(f"CASE WHEN n <= 3 THEN r ELSE {_CI9.format(s='-')} END")} AS ci_lower, {R(f"CASE WHEN n <= 3 THEN r ELSE {_CI9.format(s='+')} END")} AS ci_upper, {RP('q.r', 'q.n')} AS p_value,
+  {R('rho')} AS rho, r > CASE grain WHEN 'sample' THEN 0.3 ELSE 0.7 END AND n >= 30 AS passed, rho > 0.8 AS strong_rho, rho > 0.6 AS secondary_rho FROM q""")
 def t26(spark, sf):
+    p = b.pairs(spark, sf).withColumns({c: F.round(c, 9) for c in ("predicted", *_TG)})
     g = grouped(spark, sf).withColumns({c: F.round(c, 9) for c in ("predicted", *_TG)})
-    g = materialize(spark, g.select("level_no", "predicted", *_TG), "grouped")   # read by both correlations
-    w = tr.level_views(tr.unpivot_targets(g, list(_TG)))
-    r = st.pearson(w, ["target", "view"], "predicted", "value")
-    rho = st.spearman(w, ["target", "view"], "predicted", "value").drop("n")
-    out = r.join(rho, ["target", "view"]).withColumn("passed", (F.col("r") > 0.7) & (F.col("n") >= 30))
-    return rounded(out, "r", "rho")
+    both = [x.select(F.lit(lab).alias("grain"), "level_no", "predicted", *_TG) for lab, x in (("grouped", g), ("sample", p))]
+    # both grains fold to value cells before anything reads them again
+    w = tr.unpivot_targets(both[0].unionByName(both[1]), list(_TG))
+    cells = materialize(spark, w.groupBy("grain", "target", "level_no", "predicted", "value").agg(F.count("*").alias("k")), "cells")
+    views = tr.level_views(cells).unionByName(cells.withColumn("view", F.concat(F.lit("level_"), "level_no")))
+    keys = ["grain", "target", "view"]
+    r = st.pearson(views, keys, "predicted", "value", weight="k")
+    rho = st.spearman(views, keys, "predicted", "value", weight="k").drop("n")
+    lo, hi = st.fisher_ci(F.col("r"), F.col("n"))
+    out = r.join(rho, keys).withColumns({"ci_lower": lo, "ci_upper": hi, "p_value": p4(pv.corr_pvalue("r", "n")), "strong_rho": F.col("rho") > 0.8, "secondary_rho": F.col("rho") > 0.6,
+                                         "passed": (F.col("r") > F.when(F.col("grain") == "sample", 0.3).otherwise(0.7)) & (F.col("n") >= 30)})
+    return rounded(out, "r", "rho", "ci_lower", "ci_upper")
 
 
-@query("t27_variant_correlations", f"""{_GP}, v AS (SELECT 'grouped' AS agg_level, 'first_order' AS variant, predicted AS x, volatility AS y FROM g UNION ALL SELECT 'grouped', 'quadratic', predicted_quadratic, volatility FROM g UNION ALL SELECT 'sample', 'first_order', predicted, volatility FROM pairs UNION ALL SELECT 'sample', 'quadratic', predicted_quadratic, volatility FROM pairs)
-SELECT agg_level, variant, CAST(count(*) AS BIGINT) AS n, {R(CORR('x', 'y', 3, 'NULL'))} AS r FROM v GROUP BY 1, 2""")
+@query("t27_variant_correlations", f"""{_GP}, v AS (SELECT agg_level, variant, round(x, 9) AS x, round(y, 9) AS y FROM (SELECT 'grouped' AS agg_level, 'first_order' AS variant, predicted AS x, volatility AS y FROM g UNION ALL SELECT 'grouped', 'quadratic', predicted_quadratic, volatility FROM g UNION ALL SELECT 'sample', 'first_order', predicted, volatility FROM pairs UNION ALL SELECT 'sample', 'quadratic', predicted_quadratic, volatility FROM pairs)),
+k AS (SELECT *, {RK('x', 'agg_level, variant')} AS a, {RK('y', 'agg_level, variant')} AS b FROM v), q AS (SELECT agg_level, variant, count(*) AS n, {CORR('x', 'y', 3, 'NULL')} AS r, {CORR('a', 'b', 3, 'NULL')} AS rho FROM k GROUP BY 1, 2)
+SELECT agg_level, variant, CAST(n AS BIGINT) AS n, {R('r')} AS r, {RP('q.r', 'q.n')} AS p_value, {R('rho')} AS rho, {RP('q.rho', 'q.n')} AS rho_p FROM q""")
 def t27(spark, sf):
     def long(df, lab):
-        z = F.explode(F.array(F.struct(F.lit("first_order").alias("variant"), F.col("predicted").alias("x")),
-                              F.struct(F.lit("quadratic").alias("variant"), F.col("predicted_quadratic").alias("x"))))
-        return df.select(F.lit(lab).alias("agg_level"), F.col("volatility").alias("y"), z.alias("z")).select("agg_level", "y", "z.*")
+        z = F.explode(F.array(F.struct(F.lit("first_order").alias("variant"), F.round("predicted", 9).alias("x")),
+                              F.struct(F.lit("quadratic").alias("variant"), F.round("predicted_quadratic", 9).alias("x"))))
+        return df.select(F.lit(lab).alias("agg_level"), F.round("volatility", 9).alias("y"), z.alias("z")).select("agg_level", "y", "z.*")
     v = long(grouped(spark, sf), "grouped").unionByName(long(b.pairs(spark, sf), "sample"))
-    return rounded(st.pearson(v, ["agg_level", "variant"], "x", "y", 3, None), "r")
+    v = materialize(spark, v.groupBy("agg_level", "variant", "x", "y").agg(F.count("*").alias("k")), "cells")
+    keys = ["agg_level", "variant"]
+    out = st.pearson(v, keys, "x", "y", 3, None, "k").join(st.spearman(v, keys, "x", "y", 3, None, "k").drop("n"), keys)
+    out = out.withColumn("p_value", p4(pv.corr_pvalue("r", "n"))).withColumn("rho_p", p4(pv.corr_pvalue("rho", "n")))
+    return rounded(out, "r", "rho")
+
+
+@query("t23_bridge_summary", f"""{_GP}, {_ZB}, y AS (SELECT round(pz, 9) AS x, round(az, 9) AS y FROM zz), k AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS b FROM y),
+q AS (SELECT count(*) AS n, {SLOPE('x', 'y')} AS slope, {CORR('x', 'y')} AS r, {CORR('a', 'b')} AS rho FROM k)
+SELECT CAST(n AS BIGINT) AS n, {R('slope')} AS slope, {R('r')} AS r, {RP('q.r', 'q.n')} AS p_value, {R('rho')} AS rho FROM q""")
+def t23s(spark, sf):
+    z = st.standardized_bridge(grouped(spark, sf), "predicted", "volatility").select(F.round("pred_z", 9).alias("x"), F.round("actual_z", 9).alias("y"))
+    z = materialize(spark, z.groupBy("x", "y").agg(F.count("*").alias("k")), "cells")
+    rho = st.spearman(z, [], "x", "y", weight="k").select("rho").scalar()
+    out = st.pearson(z, [], "x", "y", weight="k").withColumn("p_value", p4(pv.corr_pvalue("r", "n"))).withColumn("rho", rho)
+    line = z.agg((F.sum(F.col("k") * F.col("x") * F.col("y")) / F.sum(F.col("k") * F.col("x") * F.col("x"))).alias("b")).select("b").scalar()   # both sides are centred
+    return rounded(out.withColumn("slope", line), "slope", "r", "rho")
 
 
 _MU = f"""mu AS (SELECT item_id, perturbation, severity, count(*) AS n, var_pop(predicted) * count(*) AS sxx, var_pop(volatility) * count(*) AS syy, covar_pop(predicted, volatility) * count(*) AS sxy, {CORR('predicted', 'volatility', 3, 'NULL')} AS r
