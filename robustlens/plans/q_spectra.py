@@ -98,7 +98,10 @@ def m13(spark, sf):
     return rounded(band_count(g, "run"), "tokens")
 
 
-@query("m22_token_fft_drift")
+@query("m22_token_fft_drift", f"""WITH {b.VARIANTS_SQL}, x AS (SELECT vec_id, list_transform(range(1, 65), lambda i: pert[i] - clean[i]) AS x FROM variants),
+f AS (SELECT vec_id, k, list_sum(list_transform(range(0, 64), lambda i: x[i + 1] * cos(2 * pi() * k * i / 64))) AS re, list_sum(list_transform(range(0, 64), lambda i: x[i + 1] * sin(2 * pi() * k * i / 64))) AS im FROM x, range(0, 33) g(k)),
+m AS (SELECT vec_id, avg(sqrt(re * re + im * im)) FILTER (WHERE k < 8) AS low, avg(sqrt(re * re + im * im)) FILTER (WHERE k >= 25) AS high FROM f GROUP BY 1)
+SELECT vec_id, {R('low')} AS low, {R('high')} AS high, {R('high / (low + 1e-8)')} AS ratio FROM m""")
 def m22(spark, sf):
     from ..operators.grids import token_fft_drift
     return rounded(token_fft_drift(b.variants(spark, sf)), "low", "high", "ratio")
@@ -141,7 +144,17 @@ def m28(spark, sf):
     return x.select("l_orderkey", "l_linenumber", r6(mk.box_iou(F.col("p"), F.col("g"))).alias("iou"), r6(mk.center_shift(F.col("p"), F.col("g"), 100, 80)).alias("center_shift"))
 
 
-@query("m29_boundary_f", None)
+_NEAR = "abs(q.r - p.r) <= 1 AND abs(q.c - p.c) <= 1"
+
+
+@query("m29_boundary_f", f"""WITH {b.CELLS_SQL}, pos AS (SELECT vec_id, r, c FROM cells WHERE x > 0),
+rim AS MATERIALIZED (SELECT p.vec_id, p.r, p.c FROM pos p JOIN pos q ON q.vec_id = p.vec_id AND {_NEAR} GROUP BY ALL HAVING count(*) < 9),
+v AS (SELECT a.vec_id FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+n AS (SELECT vec_id, count(*) AS n FROM rim GROUP BY 1),
+ha AS (SELECT p.vec_id - 1 AS vec_id, count(*) AS h FROM rim p WHERE EXISTS (SELECT 1 FROM rim q WHERE q.vec_id = p.vec_id - 1 AND {_NEAR}) GROUP BY 1),
+hb AS (SELECT p.vec_id, count(*) AS h FROM rim p WHERE EXISTS (SELECT 1 FROM rim q WHERE q.vec_id = p.vec_id + 1 AND {_NEAR}) GROUP BY 1),
+z AS (SELECT v.vec_id, coalesce(na.n, 0) AS na, coalesce(nb.n, 0) AS nb, coalesce(ha.h, 0) AS ha, coalesce(hb.h, 0) AS hb FROM v LEFT JOIN n na ON na.vec_id = v.vec_id + 1 LEFT JOIN n nb ON nb.vec_id = v.vec_id LEFT JOIN ha ON ha.vec_id = v.vec_id LEFT JOIN hb ON hb.vec_id = v.vec_id)
+SELECT vec_id, {R('CASE WHEN na + nb = 0 THEN 1 WHEN ha * nb + hb * na = 0 THEN 0 ELSE 2.0 * ha * hb / (ha * nb + hb * na) END')} AS boundary_f FROM z""")
 def m29(spark, sf):
     v = mk.masks(mk.masks(b.variants(spark, sf), "clean", "gt"), "pert", "pred")
     return v.select("vec_id", r6(mk.boundary_f_udf(8, 8, 1)("pred", "gt")).alias("boundary_f"))
