@@ -357,7 +357,8 @@ def t24(spark, sf):
 def t25(spark, sf):
     z = st.standardized_bridge(grouped(spark, sf), "predicted", "volatility").withColumnRenamed("pred_z", "overlap_z")
     v = tr.level_views(z)
-    f = rg.fit(v, ["overlap_z", "csem", "cprompt", "hopt"], "volatility", "item_id", ["view"])
+    xs = tr.predictor_list(z, ("overlap_z", "csem", "cprompt", "hopt"))   # the binary control only where it varies
+    f = rg.fit(v, xs, "volatility", "item_id", ["view"])
     return rounded(f.select("view", "predictor", "beta", "standardized_beta", "stderr", "p_value", "r_squared", "n"), "beta", "standardized_beta", "stderr", "p_value", "r_squared")
 
 

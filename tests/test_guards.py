@@ -289,3 +289,27 @@ def test_no_cartesian_product_without_broadcast(spark):
             assert "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_predictor_list_and_pca_coordinates(spark):
+    from robustlens.operators.embeddings import pca_coordinates
+    from robustlens.operators.trials import predictor_list
+    d = spark.createDataFrame([(0.0, None), (1.0, None)], "is_binary double, prediction_entropy double")
+    assert predictor_list(d, ("a",)) == ["a", "is_binary"]
+    assert predictor_list(d.where("is_binary = 1").withColumn("prediction_entropy", F.lit(0.5)), ("a",)) == ["a", "prediction_entropy"]
+    x = np.random.default_rng(8).normal(size=(60, 4)) * np.arange(1, 5)
+    df = spark.createDataFrame([(0, i, r.tolist()) for i, r in enumerate(x)], "channel int, i int, v array<double>")
+    got = np.array([r.coords for r in pca_coordinates(df, "channel", "v", 2).orderBy("i").collect()])
+    assert np.var(got, axis=0, ddof=1) == pytest.approx(np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1][:2])
+
+
+def test_weighted_correlations_equal_the_repeated_rows(spark):
+    g = np.random.default_rng(9)
+    rows = [(int(a), float(b), float(c), int(k)) for a, b, c, k in zip(g.integers(0, 2, 40), g.integers(0, 6, 40), g.normal(size=40), g.integers(1, 5, 40))]
+    d = spark.createDataFrame(rows, "key int, x double, y double, k int")
+    full = d.select("key", "x", "y", F.explode(F.sequence(F.lit(1), "k")).alias("_")).drop("_")
+    for fn in (st.pearson, st.spearman):
+        for keys in ([], ["key"]):
+            a = {tuple(r[:-1]): r[-1] for r in fn(full, keys, "x", "y").collect()}
+            b = {tuple(r[:-1]): r[-1] for r in fn(d, keys, "x", "y", weight="k").collect()}
+            assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
