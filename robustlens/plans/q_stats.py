@@ -27,8 +27,8 @@ def _TAIL(t2, d1, d2, points=40000):
     return (f"(SELECT sum({f.format(a=lo)}) * (pi() / 2 - {th}) / (sum({f.format(a=al)}) * (pi() / 2)) FROM range({points}) r(i))")
 
 
-def R4(x):
-    return f"(round(CAST({x} AS DOUBLE), 4) + 0e0)"
+def R4(x, digits=4):
+    return f"(round(CAST({x} AS DOUBLE), {digits}) + 0e0)"
 
 
 def TP(t, dof):
@@ -36,10 +36,10 @@ def TP(t, dof):
     return R4(f"CASE WHEN ({t}) IS NULL OR ({dof}) <= 0 THEN 1 ELSE {_TAIL(f'(({t}) * ({t}))', '1', f'CAST(({dof}) AS DOUBLE)')} END")
 
 
-def RP(r, n):
-    """Two-sided p of a correlation to four digits."""
+def RP(r, n, digits=4):
+    """Two-sided p of a correlation; three digits suit ranks of computed values, whose ties the engines' last bits can break."""
     t2 = f"(({r}) * ({r}) * (({n}) - 2) / greatest(1 - ({r}) * ({r}), 1e-300))"
-    return R4(f"CASE WHEN ({r}) IS NULL OR ({n}) <= 2 THEN 1 ELSE {_TAIL(t2, '1', f'CAST(({n}) - 2 AS DOUBLE)')} END")
+    return R4(f"CASE WHEN ({r}) IS NULL OR ({n}) <= 2 THEN 1 ELSE {_TAIL(t2, '1', f'CAST(({n}) - 2 AS DOUBLE)')} END", digits)
 
 
 def p4(c):
@@ -393,7 +393,7 @@ def t26(spark, sf):
 
 @query("t27_variant_correlations", f"""{_GP}, v AS (SELECT agg_level, variant, round(x, 9) AS x, round(y, 9) AS y FROM (SELECT 'grouped' AS agg_level, 'first_order' AS variant, predicted AS x, volatility AS y FROM g UNION ALL SELECT 'grouped', 'quadratic', predicted_quadratic, volatility FROM g UNION ALL SELECT 'sample', 'first_order', predicted, volatility FROM pairs UNION ALL SELECT 'sample', 'quadratic', predicted_quadratic, volatility FROM pairs)),
 k AS (SELECT *, {RK('x', 'agg_level, variant')} AS a, {RK('y', 'agg_level, variant')} AS b FROM v), q AS (SELECT agg_level, variant, count(*) AS n, {CORR('x', 'y', 3, 'NULL')} AS r, {CORR('a', 'b', 3, 'NULL')} AS rho FROM k GROUP BY 1, 2)
-SELECT agg_level, variant, CAST(n AS BIGINT) AS n, {R('r')} AS r, {RP('q.r', 'q.n')} AS p_value, {R('rho')} AS rho, {RP('q.rho', 'q.n')} AS rho_p FROM q""")
+SELECT agg_level, variant, CAST(n AS BIGINT) AS n, {R('r')} AS r, {RP('q.r', 'q.n')} AS p_value, {R('rho')} AS rho, {RP('q.rho', 'q.n', 3)} AS rho_p FROM q""")
 def t27(spark, sf):
     def long(df, lab):
         z = F.explode(F.array(F.struct(F.lit("first_order").alias("variant"), F.round("predicted", 9).alias("x")),
@@ -403,7 +403,7 @@ def t27(spark, sf):
     v = materialize(spark, v.groupBy("agg_level", "variant", "x", "y").agg(F.count("*").alias("k")), "cells")
     keys = ["agg_level", "variant"]
     out = st.pearson(v, keys, "x", "y", 3, None, "k").join(st.spearman(v, keys, "x", "y", 3, None, "k").drop("n"), keys)
-    out = out.withColumn("p_value", p4(pv.corr_pvalue("r", "n"))).withColumn("rho_p", p4(pv.corr_pvalue("rho", "n")))
+    out = out.withColumn("p_value", p4(pv.corr_pvalue("r", "n"))).withColumn("rho_p", F.round(pv.corr_pvalue("rho", "n"), 3) + 0.0)
     return rounded(out, "r", "rho")
 
 
