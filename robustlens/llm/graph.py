@@ -42,29 +42,58 @@ def stars(entries):
     return materialize(spark, held.drop("n").join(ranked, "bucket").where("node <> centre"), "stars")
 
 
-def banded_links(bands, prepare, compare):
+def banded_links(bands, prepare, compare, similarity):
     """(a, b) of alike nodes among those that share a band; `bands` has distinct (node, band, key).
 
-    In each bucket all nodes are compared with the centre only. Those unlike it go on in buckets of one band more (this one and a later one), with
-    new centres, until no bucket holds two of them: as many levels as there are bands at most, and pairs in proportion to bucket entries.
-    `prepare(nodes)` is called once with the candidates, `compare(pairs)` gives the alike ones of (a, b).
+    First, in each bucket all nodes are compared with the centre only. Those unlike it go on in buckets of one band more (this one and a later one),
+    with new centres, until no bucket holds two of them: as many levels as there are bands at most, and pairs in proportion to bucket entries.
+    Then `open_pairs` compares what that left open in the first buckets, so that every two nodes of a bucket end in one component or are known to
+    be unlike. `prepare(nodes)` is called once with the candidates, `compare(pairs)` gives (a, b, similarity) of every (a, b); 1 - similarity
+    has to be a metric.
     """
     spark = bands.sparkSession
     bands = materialize(spark, bands, "bands")
-    level, found = bands.select("node", F.xxhash64("band", "key").alias("bucket"), F.col("band").alias("last")), []
+    level, found, first = bands.select("node", F.xxhash64("band", "key").alias("bucket"), F.col("band").alias("last")), [], None
     while True:
         members = stars(level)
         if members.isEmpty():
             break
-        if not found:
+        if first is None:
+            first = members
             prepare(members.select("node").union(members.select("centre")).distinct())
-        close = materialize(spark, compare(members.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()).select("a", "b"), "alike")
-        found.append(close)
+        done = materialize(spark, compare(members.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()).select("a", "b", "similarity"), "compared")
+        found.append(done)
+        close = done.where(F.col("similarity") >= similarity)
         rest = members.join(close.select(F.col("a").alias("centre"), F.col("b").alias("node")), ["centre", "node"], "left_anti").select("node", "bucket", "last")
         level = rest.join(bands, "node").where("band > last").select("node", F.xxhash64("bucket", "band", "key").alias("bucket"), F.col("band").alias("last"))
-    if not found:
+    if first is None:
         return spark.createDataFrame([], "a long, b long")
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
+    pairs = open_pairs(first, found, similarity)
+    out = materialize(spark, compare(pairs).select("a", "b", "similarity"), "compared").where(F.col("similarity") >= similarity).select("a", "b")
+    for f in found:
+        out = out.union(f.where(F.col("similarity") >= similarity).select("a", "b"))
     return out
+
+
+def open_pairs(members, compared, similarity):
+    """(a, b) of the pairs of nodes of a bucket of `members` that `compared` leaves open.
+
+    Open are two nodes in different components of the links so far whose similarities to their bucket's centre differ by no more than the triangle
+    inequality allows to alike nodes. Of two such nodes one at least is unlike the centre; so the copies of an original, which are alike to it or
+    already in its component, are not paired with each other.
+    """
+    spark = members.sparkSession
+    links = compared[0]
+    for c in compared[1:]:
+        links = links.union(c)
+    roots = components(links.where(F.col("similarity") >= similarity).select("a", "b"))
+    known = compared[0].select(F.col("a").alias("centre"), F.col("b").alias("node"), "similarity")
+    held = members.select("bucket", "node", "centre").join(known, ["centre", "node"]).join(roots, "node", "left").select(
+        "bucket", "node", F.coalesce("root", "node").alias("root"), "similarity")
+    held = materialize(spark, held, "held")
+    other = held.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "similarity")])
+    near = F.abs(F.col("similarity") - F.col("other_similarity")) <= 1 - similarity + 1e-9
+    once = (F.col("other_similarity") >= similarity) | (F.col("node") < F.col("other_node"))
+    pairs = held.where(F.col("similarity") < similarity).join(other, "bucket").where((F.col("root") != F.col("other_root")) & near & once)
+    pairs = pairs.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
+    return materialize(spark, pairs.join(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "open")
