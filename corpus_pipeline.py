@@ -24,7 +24,7 @@ def passage_stage(spark, docs, sf_dir):
 
 def decontamination_stage(spark, docs, sf_dir):
     """Documents that overlap no benchmark item."""
-    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), whole=True)
 
 
 def mixing_stage(spark, docs, sf_dir):

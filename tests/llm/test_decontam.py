@@ -2,6 +2,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from robustlens.llm import decontam as dc
@@ -74,3 +75,37 @@ def test_empty_tables(spark):
     d, b = spark.createDataFrame([(1, "a")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert dc.find_overlaps(d, b).count() == 0 and dc.decontaminate(d, b).count() == 1
     assert dc.find_overlaps(d.where(F.lit(False)), b).count() == 0
+
+
+def test_all_stretches_of_four_fifths_are_found(spark):
+    g = random.Random(6)
+    items, docs = [], []
+    for i, (n, gone) in enumerate([(5, 1), (9, 1), (11, 2), (12, 1), (13, 1), (15, 2), (20, 4), (24, 4)] * 3):
+        v = [f"q{i}w{j}" for j in range(n)]
+        w = list(v)
+        free = [j for j in range(1, n - 1)] if n < 12 else [j for j in range(n) if j >= 12 or dc.MASKS[i % 3][j] == "0"]    # a seed at 0 stays whole
+        for j in g.sample(free, gone):
+            w[j] = "other"
+        items.append((i, " ".join(v)))
+        docs.append((i, " ".join(["in", "front", *w, "behind"])))
+    long = [f"z{j}" for j in range(80)]
+    items.append((50, " ".join(long)))
+    docs.append((50, " ".join(long[:20] + ["x"] * 40 + long[60:])))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [tuple(r) for r in dc.find_overlaps(d, b, whole=True).collect()]
+    assert {x[0] for x in got} == {x[0] for x in docs} and all(x[0] == x[1] for x in got)
+    assert sorted(x[2:] for x in got if x[0] == 50) == [(0, 20, 0, 20), (60, 80, 60, 20)]
+    assert dc.decontaminate(d, b, whole=True).count() == 0
+
+
+def test_stretches_equal_all_tried():
+    g = np.random.default_rng(1)
+    for _ in range(400):
+        n = int(g.integers(5, 60))
+        item = np.arange(n).astype(np.uint64)
+        h = np.where(g.random(n) < g.choice([0.6, 0.8, 0.9]), item, np.uint64(999))
+        e = h == item
+        want = max((int(e[i:j].sum()) for i in range(n) for j in range(i + 1, n + 1) if e[i:j].sum() * 5 >= 4 * (j - i)), default=0)
+        got = dc.align_all(h, 0, n, item, 0)
+        assert max((x[3] for x in got), default=0) == (want if want >= dc.least_equal(n) else 0)
+        assert all(e[a:b].sum() == m and 5 * m >= 4 * (b - a) for a, b, _, m in got)
