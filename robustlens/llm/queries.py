@@ -3,7 +3,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import chat, decontam, language, licenses, mixing, neardup, passages, quality, sample, tokencount, topk
+from . import bytebpe, chat, decontam, language, licenses, mixing, neardup, passages, quality, sample, tokencount, topk
 
 QUERIES, ORACLES = {}, {}
 
@@ -150,3 +150,11 @@ def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs)
     return language.identify(docs.select("doc_id", "text", sample.held_out().alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op12_byte_bpe")
+def op12(spark, sf_dir):
+    import public_tokenizers
+    path = tokenizer_file("byte_bpe_multi_50k.tiktoken")
+    encoded = bytebpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    return bytebpe.digests(bytebpe.decode(encoded, path))
