@@ -3,7 +3,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import bytebpe, chat, decontam, language, licenses, mixing, neardup, passages, quality, sample, tokencount, topk
+from . import bytebpe, chat, decontam, language, lexical, licenses, mixing, neardup, passages, quality, sample, tokencount, topk
 
 QUERIES, ORACLES = {}, {}
 
@@ -158,3 +158,23 @@ def op12(spark, sf_dir):
     path = tokenizer_file("byte_bpe_multi_50k.tiktoken")
     encoded = bytebpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
     return bytebpe.digests(bytebpe.decode(encoded, path))
+
+
+@query("op13_lexical_search", r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT k, doc_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+tf AS (SELECT k, doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+n AS (SELECT k, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY k),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+f AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+b AS (SELECT row_number() OVER () AS i, item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark),
+q AS (SELECT DISTINCT i, item_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM b),
+s AS (
+  SELECT i, item_id, k, doc_id, CAST(sum(CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT)
+                                         * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN f USING (term) JOIN n USING (k) CROSS JOIN c GROUP BY i, item_id, k, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 50
+""")
+def op13(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
