@@ -3,7 +3,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import bytebpe, chat, decontam, language, lexical, licenses, mixing, neardup, passages, quality, sample, tokencount, topk
+from . import bytebpe, chat, decontam, language, lexical, licenses, mixing, neardup, passages, quality, repair, sample, tokencount, topk
 
 QUERIES, ORACLES = {}, {}
 
@@ -152,6 +152,60 @@ def op10(spark, sf_dir):
     return language.identify(docs.select("doc_id", "text", sample.held_out().alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query("op11_conversation_repair", r"""
+WITH RECURSIVE z AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, x)) AS crc),
+c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+  FROM conversations),
+k AS (
+  SELECT c.*, xor(list_reduce(list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(key[i]) AS BIGINT)), lambda a, b: xor(crc[(xor(a, b) & 255) + 1], a >> 8), 4294967295), 4294967295) % 20 AS k
+  FROM c, z),
+m AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM k WHERE k <> 0),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, left(role, 1) AS initial,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM m),
+f AS (
+  SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM o),
+g AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+ins(state, stands, cost, audit, said) AS (
+  VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''),
+         (0, 2, 3, 'I', chr(10) || 'user:'), (1, 2, 3, 'I', chr(10) || 'user:'), (2, 3, 3, 'I', chr(10) || 'assistant:'), (3, 2, 3, 'I', chr(10) || 'user:'),
+         (0, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+         (2, 2, 6, 'II', chr(10) || 'assistant:' || chr(10) || 'user:'), (3, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')),
+s AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS state, 0 AS cost, '' AS audit, '' AS said FROM g
+  UNION ALL
+  (WITH e AS (
+     SELECT s.conv_id, f.i, ins.stands, s.cost + ins.cost AS cost, s.audit || ins.audit AS audit, s.said || ins.said AS said, f.role, f.text, f.initial, f.fault,
+            CASE WHEN ins.stands = 2 THEN 'assistant' ELSE 'user' END AS fits, CASE WHEN f.fault = 'truncated' THEN 3 ELSE 0 END AS extra
+     FROM s JOIN f ON s.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = s.i + 1 JOIN ins ON ins.state = s.state),
+   a AS (
+     SELECT conv_id, i, stands AS state, cost + 4 AS cost, audit || 'D' AS audit, said FROM e
+     UNION ALL SELECT conv_id, i, CASE fits WHEN 'user' THEN 2 ELSE 3 END, cost + 3 + extra, audit || 'R', said || chr(10) || fits || ':' || text FROM e WHERE fault NOT IN ('blank', 'duplicate')
+     UNION ALL SELECT conv_id, i, CASE initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, cost + extra, audit || 'K', said || chr(10) || role || ':' || text FROM e
+               WHERE fault NOT IN ('blank', 'duplicate') AND ((initial = 's' AND stands = 0) OR (initial = 'u' AND stands <> 2) OR (initial = 'a' AND stands = 2)))
+   SELECT conv_id, i, state, min(cost), arg_min(audit, {'c': cost, 'a': audit}), arg_min(said, {'c': cost, 'a': audit}) FROM a GROUP BY conv_id, i, state)),
+t AS (
+  SELECT s.conv_id, g.gaps, g.blank, g.duplicate, g.truncated, g.illegal, s.cost + ins.cost AS cost, s.audit || ins.audit AS audit, s.said || ins.said AS said
+  FROM s JOIN g ON s.conv_id IS NOT DISTINCT FROM g.conv_id AND s.i = g.n JOIN ins ON ins.state = s.state AND (ins.stands = 3 OR (ins.stands = 0 AND ins.cost = 0))),
+b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(substr(said, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN b ON c.conv_id IS NOT DISTINCT FROM b.conv_id
+""")
+def op11(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damage(rows), rows)
+
+
 @query("op12_byte_bpe")
 def op12(spark, sf_dir):
     import public_tokenizers
