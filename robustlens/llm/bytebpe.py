@@ -13,44 +13,45 @@ side in no token, as no merge can cross that place.
 import base64
 import functools
 import itertools
+import sys
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WORDS, BYTES = 20_000, 1 << 18     # words, and bytes of them, in one recursive query: bounds its rows
+WORDS, BYTES = 20_000, 3 << 16     # words, and bytes of them, in one recursive query: bounds its rows
 STEPS = 48                         # steps of one recursion; what is not done then starts another, so no step's rows are kept for long
 PIECES = 1 << 17                   # words of a text held at once
-CACHE = 1 << 19                    # distinct words whose ids a worker remembers before it starts anew
-DECODE_IDS = 1 << 20               # ids in one decoding query
+CACHE = 3 << 19                    # distinct words whose ids a worker remembers before it starts anew
+SLICE = 1 << 21                    # bytes of texts (or of ids) handled at once; one longer text is a slice of its own
+DECODE_IDS = 1 << 18               # ids in one decoding query
 
 ENCODE = """
 WITH RECURSIVE step(n, word, pos, tok, following) AS (
-  SELECT 0, word, pos, tok, following FROM start
+  SELECT CAST(0 AS INTEGER), word, pos, tok, following FROM start
   UNION ALL
   (WITH pairs AS (
-     SELECT l.word, l.pos, r.pos AS right_pos, r.following AS following, m.tok AS merged, l.tok = r.tok AS same
-     FROM step l JOIN step r ON l.following = r.pos JOIN merges m ON m.left_tok = l.tok AND m.right_tok = r.tok WHERE l.n < {steps}),
+     SELECT l.word, l.pos, l.right_pos, l.after AS following, m.tok AS merged
+     FROM (SELECT *, lead(pos) OVER w AS right_pos, lead(tok) OVER w AS right_tok, lead(following) OVER w AS after FROM step WINDOW w AS (ORDER BY pos)) l
+     JOIN merges m ON m.left_tok = l.tok AND m.right_tok = l.right_tok WHERE l.n < {steps} AND l.following = l.right_pos),
    best AS (SELECT word, min(merged) AS merged FROM pairs GROUP BY word),
    least AS (SELECT p.* FROM pairs p JOIN best b ON p.word = b.word AND p.merged = b.merged),
    hits AS ({hits})
-   SELECT s.n + 1, s.word, s.pos, coalesce(h.merged, s.tok), CASE WHEN h.pos IS NULL THEN s.following ELSE h.following END
+   SELECT CAST(s.n + 1 AS INTEGER), s.word, s.pos, coalesce(h.merged, s.tok), CASE WHEN h.pos IS NULL THEN s.following ELSE h.following END
    FROM step s SEMI JOIN best b ON s.word = b.word LEFT JOIN hits h ON s.pos = h.pos ANTI JOIN hits g ON s.pos = g.right_pos))
 SELECT s.word, s.pos, s.tok, s.following, s.n FROM step s JOIN (SELECT word, max(n) AS n FROM step GROUP BY word) e ON s.word = e.word AND s.n = e.n
 """
-# Which of a word's minimum pairs are contracted in a step: all of them, every other one where a token repeats and they overlap; or the leftmost.
+# Which of a word's minimum pairs are contracted in a step: every other one of a run of overlapping pairs, from its left end on; or only the leftmost.
 TOGETHER = """
-SELECT pos, right_pos, following, merged FROM least WHERE NOT same
-UNION ALL
-SELECT pos, right_pos, following, merged FROM (
-  SELECT *, row_number() OVER (PARTITION BY word, run ORDER BY pos) AS place
-  FROM (SELECT *, sum(begins) OVER (PARTITION BY word ORDER BY pos) AS run
-        FROM (SELECT *, CASE WHEN lag(right_pos) OVER (PARTITION BY word ORDER BY pos) = pos THEN 0 ELSE 1 END AS begins FROM least WHERE same)))
-WHERE place % 2 = 1"""
+SELECT pos, right_pos, following, merged
+FROM (SELECT *, max(head) OVER (ORDER BY pos) AS begun
+      FROM (SELECT *, CASE WHEN lag(right_pos) OVER (ORDER BY pos) IS NOT DISTINCT FROM pos THEN 0 ELSE i END AS head
+            FROM (SELECT *, row_number() OVER (ORDER BY pos) AS i FROM least)))
+WHERE (i - begun) % 2 = 0"""
 LEFTMOST = "SELECT pos, right_pos, following, merged FROM (SELECT *, min(pos) OVER (PARTITION BY word) AS leftmost FROM least) WHERE pos = leftmost"
 DECODE = """
-SELECT list(b.hex ORDER BY i.pos).array_to_string('').unhex() AS bytes, i.row AS row
+SELECT unhex(string_agg(b.hex, '' ORDER BY i.pos)) AS bytes, i.row AS row
 FROM ids i JOIN vocabulary b ON i.id = b.id GROUP BY i.row ORDER BY i.row
 """
 
@@ -86,7 +87,7 @@ class Vocabulary:
     def connect(self):
         if self.connection is None:
             import duckdb
-            self.connection = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})
+            self.connection = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "384MB", "temp_directory": ""})
             for name, table in (("merges", self.merges), ("vocabulary", self.tokens)):
                 self.connection.register("given", table)
                 self.connection.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -102,13 +103,13 @@ class Vocabulary:
         for part in _blocks(words):
             data = np.frombuffer(b"".join(part), np.uint8)
             ends = np.cumsum([len(w) for w in part])
-            cut = np.zeros(len(data), np.int64)
+            cut = np.zeros(len(data), np.int32)
             cut[1:] = ~self.joined[data[:-1], data[1:]]
             cut[0] = 0
             cut[ends[:-1]] = 1
-            at = np.arange(len(data))
+            at = np.arange(len(data), dtype=np.int32)
             last = np.append(cut[1:] == 1, True)
-            rows = pa.table({"word": np.cumsum(cut), "pos": at, "tok": self.byte_rank[data], "following": np.where(last, -1, at + 1)})
+            rows = pa.table({"word": np.cumsum(cut, dtype=np.int32), "pos": at, "tok": self.byte_rank[data], "following": np.where(last, np.int32(-1), at + np.int32(1))})
             pos, tok = self._fixpoint(rows)
             bounds = np.searchsorted(pos, np.concatenate([[0], ends]))
             out += [tok[a:b] for a, b in zip(bounds, bounds[1:])]
@@ -176,38 +177,39 @@ class Encoder:
             if rank is None:
                 new.append((w, raw))
             else:
-                self.known[w] = np.array([rank], np.int32)
+                self.known[w] = rank.to_bytes(4, sys.byteorder)
         for (w, _), ids in zip(new, self.vocabulary.merge([raw for _, raw in new])):
-            self.known[w] = ids
+            self.known[w] = ids.tobytes()
 
-    def pieces(self, texts):
-        """(row, words) of the texts in order, at most PIECES words at once."""
-        held, size = [], 0
-        for row, text in enumerate(texts):
-            if text is None:
-                continue
+    def words(self, text):
+        """The words of a text, a bounded number of them at a time."""
+        if len(text) <= PIECES:
+            yield self.split.findall(text)
+        else:
             matches = self.split.finditer(text)
             while words := [m.group() for m in itertools.islice(matches, PIECES)]:
+                yield words
+
+    def __call__(self, texts):
+        """One array of ids for each text; null and empty ones have none."""
+        out, held, size = [[] for _ in texts], [], 0
+        for row, text in enumerate(texts):
+            for words in self.words(text) if text else ():
                 held.append((row, words))
                 size += len(words)
                 if size >= PIECES:
-                    yield held
+                    self.finish(held, out)
                     held, size = [], 0
-        if held:
-            yield held
+        self.finish(held, out)
+        return [np.frombuffer(b"".join(x), np.int32) for x in out]
 
-    def __call__(self, texts):
-        """One array of ids for each text; null and empty ones have none."""
-        out = [[] for _ in texts]
-        for held in self.pieces(texts):
-            distinct = set(itertools.chain.from_iterable(words for _, words in held))
-            if len(self.known) + len(distinct) > CACHE:
-                self.known = {}
-            self.learn([w for w in distinct if w not in self.known])
-            for row, words in held:
-                out[row].append(np.concatenate([self.known[w] for w in words]))
-        none = np.zeros(0, np.int32)
-        return [np.concatenate(x) if x else none for x in out]
+    def finish(self, held, out):
+        distinct = set(itertools.chain.from_iterable(words for _, words in held))
+        if len(self.known) + len(distinct) > CACHE:
+            self.known = {}
+        self.learn([w for w in distinct if w not in self.known])
+        for row, words in held:
+            out[row].append(b"".join(map(self.known.__getitem__, words)))
 
 
 @functools.lru_cache(maxsize=1)
@@ -220,7 +222,7 @@ def worker_vocabulary(path):
     return Vocabulary(path, False)     # decoding rests on no order of contraction
 
 
-def _rows(batch, size=1 << 22):
+def _rows(batch, size=SLICE):
     """Slices of an Arrow batch whose last column holds about `size` bytes each."""
     import pyarrow.compute as pc
     column = batch.column(batch.num_columns - 1)
@@ -234,9 +236,23 @@ def _rows(batch, size=1 << 22):
         a = b
 
 
-def _added(docs, source, name, kind):
-    kept = [c for c in docs.columns if c != name]
-    return kept, T.StructType([docs.schema[c] for c in kept] + [T.StructField(name, kind)]), docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{source}`").alias("__source"))
+def _kept(docs, *gone):
+    kept = [c for c in docs.columns if c not in gone]
+    return kept, [docs.schema[c] for c in kept]
+
+
+def _source(docs, kept, source):
+    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{source}`").alias("__source"))
+
+
+def _encoded(encoder, column):
+    got = encoder(column.to_pylist())
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got) if got else np.zeros(0, np.int32)))
+
+
+def _lists(column):
+    return [np.zeros(0, np.int32) if not x.is_valid else x.values.to_numpy(zero_copy_only=True) for x in column]
 
 
 def encode(docs, path, pattern, text="text", ids="ids"):
@@ -247,18 +263,16 @@ def encode(docs, path, pattern, text="text", ids="ids"):
     every worker must be able to read; the driver reads it once to prove it.
     """
     together = Vocabulary(path).together
-    kept, schema, rows = _added(docs, text, ids, T.ArrayType(T.IntegerType()))
+    kept, fields = _kept(docs, ids)
+    schema = T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         encoder = worker_encoder(path, pattern, together)
         for batch in batches:
             for part in _rows(batch):
-                got = encoder(part.column(part.num_columns - 1).to_pylist())
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int32)
-                flat = np.concatenate(got) if got else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], _encoded(encoder, part.columns[-1])], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return _source(docs, kept, text).mapInArrow(run, schema)
 
 
 def decode(docs, path, ids="ids", decoded="decoded"):
@@ -266,31 +280,35 @@ def decode(docs, path, ids="ids", decoded="decoded"):
 
     Null and empty lists decode to no bytes; an id outside the vocabulary, or null, fails the job.
     """
-    kept, schema, rows = _added(docs, ids, decoded, T.BinaryType())
+    kept, fields = _kept(docs, decoded)
+    schema = T.StructType([*fields, T.StructField(decoded, T.BinaryType())])
 
     def run(batches):
         vocabulary = worker_vocabulary(path)
         for batch in batches:
             for part in _rows(batch):
-                column = part.column(part.num_columns - 1)
-                lists = [np.zeros(0, np.int32) if not x.is_valid else x.values.to_numpy(zero_copy_only=True) for x in column]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(vocabulary.decode(lists), pa.binary())], schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(vocabulary.decode(_lists(part.columns[-1])), pa.binary())], schema.names)
+
+    return _source(docs, kept, ids).mapInArrow(run, schema)
 
-    return rows.mapInArrow(run, schema)
 
+def round_trip(docs, path, pattern, text="text"):
+    """n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers) and decoded_sha256 in place of the text.
 
-def digests(rows, ids="ids", decoded="decoded"):
-    """n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers) and decoded_sha256 in place of both columns."""
+    `encode` and `decode` on the same slices within one worker, so that the ids of a corpus, larger than its texts, are never handed on.
+    """
     import hashlib
-    kept = [c for c in rows.columns if c not in (ids, decoded)]
-    schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    together = Vocabulary(path).together
+    kept, fields = _kept(docs, text, "n_tokens", "ids_sha256", "decoded_sha256")
+    schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches):
+        encoder = worker_encoder(path, pattern, together)
         for batch in batches:
-            lists, raw = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
-            n = pa.compute.list_value_length(lists).cast(pa.int64())
-            own = pa.array([hashlib.sha256(x.values.to_numpy(zero_copy_only=True).astype("<u4").tobytes()).hexdigest() for x in lists])
-            back = pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in raw])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], n, own, back], schema.names)
+            for part in _rows(batch):
+                lists = _lists(_encoded(encoder, part.columns[-1]))
+                own = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in lists]
+                back = [hashlib.sha256(x).hexdigest() for x in encoder.vocabulary.decode(lists)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([len(x) for x in lists], pa.int64()), pa.array(own, pa.string()), pa.array(back, pa.string())], schema.names)
 
-    return rows.select(*kept, ids, decoded).mapInArrow(run, schema)
+    return _source(docs, kept, text).mapInArrow(run, schema)

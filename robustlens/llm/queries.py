@@ -210,8 +210,7 @@ def op11(spark, sf_dir):
 def op12(spark, sf_dir):
     import public_tokenizers
     path = tokenizer_file("byte_bpe_multi_50k.tiktoken")
-    encoded = bytebpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
-    return bytebpe.digests(bytebpe.decode(encoded, path))
+    return bytebpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
 
 
 @query("op13_lexical_search", r"""
