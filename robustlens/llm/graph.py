@@ -1,99 +1,147 @@
 """Links from bucket collisions without pairing a bucket with itself, and connected components by contraction."""
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, scratch_path
+
+AGAIN = 3        # how often the nodes of a bucket that its heads leave open meet in the same bucket with new heads
+SMALL = 4        # open nodes of a bucket that are settled by new heads alone, without finer buckets
+FINER = 2        # bands added to a first bucket at most; each costs a round of jobs
+
+
+class Rounds:
+    """Tables of the rounds of one computation in the shared folder, deleted when a later round has taken their place."""
+
+    def __init__(self, spark):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df, name):
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = out, path
+        return out
+
+    def drop(self, *tables):
+        for t in tables:
+            if (held := self.paths.pop(id(t), None)) is not None:
+                folder = self.spark._jvm.org.apache.hadoop.fs.Path(held[1])
+                folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def end(self):
+        self.drop(*[t for t, _ in list(self.paths.values())])
 
 
 def components(links):
     """(node, root) for every id of `links` (a, b): root is the least id of its component.
 
     Every round points each id at its least neighbour, follows that pointer on once and keeps only links between different pointers, so what is
-    left shrinks at least by half; rounds are written tables, cut from their lineage.
+    left shrinks at least by half; rounds are written tables, cut from their lineage, and only the last one stays.
     """
     spark = links.sparkSession
-    edges = materialize(spark, links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    rounds = Rounds(spark)
+    edges = rounds.write(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     found = None
     while True:
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
-        step = both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("root"))
-        step = materialize(spark, step, "pointers")
-        up = step.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        step = materialize(spark, step.join(up, "root").select("node", F.col("up").alias("root")), "pointers")
+        least = both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("root"))
+        least = rounds.write(least, "pointers")
+        up = least.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        step = rounds.write(least.join(up, "root").select("node", F.col("up").alias("root")), "pointers")
+        rounds.drop(least)
         if found is None:
             found = step
         else:
-            found = materialize(spark, found.join(step.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root")), "components")
+            joined = rounds.write(found.join(step.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root")), "components")
+            rounds.drop(found)
+            found = joined
         a, b = (step.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b"))
-        edges = materialize(spark, edges.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
+        left = rounds.write(edges.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
+        rounds.drop(edges, *([step] if step is not found else []))
+        edges = left
         if edges.isEmpty():
+            rounds.drop(edges)
             return found
 
 
-def stars(entries):
-    """(bucket, last, node, centre) of every bucket of two nodes or more: the centre is the node with the largest buckets in all, which an
-    original shares with most of its edited copies; ties go to the least id. Centres themselves are left out."""
-    spark = entries.sparkSession
-    # What is aggregated by bucket is written before it is joined, so that adaptive execution can split a hot bucket.
-    sizes = materialize(spark, entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
-    held = materialize(spark, entries.join(sizes, "bucket"), "entries")
+def heads(rounds, entries, guests):
+    """(bucket, last, again, led, node, head, own, guests) of every bucket of `entries` with something to compare.
+
+    Heads are one of the bucket's own nodes and up to two guests. The own head is a node that has not led its nodes yet, with the largest buckets in all,
+    which an original shares with most of its edited copies; ties go to the least id. `guests` has (bucket, guest, similarity), nodes that do not go on
+    themselves: the least similar one and one by hash are asked. Tables that are aggregated by bucket are written before they are joined, so
+    that adaptive execution can split a hot bucket.
+    """
+    sizes = rounds.write(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    asked = F.array_distinct(F.array(F.min(F.struct("similarity", "guest"))["guest"], F.min(F.struct(F.xxhash64("bucket", "guest").alias("h"), "guest"))["guest"]))
+    guests = rounds.write(guests.groupBy("bucket").agg(asked.alias("guests")), "guests")
+    held = entries.join(sizes, "bucket").join(guests, "bucket", "left").where("n > 1 OR guests IS NOT NULL")
+    held = rounds.write(held, "entries")
+    rounds.drop(sizes, guests)
     weight = held.groupBy("node").agg(F.sum("n").alias("weight"))
-    ranked = held.join(weight, "node").groupBy("bucket").agg(F.min(F.struct(-F.col("weight"), "node")).alias("c")).select("bucket", F.col("c.node").alias("centre"))
-    ranked = materialize(spark, ranked, "centres")
-    return materialize(spark, held.drop("n").join(ranked, "bucket").where("node <> centre"), "stars")
+    own = held.where("n > 1").join(weight, "node").groupBy("bucket").agg(F.min(F.struct("led", -F.col("weight"), "node")).alias("c")).select("bucket", F.col("c.node").alias("own"))
+    own = rounds.write(own, "centres")
+    named = F.array_compact(F.concat(F.array("own"), F.coalesce("guests", F.array().cast("array<bigint>"))))
+    both = held.join(own, "bucket", "left")
+    out = rounds.write(both.select("bucket", "last", "again", "led", "node", "own", "guests", F.explode(named).alias("head")).where("node <> head"), "members")
+    rounds.drop(held, own)
+    return out
 
 
 def banded_links(bands, prepare, compare, similarity):
     """(a, b) of alike nodes among those that share a band; `bands` has distinct (node, band, key).
 
-    First, in each bucket all nodes are compared with the centre only. Those unlike it go on in buckets of one band more (this one and a later one),
-    with new centres, until no bucket holds two of them: as many levels as there are bands at most, and pairs in proportion to bucket entries.
-    Then `open_pairs` compares what that left open in the first buckets, so that every two nodes of a bucket end in one component or are known to
-    be unlike. `prepare(nodes)` is called once with the candidates, `compare(pairs)` gives (a, b, similarity) of every (a, b); 1 - similarity
-    has to be a metric.
+    In each bucket all nodes are compared with its heads only: one of its own nodes and, from the second round on, two guests. Nodes like a head are
+    linked and leave; those unlike every head stay open. Open nodes of a bucket meet there again with new heads, AGAIN times; where they
+    are many they also go on in finer buckets (one later band more, FINER times). Guests are nodes that left, as an open node may still be like a node that
+    is like the head: the least similar to its head is the likeliest; in a finer bucket it is one that shares the finer band. So compared pairs are in
+    proportion to bucket entries. What this leaves out of all pairs of a bucket is measured in README. `prepare(nodes)` is called once with
+    the candidates, `compare(pairs)` gives (a, b, similarity) of every (a, b).
     """
     spark = bands.sparkSession
-    bands = materialize(spark, bands, "bands")
-    level, found, first = bands.select("node", F.xxhash64("band", "key").alias("bucket"), F.col("band").alias("last")), [], None
+    rounds = Rounds(spark)
+    bands = rounds.write(bands, "bands")
+    level = bands.select("node", F.xxhash64("band", "key").alias("bucket"), F.col("band").alias("last"), F.lit(0).alias("again"), F.lit(0).alias("led"))
+    guests, found, older = spark.createDataFrame([], "bucket long, guest long, similarity double"), [], []
+    empty = guests
     while True:
-        members = stars(level)
+        members = heads(rounds, level, guests)
         if members.isEmpty():
             break
-        if first is None:
-            first = members
-            prepare(members.select("node").union(members.select("centre")).distinct())
-        done = materialize(spark, compare(members.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()).select("a", "b", "similarity"), "compared")
-        found.append(done)
-        close = done.where(F.col("similarity") >= similarity)
-        rest = members.join(close.select(F.col("a").alias("centre"), F.col("b").alias("node")), ["centre", "node"], "left_anti").select("node", "bucket", "last")
-        level = rest.join(bands, "node").where("band > last").select("node", F.xxhash64("bucket", "band", "key").alias("bucket"), F.col("band").alias("last"))
-    if first is None:
+        if not found:
+            prepare(members.select("node").union(members.select("head")).distinct())
+        done = materialize(spark, compare(members.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()).select("a", "b", "similarity"), "compared")
+        found.append(done.where(F.col("similarity") >= similarity).select("a", "b"))
+        told = members.join(done.select(F.col("a").alias("head"), F.col("b").alias("node"), "similarity"), ["head", "node"])
+        led = F.max(F.greatest("led", (F.col("node").eqNullSafe(F.col("own"))).cast("int"))).alias("led")
+        best = told.groupBy("bucket", "node", "last", "again").agg(F.max("similarity").alias("similarity"), led)
+        asked = members.select("bucket", F.explode("guests").alias("guest")).distinct()
+        # An own head without a guest was compared as a head alone; it is open as long as others are.
+        alone = members.where("guests IS NULL").select("bucket", F.col("own").alias("node"), "last", "again").distinct().select("*", F.lit(-1.0).alias("similarity"), F.lit(1).alias("led"))
+        best = rounds.write(best.unionByName(alone), "best")
+        unlike = best.where(F.col("similarity") < similarity)
+        count = rounds.write(unlike.groupBy("bucket").agg(F.count(F.lit(1)).alias("left"), F.min("led").alias("fresh")).where("fresh = 0").drop("fresh"), "open")
+        rest = rounds.write(unlike.join(count, "bucket").select("node", "bucket", "last", "again", "left", "led"), "rest")
+        gone = best.where(F.col("similarity") >= similarity).select("bucket", F.col("node").alias("guest"), "similarity", "again")
+        gone = gone.join(count, "bucket", "left_semi")
+        waiting = guests.join(asked, ["bucket", "guest"], "left_anti").join(count, "bucket", "left_semi").select("bucket", "guest", "similarity", F.lit(1).alias("again"))
+        gone = rounds.write(gone.unionByName(waiting), "gone")
+        stay = F.xxhash64("bucket", F.lit("again"))
+        finer = F.xxhash64("bucket", "band", "key")
+        level = rest.where(F.col("again") < AGAIN).select("node", stay.alias("bucket"), "last", (F.col("again") + 1).alias("again"), "led")
+        later = empty.select("bucket", "bucket", "guest", "similarity").toDF("of", "bucket", "guest", "similarity")
+        if len(found) <= FINER:
+            many = rest.where((F.col("left") > SMALL) & (F.col("again") == 0))
+            level = level.union(many.join(bands, "node").where("band > last").select("node", finer.alias("bucket"), F.col("band").alias("last"), "again", F.lit(0).alias("led")))
+            later = gone.where("again = 0").join(bands.withColumnRenamed("node", "guest"), "guest").join(
+                many.select("bucket", "last").distinct(), "bucket").where("band > last").select("bucket", finer.alias("finer"), "guest", "similarity").toDF("of", "bucket", "guest", "similarity")
+        level = rounds.write(level, "level")
+        guests = rounds.write(gone.select(stay.alias("bucket"), "guest", "similarity").union(later.select("bucket", "guest", "similarity")), "pool")
+        rounds.drop(members, best, count, rest, gone, *older)
+        older = [level, guests]
+    rounds.end()
+    if not found:
         return spark.createDataFrame([], "a long, b long")
-    pairs = open_pairs(first, found, similarity)
-    out = materialize(spark, compare(pairs).select("a", "b", "similarity"), "compared").where(F.col("similarity") >= similarity).select("a", "b")
-    for f in found:
-        out = out.union(f.where(F.col("similarity") >= similarity).select("a", "b"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
     return out
-
-
-def open_pairs(members, compared, similarity):
-    """(a, b) of the pairs of nodes of a bucket of `members` that `compared` leaves open.
-
-    Open are two nodes in different components of the links so far whose similarities to their bucket's centre differ by no more than the triangle
-    inequality allows to alike nodes. Of two such nodes one at least is unlike the centre; so the copies of an original, which are alike to it or
-    already in its component, are not paired with each other.
-    """
-    spark = members.sparkSession
-    links = compared[0]
-    for c in compared[1:]:
-        links = links.union(c)
-    roots = components(links.where(F.col("similarity") >= similarity).select("a", "b"))
-    known = compared[0].select(F.col("a").alias("centre"), F.col("b").alias("node"), "similarity")
-    held = members.select("bucket", "node", "centre").join(known, ["centre", "node"]).join(roots, "node", "left").select(
-        "bucket", "node", F.coalesce("root", "node").alias("root"), "similarity")
-    held = materialize(spark, held, "held")
-    other = held.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "similarity")])
-    near = F.abs(F.col("similarity") - F.col("other_similarity")) <= 1 - similarity + 1e-9
-    once = (F.col("other_similarity") >= similarity) | (F.col("node") < F.col("other_node"))
-    pairs = held.where(F.col("similarity") < similarity).join(other, "bucket").where((F.col("root") != F.col("other_root")) & near & once)
-    pairs = pairs.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
-    return materialize(spark, pairs.join(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "open")
