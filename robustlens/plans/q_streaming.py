@@ -8,15 +8,18 @@ from ..streaming import jobs
 from . import bindings as b
 from .q_aggregates import _GM, _GP, outcomes, rounded
 from .registry import query
-from .sqlkit import R
+from .sqlkit import H, R
 
 FILES = 4   # input files per stream, one per micro-batch
 
 
-def feed(spark, df, schema):
-    """JSON folder with a few files and a stream over it, one file per batch."""
+def feed(spark, df, schema, closing=None):
+    """JSON folder with a few files and a stream over it, one file per batch. `closing` is the time `at` of a last row without a key, which moves the
+    watermark on so that timers fire."""
     path = scratch_path(spark, "feed")
     sinks.write_jsonl(df.repartition(FILES), path)
+    if closing:
+        spark.sql(f"SELECT CAST('{closing}' AS TIMESTAMP) AS at, CAST(1 AS BIGINT) AS expected, false AS changed").coalesce(1).write.mode("append").json(path)
     return jobs.json_stream(spark, path, schema, 1)
 
 
@@ -60,9 +63,10 @@ def x04(spark, sf):
     t = outcomes(spark, sf, "order_id").select(F.col("order_id").alias("item_id"), "changed", F.col("loglik_drift").alias("margin"), "family")
     # one item in ten waits for one variant more than will come
     expected = t.groupBy("item_id").agg(F.count("*").alias("k")).select("item_id", (F.col("k") + (F.col("item_id") % 10 == 3).cast("long")).alias("expected"))
-    s = feed(spark, t.join(expected, "item_id"), "item_id BIGINT, changed BOOLEAN, margin DOUBLE, family STRING, expected BIGINT")
-    jobs.write_partials(s, jobs.item_partials, out, cp).awaitTermination()
-    items = jobs.merge_items(spark.read.parquet(f"{out}/*")).withColumn("flipped_types", F.array_join("flipped_types", ","))
+    rows = t.join(expected, "item_id").withColumn("at", F.lit("2020-01-01 00:00:00").cast("timestamp"))
+    s = feed(spark, rows, "item_id BIGINT, changed BOOLEAN, margin DOUBLE, family STRING, expected BIGINT, at TIMESTAMP", closing="2020-01-02 00:00:00")
+    jobs.append_parquet(jobs.item_states(s, 3_600_000), out, cp).awaitTermination()
+    items = spark.read.parquet(out).where("item_id IS NOT NULL").withColumn("flipped_types", F.array_join("flipped_types", ","))
     return rounded(items, "flip_margin", "keep_margin")
 
 
@@ -77,14 +81,24 @@ def x05(spark, sf):
     return spark.read.parquet(out).groupBy("perturb", "base_ok").agg(F.count("*").alias("n"), r6(F.avg("conditional")).alias("conditional_rate"))
 
 
-_CAP = """WITH pt AS (SELECT concat(o_custkey % 2, CASE WHEN o_totalprice > 200000 THEN 1 ELSE 0 END) AS pattern FROM orders), c AS (SELECT pattern, count(*) AS k FROM pt GROUP BY 1)
-SELECT CAST(count(*) // 4 AS BIGINT) AS target, (SELECT sum(least(a.k, b.k)) FROM c a JOIN c b ON b.pattern = translate(a.pattern, '01', '10')) >= count(*) // 4 AS reached FROM orders"""
+_PATTERN = "concat(o_custkey % 2, CASE WHEN o_totalprice > 200000 THEN 1 ELSE 0 END)"
+_PARTS, _TARGET = 8, 400     # files of the feed, each with the orders of one remainder, and items wanted
 
 
-@query("x06_early_stop", _CAP)
+@query("x06_early_stop", f"""WITH ap AS (SELECT o_orderkey AS item_id, {_PATTERN} AS pattern, o_orderkey % {_PARTS} AS part FROM orders),
+ac AS (SELECT f, pattern, count(*) AS k FROM ap JOIN (SELECT unnest(range({_PARTS})) AS f) r ON part <= f GROUP BY f, pattern),
+st AS (SELECT coalesce(min(f), {_PARTS - 1}) AS f FROM (SELECT a.f, sum(least(a.k, o.k)) AS capacity FROM ac a JOIN ac o ON a.f = o.f AND o.pattern = translate(a.pattern, '01', '10') GROUP BY a.f) WHERE capacity >= {_TARGET}),
+pt AS (SELECT item_id, pattern FROM ap WHERE part <= (SELECT f FROM st)), ct AS (SELECT pattern, count(*) AS k FROM pt GROUP BY 1),
+cp AS (SELECT a.pattern, least(a.k, o.k) AS capacity FROM ct a JOIN ct o ON o.pattern = translate(a.pattern, '01', '10')),
+hd AS (SELECT *, sum(capacity) OVER (ORDER BY {H(3, 'pattern')}, pattern) - capacity AS before, floor(least({_TARGET}, 2 * sum(capacity) OVER ()) / 2) AS room FROM cp WHERE pattern < translate(pattern, '01', '10')),
+q AS (SELECT pattern, greatest(least(capacity, room - before), 0) AS quota FROM hd), q2 AS (SELECT * FROM q UNION ALL SELECT translate(pattern, '01', '10'), quota FROM q),
+rn AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY {H(3, 'item_id')}, item_id) AS rn FROM pt)
+SELECT item_id, pattern, (SELECT CAST(sum(capacity) AS BIGINT) FROM cp) AS capacity FROM rn JOIN q2 USING (pattern) WHERE rn <= quota""")
 def x06(spark, sf):
     out, cp = paths(spark, "balanced")
-    p = b.table(spark, sf, "orders").selectExpr("concat(o_custkey % 2, CASE WHEN o_totalprice > 200000 THEN 1 ELSE 0 END) AS pattern")
-    total = b.table(spark, sf, "orders").count()
-    capacity = jobs.until_balanced(spark, feed(spark, p, "pattern STRING"), total // 4, out, cp)
-    return b.table(spark, sf, "orders").agg(F.floor(F.count("*") / 4).alias("target")).withColumn("reached", F.lit(capacity) >= F.col("target"))
+    rows = b.table(spark, sf, "orders").selectExpr("o_orderkey AS item_id", f"{_PATTERN} AS pattern")
+    feeds = scratch_path(spark, "feed")
+    for part in range(_PARTS):      # files are read in the order of their times
+        rows.where(F.col("item_id") % _PARTS == part).coalesce(1).write.mode("append").json(feeds)
+    capacity, items = jobs.until_balanced(spark, jobs.json_stream(spark, feeds, "item_id BIGINT, pattern STRING", 1), _TARGET, out, cp)
+    return items.withColumn("capacity", F.lit(capacity).cast("long"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import overlap, quadratic_overlap
 from ..operators.joins import with_filters
+from ..operators.topk import balanced_sample, salted_row_number
 from ..operators.trials import with_outcomes
 
 
@@ -70,20 +71,53 @@ def last_batch(spark, out):
     return d.where(F.col("batch_id") == d.agg(F.max("batch_id").alias("b")).select("b").scalar()).drop("batch_id")
 
 
-def item_partials(df):
-    """Partial fold of the variants of every item in a batch (X04): counts, margin sums and the perturbation types that flipped it."""
-    hit = F.col("changed")
-    return df.groupBy("item_id").agg(
-        F.count("*").alias("n"), F.count_if(hit).alias("flips"), F.sum(F.when(hit, F.col("margin"))).alias("sum_flip"), F.sum(F.when(~hit, F.col("margin"))).alias("sum_keep"),
-        F.max("expected").alias("expected"), F.collect_set(F.when(hit, F.col("family"))).alias("types"))   # as many as there are perturbation types
+ITEM_ROW = ("item_id LONG, n LONG, flips LONG, flip_margin DOUBLE, keep_margin DOUBLE, any_flip BOOLEAN, flipped_types ARRAY<STRING>, complete BOOLEAN")
+_ITEM_STATE = "n LONG, flips LONG, sum_flip DOUBLE, sum_keep DOUBLE, expected LONG, types STRING, last LONG"
 
 
-def merge_items(partials):
-    """Items from the batches' partial folds: margins, flip flags by type, and whether all expected variants have come; a late variant counts too."""
-    g = partials.groupBy("item_id").agg(*[F.sum(c).alias(c) for c in ("n", "flips", "sum_flip", "sum_keep")], F.max("expected").alias("expected"),
-                                        F.array_sort(F.array_distinct(F.flatten(F.collect_list("types")))).alias("flipped_types"))   # one short array a batch
-    return g.select("item_id", "n", "flips", F.try_divide("sum_flip", "flips").alias("flip_margin"), F.try_divide(F.col("sum_keep"), F.col("n") - F.col("flips")).alias("keep_margin"),
-                    (F.col("flips") > 0).alias("any_flip"), "flipped_types", (F.col("n") >= F.col("expected")).alias("complete"))
+def item_states(stream, wait_ms, late="1 hour"):
+    """Items of a stream of variants (item_id, changed, margin, family, expected, at), each as it is finished.
+
+    State per item: counts, margin sums, the perturbation types that flipped it and the time of its last variant. An item leaves in the micro-batch
+    that brings its last expected variant (complete), or, where some never come, once the watermark on `at` has passed its last variant by
+    `wait_ms` (incomplete, by its timer). A variant that comes after its item has left opens the item anew, with its own timer; so an item's
+    rows add up to its variants. The watermark follows the greatest `at` by `late`; a variant that is not after it is dropped, as in every
+    windowed stream. A restart from the checkpoint goes on with the same state. Memory follows one item's types, not its variants.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def fold(key, batches, state):
+        import pandas as pd
+
+        def leave(n, flips, sum_flip, sum_keep, types, complete):
+            return pd.DataFrame({"item_id": pd.array([key[0]], "Int64"), "n": [n], "flips": [flips], "flip_margin": [sum_flip / flips if flips else float("nan")],
+                                 "keep_margin": [sum_keep / (n - flips) if n > flips else float("nan")], "any_flip": [flips > 0], "flipped_types": [types.split("\x1f") if types else []], "complete": [complete]})
+
+        if state.hasTimedOut:
+            n, flips, sum_flip, sum_keep, expected, types, _ = state.get
+            state.remove()
+            yield leave(n, flips, sum_flip, sum_keep, types, False)
+            return
+        n, flips, sum_flip, sum_keep, expected, types, last = state.get if state.exists else (0, 0, 0.0, 0.0, 0, "", 0)
+        kinds = set(types.split("\x1f")) - {""}
+        for df in batches:
+            hit = df["changed"].fillna(False).astype(bool)
+            n, flips = n + len(df), flips + int(hit.sum())
+            sum_flip, sum_keep = sum_flip + float(df.loc[hit, "margin"].sum()), sum_keep + float(df.loc[~hit, "margin"].sum())
+            expected = max(expected, int(df["expected"].fillna(0).max()))
+            kinds |= set(df.loc[hit, "family"].dropna())
+            last = max(last, int(df["at"].max().timestamp() * 1000))
+        types = "\x1f".join(sorted(kinds))
+        if n >= expected:
+            if state.exists:
+                state.remove()
+            yield leave(n, flips, sum_flip, sum_keep, types, True)
+        else:
+            state.update((n, flips, sum_flip, sum_keep, expected, types, last))
+            state.setTimeoutTimestamp(max(last + wait_ms, state.getCurrentWatermarkMs() + 1))
+
+    keyed = stream.withWatermark("at", late).groupBy("item_id")
+    return keyed.applyInPandasWithState(fold, ITEM_ROW, _ITEM_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def append_parquet(stream, out, checkpoint):
@@ -97,24 +131,51 @@ def with_baseline(stream, baseline, tau):
         "conditional", F.when(F.col("base_ok"), (F.col("value") >= tau).cast("double")))
 
 
-def until_balanced(spark, stream, target, out, checkpoint):
-    """Consume pattern batches until the balanced capacity reaches the target, then stop the query.
+class _Enough(Exception):
+    pass
+
+
+def until_balanced(spark, stream, target, out, checkpoint, seed=3, id_col="item_id"):
+    """Consume (item, pattern) batches until the balanced capacity reaches the target, and keep a sample of that size.
 
-    The running table is pattern counts only (2^levels rows per batch).
+    Every batch folds its rows into a bottom-k sketch: of each pattern the half target's worth of rows of lowest hash, and their running
+    counts, written under the batch's id from the folder before; a replayed batch writes the same. Once the capacity is reached every further batch is
+    refused before its rows are read, so what is consumed depends on the files' order alone, also after a restart. Returns (capacity, items):
+    the items are `topk.balanced_sample` over all rows consumed.
     """
-    reached = {"capacity": 0}
+    k, state = (target + 1) // 2, {"capacity": 0, "batch": None}
 
-    def save(df, batch_id):
-        df.groupBy("pattern").agg(F.count("*").alias("k")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        counts = spark.read.parquet(f"{out}/*").groupBy("pattern").agg(F.sum("k").alias("k"))
+    def capacity(counts):
         other = counts.select(F.translate("pattern", "01", "10").alias("pattern"), F.col("k").alias("o"))
-        cap = counts.join(other, "pattern").agg(F.coalesce(F.sum(F.least("k", "o")), F.lit(0)).alias("c")).first()["c"]
-        reached["capacity"] = int(cap)
+        return int(counts.join(other, "pattern").agg(F.coalesce(F.sum(F.least("k", "o")), F.lit(0)).alias("c")).first()["c"])
+
+    def save(df, batch_id):
+        before = f"{out}/batch={batch_id - 1}"
+        if batch_id and state["batch"] is None:        # a restart: what the checkpoint's last batch left
+            state.update(batch=batch_id - 1, capacity=capacity(spark.read.parquet(f"{before}/counts")))
+        if state["capacity"] >= target:
+            raise _Enough
+        counts, items = df.groupBy("pattern").agg(F.count("*").alias("k")), df.select(id_col, "pattern")
+        if batch_id:
+            counts = counts.unionByName(spark.read.parquet(f"{before}/counts")).groupBy("pattern").agg(F.sum("k").alias("k"))
+            items = items.unionByName(spark.read.parquet(f"{before}/items"))
+        here = f"{out}/batch={batch_id}"
+        salted_row_number(items, ["pattern"], seed, id_col).where(F.col("rn") <= k).drop("rn").write.mode("overwrite").parquet(f"{here}/items")
+        counts.write.mode("overwrite").parquet(f"{here}/counts")
+        state.update(batch=batch_id, capacity=capacity(spark.read.parquet(f"{here}/counts")))
+
     q = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    while not q.awaitTermination(0.2):
-        if reached["capacity"] >= target:
-            q.stop()
-            break
-    if q.exception() is not None and reached["capacity"] < target:
-        raise q.exception()
-    return reached["capacity"]
+    try:
+        q.awaitTermination()
+    except Exception:
+        if state["capacity"] < target:
+            raise
+    if state["batch"] is None:                         # nothing new to read: what an earlier run left, if there was one
+        folder = spark._jvm.org.apache.hadoop.fs.Path(out)
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        done = [int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        if not done:
+            return 0, spark.createDataFrame([], stream.select(id_col, "pattern").schema)
+        state.update(batch=max(done), capacity=capacity(spark.read.parquet(f"{out}/batch={max(done)}/counts")))
+    items = spark.read.parquet(f"{out}/batch={state['batch']}/items")
+    return state["capacity"], balanced_sample(items, target, seed, id_col)
