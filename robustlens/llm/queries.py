@@ -47,7 +47,8 @@ WITH v AS (
   SELECT vec_id AS id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS w FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.id AS query_id, v.id AS vec_id, CAST(list_inner_product(q.w, v.w) AS BIGINT) AS score FROM v q JOIN v ON q.id <> v.id WHERE q.id % 100 = 0),
+  SELECT q.id AS query_id, v.id AS vec_id, CAST(list_inner_product(q.w, v.w) AS BIGINT) AS score
+  FROM (SELECT id, min(w) AS w FROM v WHERE id % 100 = 0 GROUP BY id) q JOIN v ON q.id <> v.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """)

@@ -10,15 +10,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 SCALE = 1024
-LIMIT = 1 << 27          # weights beyond this are set to it, which keeps sums of 512 components inside a long
+_LONG = 1 << 63
 QUERY_BLOCK = 4096       # queries that a worker holds at once
 _AT_ONCE = 128           # queries whose score arrays are dense at once
 
 
 def integer_rows(vectors, key="vec_id", vector="embedding", scale=SCALE):
-    """(id, weights): floor(scale * component) in double precision; rows with a null vector or a null or non-finite component are left out."""
+    """(id, weights): floor(scale * component) in double precision; rows with a null vector or a null or non-finite component are left out. A weight
+    that does not fit into a long fails the job."""
     finite = F.col(vector).isNotNull() & F.forall(vector, lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False)))
-    weight = lambda x: F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.floor(F.lit(float(scale)) * x.cast("double"))))
+    scaled = lambda x: F.lit(float(scale)) * x.cast("double")
+    weight = lambda x: F.when(F.abs(scaled(x)) < F.lit(float(_LONG)), F.floor(scaled(x))).otherwise(F.raise_error(F.lit("a weight does not fit into a long")).cast("long"))
     return vectors.where(finite & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.transform(vector, weight).cast("array<long>").alias("w"))
 
 
@@ -44,24 +46,40 @@ class Queries:
             self.weights[k, :len(w)] = w
 
     def best(self, ids, offsets, weights, k):
-        """(query number, row, score) of the k best rows of each query, the query's own id left out; ties go to the smaller id."""
+        """(query number, row, score) of the k best rows of each query, the query's own id left out; ties go to the smaller id.
+
+        Where sums might leave 64 bits they are taken in whole numbers of any length; a score that does not fit into a long then raises.
+        """
+        most = np.zeros(self.dims)
         order = np.argsort(ids, kind="stable")
         rank = np.empty(len(ids), np.int64)
         rank[order] = np.arange(len(ids))
         sorted_ids = ids[order]
         lists = [(t, rank[r], w) for t, r, w in postings(offsets, weights) if t < self.dims]
+        for t, _, w in lists:
+            most[t] = np.abs(w.astype(float)).max()
         for a in range(0, len(self.ids), _AT_ONCE):
             q = self.weights[a:a + _AT_ONCE]
-            score = np.zeros((len(q), len(ids)), np.int64)
+            wide = len(q) and (np.abs(q.astype(float)) @ most).max() >= _LONG / 4
+            kind = object if wide else np.int64
+            q = q.astype(kind)
+            score = np.zeros((len(q), len(ids)), kind)
             for t, r, w in lists:
+                w = w.astype(kind)
                 some = np.flatnonzero(q[:, t])
                 if len(some) == len(q) and len(r) == len(ids):
-                    dense = np.empty(len(ids), np.int64)
+                    dense = np.empty(len(ids), kind)
                     dense[r] = w
                     score += q[:, t, None] * dense
                 elif len(some):
                     score[some[:, None], r[None, :]] += q[some, t, None] * w
             lo, hi = (np.searchsorted(sorted_ids, self.ids[a:a + len(q)], side) for side in ("left", "right"))
+            if wide:
+                for i in range(len(q)):
+                    score[i, lo[i]:hi[i]] = 0      # no candidates
+                if score.size and max(abs(score.max()), abs(score.min())) >= _LONG:
+                    raise OverflowError("a score does not fit into a long")
+                score = score.astype(np.int64)
             for i in range(len(q)):
                 own = np.iinfo(np.int64).min
                 score[i, lo[i]:hi[i]] = own

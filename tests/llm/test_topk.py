@@ -34,3 +34,19 @@ def test_empty(spark):
     assert topk.search(df, df).count() == 0
     one = topk.integer_rows(spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>"))
     assert topk.search(one, one).count() == 0
+
+
+def test_large_components_are_not_cut(spark):
+    import pytest
+    rows = [(100, [1.0, 0.0]), (1, [200000.0, 0.5]), (2, [300000.0, -0.5]), (3, [2e9, 1.0]), (200, [3e5, 2e9])]
+    v = topk.integer_rows(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {(r.query_id, r.vec_id): (r["rank"], r.score) for r in topk.search(v.where("id = 100"), v, 10).collect()}
+    assert got == {(100, 3): (1, 1024 * 2048 * 10 ** 9), (100, 200): (2, 314572800000), (100, 2): (3, 314572800000), (100, 1): (4, 209715200000)} or \
+        got == {(100, 3): (1, 1024 * 2048 * 10 ** 9), (100, 2): (2, 314572800000), (100, 200): (3, 314572800000), (100, 1): (4, 209715200000)}
+    assert got[100, 2][0] < got[100, 200][0]          # equal scores by the smaller id
+    wide = topk.integer_rows(spark.createDataFrame([(100, [3e6] * 2), (1, [3e6, -3e6]), (2, [2e6, -1e6])], "vec_id long, embedding array<double>"))
+    assert [(r.vec_id, r.score) for r in topk.search(wide.where("id = 100"), wide, 2).orderBy("rank").collect()] == [(2, 1024 ** 2 * 3 * 10 ** 12), (1, 0)]
+    with pytest.raises(Exception, match="does not fit into a long"):
+        topk.search(wide.where("id = 100"), wide.where("id = 100").selectExpr("id + 1 AS id", "w"), 2).collect()
+    with pytest.raises(Exception, match="does not fit into a long"):
+        topk.integer_rows(spark.createDataFrame([(1, [1e300])], "vec_id long, embedding array<double>")).collect()
