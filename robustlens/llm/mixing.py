@@ -75,6 +75,12 @@ def schedule(plan):
     return materialize(plan.sparkSession, rows.where("b > 0"), "schedule")
 
 
+def _hashable(docs, name):
+    """A column as what can be hashed: maps, alone or inside, by their JSON text."""
+    column = F.col(f"`{name}`")
+    return F.to_json(F.struct(column)) if "map<" in docs.schema[name].dataType.simpleString() else column
+
+
 def mix(docs, source="source", key="doc_id", weights=None, block_docs=BLOCK_DOCS, resolution=RESOLUTION):
     """Every row of `docs` with mix_block (its block in its source), mix_slot (the block's place in the mix) and mix_pos (place in the block).
 
@@ -93,7 +99,7 @@ def mix(docs, source="source", key="doc_id", weights=None, block_docs=BLOCK_DOCS
         "__bucket", F.expr("(conv(substr(__order, 1, 8), 16, 10) * __buckets) div 4294967296L").cast("long")).drop("__buckets", "__source")
     counts = keyed.groupBy(F.col(source).alias("__source"), F.col("__bucket").alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
     before = counts.withColumn("__first", F.coalesce(F.sum("__n").over(Window.partitionBy("__source").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy(F.col(source), "__bucket").orderBy("__order", F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
+    inside = Window.partitionBy(F.col(source), "__bucket").orderBy("__order", F.xxhash64(*[_hashable(docs, c) for c in columns]))
     numbered = keyed.withColumn("__row", F.row_number().over(inside)).join(
         before.drop("__n"), same & (F.col("__bucket") == F.col("__b"))).withColumn("__row", F.col("__row") - 1 + F.col("__first")).drop("__first", "__b", "__bucket", "__source")
     block = F.expr(f"__row div {block_docs}")

@@ -56,3 +56,20 @@ def test_stages_in_turn(spark, tmp_path):
 def test_run_equals_the_stages(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert got.count() > 100 and {"doc_id", "text", "lang", "source", "n_chars", "mix_slot"} <= set(got.columns)
+
+
+def test_clashing_columns_and_empty_tables(spark):
+    from robustlens.llm import mixing, passages
+    words = "it is said that the people of the town were not there when the long day came to an end and that they had all gone away from us"
+    rows = [(i, f"{words} {words} number {i % 2}", "en", "s", 1, "mine", 2.5, "g", {"a": 1}) for i in range(6)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score double, __gone string, m map<string,int>"
+    docs = spark.createDataFrame(rows, schema)
+    named = corpus_pipeline.language_stage(spark, docs, None)
+    assert named.columns == docs.columns and {(r.lang_pred, r.score) for r in named.collect()} <= {("mine", 2.5)}
+    cut = passages.drop_repeats(docs)
+    assert cut.columns == docs.columns and {r["__gone"] for r in cut.collect()} == {"g"}
+    assert sorted(r.doc_id for r in mixing.mix(docs).collect()) == list(range(6))
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "decontamination":
+            assert stage(spark, none, None).count() == 0
