@@ -7,9 +7,10 @@ MIN_SCORE = 0.05     # a language is rejected below it; texts without a letter a
 def language_stage(spark, docs, sf_dir):
     """Documents whose language is told: `und` and those of almost no score go."""
     model = language.fit(docs)
-    named = language.identify(docs.withColumnRenamed("score", "__score") if "score" in docs.columns else docs, model)
+    own = {c: c + "_" * (1 + max(len(x) for x in docs.columns)) for c in ("lang_pred", "score") if c in docs.columns}     # columns that the stage's own would replace
+    named = language.identify(docs.withColumnsRenamed(own), model)
     kept = named.where((named.lang_pred != language.UNKNOWN) & (named.score >= MIN_SCORE)).drop("lang_pred", "score")
-    return (kept.withColumnRenamed("__score", "score") if "score" in docs.columns else kept).select(docs.columns)
+    return kept.withColumnsRenamed({v: k for k, v in own.items()}).select(docs.columns)
 
 
 def near_duplicate_stage(spark, docs, sf_dir):
