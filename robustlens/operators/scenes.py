@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import hash_hex, hash_int
 from ..functions.wordlists import ATTRIBUTE_CATEGORIES, OPPOSITE_RELATION, attribute_category
+from ..session import materialize
 
 
 def map_of(d):
@@ -32,17 +33,22 @@ def named_pair_counts(objects, named):
     return j.select("scene", "subject_name", "target_name", (F.col("ns") * F.col("nt") - same * F.col("ns")).alias("n_pairs"))
 
 
+NAME_RANGES = 256        # ranges of the sorted vocabulary, each ranked by its own task
+
+
 def name_ranks(objects):
-    """Alphabetical 0-based rank of every distinct name.
+    """Alphabetical 0-based rank of every distinct name; null has none.
 
-    Distinct names split on their first two characters; offsets come from the prefix counts, so the
-    ordered windows see one prefix at a time.
+    Spark's range partitioning draws the splitters from a sample of the names, so any common prefix spreads; the ranges are written once, and a range's
+    offset comes from the NAME_RANGES counts.
     """
-    names = objects.select("name").distinct().withColumn("p", F.substring("name", 1, 2))
-    sizes = names.groupBy("p").agg(F.count("*").alias("n"))
-    offs = sizes.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("off"))
-    rn = F.row_number().over(Window.partitionBy("p").orderBy("name")) - 1
-    return names.withColumn("rn", rn).join(offs, "p").select("name", (F.col("off") + F.col("rn")).alias("rk"))
+    names = objects.select("name").where("name IS NOT NULL").distinct().repartitionByRange(NAME_RANGES, "name")
+    names = materialize(objects.sparkSession, names.withColumn("range_no", F.spark_partition_id()), "names")
+    sizes = names.groupBy("range_no").agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct("range_no", "n"))).alias("s"))
+    before = F.expr("transform(s, (x, i) -> named_struct('range_no', x.range_no, 'off', aggregate(slice(s, 1, i), 0L, (a, y) -> a + y.n)))")
+    offs = sizes.select(F.explode(before).alias("o")).select("o.range_no", "o.off")
+    rn = F.row_number().over(Window.partitionBy("range_no").orderBy("name")) - 1
+    return names.withColumn("rn", rn).join(offs, "range_no").select("name", (F.col("off") + F.col("rn")).alias("rk"))
 
 
 def negative_names(objects, seed):
