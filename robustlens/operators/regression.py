@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from ..functions.pvalues import t_sf2
 from ..session import materialize
-from .trials import complete_cases
+from .stats import marginal_relationships
+from .trials import complete_cases, level_views
 
 
 def _pairs(k):
@@ -278,3 +279,12 @@ def vif(df, keys, xs):
                     out.append([*[r[c] for c in keys], xs[i], int(r["n"]), 1 / max(1e-12, 1 - r2) if r["n"] >= 3 else 1.0, pair])
             yield pd.DataFrame(out, columns=[f.name for f in schema])
     return g.mapInPandas(run, schema)
+
+
+def horse_race_view(df, view, predictors, y, cluster):
+    """What a view of the horse race reports: the marginal relationships for `primary`, else (fit, coefficients) of the pooled and the within-cluster fit."""
+    rows = level_views(df).where(F.col("view") == view)
+    if view == "primary":
+        return marginal_relationships(rows, predictors, y)
+    pooled = fit(rows, predictors, y, cluster).withColumn("fit", F.lit("pooled"))
+    return pooled.unionByName(fit(rows, predictors, y, cluster, within=True).withColumn("fit", F.lit("within_item")))

@@ -292,6 +292,32 @@ def bootstrap_ci(units, keys, unit_cols, statistic, n_boot=1000, ci=0.95, seed=4
     return g.join(own, keys) if keys else g.withColumn("estimate", own.scalar())
 
 
+def slope_trend(df, group, x, y, n_boot=1000, ci=0.95, seed=42):
+    """`slope_summary` with the bootstrap interval of the mean slope, the groups being the resampled units; a single group's interval is its slope."""
+    slopes = materialize(df.sparkSession, group_slopes(df, group, x, y), "slopes")
+    units = slopes.select(group, F.col("slope").alias("s"), F.lit(1).alias("n"))
+    bounds = bootstrap_ci(units, [], [group], "mean", n_boot, ci, seed).select(F.struct("ci_lower", "ci_upper")).scalar()
+    out = slope_summary(slopes).withColumn("_ci", bounds)
+    for c in ("ci_lower", "ci_upper"):
+        out = out.withColumn(f"slope_{c}", F.when(F.col("n_groups") > 1, F.col(f"_ci.{c}")).otherwise(F.col("mean_slope")))
+    return out.drop("_ci")
+
+
+def marginal_relationships(df, predictors, y, level="level_no"):
+    """Every predictor against `y` on its own: Pearson r with its Fisher interval, Spearman rho and Kendall's tau of the level means."""
+    z = F.explode(F.array(*[F.struct(F.lit(p).alias("predictor"), F.col(p).alias("x")) for p in predictors]))
+    p = df.select(F.col(level).alias("level_no"), F.col(y).alias("y"), z.alias("z")).select("level_no", "y", "z.*")
+    c = pearson(p, ["predictor"], "x", "y")
+    lo, hi = fisher_ci(F.col("r"), F.col("n"))
+    sp = spearman(p, ["predictor"], "x", "y").select("predictor", F.col("rho").alias("spearman_rho"))
+    m = p.groupBy("predictor", "level_no").agg(F.round(F.avg("x"), 9).alias("mx"), F.round(F.avg("y"), 9).alias("my"))
+    pts = F.col("pts")
+    taus = ladder(m, ["predictor"], "level_no", "mx", "my").select(
+        "predictor", kendall_tau(pts, "ord", "my").alias("tau_level_target"), kendall_tau(pts, "ord", "mx").alias("tau_level_predictor"),
+        kendall_tau(pts, "mx", "my").alias("tau_predictor_target"))
+    return c.select("predictor", "n", F.col("r").alias("pearson_r"), lo.alias("ci_lower"), hi.alias("ci_upper")).join(sp, "predictor").join(taus, "predictor")
+
+
 # --- matched fixed effects ---------------------------------------------------------------------------
 def unit_sums(df, unit, x, y, min_levels=2, level="level_no", extra=()):
     """Centred sums of squares of every matched unit with enough distinct levels (at most eight exist)."""

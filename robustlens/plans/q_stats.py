@@ -196,11 +196,12 @@ def t11(spark, sf):
     return rows.select("item_id", "level_no", "perturbation", r6("residual").alias("residual")).withColumn("r_squared", r6(r2))
 
 
-@query("t12_within_group_slopes", f"""{b.T()}, g AS (SELECT item_id, count(*) AS n, regr_slope(loglik_drift, csem) AS b, avg(csem) AS mx, avg(loglik_drift) AS my, CASE WHEN count(*) >= 3 AND min(loglik_drift) < max(loglik_drift) THEN {CORR('csem', 'loglik_drift')} END AS r FROM tr GROUP BY 1 HAVING min(csem) < max(csem))
-, q AS (SELECT count(*) AS n, avg(b) / (stddev_samp(b) / sqrt(count(*))) AS t FROM g)
-SELECT CAST(count(*) AS BIGINT) AS n_groups, (SELECT {TP('q.t', 'q.n - 1')} FROM q) AS p_value, {R('avg(n)')} AS mean_points, {R('avg(b)')} AS mean_slope, {R('stddev_pop(b)')} AS std_slope, {R('avg(my - b * mx)')} AS mean_intercept, {R('coalesce(avg(r), 0)')} AS mean_within_r, {R('avg(b) / (stddev_samp(b) / sqrt(count(*)))')} AS t_stat FROM g""")
+@query("t12_within_group_slopes", f"""{b.T()}, g AS (SELECT item_id, count(*) AS n, regr_slope(loglik_drift, csem) AS b, avg(csem) AS mx, avg(loglik_drift) AS my, CASE WHEN count(*) >= 3 AND min(loglik_drift) < max(loglik_drift) THEN {CORR('csem', 'loglik_drift')} END AS r FROM tr GROUP BY 1 HAVING min(csem) < max(csem)),
+un AS (SELECT item_id, b AS s, 1 AS n FROM g), {BOOT('un', ['item_id'], ['s', 'n'], [])}, q AS (SELECT count(*) AS n, avg(b) / (stddev_samp(b) / sqrt(count(*))) AS t FROM g)
+SELECT CAST(count(*) AS BIGINT) AS n_groups, (SELECT {TP('q.t', 'q.n - 1')} FROM q) AS p_value, {R('avg(n)')} AS mean_points, {R('avg(b)')} AS mean_slope, {R('stddev_pop(b)')} AS std_slope, {R('avg(my - b * mx)')} AS mean_intercept, {R('coalesce(avg(r), 0)')} AS mean_within_r, {R('avg(b) / (stddev_samp(b) / sqrt(count(*)))')} AS t_stat,
+  (SELECT {R('quantile_cont(CAST(s / n AS DOUBLE), 0.025)')} FROM bd) AS slope_ci_lower, (SELECT {R('quantile_cont(CAST(s / n AS DOUBLE), 0.975)')} FROM bd) AS slope_ci_upper FROM g""")
 def t12(spark, sf):
-    out = st.slope_summary(st.group_slopes(outcomes(spark, sf), "item_id", "csem", "loglik_drift"))
+    out = st.slope_trend(outcomes(spark, sf), "item_id", "csem", "loglik_drift", _B, 0.95, _SEED)
     out = rounded(out.withColumn("p_value", pv.t_pvalue("t_stat", (F.col("n_groups") - 1).cast("double"))), *[c for c in out.columns if c != "n_groups"])
     return out.withColumn("p_value", p4(F.col("p_value")))
 
@@ -270,25 +271,26 @@ def t17(spark, sf):
 _PRED = ("csem", "cprompt", "hopt")
 
 
-@query("t18_marginal_relationships", f"""{b.T()}, p AS (SELECT 'csem' AS predictor, level_no, csem AS x, volatility AS y FROM tr WHERE level_no <= 4 UNION ALL SELECT 'cprompt', level_no, cprompt, volatility FROM tr WHERE level_no <= 4 UNION ALL SELECT 'hopt', level_no, hopt, volatility FROM tr WHERE level_no <= 4),
-c AS (SELECT predictor, count(*) AS n, {CORR('x', 'y')} AS r FROM p GROUP BY 1), k AS (SELECT predictor, {RK('x', 'predictor')} AS a, {RK('y', 'predictor')} AS b FROM p), sp AS (SELECT predictor, {CORR('a', 'b')} AS rho FROM k GROUP BY 1),
+_MARGINAL = f"""c AS (SELECT predictor, count(*) AS n, {CORR('x', 'y')} AS r FROM p GROUP BY 1), k AS (SELECT predictor, {RK('x', 'predictor')} AS a, {RK('y', 'predictor')} AS b FROM p), sp AS (SELECT predictor, {CORR('a', 'b')} AS rho FROM k GROUP BY 1),
 m AS MATERIALIZED (SELECT predictor, level_no, round(avg(x), 9) AS mx, round(avg(y), 9) AS my FROM p GROUP BY 1, 2), t1 AS {TAU('m', 'predictor', 'level_no', 'my')}, t2 AS {TAU('m', 'predictor', 'level_no', 'mx')}, t3 AS {TAU('m', 'predictor', 'mx', 'my')}
 SELECT c.predictor, CAST(n AS BIGINT) AS n, {R('r')} AS pearson_r, {R(_CI9.format(s='-'))} AS ci_lower, {R(_CI9.format(s='+'))} AS ci_upper, {R('rho')} AS spearman_rho,
   {R('CASE WHEN t1.tx * t1.ty > 0 THEN t1.s / sqrt(t1.tx * t1.ty) ELSE 0 END')} AS tau_level_target, {R('CASE WHEN t2.tx * t2.ty > 0 THEN t2.s / sqrt(t2.tx * t2.ty) ELSE 0 END')} AS tau_level_predictor, {R('CASE WHEN t3.tx * t3.ty > 0 THEN t3.s / sqrt(t3.tx * t3.ty) ELSE 0 END')} AS tau_predictor_target
-FROM c JOIN sp USING (predictor) JOIN t1 USING (predictor) JOIN t2 USING (predictor) JOIN t3 USING (predictor)""")
+FROM c JOIN sp USING (predictor) JOIN t1 USING (predictor) JOIN t2 USING (predictor) JOIN t3 USING (predictor)"""
+
+
+def points(predictors, cond):
+    return "p AS (" + " UNION ALL ".join(f"SELECT '{p}' AS predictor, level_no, {p} AS x, volatility AS y FROM tr WHERE {cond}" for p in predictors) + ")"
+
+
+@query("t18_marginal_relationships", f"{b.T()}, {points(_PRED, 'level_no <= 4')}, {_MARGINAL}")
 def t18(spark, sf):
-    t = outcomes(spark, sf).where("level_no <= 4")
-    z = F.explode(F.array(*[F.struct(F.lit(p).alias("predictor"), F.col(p).alias("x")) for p in _PRED]))
-    p = t.select("level_no", F.col("volatility").alias("y"), z.alias("z")).select("level_no", "y", "z.*")
-    c = st.pearson(p, ["predictor"], "x", "y")
-    lo, hi = st.fisher_ci(F.col("r"), F.col("n"))
-    sp = st.spearman(p, ["predictor"], "x", "y").select("predictor", F.col("rho").alias("spearman_rho"))
-    m = p.groupBy("predictor", "level_no").agg(F.round(F.avg("x"), 9).alias("mx"), F.round(F.avg("y"), 9).alias("my"))
-    lad = st.ladder(m, ["predictor"], "level_no", "mx", "my")
-    pts = F.col("pts")
-    taus = lad.select("predictor", st.kendall_tau(pts, "ord", "my").alias("tau_level_target"), st.kendall_tau(pts, "ord", "mx").alias("tau_level_predictor"),
-                      st.kendall_tau(pts, "mx", "my").alias("tau_predictor_target"))
-    out = c.select("predictor", "n", F.col("r").alias("pearson_r"), lo.alias("ci_lower"), hi.alias("ci_upper")).join(sp, "predictor").join(taus, "predictor")
+    out = st.marginal_relationships(outcomes(spark, sf).where("level_no <= 4"), _PRED, "volatility")
+    return rounded(out, *[x for x in out.columns if x not in ("predictor", "n")])
+
+
+@query("t19_primary_view", f"{b.T()}, {points(('csem', 'hopt'), 'level_no <= 4')}, {_MARGINAL}")
+def t19p(spark, sf):
+    out = rg.horse_race_view(outcomes(spark, sf), "primary", ["csem", "hopt"], "volatility", "item_id")
     return rounded(out, *[x for x in out.columns if x not in ("predictor", "n")])
 
 

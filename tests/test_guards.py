@@ -313,3 +313,39 @@ def test_weighted_correlations_equal_the_repeated_rows(spark):
             a = {tuple(r[:-1]): r[-1] for r in fn(full, keys, "x", "y").collect()}
             b = {tuple(r[:-1]): r[-1] for r in fn(d, keys, "x", "y", weight="k").collect()}
             assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+
+
+@pytest.mark.parametrize("span", [1, 7, 1024])
+def test_consecutive_masks_do_not_depend_on_ranges(spark, span):
+    r = np.random.default_rng(3)
+    rows = [(v, int(k), None if r.random() < 0.2 else [int(c) for c in np.flatnonzero(r.random(12) < 0.5)]) for v in ("a", "b") for k in sorted(r.choice(60, 25, False))] + [("c", 5, [1])]
+    want = {}
+    for v in ("a", "b"):
+        m = [x[2] for x in rows if x[0] == v]
+        ious = [0.0 if p is None or q is None or not set(p) | set(q) else len(set(p) & set(q)) / len(set(p) | set(q)) for p, q in zip(m, m[1:])]
+        want[v] = sum(ious) / len(ious)
+    d = spark.createDataFrame(rows, "video string, frame long, mask array<int>").repartition(5)
+    got = {x.video: x.id_stability for x in mk.id_stability(d, "video", "frame", span).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_name_ranks_with_one_common_prefix(spark):
+    names = [f"common prefix {i:05d}" for i in range(3000)]
+    d = spark.createDataFrame([(i % 40, n) for i, n in enumerate(names + names[:500] + [None])], "scene long, name string")
+    from robustlens.operators.scenes import name_ranks
+    ranks = name_ranks(d)
+    assert {r.name: r.rk for r in ranks.collect()} == {n: i for i, n in enumerate(sorted(names))}
+    parts = d.select("name").where("name IS NOT NULL").distinct().repartitionByRange(256, "name").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert parts < 100
+    assert name_ranks(d.where("false")).count() == 0
+
+
+def test_slope_trend_interval(spark):
+    r = np.random.default_rng(1)
+    rows = [(g, float(x), float((1 + 0.2 * r.standard_normal()) * x)) for g in range(200) for x in range(4)]
+    d = spark.createDataFrame(rows, "g long, x double, y double")
+    t = st.slope_trend(d, "g", "x", "y").first()
+    half = 1.96 * t.std_slope / np.sqrt(t.n_groups)
+    assert t.slope_ci_lower == pytest.approx(t.mean_slope - half, abs=half / 5) and t.slope_ci_upper == pytest.approx(t.mean_slope + half, abs=half / 5)
+    one = st.slope_trend(d.where("g = 1"), "g", "x", "y").first()
+    assert one.slope_ci_lower == one.slope_ci_upper == one.mean_slope
