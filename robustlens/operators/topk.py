@@ -5,10 +5,15 @@ from pyspark.sql import functions as F
 from ..functions.numeric import hash_hex
 
 
+TAKE_ORDERED = 10_000        # rows that one task merges and sorts
+
+
 def seeded_sample(df, n, seed, *keys):
-    """n rows in hash order (all of them if n <= 0 or n covers the table): a distributed take-ordered."""
+    """n rows in hash order (all of them if n <= 0 or n covers the table): a distributed take-ordered, beyond TAKE_ORDERED rows whole hash buckets."""
     if n <= 0:
         return df
+    if n > TAKE_ORDERED:
+        return seeded_quota(df, n, seed, *keys)
     h = hash_hex(seed, *keys)
     return df.withColumn("_h", h).orderBy("_h", *keys).limit(n).drop("_h")
 

@@ -167,7 +167,7 @@ def dirichlet_rows(spark, sf):
 
 @query("a11_dirichlet_correlations", f"{_DIR_SQL} " + " UNION ALL ".join(
     f"SELECT perturbation, '{lab}' AS subset, CAST(count(*) AS BIGINT) AS n, {R('coalesce(avg(delta_energy), 0)')} AS mean, {R('coalesce(stddev_samp(delta_energy), 0)')} AS std, "
-    f"{R(CORR('delta_energy', 'drift', 2, 'NULL'))} AS r_drift, {R(CORR('delta_energy', 'd_low', 2, 'NULL'))} AS r_low, {R(CORR('delta_energy', 'd_high', 2, 'NULL'))} AS r_high "
+    f"{R(CORR('delta_energy', 'drift', 2, 'NULL'))} AS r_drift, {R(CORR('delta_energy', 'd_low', 2, 'NULL'))} AS r_low, {R(CORR('delta_energy', 'd_high', 2, 'NULL'))} AS r_high, {R(CORR('delta_energy', 'ratio', 2, 'NULL'))} AS r_ratio "
     f"FROM dl WHERE {w} GROUP BY perturbation" for lab, w in (("all", "true"), ("flip", "is_flip"), ("non_flip", "NOT is_flip"))))
 def a11(spark, sf):
     d = dirichlet_rows(spark, sf)
@@ -176,7 +176,8 @@ def a11(spark, sf):
         F.count("*").alias("n"), r6(mean0("delta_energy")).alias("mean"), r6(sd0("delta_energy")).alias("std"),
         r6(safe_corr("delta_energy", "drift", 2, None)).alias("r_drift"),
         r6(safe_corr("delta_energy", "d_low", 2, None)).alias("r_low"),
-        r6(safe_corr("delta_energy", "d_high", 2, None)).alias("r_high"))
+        r6(safe_corr("delta_energy", "d_high", 2, None)).alias("r_high"),
+        r6(safe_corr("delta_energy", "ratio", 2, None)).alias("r_ratio"))
 
 
 @query("a14_level_summary", f"""{b.T()}, cell AS (SELECT level_no, item_id, max(clean_correct) AS c FROM tr GROUP BY 1, 2)

@@ -349,3 +349,18 @@ def test_slope_trend_interval(spark):
     assert t.slope_ci_lower == pytest.approx(t.mean_slope - half, abs=half / 5) and t.slope_ci_upper == pytest.approx(t.mean_slope + half, abs=half / 5)
     one = st.slope_trend(d.where("g = 1"), "g", "x", "y").first()
     assert one.slope_ci_lower == one.slope_ci_upper == one.mean_slope
+
+
+def test_large_seeded_sample_is_the_take_ordered_one(spark, monkeypatch):
+    from robustlens.operators import topk as tk
+    d = spark.range(5000).withColumnRenamed("id", "k")
+    small = {r.k for r in tk.seeded_sample(d, 1234, 5, "k").collect()}
+    monkeypatch.setattr(tk, "TAKE_ORDERED", 100)
+    assert {r.k for r in tk.seeded_sample(d, 1234, 5, "k").collect()} == small and len(small) == 1234
+
+
+def test_band_count_with_and_without_keys(spark):
+    d = spark.createDataFrame([("a", 8, 8), ("a", 10, 40), ("b", 30, 30), ("b", 30, 31)], "run string, h int, w int")
+    got = {r.run: (r.tokens, r.num_bands) for r in gr.band_count(d, "run").collect()}
+    assert got == {"a": (232.0, 6), "b": (915.0, 19)}
+    assert gr.band_count(d).first().tokens == 650.0
