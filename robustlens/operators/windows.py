@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
-_BUCKETS = 64
+_COARSE, _FINE = 16, 16      # a group's buckets: their product, or its distinct values if these are fewer
 
 
 def flip_threshold(trials, keys, cutoff="cutoff"):
@@ -16,20 +16,24 @@ def ordered_counts(df, value, keys=(), weight=None):
     """Distinct values per group with their count `k` and the 0-based position `first` of their first copy.
 
     Nulls and NaN have no place in an order and are left out. Values are counted first (map-side combined). Each group is then cut into order-preserving buckets at
-    its own approximate quantiles; the bucket counts give the offsets and
+    its own approximate quantiles, up to 256 of them and no more than it has values; the bucket counts give the offsets and
     a window runs inside one bucket only: neither a hot value nor a hot group ends up in a single task. `weight` counts rows folded before.
     """
     keys = list(keys)
     by = keys or ["_all"]
     df = df if keys else df.withColumn("_all", F.lit(0))
     counts = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, value).agg((F.sum(weight) if weight else F.count("*")).alias("k"))
-    probs = [i / _BUCKETS for i in range(1, _BUCKETS)]
-    cuts = F.percentile_approx(value, probs, 10 * _BUCKETS).alias("_cuts")
+    buckets = _COARSE * _FINE
+    cuts = F.array_distinct(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10 * buckets))
+    coarse = F.filter("_cuts", lambda q, i: (i + 1) % _FINE == 0).alias("_coarse")     # once a group, not once a value
     if keys:
-        c = counts.join(counts.groupBy(*by).agg(cuts), by)
+        c = counts.join(counts.groupBy(*by).agg(cuts.alias("_cuts")).select(*by, "_cuts", coarse), by)
     else:
-        c = counts.withColumn("_cuts", counts.agg(cuts).scalar())
-    c = c.withColumn("bkt", F.size(F.filter("_cuts", lambda q: q < F.col(value)))).drop("_cuts")
+        own = counts.agg(cuts.alias("_cuts")).select(F.struct("_cuts", coarse)).scalar()
+        c = counts.withColumn("_own", own).select("*", "_own.*").drop("_own")
+    # A value's bucket in two steps: the coarse cuts below it, then the cuts of that stretch.
+    c = c.withColumn("_at", F.size(F.filter("_coarse", lambda q: q < F.col(value))) * _FINE)
+    c = c.withColumn("bkt", F.col("_at") + F.size(F.filter(F.slice("_cuts", F.col("_at") + 1, F.lit(_FINE)), lambda q: q < F.col(value)))).drop("_cuts", "_coarse", "_at")
     sizes = c.groupBy(*by, "bkt").agg(F.sum("k").alias("n"))
     w = Window.partitionBy(*by)
     offs = sizes.select(*by, "bkt", (F.sum("n").over(w.orderBy("bkt")) - F.col("n")).alias("off"),

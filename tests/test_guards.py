@@ -364,3 +364,16 @@ def test_band_count_with_and_without_keys(spark):
     got = {r.run: (r.tokens, r.num_bands) for r in gr.band_count(d, "run").collect()}
     assert got == {"a": (232.0, 6), "b": (915.0, 19)}
     assert gr.band_count(d).first().tokens == 650.0
+
+
+@pytest.mark.parametrize("n", [1, 33, 1500, 40000])
+def test_ordered_counts_spread_over_buckets(spark, n):
+    r = np.random.default_rng(n)
+    v = np.concatenate([r.lognormal(0, 4, n), np.full(n // 2, 1.0), r.integers(0, 5, n // 3)])
+    d = spark.createDataFrame([(g, float(x)) for g, part in (("a", v), ("b", v[:7])) for x in part], "g string, v double")
+    got = {(x.g, x.v): (x.k, x.first, x.total) for x in wn.ordered_counts(d, "v", ["g"]).collect()}
+    want = {}
+    for g, part in (("a", np.sort(v)), ("b", np.sort(v[:7]))):
+        values, first, k = np.unique(part, return_index=True, return_counts=True)
+        want |= {(g, float(x)): (int(c), int(f), len(part)) for x, c, f in zip(values, k, first)}
+    assert got == want
