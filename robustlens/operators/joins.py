@@ -16,7 +16,8 @@ def argmax_label(scores, labels):
 def clean_vs_perturbed(clean, pert, keys=("item_id", "level_no")):
     """Predicted labels, correctness, accuracy drop and drift of the gold score.
 
-    A gold label missing among the perturbed scores takes the clean value, so its drift is 0.
+    A gold label missing among the perturbed scores takes the clean value, so its drift is 0. The clean table is merged, never broadcast: Spark's
+    size estimate does not see the rows that an `explode` by level adds.
     """
     c = clean.select(*keys, "answer_label", F.col("scores").alias("clean_scores"),
                      argmax_label("scores", "option_labels").alias("clean_pred"))
@@ -24,7 +25,7 @@ def clean_vs_perturbed(clean, pert, keys=("item_id", "level_no")):
     gold = F.try_element_at("clean_scores", F.col("answer_label"))
     pert_gold = F.coalesce(F.try_element_at("scores", F.col("answer_label")), gold)
     ok_c, ok_p = F.col("clean_pred") == F.col("answer_label"), F.col("pert_pred") == F.col("answer_label")
-    return (p.join(c, list(keys))
+    return (p.join(c.hint("merge"), list(keys))
             .withColumn("clean_correct", ok_c).withColumn("pert_correct", F.coalesce(ok_p, F.lit(False)))
             .withColumn("accuracy_drop", (F.col("clean_correct") & ~F.col("pert_correct")).cast("double"))
             .withColumn("loglik_drift", gold - pert_gold)

@@ -377,3 +377,14 @@ def test_ordered_counts_spread_over_buckets(spark, n):
         values, first, k = np.unique(part, return_index=True, return_counts=True)
         want |= {(g, float(x)): (int(c), int(f), len(part)) for x, c, f in zip(values, k, first)}
     assert got == want
+
+
+def _joins(df):
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return plan.count("BroadcastHashJoin"), plan.count("SortMergeJoin")
+
+
+def test_exploded_clean_scores_are_not_broadcast(spark, sf_dir):
+    from robustlens.operators import joins as jn
+    from robustlens.plans import bindings as b
+    assert _joins(jn.clean_vs_perturbed(b.clean_scores(spark, sf_dir), b.pert_scores(spark, sf_dir))) == (0, 1)
