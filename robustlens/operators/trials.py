@@ -134,11 +134,12 @@ def spectrum_sources(df, spaces=("image", "vision")):
 def valid_mirror_pairs(questions, min_valid=0.99):
     """Terse/wordy pairs per (item, rung) with the validity rule, kept only for rungs above the rate.
 
-    `questions`: item_id, level_no, question, answer_label, options, csem, cprompt.
+    `questions`: item_id, level_no, question, answer_label, options, csem, cprompt. Both sides are merged, never broadcast: Spark's size estimate does
+    not see the rows that an `explode` by level adds.
     """
     b, w = questions.alias("b"), questions.alias("w")
     joined = b.where(F.col("level_no") <= MIRROR_OFFSET).join(
-        w, (F.col("b.item_id") == F.col("w.item_id")) & (F.col("w.level_no") == F.col("b.level_no") + MIRROR_OFFSET))
+        w.hint("merge"), (F.col("b.item_id") == F.col("w.item_id")) & (F.col("w.level_no") == F.col("b.level_no") + MIRROR_OFFSET))
     valid = ((F.col("b.answer_label") == F.col("w.answer_label")) & (F.col("b.options") == F.col("w.options"))
              & (F.abs(F.col("b.csem") - F.col("w.csem")) <= 1e-9) & (F.col("w.cprompt") > F.col("b.cprompt"))
              & (F.length(F.trim("b.question")) > 0)

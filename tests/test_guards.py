@@ -388,3 +388,11 @@ def test_exploded_clean_scores_are_not_broadcast(spark, sf_dir):
     from robustlens.operators import joins as jn
     from robustlens.plans import bindings as b
     assert _joins(jn.clean_vs_perturbed(b.clean_scores(spark, sf_dir), b.pert_scores(spark, sf_dir))) == (0, 1)
+
+
+def test_exploded_questions_are_not_broadcast(spark):
+    from robustlens.operators.trials import valid_mirror_pairs
+    q = spark.range(20).withColumn("level_no", F.explode(F.sequence(F.lit(1), F.lit(8)))).selectExpr(
+        "id AS item_id", "level_no", "concat(id, CASE WHEN level_no > 4 THEN ' longer' ELSE '' END) AS question", "'A' AS answer_label", "'x' AS options", "1e0 AS csem", "CAST(level_no AS DOUBLE) AS cprompt")
+    pairs = valid_mirror_pairs(q)
+    assert _joins(pairs) == (1, 2) and pairs.where("valid").count() == 80     # only the four rates are broadcast
