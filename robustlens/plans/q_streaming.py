@@ -66,7 +66,7 @@ def x04(spark, sf):
     rows = t.join(expected, "item_id").withColumn("at", F.lit("2020-01-01 00:00:00").cast("timestamp"))
     s = feed(spark, rows, "item_id BIGINT, changed BOOLEAN, margin DOUBLE, family STRING, expected BIGINT, at TIMESTAMP", closing="2020-01-02 00:00:00")
     jobs.append_parquet(jobs.item_states(s, 3_600_000), out, cp).awaitTermination()
-    items = spark.read.parquet(out).where("item_id IS NOT NULL").withColumn("flipped_types", F.array_join("flipped_types", ","))
+    items = spark.read.parquet(out).where("item_id IS NOT NULL").drop("batch").withColumn("flipped_types", F.array_join("flipped_types", ","))
     return rounded(items, "flip_margin", "keep_margin")
 
 

@@ -71,56 +71,71 @@ def last_batch(spark, out):
     return d.where(F.col("batch_id") == d.agg(F.max("batch_id").alias("b")).select("b").scalar()).drop("batch_id")
 
 
-ITEM_ROW = ("item_id LONG, n LONG, flips LONG, flip_margin DOUBLE, keep_margin DOUBLE, any_flip BOOLEAN, flipped_types ARRAY<STRING>, complete BOOLEAN")
-_ITEM_STATE = "n LONG, flips LONG, sum_flip DOUBLE, sum_keep DOUBLE, expected LONG, types STRING, last LONG"
+class ItemStates:
+    """The items of a stream of variants, as `append_parquet` writes them; made by `item_states`."""
+
+    SUMS = ("n", "flips", "sum_flip", "sum_keep")
+
+    def __init__(self, stream, wait_ms, late):
+        self.stream, self.wait_ms, self.late = stream, wait_ms, late
+
+    def fold(self, variants, before=None):
+        """One row per item from variants and from the rows of `before`, by one map-side combined aggregate."""
+        hit = F.coalesce("changed", F.lit(False))
+        margin = F.when(~F.isnan("margin"), F.col("margin"))
+        rows = variants.select("item_id", F.lit(1).cast("long").alias("n"), hit.cast("long").alias("flips"), F.when(hit, margin).alias("sum_flip"), F.when(~hit, margin).alias("sum_keep"),
+                               F.coalesce("expected", F.lit(0)).cast("long").alias("expected"), F.when(hit & F.col("family").isNotNull(), F.array("family")).alias("types"), F.unix_micros("at").alias("last"))
+        if before is not None:
+            rows = rows.unionByName(before.select(*rows.columns))
+        return rows.groupBy("item_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in self.SUMS], F.max("expected").alias("expected"),
+                                           F.array_sort(F.array_distinct(F.flatten(F.collect_set("types")))).alias("types"), F.max("last").alias("last"))
+
+    def start(self, out, checkpoint):
+        """A batch writes the items that leave to `out` and its state under the checkpoint, each in a folder of the batch's id."""
+        spark = self.stream.sparkSession
+
+        def folder(batch_id):
+            return f"{checkpoint}/items/{batch_id}"
+
+        def save(df, batch_id):
+            mark, before = None, None
+            if batch_id:
+                mark = spark.read.parquet(f"{folder(batch_id - 1)}/watermark").first()["at"]
+                before = spark.read.parquet(f"{folder(batch_id - 1)}/state").where("NOT leaves")
+            seen = df.agg(F.max(F.unix_micros(F.col("at") - F.expr(f"INTERVAL {self.late}")))).first()[0]
+            now = max((x for x in (mark, seen) if x is not None), default=None)
+            here = folder(batch_id)
+            spark.createDataFrame([(now,)], "at long").coalesce(1).write.mode("overwrite").parquet(f"{here}/watermark")
+            if mark is not None:
+                df = df.where(F.col("at").isNull() | (F.unix_micros("at") > mark))
+            late = F.coalesce(F.col("last") + int(self.wait_ms * 1000) < F.lit(now).cast("long"), F.lit(False))
+            state = self.fold(df, before).withColumn("complete", F.col("n") >= F.col("expected"))
+            state.withColumn("leaves", F.col("complete") | late).write.mode("overwrite").parquet(f"{here}/state")
+            gone = spark.read.parquet(f"{here}/state").where("leaves")
+            gone.select("item_id", "n", "flips", F.when(F.col("flips") > 0, F.col("sum_flip") / F.col("flips")).alias("flip_margin"),
+                        F.when(F.col("n") > F.col("flips"), F.col("sum_keep") / (F.col("n") - F.col("flips"))).alias("keep_margin"), (F.col("flips") > 0).alias("any_flip"),
+                        F.col("types").alias("flipped_types"), "complete").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            old = spark._jvm.org.apache.hadoop.fs.Path(folder(batch_id - 2))
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        return self.stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def item_states(stream, wait_ms, late="1 hour"):
-    """Items of a stream of variants (item_id, changed, margin, family, expected, at), each as it is finished.
-
-    State per item: counts, margin sums, the perturbation types that flipped it and the time of its last variant. An item leaves in the micro-batch
-    that brings its last expected variant (complete), or, where some never come, once the watermark on `at` has passed its last variant by
-    `wait_ms` (incomplete, by its timer). A variant that comes after its item has left opens the item anew, with its own timer; so an item's
-    rows add up to its variants. The watermark follows the greatest `at` by `late`; a variant that is not after it is dropped, as in every
-    windowed stream. A restart from the checkpoint goes on with the same state. Memory follows one item's types, not its variants.
+    """Items of a stream of variants (item_id, changed, margin, family, expected, at), each as it is finished (X04); `append_parquet` runs it.
+
+    State per item: counts, margin sums, the perturbation types that flipped it and the time of its last variant. Every micro-batch folds its variants and
+    the open items of the batch before in one aggregate, and writes the state under its id, so a replayed batch writes the same. An item leaves in the
+    micro-batch that brings its last expected variant (complete), or, where some never come, at the end of the batch whose watermark on `at` has passed its last
+    variant by `wait_ms` (incomplete). A variant that comes after its item has left opens the item anew, with its own wait; so an item's
+    rows add up to its variants. The watermark follows the greatest `at` by `late`; a variant that is not after the watermark of the batch before is dropped, as in
+    every windowed stream. A restart from the checkpoint goes on with the same state. Memory follows one item's types, not its variants.
     """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def fold(key, batches, state):
-        import pandas as pd
-
-        def leave(n, flips, sum_flip, sum_keep, types, complete):
-            return pd.DataFrame({"item_id": pd.array([key[0]], "Int64"), "n": [n], "flips": [flips], "flip_margin": [sum_flip / flips if flips else float("nan")],
-                                 "keep_margin": [sum_keep / (n - flips) if n > flips else float("nan")], "any_flip": [flips > 0], "flipped_types": [types.split("\x1f") if types else []], "complete": [complete]})
-
-        if state.hasTimedOut:
-            n, flips, sum_flip, sum_keep, expected, types, _ = state.get
-            state.remove()
-            yield leave(n, flips, sum_flip, sum_keep, types, False)
-            return
-        n, flips, sum_flip, sum_keep, expected, types, last = state.get if state.exists else (0, 0, 0.0, 0.0, 0, "", 0)
-        kinds = set(types.split("\x1f")) - {""}
-        for df in batches:
-            hit = df["changed"].fillna(False).astype(bool)
-            n, flips = n + len(df), flips + int(hit.sum())
-            sum_flip, sum_keep = sum_flip + float(df.loc[hit, "margin"].sum()), sum_keep + float(df.loc[~hit, "margin"].sum())
-            expected = max(expected, int(df["expected"].fillna(0).max()))
-            kinds |= set(df.loc[hit, "family"].dropna())
-            last = max(last, int(df["at"].max().timestamp() * 1000))
-        types = "\x1f".join(sorted(kinds))
-        if n >= expected:
-            if state.exists:
-                state.remove()
-            yield leave(n, flips, sum_flip, sum_keep, types, True)
-        else:
-            state.update((n, flips, sum_flip, sum_keep, expected, types, last))
-            state.setTimeoutTimestamp(max(last + wait_ms, state.getCurrentWatermarkMs() + 1))
-
-    keyed = stream.withWatermark("at", late).groupBy("item_id")
-    return keyed.applyInPandasWithState(fold, ITEM_ROW, _ITEM_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return ItemStates(stream, wait_ms, late)
 
 
 def append_parquet(stream, out, checkpoint):
+    if isinstance(stream, ItemStates):
+        return stream.start(out, checkpoint)
     return stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -64,3 +64,16 @@ def test_early_stop_that_reads_all_and_is_asked_again(spark):
     for _ in range(2):
         capacity, got = jobs.until_balanced(spark, jobs.json_stream(spark, feed, "item_id BIGINT, pattern STRING", 1), 10, out, cp)
         assert capacity == 2 and got.count() == 2
+
+
+def test_item_states_fold_without_python_and_keep_no_old_state(spark):
+    import os
+    feed, out, cp = (scratch_path(spark, x) for x in ("feed", "out", "cp"))
+    for k in range(4):
+        put(spark, feed, [(i, i % 2 == 0, float(k), "AB"[k % 2], 4 + (i == 7), f"2020-01-01 00:0{k}:00") for i in range(10)], VARIANT)
+    states = jobs.item_states(jobs.json_stream(spark, feed, VARIANT, 1), 3_600_000, "10 minutes")
+    assert "Pandas" not in states.fold(spark.read.schema(VARIANT).json(feed))._jdf.queryExecution().toString()
+    jobs.append_parquet(states, out, cp).awaitTermination()
+    got = sorted((r.item_id, r.n, r.flips, r.flip_margin, r.keep_margin, ",".join(r.flipped_types)) for r in spark.read.parquet(out).collect())
+    assert got == [(i, 4, 0, None, 1.5, "") if i % 2 else (i, 4, 4, 1.5, None, "A,B") for i in range(10) if i != 7]
+    assert sorted(os.listdir(f"{cp}/items")) == ["2", "3"]
