@@ -10,17 +10,19 @@ from .q_aggregates import _GM, _GP, outcomes, rounded
 from .registry import query
 from .sqlkit import H, R
 
-FILES = 4   # input files per stream, one per micro-batch
+BATCHES = 4                  # micro-batches per stream
+FILE_ROWS = 2_000_000        # rows of an input file at most, about 300 MB of JSON
 
 
-def feed(spark, df, schema, closing=None):
-    """JSON folder with a few files and a stream over it, one file per batch. `closing` is the time `at` of a last row without a key, which moves the
-    watermark on so that timers fire."""
+def feed(spark, df, schema, rows, closing=None):
+    """JSON folder and a stream over it in BATCHES batches. `rows` is the number of rows: the files grow in number, not in size, so no task
+    writes more than FILE_ROWS. `closing` is the time `at` of a last row without a key, which moves the watermark on so that open items leave."""
     path = scratch_path(spark, "feed")
-    sinks.write_jsonl(df.repartition(FILES), path)
+    files = -(-max(rows, 1) // (BATCHES * FILE_ROWS))        # of one batch
+    sinks.write_jsonl(df.repartition(BATCHES * files), path)
     if closing:
         spark.sql(f"SELECT CAST('{closing}' AS TIMESTAMP) AS at, CAST(1 AS BIGINT) AS expected, false AS changed").coalesce(1).write.mode("append").json(path)
-    return jobs.json_stream(spark, path, schema, 1)
+    return jobs.json_stream(spark, path, schema, files)
 
 
 def paths(spark, name):
@@ -30,7 +32,8 @@ def paths(spark, name):
 @query("x01_incremental_ingest", f"SELECT event_type, CAST(count(*) AS BIGINT) AS n, {R('sum(value)')} AS total FROM events GROUP BY event_type")
 def x01(spark, sf):
     out, cp = paths(spark, "ingest")
-    s = feed(spark, b.table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", "props"), "event_id BIGINT, user_id BIGINT, event_type STRING, value DOUBLE, props STRING")
+    e = b.table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", "props")
+    s = feed(spark, e, "event_id BIGINT, user_id BIGINT, event_type STRING, value DOUBLE, props STRING", e.count())
     jobs.ingest(s, out, cp).awaitTermination()
     return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"), r6(F.sum("value")).alias("total"))
 
@@ -43,14 +46,15 @@ _X02 = (*_GM, "recovery", "clean_accuracy", "perturbed_accuracy", "net_drop", "r
 def x02(spark, sf):
     out, cp = paths(spark, "pairs")
     t = b.trials(spark, sf, "d")
-    jobs.write_partials(feed(spark, t, t.schema), jobs.pair_partials(*b.filter_tables(spark, sf)), out, cp).awaitTermination()
+    jobs.write_partials(feed(spark, t, t.schema, t.count()), jobs.pair_partials(*b.filter_tables(spark, sf)), out, cp).awaitTermination()
     return rounded(jobs.merge_pairs(spark.read.parquet(f"{out}/*")), *_X02)
 
 
 @query("x03_running_transitions", f"""{b.T()} SELECT perturbation, CAST(count(*) AS BIGINT) AS instances, CAST(sum(changed::INT) AS BIGINT) AS changed, CAST(count(*) FILTER (WHERE clean_correct = 1 AND pert_correct = 0) AS BIGINT) AS r2w, CAST(count(*) FILTER (WHERE clean_correct = 0 AND pert_correct = 1) AS BIGINT) AS w2r FROM tr GROUP BY perturbation""")
 def x03(spark, sf):
     out, cp = paths(spark, "counters")
-    s = feed(spark, b.trials(spark, sf).select("perturbation", "clean_correct", "pert_correct"), "perturbation STRING, clean_correct INT, pert_correct INT")
+    t = b.trials(spark, sf).select("perturbation", "clean_correct", "pert_correct")
+    s = feed(spark, t, "perturbation STRING, clean_correct INT, pert_correct INT", t.count())
     jobs.latest_table(jobs.running_transitions(s), out, cp).awaitTermination()
     return jobs.last_batch(spark, out)
 
@@ -64,7 +68,7 @@ def x04(spark, sf):
     # one item in ten waits for one variant more than will come
     expected = t.groupBy("item_id").agg(F.count("*").alias("k")).select("item_id", (F.col("k") + (F.col("item_id") % 10 == 3).cast("long")).alias("expected"))
     rows = t.join(expected, "item_id").withColumn("at", F.lit("2020-01-01 00:00:00").cast("timestamp"))
-    s = feed(spark, rows, "item_id BIGINT, changed BOOLEAN, margin DOUBLE, family STRING, expected BIGINT, at TIMESTAMP", closing="2020-01-02 00:00:00")
+    s = feed(spark, rows, "item_id BIGINT, changed BOOLEAN, margin DOUBLE, family STRING, expected BIGINT, at TIMESTAMP", t.count(), closing="2020-01-02 00:00:00")
     jobs.append_parquet(jobs.item_states(s, 3_600_000), out, cp).awaitTermination()
     items = spark.read.parquet(out).where("item_id IS NOT NULL").drop("batch").withColumn("flipped_types", F.array_join("flipped_types", ","))
     return rounded(items, "flip_margin", "keep_margin")
@@ -76,7 +80,8 @@ def x05(spark, sf):
     out, cp = paths(spark, "conditional")
     o = b.table(spark, sf, "orders").selectExpr("o_custkey AS item_id", "o_orderpriority AS perturb", "(o_totalprice % 1000) / 1000 AS value")
     base = o.where("perturb = '1-URGENT'").groupBy("item_id").agg(F.max("value").alias("base_value"))
-    s = feed(spark, o.where("perturb <> '1-URGENT'"), "item_id BIGINT, perturb STRING, value DOUBLE")
+    later = o.where("perturb <> '1-URGENT'")
+    s = feed(spark, later, "item_id BIGINT, perturb STRING, value DOUBLE", later.count())
     jobs.append_parquet(jobs.with_baseline(s, base, 0.5), out, cp).awaitTermination()
     return spark.read.parquet(out).groupBy("perturb", "base_ok").agg(F.count("*").alias("n"), r6(F.avg("conditional")).alias("conditional_rate"))
 

@@ -77,3 +77,17 @@ def test_item_states_fold_without_python_and_keep_no_old_state(spark):
     got = sorted((r.item_id, r.n, r.flips, r.flip_margin, r.keep_margin, ",".join(r.flipped_types)) for r in spark.read.parquet(out).collect())
     assert got == [(i, 4, 0, None, 1.5, "") if i % 2 else (i, 4, 4, 1.5, None, "A,B") for i in range(10) if i != 7]
     assert sorted(os.listdir(f"{cp}/items")) == ["2", "3"]
+
+
+def test_feed_grows_in_files_not_in_their_size(spark, monkeypatch):
+    import os
+    from robustlens.plans import q_streaming as q
+    monkeypatch.setattr(q, "FILE_ROWS", 100)
+    d = spark.range(2000).selectExpr("id AS item_id")
+    s = q.feed(spark, d, "item_id BIGINT", 2000)
+    folder, out, cp = s._jdf.queryExecution().toString(), scratch_path(spark, "out"), scratch_path(spark, "cp")
+    path = folder.split("FileSource[")[1].split("]")[0]
+    files = [f for f in os.listdir(path) if f.endswith(".json")]
+    assert len(files) == 20 and max(sum(1 for _ in open(f"{path}/{f}")) for f in files) <= 110
+    jobs.append_parquet(s, out, cp).awaitTermination()
+    assert spark.read.parquet(out).count() == 2000 and len([f for f in os.listdir(f"{cp}/commits") if f.isdigit()]) == q.BATCHES
