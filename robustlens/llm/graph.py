@@ -1,11 +1,13 @@
-"""Links from bucket collisions without pairing a bucket with itself, and connected components by contraction."""
+"""Links from bucket collisions, by heads first and then by all pairs of different components, and connected components by contraction."""
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path
 
-AGAIN = 3        # how often the nodes of a bucket that its heads leave open meet in the same bucket with new heads
-SMALL = 4        # open nodes of a bucket that are settled by new heads alone, without finer buckets
-FINER = 2        # bands added to a first bucket at most; each costs a round of jobs
+HEADS = 3                   # how often each node is compared with a head before all pairs of different components are
+PAIRS_A_TASK = 1_000_000    # pairs of one bucket that a task makes
 
 
 class Rounds:
@@ -63,85 +65,92 @@ def components(links):
             return found
 
 
-def heads(rounds, entries, guests):
-    """(bucket, last, again, led, node, head, own, guests) of every bucket of `entries` with something to compare.
+def mixed(rounds, held, roots):
+    """(bucket, node, n, root) of the buckets of `held` whose nodes are not yet all of one component; `roots` has (node, root) of linked nodes.
+
+    Tables that are aggregated by bucket are written before they are joined, so that adaptive execution can split a hot bucket.
+    """
+    rooted = held.withColumn("root", F.col("node")) if roots is None else held.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    rooted = rounds.write(rooted, "rooted")
+    open_ = rounds.write(rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket"), "open")
+    live = rounds.write(rooted.join(open_, "bucket"), "live")
+    rounds.drop(rooted, open_)
+    return live
+
+
+def with_heads(rounds, live, led, told):
+    """(a, b): each node with one head of another component, that of its largest bucket; and `led` with the heads added.
 
-    Heads are one of the bucket's own nodes and up to two guests. The own head is a node that has not led its nodes yet, with the largest buckets in all,
-    which an original shares with most of its edited copies; ties go to the least id. `guests` has (bucket, guest, similarity), nodes that do not go on
-    themselves: the least similar one and one by hash are asked. Tables that are aggregated by bucket are written before they are joined, so
-    that adaptive execution can split a hot bucket.
+    A bucket's head is a node that has not led it, with the largest buckets in all, which an original shares with most of its edited copies; ties go to the
+    least id. Pairs in `told` are not asked again.
     """
-    sizes = rounds.write(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    asked = F.array_distinct(F.array(F.min(F.struct("similarity", "guest"))["guest"], F.min(F.struct(F.xxhash64("bucket", "guest").alias("h"), "guest"))["guest"]))
-    guests = rounds.write(guests.groupBy("bucket").agg(asked.alias("guests")), "guests")
-    held = entries.join(sizes, "bucket").join(guests, "bucket", "left").where("n > 1 OR guests IS NOT NULL")
-    held = rounds.write(held, "entries")
-    rounds.drop(sizes, guests)
-    weight = held.groupBy("node").agg(F.sum("n").alias("weight"))
-    own = held.where("n > 1").join(weight, "node").groupBy("bucket").agg(F.min(F.struct("led", -F.col("weight"), "node")).alias("c")).select("bucket", F.col("c.node").alias("own"))
-    own = rounds.write(own, "centres")
-    named = F.array_compact(F.concat(F.array("own"), F.coalesce("guests", F.array().cast("array<bigint>"))))
-    both = held.join(own, "bucket", "left")
-    out = rounds.write(both.select("bucket", "last", "again", "led", "node", "own", "guests", F.explode(named).alias("head")).where("node <> head"), "members")
-    rounds.drop(held, own)
-    return out
+    weight = live.groupBy("node").agg(F.sum("n").alias("weight"))
+    own = live.join(weight, "node").join(led.withColumn("led", F.lit(1)), ["bucket", "node"], "left")
+    own = own.groupBy("bucket").agg(F.min(F.struct(F.coalesce("led", F.lit(0)).alias("led"), -F.col("weight"), "node", "root")).alias("c"))
+    own = rounds.write(own.select("bucket", F.col("c.node").alias("head"), F.col("c.root").alias("head_root")), "heads")
+    asked = live.join(own, "bucket").where("root <> head_root").select("node", "head", "bucket", "n", F.least("node", "head").alias("lo"), F.greatest("node", "head").alias("hi"))
+    picked = asked.join(told, ["lo", "hi"], "left_anti").groupBy("node").agg(F.min(F.struct(-F.col("n"), "bucket", "head")).alias("c"))
+    return picked.select(F.col("c.head").alias("a"), F.col("node").alias("b")), led.union(own.select("bucket", F.col("head").alias("node")))
+
+
+def across(rounds, live, told):
+    """(a, b): every pair of nodes of different components that share a bucket, but for those in `told`.
+
+    The nodes of a bucket's largest component are not paired with each other, only with the others; a bucket of many pairs is dealt over tasks by its
+    nodes' hashes.
+    """
+    parts = live.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("c"), F.sum("k").alias("nodes"))
+    deals = (F.lit(1) + F.floor(F.col("nodes") * (F.col("nodes") - F.col("c.k")) / PAIRS_A_TASK)).cast("int")
+    parts = rounds.write(parts.select("bucket", F.col("c.root").alias("main"), deals.alias("deals")), "parts")
+    rows = live.join(parts, "bucket").select("bucket", "node", "root", (F.col("root") == F.col("main")).alias("is_main"), "deals")
+    few = rows.where("NOT is_main").select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.pmod(F.xxhash64("node"), "deals").cast("int").alias("deal"))
+    many = rows.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), "is_main", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
+    pairs = few.join(many, ["bucket", "deal"]).where("ra <> rb AND (is_main OR a < b)")
+    pairs = pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
+    return pairs.join(told, ["lo", "hi"], "left_anti").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
 
 
 def banded_links(bands, prepare, compare, similarity):
     """(a, b) of alike nodes among those that share a band; `bands` has distinct (node, band, key).
 
-    In each bucket all nodes are compared with its heads only: one of its own nodes and, from the second round on, two guests. Nodes like a head are
-    linked and leave; those unlike every head stay open. Open nodes of a bucket meet there again with new heads, AGAIN times; where they
-    are many they also go on in finer buckets (one later band more, FINER times). Guests are nodes that left, as an open node may still be like a node that
-    is like the head: the least similar to its head is the likeliest; in a finer bucket it is one that shares the finer band. So compared pairs are in
-    proportion to bucket entries. What this leaves out of all pairs of a bucket is measured in README. `prepare(nodes)` is called once with
-    the candidates, `compare(pairs)` gives (a, b, similarity) of every (a, b).
+    The components of these links are those of all alike pairs that share a band. First, HEADS times, each node is compared with one head of a bucket that holds other
+    components as well; that joins most of a large group of copies by as many pairs as it has nodes. Then every pair of nodes that share a bucket and are of
+    different components is compared. So pairs that are left out are within a component that stands already. In a bucket of many nodes
+    that are not alike the pairs grow with their square. `prepare(nodes)` is called once with the candidates, `compare(pairs)` gives (a, b,
+    similarity) of every (a, b).
     """
     spark = bands.sparkSession
     rounds = Rounds(spark)
-    bands = rounds.write(bands, "bands")
-    level = bands.select("node", F.xxhash64("band", "key").alias("bucket"), F.col("band").alias("last"), F.lit(0).alias("again"), F.lit(0).alias("led"))
-    guests, found, older = spark.createDataFrame([], "bucket long, guest long, similarity double"), [], []
-    empty = guests
-    while True:
-        members = heads(rounds, level, guests)
-        if members.isEmpty():
+    entries = rounds.write(bands.select("node", F.xxhash64("band", "key").alias("bucket")).distinct(), "entries")
+    sizes = rounds.write(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    held = rounds.write(entries.join(sizes, "bucket").select("bucket", "node", "n"), "held")
+    rounds.drop(entries, sizes)
+    prepared, found, roots = False, [], None
+    led, told = spark.createDataFrame([], "bucket long, node long"), spark.createDataFrame([], "lo long, hi long")
+    turn = 0
+    while turn <= HEADS:
+        live = mixed(rounds, held, roots)
+        if live.isEmpty():
             break
-        if not found:
-            prepare(members.select("node").union(members.select("head")).distinct())
-        done = materialize(spark, compare(members.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()).select("a", "b", "similarity"), "compared")
+        if turn < HEADS:
+            pairs, led = with_heads(rounds, live, led, told)
+        else:
+            pairs = across(rounds, live, told)
+        pairs = rounds.write(pairs, "pairs")
+        if pairs.isEmpty():
+            turn = HEADS if turn < HEADS else HEADS + 1      # no head has anything new: what is left are pairs of others
+            continue
+        if not prepared:
+            prepare(held.select("node").distinct())
+            prepared = True
+        done = materialize(spark, compare(pairs).select("a", "b", "similarity"), "compared")
         found.append(done.where(F.col("similarity") >= similarity).select("a", "b"))
-        told = members.join(done.select(F.col("a").alias("head"), F.col("b").alias("node"), "similarity"), ["head", "node"])
-        led = F.max(F.greatest("led", (F.col("node").eqNullSafe(F.col("own"))).cast("int"))).alias("led")
-        best = told.groupBy("bucket", "node", "last", "again").agg(F.max("similarity").alias("similarity"), led)
-        asked = members.select("bucket", F.explode("guests").alias("guest")).distinct()
-        # An own head without a guest was compared as a head alone; it is open as long as others are.
-        alone = members.where("guests IS NULL").select("bucket", F.col("own").alias("node"), "last", "again").distinct().select("*", F.lit(-1.0).alias("similarity"), F.lit(1).alias("led"))
-        best = rounds.write(best.unionByName(alone), "best")
-        unlike = best.where(F.col("similarity") < similarity)
-        count = rounds.write(unlike.groupBy("bucket").agg(F.count(F.lit(1)).alias("left"), F.min("led").alias("fresh")).where("fresh = 0").drop("fresh"), "open")
-        rest = rounds.write(unlike.join(count, "bucket").select("node", "bucket", "last", "again", "left", "led"), "rest")
-        gone = best.where(F.col("similarity") >= similarity).select("bucket", F.col("node").alias("guest"), "similarity", "again")
-        gone = gone.join(count, "bucket", "left_semi")
-        waiting = guests.join(asked, ["bucket", "guest"], "left_anti").join(count, "bucket", "left_semi").select("bucket", "guest", "similarity", F.lit(1).alias("again"))
-        gone = rounds.write(gone.unionByName(waiting), "gone")
-        stay = F.xxhash64("bucket", F.lit("again"))
-        finer = F.xxhash64("bucket", "band", "key")
-        level = rest.where(F.col("again") < AGAIN).select("node", stay.alias("bucket"), "last", (F.col("again") + 1).alias("again"), "led")
-        later = empty.select("bucket", "bucket", "guest", "similarity").toDF("of", "bucket", "guest", "similarity")
-        if len(found) <= FINER:
-            many = rest.where((F.col("left") > SMALL) & (F.col("again") == 0))
-            level = level.union(many.join(bands, "node").where("band > last").select("node", finer.alias("bucket"), F.col("band").alias("last"), "again", F.lit(0).alias("led")))
-            later = gone.where("again = 0").join(bands.withColumnRenamed("node", "guest"), "guest").join(
-                many.select("bucket", "last").distinct(), "bucket").where("band > last").select("bucket", finer.alias("finer"), "guest", "similarity").toDF("of", "bucket", "guest", "similarity")
-        level = rounds.write(level, "level")
-        guests = rounds.write(gone.select(stay.alias("bucket"), "guest", "similarity").union(later.select("bucket", "guest", "similarity")), "pool")
-        rounds.drop(members, best, count, rest, gone, *older)
-        older = [level, guests]
+        told = told.union(done.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")))
+        turn += 1
+        if turn <= HEADS:
+            roots = components(reduce(DataFrame.union, found))
+        held = live.drop("root")
     rounds.end()
     if not found:
         return spark.createDataFrame([], "a long, b long")
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out
+    return reduce(DataFrame.union, found)

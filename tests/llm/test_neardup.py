@@ -143,3 +143,39 @@ def test_chains_of_versions_are_whole(spark):
     together = {i: k for k, v in got.items() for i in v}
     lost = sum(len({together[i] for i in v}) - 1 for v in want)
     assert lost <= 1 and sum(len(v) for v in want if len(v) > 1) > 100
+
+
+def test_no_link_of_a_bucket_is_lost(spark):
+    """Sixty far pairs of alike points, and two clusters that only one pair of nodes beside the heads joins, all in one bucket."""
+    at = {2 * i + k: 10.0 * i + 0.1 * k for i in range(60) for k in (0, 1)}
+    at |= {1000: 1000.0, 1001: 1000.15, 1002: 1000.3, 1003: 1000.45} | {1010 + i: 1000.0 - 0.01 * i for i in range(8)} | {1020 + i: 1000.45 + 0.01 * i for i in range(8)}
+    bands = spark.createDataFrame([(n, 0, 1) for n in at], "node long, band int, key long")
+    where = spark.createDataFrame(list(at.items()), "id long, x double")
+
+    def compare(pairs):
+        a, b = (where.select(F.col("id").alias(c), F.col("x").alias(f"x{c}")) for c in "ab")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", (1 - F.abs(F.col("xa") - F.col("xb"))).alias("similarity"))
+
+    got = {r.node: r.root for r in graph.components(graph.banded_links(bands, lambda nodes: None, compare, 0.8)).collect()}
+    assert got == {n: 1000 if n >= 1000 else n // 2 * 2 for n in at}
+
+
+def test_pairs_of_a_bucket_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PAIRS_A_TASK", 50)
+    r = random.Random(3)
+    at = {i: r.random() * 20 for i in range(150)}
+    bands = spark.createDataFrame([(n, k, n % (k + 1)) for n in at for k in range(2)], "node long, band int, key long")
+    where = spark.createDataFrame(list(at.items()), "id long, x double")
+
+    def compare(pairs):
+        a, b = (where.select(F.col("id").alias(c), F.col("x").alias(f"x{c}")) for c in "ab")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", (1 - F.abs(F.col("xa") - F.col("xb"))).alias("similarity"))
+
+    got = {x.node: x.root for x in graph.components(graph.banded_links(bands, lambda nodes: None, compare, 0.9)).collect()}
+    line, want, run = sorted(at, key=at.get), {}, []
+    for a, b in zip(line, line[1:] + [None]):
+        run.append(a)
+        if b is None or 1 - abs(at[a] - at[b]) < 0.9:
+            want |= {x: min(run) for x in run} if len(run) > 1 else {}
+            run = []
+    assert got == want
