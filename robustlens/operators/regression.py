@@ -30,10 +30,11 @@ def fold(df, cols, by):
     return materialize(df.sparkSession, cells, "cells")
 
 
-def cluster_sums(cells, cols, keys, cluster, centred=False):
+def cluster_sums(cells, cols, keys, cluster, centred=False, single=False):
     """Counts, sums s<i> and cross products q<i>_<j> per (keys, cluster) from folded cells, about the grand mean, which is kept as `shift`.
 
-    The grand mean comes from the folded cells; `centred` cells are already about the means of their level and stay where they are.
+    The grand mean comes from the folded cells; `centred` cells are already about the means of their level and stay where they are. `single` says that
+    (keys, cluster) has one cell each, so nothing is left to add up and no row moves; otherwise the sums are written once.
     """
     if centred:
         shift = F.struct(*[F.lit(0.0).alias(c) for c in cols])
@@ -42,14 +43,19 @@ def cluster_sums(cells, cols, keys, cluster, centred=False):
     d = cells.withColumn("shift", shift)
     dev = [F.col(f"m{i}") - F.col(f"shift.{c}") for i, c in enumerate(cols)]
     d = d.select(*keys, cluster, "n", "shift", *[f"c{i}_{j}" for i, j in _pairs(len(cols))], *[x.alias(f"d{i}") for i, x in enumerate(dev)])
-    return d.groupBy(*keys, cluster).agg(
+    if single:
+        return d.select(*keys, cluster, "n", "shift", *[(F.col("n") * F.col(f"d{i}")).alias(f"s{i}") for i in range(len(cols))],
+                        *[(F.col(f"c{i}_{j}") + F.col("n") * F.col(f"d{i}") * F.col(f"d{j}")).alias(f"q{i}_{j}") for i, j in _pairs(len(cols))])
+    sums = d.groupBy(*keys, cluster).agg(
         F.sum("n").alias("n"), F.first("shift").alias("shift"), *[F.sum(F.col("n") * F.col(f"d{i}")).alias(f"s{i}") for i in range(len(cols))],
         *[F.sum(F.col(f"c{i}_{j}") + F.col("n") * F.col(f"d{i}") * F.col(f"d{j}")).alias(f"q{i}_{j}") for i, j in _pairs(len(cols))])
+    return materialize(cells.sparkSession, sums, "sums")
 
 
 def _few(df, keyed):
-    """An unkeyed fit has exactly one key row, so that side may be broadcast; keyed fits are left to adaptive execution."""
-    return df if keyed else F.broadcast(df)
+    """An unkeyed fit has exactly one key row, so that side may be broadcast; that of a keyed fit is written, and broadcast where its bytes are few,
+    before the cells would be shuffled by a handful of keys."""
+    return materialize(df.sparkSession, df, "keys") if keyed else F.broadcast(df)
 
 
 def _center(g, k, within, keys, keyed):
@@ -76,20 +82,21 @@ def fit(df, xs, y, cluster, keys=(), within=False):
     """Coefficient table: one row per key and predictor (and the intercept of a pooled fit). `within` demeans by cluster and drops clusters of one row."""
     own = list(keys) or ["_one"]
     df = df if keys else df.withColumn("_one", F.lit("all"))
-    return fit_cells(fold(df, [*xs, y], [*own, cluster]), xs, y, cluster, keys, within)
+    return fit_cells(fold(df, [*xs, y], [*own, cluster]), xs, y, cluster, keys, within, single=True)
 
 
-def fit_cells(cells, xs, y, cluster, keys=(), within=False, absorb=None, spread=None):
-    """`fit` from folded cells. `absorb` is the number of categorical levels already demeaned out of them (None for a plain fit); `spread`
+def fit_cells(cells, xs, y, cluster, keys=(), within=False, absorb=None, spread=None, single=False):
+    """`fit` from folded cells; `single` if (keys, cluster) has one cell each. `absorb` is the number of categorical levels already demeaned out of them (None for a plain fit); `spread`
     then holds the variances w<i> of the undemeaned columns for R2 and scaling."""
     own = list(keys) or ["_one"]
     k, m = len(xs), len(xs) + 1
     df = cells
-    g = cluster_sums(cells, [*xs, y], own, cluster, absorb is not None)
+    g = cluster_sums(cells, [*xs, y], own, cluster, absorb is not None, single)
     c = _center(g, k, within, own, bool(keys))
     total = c.groupBy(*own).agg(
         F.sum("n").alias("n"), F.count("*").alias("g"), F.first("shift").alias("shift"),
         *[F.sum(f"c{i}_{j}").alias(f"c{i}_{j}") for i, j in _pairs(m)], *[F.first(f"m{i}").alias(f"m{i}") for i in range(m)])
+    total = materialize(df.sparkSession, total, "totals")
 
     key_fields = [df.schema[c_] if c_ in df.columns else T.StructField(c_, T.StringType()) for c_ in own]
     solved_schema = T.StructType(key_fields + [T.StructField("beta", T.ArrayType(T.DoubleType()))])
@@ -142,9 +149,9 @@ def fit_cells(cells, xs, y, cluster, keys=(), within=False, absorb=None, spread=
                 betas.append(list(estimate(row, a)))
             out["beta"] = betas
             yield out
-    beta = total.mapInPandas(solve, solved_schema)
+    beta = _few(total.mapInPandas(solve, solved_schema), keys)
 
-    s = c.join(_few(beta, keys), own)
+    s = c.join(beta, own)
     b = [F.col("beta")[i] for i in range(k)]
 
     def cr(i, j):
@@ -153,7 +160,7 @@ def fit_cells(cells, xs, y, cluster, keys=(), within=False, absorb=None, spread=
     score.append(F.col(f"d{k}") - sum((b[j] * F.col(f"d{j}") for j in range(1, k)), b[0] * F.col("d0")))
     u = s.select(*own, *[e.alias(f"u{i}") for i, e in enumerate(score)])
     meat = u.groupBy(*own).agg(*[F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"b{i}_{j}") for i, j in _pairs(m)])
-    final = total.join(_few(beta, keys), own).join(_few(meat, keys), own)
+    final = total.join(beta, own).join(_few(meat, keys), own)
     if spread is not None:
         final = final.join(_few(spread, keys), own)
 
@@ -240,9 +247,9 @@ def long_format_fit(df, xs, y, cluster, by):
 def fit_by_key(df, xs, y, cluster, key, min_rows):
     """One fit per key with enough rows; the others are reported as skipped (T21, T22). Row counts come from the folded cells."""
     cells = fold(df, [*xs, y], [key, cluster])
-    counts = cells.groupBy(key).agg(F.sum("n").alias("n_rows"))
+    counts = _few(cells.groupBy(key).agg(F.sum("n").alias("n_rows")), True)
     good = counts.where(F.col("n_rows") >= max(min_rows, len(xs) + 2))
-    res = fit_cells(cells.join(good.select(key), key, "left_semi"), xs, y, cluster, [key])
+    res = fit_cells(cells.join(good.select(key), key, "left_semi"), xs, y, cluster, [key], single=True)
     return counts.join(res, key, "left").withColumn("skipped", F.col("predictor").isNull())
 
 

@@ -396,3 +396,14 @@ def test_exploded_questions_are_not_broadcast(spark):
         "id AS item_id", "level_no", "concat(id, CASE WHEN level_no > 4 THEN ' longer' ELSE '' END) AS question", "'A' AS answer_label", "'x' AS options", "1e0 AS csem", "CAST(level_no AS DOUBLE) AS cprompt")
     pairs = valid_mirror_pairs(q)
     assert _joins(pairs) == (1, 2) and pairs.where("valid").count() == 80     # only the four rates are broadcast
+
+
+def test_one_cell_a_cluster_is_not_aggregated_again(spark, sf_dir):
+    from robustlens.operators import regression as rg
+    from robustlens.plans import bindings as b
+    cells = rg.fold(b.trials(spark, sf_dir), ["csem", "cprompt"], ["perturbation", "item_id"])
+    one, many = (rg.cluster_sums(cells, ["csem", "cprompt"], ["perturbation"], "item_id", single=x) for x in (True, False))
+    centred = rg.cluster_sums(cells, ["csem", "cprompt"], ["perturbation"], "item_id", centred=True, single=True)     # without the subquery of the grand mean
+    assert "Aggregate" not in centred._jdf.queryExecution().sparkPlan().toString()
+    a, c = ({(r.perturbation, r.item_id): (r.n, r.s0, r.s1, r.q0_0, r.q0_1, r.q1_1) for r in x.collect()} for x in (one, many))
+    assert a.keys() == c.keys() and all(a[k] == pytest.approx(c[k]) for k in a)
