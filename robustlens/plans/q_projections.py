@@ -218,7 +218,7 @@ def p20(spark, sf):
     rows = lv.select("item_id", "rec_id", "rec_no", "level_no", "lv.clean_correct", F.posexplode("lv.perturbations").alias("pos", "p"))
     rows = rows.select("item_id", "rec_id", "rec_no", "level_no", "pos", "clean_correct", F.col("p.name").alias("perturbation"),
                        "p.accuracy_drop", r6("p.loglik_drift").alias("loglik_drift"))
-    return tr.export_trials(rows, examples, ("perturbation",))
+    return tr.export_trials(rows, F.broadcast(examples), ("perturbation",))    # one row per return flag; the rows would go to a task per name
 
 
 @query("m03_signed_drift_split", f"""{b.T()} SELECT family, {R('sum(erosion)')} AS erosion, {R('sum(recovery)')} AS recovery,

@@ -407,3 +407,9 @@ def test_one_cell_a_cluster_is_not_aggregated_again(spark, sf_dir):
     assert "Aggregate" not in centred._jdf.queryExecution().sparkPlan().toString()
     a, c = ({(r.perturbation, r.item_id): (r.n, r.s0, r.s1, r.q0_0, r.q0_1, r.q1_1) for r in x.collect()} for x in (one, many))
     assert a.keys() == c.keys() and all(a[k] == pytest.approx(c[k]) for k in a)
+
+
+def test_export_sends_no_rows_to_a_task_per_name(spark, sf_dir):
+    from robustlens.plans.registry import QUERIES
+    import robustlens.plans.q_projections  # noqa: F401
+    assert _joins(QUERIES["p20_trial_export"](spark, sf_dir)) == (1, 0)
