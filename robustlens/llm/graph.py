@@ -1,13 +1,19 @@
-"""Links from bucket collisions, by heads first and then by all pairs of different components, and connected components by contraction."""
+"""Links from bucket collisions, by heads first and then by the pairs of different components that can be alike, and connected components by contraction."""
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path
+from . import text as tx
 
 HEADS = 3                   # how often each node is compared with a head before all pairs of different components are
 PAIRS_A_TASK = 1_000_000    # pairs of one bucket that a task makes
+FEW = 16                    # nodes beside the largest component of a bucket whose pairs are all made
+COUNT_BITS = 18             # hash buckets in which items are counted: 2 MB whatever the corpus
+SLACK = 1 - 1e-9            # sums of weights are rounded
 
 
 class Rounds:
@@ -93,31 +99,82 @@ def with_heads(rounds, live, led, told):
     return picked.select(F.col("c.head").alias("a"), F.col("node").alias("b")), led.union(own.select("bucket", F.col("head").alias("node")))
 
 
-def across(rounds, live, told):
-    """(a, b): every pair of nodes of different components that share a bucket, but for those in `told`.
+def main_parts(live):
+    """(bucket, main, k, nodes): each bucket's largest component, its nodes and those of the bucket."""
+    sizes = live.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"))
+    return sizes.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("c"), F.sum("k").alias("nodes")).select("bucket", F.col("c.root").alias("main"), F.col("c.k").alias("k"), "nodes")
+
+
+def across(rounds, live, parts, similarity=None):
+    """(lo, hi): every pair of nodes of different components that share a bucket.
 
     The nodes of a bucket's largest component are not paired with each other, only with the others; a bucket of many pairs is dealt over tasks by its
-    nodes' hashes.
+    nodes' hashes. With `similarity`, `live` is that of `prefixes` and pairs that can not reach it are not made.
+    """
+    deals = (F.lit(1) + F.floor(F.col("nodes") * (F.col("nodes") - F.col("k")) / PAIRS_A_TASK)).cast("int")
+    parts = rounds.write(parts.where("nodes > k").select("bucket", "main", deals.alias("deals")), "parts")
+    own = [] if similarity is None else ["weight", "after", "total"]
+    rows = live.join(parts, "bucket").select("bucket", "node", "root", (F.col("root") == F.col("main")).alias("is_main"), "deals", *own)
+    few = rows.where("NOT is_main").select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.pmod(F.xxhash64("node"), "deals").cast("int").alias("deal"), *[F.col(c).alias(f"{c}_a") for c in own])
+    many = rows.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), "is_main", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), *[F.col(c).alias(f"{c}_b") for c in own])
+    on = [few[c] == many[c] for c in ("bucket", "deal")] + [F.expr("ra <> rb AND (is_main OR a < b)")]
+    if similarity is not None:
+        most = F.least("weight_a", "weight_b") + F.least("after_a", "after_b")
+        on.append(most >= similarity / (1 + similarity) * SLACK * (F.col("total_a") + F.col("total_b")))
+    return few.join(many, on).select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
+
+
+def prefixes(rounds, sets, read, similarity):
+    """(bucket, node, weight, after, total): the rarest items of each node's weighted set, as buckets. `read(batch)` gives (node, items, weights) of the rows of `sets`.
+
+    Items are ordered by how often their hash bucket is held, then by hash; `after` is the weight of a node's later items. Of two nodes alike, the items
+    before their first common one are not common, so what they have in common weighs no more than that item and what follows it in either: both hold it among
+    the items kept here. Items that surely are of one node are not kept.
+    """
+    sets = rounds.write(sets, "sets")
+    shared = sets.sparkSession.sparkContext.broadcast(tx.hash_counts(sets, lambda batch: (items for _, items, _ in read(batch)), COUNT_BITS))
+
+    def run(batches):
+        often = shared.value
+        for batch in batches:
+            for node, items, weights in read(batch):
+                n = often[(items >> np.uint64(64 - COUNT_BITS)).astype(np.intp)]
+                order = np.lexsort((items, n))
+                w = weights[order]
+                upto = np.cumsum(w)
+                keep = (upto[-1] - upto + w >= similarity * SLACK * upto[-1]) & (n[order] > 1)
+                yield pa.RecordBatch.from_arrays([pa.array(tx.signed(items[order][keep])), pa.array(np.full(keep.sum(), node, np.int64)), pa.array(w[keep]),
+                                                  pa.array((upto[-1] - upto)[keep]), pa.array(np.full(keep.sum(), upto[-1]))], ["bucket", "node", "weight", "after", "total"])
+
+    return sets.mapInArrow(run, "bucket long, node long, weight double, after double, total double")
+
+
+def able(rounds, live, items, similarity):
+    """(lo, hi): pairs of nodes of different components that can be alike, among them every alike pair that shares a bucket of `live`.
+
+    Of a bucket of few nodes, or where `items` is None, all pairs are taken; the nodes of the others are paired where their rarest items meet.
     """
-    parts = live.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("c"), F.sum("k").alias("nodes"))
-    deals = (F.lit(1) + F.floor(F.col("nodes") * (F.col("nodes") - F.col("c.k")) / PAIRS_A_TASK)).cast("int")
-    parts = rounds.write(parts.select("bucket", F.col("c.root").alias("main"), deals.alias("deals")), "parts")
-    rows = live.join(parts, "bucket").select("bucket", "node", "root", (F.col("root") == F.col("main")).alias("is_main"), "deals")
-    few = rows.where("NOT is_main").select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.pmod(F.xxhash64("node"), "deals").cast("int").alias("deal"))
-    many = rows.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), "is_main", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
-    pairs = few.join(many, ["bucket", "deal"]).where("ra <> rb AND (is_main OR a < b)")
-    pairs = pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
-    return pairs.join(told, ["lo", "hi"], "left_anti").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-
-
-def banded_links(bands, prepare, compare, similarity):
+    parts = rounds.write(main_parts(live), "mains")
+    if items is None:
+        return across(rounds, live, parts)
+    many = rounds.write(live.join(parts.where(F.col("nodes") - F.col("k") > FEW).select("bucket"), "bucket").select("node", "root").distinct(), "many")
+    pairs = across(rounds, live, parts.where(F.col("nodes") - F.col("k") <= FEW))
+    if many.isEmpty():
+        return pairs
+    rare = rounds.write(prefixes(rounds, *items(many.select("node")), similarity), "prefixes")
+    rare = rounds.write(rare.join(many, "node"), "rare")
+    return pairs.union(across(rounds, rare, main_parts(rare), similarity)).distinct()
+
+
+def banded_links(bands, prepare, compare, similarity, items=None):
     """(a, b) of alike nodes among those that share a band; `bands` has distinct (node, band, key).
 
-    The components of these links are those of all alike pairs that share a band. First, HEADS times, each node is compared with one head of a bucket that holds other
-    components as well; that joins most of a large group of copies by as many pairs as it has nodes. Then every pair of nodes that share a bucket and are of
-    different components is compared. So pairs that are left out are within a component that stands already. In a bucket of many nodes
-    that are not alike the pairs grow with their square. `prepare(nodes)` is called once with the candidates, `compare(pairs)` gives (a, b,
-    similarity) of every (a, b).
+    Their components join all alike pairs that share a band. First, HEADS times, each node is compared with one head of a bucket that holds other
+    components as well; that joins most of a large group of copies by as many pairs as it has nodes. Then the pairs of nodes of different components that share a
+    bucket are compared; of a bucket of many nodes only those that can be alike. So pairs that are left out are within a component that stands already
+    or not alike. `prepare(nodes)` is called once with the candidates, `compare(pairs)` gives (a, b, similarity) of every (a, b). `items(nodes)` gives the
+    weighted sets whose Jaccard similarity it is, as `prefixes` takes them; without it, all pairs are compared, and in a bucket of many nodes that are
+    not alike they grow with their square.
     """
     spark = bands.sparkSession
     rounds = Rounds(spark)
@@ -135,7 +192,7 @@ def banded_links(bands, prepare, compare, similarity):
         if turn < HEADS:
             pairs, led = with_heads(rounds, live, led, told)
         else:
-            pairs = across(rounds, live, told)
+            pairs = able(rounds, live, items, similarity).join(told, ["lo", "hi"], "left_anti").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
         pairs = rounds.write(pairs, "pairs")
         if pairs.isEmpty():
             turn = HEADS if turn < HEADS else HEADS + 1      # no head has anything new: what is left are pairs of others

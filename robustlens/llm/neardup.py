@@ -2,8 +2,8 @@
 
 A text is the set of its five-word shingles, weighted by count times inverse document frequency; frequencies come from all documents, in a
 table of fixed size addressed by shingle hash. Consistent samples agree between two texts with the chance of their weighted Jaccard similarity;
-bands of three samples make buckets. A bucket's texts are compared with its centre; what is unlike it is regrouped by more bands and compared
-with new centres until no group is left, then pairs that are still open are compared (`graph.banded_links`). Links are verified weighted Jaccard
+bands of three samples make buckets. A bucket's texts are compared with its heads, then with those of other classes that share enough of their rarest
+shingles (`graph.banded_links`). Links are verified weighted Jaccard
 similarities; classes are their components. Equal texts are one node throughout.
 """
 import numpy as np
@@ -17,7 +17,6 @@ from .graph import banded_links, components
 SIMILARITY = 0.8
 BANDS, WIDTH = 9, 3
 DF_BITS = 18                 # buckets of the frequency table: 2 MB whatever the corpus
-_DF_BLOCK = 1 << 12
 _SLOTS = 1 << 16
 
 
@@ -74,31 +73,12 @@ class Frequencies:
 
 
 def document_frequencies(docs, text="text"):
-    """Number of documents' distinct shingles in each hash bucket, over all documents: one table a task, added up by pieces."""
-    def count(batches):
-        table = np.zeros(1 << DF_BITS, np.int64)
-        for batch in batches:
-            for _, begins, h, *_ in tx.words(batch.column(0)):
-                parts = [np.unique(tx.shingles(h[a:b])) for a, b in zip(begins, begins[1:])]
-                table += np.bincount((np.concatenate(parts) >> np.uint64(64 - DF_BITS)).astype(np.intp), minlength=len(table))
-        for k in range(0, len(table), _DF_BLOCK):
-            piece = table[k:k + _DF_BLOCK]
-            if piece.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([piece.tobytes()], pa.binary())], ["piece", "counts"])
-
-    def add(batches):
-        total = {}
-        for batch in batches:
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[k] = total.get(k, 0) + np.frombuffer(c, np.int64)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["piece", "counts"])
+    """Number of documents' distinct shingles in each hash bucket, over all documents."""
+    def hashes(batch):
+        for _, begins, h, *_ in tx.words(batch.column(0)):
+            yield np.concatenate([np.unique(tx.shingles(h[a:b])) for a, b in zip(begins, begins[1:])])
 
-    schema = "piece long, counts binary"
-    table = np.zeros(1 << DF_BITS, np.int64)
-    for r in docs.select(text).mapInArrow(count, schema).repartition("piece").mapInArrow(add, schema).collect():   # 64 pieces of 32 KB
-        table[r.piece:r.piece + _DF_BLOCK] = np.frombuffer(r.counts, np.int64)
-    return Frequencies(table, docs.count())
+    return Frequencies(tx.hash_counts(docs.select(text), hashes, DF_BITS), docs.count())
 
 
 def signatures(docs, frequencies, text="text"):
@@ -145,6 +125,19 @@ def similarities(pairs, texts, frequencies):
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
+def weighted_shingles(texts, frequencies):
+    """(node, text) and how a batch of it is read as (node, shingles, weights)."""
+    shared = texts.sparkSession.sparkContext.broadcast(frequencies)
+
+    def read(batch):
+        for row, begins, h, *_ in tx.words(batch.column(1)):
+            for i in range(len(begins) - 1):
+                s, n = counted(h[begins[i]:begins[i + 1]])
+                yield batch.column(0)[row + i].as_py(), s, shared.value.weights(s, n)
+
+    return texts.select("node", "text"), read
+
+
 def near_duplicates(docs, similarity=SIMILARITY, text="text"):
     """(doc_id, node, class_id, class_size) for every row of `docs`: class_id is the least doc_id of the row's class.
 
@@ -166,7 +159,8 @@ def near_duplicates(docs, similarity=SIMILARITY, text="text"):
         texts["table"] = materialize(spark, found.dropDuplicates(["node"]), "texts")
 
     bands = signed.where("bands IS NOT NULL").select("node", F.posexplode("bands").alias("band", "key")).distinct()
-    roots = components(banded_links(bands, prepare, lambda pairs: similarities(pairs, texts["table"], f), similarity))
+    roots = components(banded_links(bands, prepare, lambda pairs: similarities(pairs, texts["table"], f), similarity,
+                                    lambda nodes: weighted_shingles(texts["table"].join(nodes, "node"), f)))
     rows = signed.join(roots, "node", "left").select("doc_id", "node", F.when(F.col("bands").isNotNull(), F.coalesce("root", "node")).alias("root"))
     rows = materialize(spark, rows, "rooted")
     # Written before it is joined: a side that aggregates by the join key keeps adaptive execution from splitting a hot class.

@@ -179,3 +179,51 @@ def test_pairs_of_a_bucket_are_dealt_over_tasks(spark, monkeypatch):
             want |= {x: min(run) for x in run} if len(run) > 1 else {}
             run = []
     assert got == want
+
+
+def test_unlike_texts_of_a_bucket_are_not_all_compared(spark, monkeypatch):
+    """300 texts share a passage, which puts them into the same buckets; only those that share rare shingles too are compared, and no class is lost."""
+    g = random.Random(8)
+    vocab = [f"w{i}" for i in range(3000)]
+    shared, rows = g.choices(vocab, k=60), []
+    for i in range(150):
+        own = g.choices(vocab, k=25)
+        rows += [" ".join(shared + own), " ".join(shared + (own[:-1] + ["end"] if i % 3 == 0 else g.choices(vocab, k=25)))]
+    rows = list(enumerate(rows))
+    asked, compare = [], nd.similarities
+    monkeypatch.setattr(nd, "similarities", lambda pairs, *a: (asked.append(pairs.count()), compare(pairs, *a))[1])
+    got = defaultdict(list)
+    for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.class_id].append(r.doc_id)
+    assert sorted(sorted(v) for v in got.values()) == brute_classes(rows)
+    assert sum(len(v) == 2 for v in got.values()) >= 50 and sum(asked) < 8 * len(rows)
+
+
+def test_prefixes_lose_no_alike_pair(spark):
+    """Weighted sets of all degrees of likeness in one bucket against all pairs."""
+    g = random.Random(4)
+    sets = {}
+    for c in range(12):
+        base = {g.randrange(500): g.uniform(0.5, 6) for _ in range(40)}
+        for k in range(8):
+            s = dict(base)
+            for _ in range(k):
+                s.pop(g.choice(sorted(s)))
+                s[g.randrange(500)] = g.uniform(0.5, 6)
+            sets[c * 8 + k] = s
+
+    def alike(a, b):
+        low = sum(min(w, sets[b].get(i, 0)) for i, w in sets[a].items())
+        return low / (sum(sets[a].values()) + sum(sets[b].values()) - low) >= 0.8
+
+    live = spark.createDataFrame([(0, n, n) for n in sets], "bucket long, node long, root long")
+    items = spark.createDataFrame([(n, list(s), list(s.values())) for n, s in sets.items()], "node long, items array<long>, weights array<double>")
+
+    def read(batch):
+        for n, i, w in zip(*(c.to_pylist() for c in batch.columns)):
+            yield n, np.array(i, np.uint64) << np.uint64(50), np.array(w)
+
+    rounds = graph.Rounds(spark)
+    made = {(r.lo, r.hi) for r in graph.able(rounds, live, lambda nodes: (items.join(nodes, "node"), read), 0.8).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and alike(a, b)}
+    assert len(want) > 30 and want <= made and len(made) < len(sets) * (len(sets) - 1) / 8
