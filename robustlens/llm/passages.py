@@ -3,8 +3,7 @@
 Paragraphs are the lines of a text of at least 20 words, and, as a passage may be pasted into the middle of a line, stretches of 24 words that start
 at anchors: positions whose pair of words hashes least among 24 in a row. Any run of 48 words that two texts share holds the same stretch. A
 paragraph's content is one node whatever its copies. Lines are banded by MinHash of their five-word shingles; a bucket's lines are compared with
-its centre by exact Jaccard similarity on shingles, what is unlike it is regrouped by more bands, and pairs that are still open are compared
-(`graph.banded_links`). Stretches are alike only if equal, which their content hash says. Components of links are classes; of a class's places the
+its heads by exact Jaccard similarity on shingles, then with those of other classes that share enough of their rarest shingles (`graph.banded_links`). Stretches are alike only if equal, which their content hash says. Components of links are classes; of a class's places the
 first (by doc_id, then position) stays.
 """
 import numpy as np
@@ -137,7 +136,14 @@ def line_links(parts, docs, similarity=SIMILARITY):
         both = pairs.join(b, "b").join(a, "a").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("sizes"))
         return both.select("a", "b", (F.col("common") / (F.col("sizes") - F.col("common"))).alias("similarity"))
 
-    return banded_links(rows.select(F.col("content").alias("node"), F.posexplode("bands").alias("band", "key")).distinct(), prepare, compare, similarity)
+    def items(nodes):
+        def read(batch):
+            for node, s in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield node, s.values.to_numpy().view(np.uint64), np.ones(len(s))
+
+        return known["shingles"].withColumnRenamed("content", "node").join(nodes, "node").select("node", "shingles"), read
+
+    return banded_links(rows.select(F.col("content").alias("node"), F.posexplode("bands").alias("band", "key")).distinct(), prepare, compare, similarity, items)
 
 
 def repeated_passages(docs, similarity=SIMILARITY, text="text"):

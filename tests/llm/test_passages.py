@@ -117,3 +117,18 @@ def test_dropping_keeps_first_places_and_columns(spark):
     again = docs.unionByName(docs.where("doc_id = 1"))
     assert [r.text for r in ps.drop_repeats(again).where("doc_id = 1").collect()] == [f"head one\n{p}"] * 2
     assert ps.drop_repeats(docs.where(F.lit(False))).count() == 0
+
+
+def test_unlike_lines_of_a_bucket_are_not_all_compared(spark, monkeypatch):
+    """150 lines share 40 words and so their bands; those alike are found, and the others are not compared in pairs."""
+    g = random.Random(6)
+    vocab = [f"w{i}" for i in range(3000)]
+    shared, rows = g.choices(vocab, k=40), []
+    for i in range(75):
+        own = g.choices(vocab, k=20)
+        rows += [" ".join(shared + own), " ".join(shared + (own[:-1] + ["end"] if i % 3 == 0 else g.choices(vocab, k=20)))]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    asked, links = [], ps.banded_links
+    monkeypatch.setattr(ps, "banded_links", lambda bands, prepare, compare, *a: links(bands, prepare, lambda pairs: (asked.append(pairs.count()), compare(pairs))[1], *a))
+    got = ps.line_links(ps.paragraphs(docs), docs)
+    assert got.distinct().count() >= 25 and sum(asked) < 8 * len(rows)
