@@ -20,12 +20,18 @@ def with_outcomes(trials):
             .withColumn("volatility", F.abs(d)))
 
 
+def exploded_levels(records):
+    """One row per (record, level). The outer form and a filter on the key: Spark would guard an inner `explode` by filters on the map below it, which
+    compute (or parse) the map anew for each."""
+    return records.select("rec_id", "rec_no", "item_id", F.explode_outer("levels").alias("level_no", "lv")).where(F.col("level_no").isNotNull())
+
+
 def flatten_records(records, drop_null_drift=True):
     """Nested records -> one row per (record, level, perturbation), in one narrow pass.
 
     Rows without a drift are dropped (long table) or get drift 0 (per-perturbation table).
     """
-    lv = records.select("rec_id", "rec_no", "item_id", F.explode("levels").alias("level_no", "lv"))
+    lv = exploded_levels(records)
     rows = lv.select("rec_id", "rec_no", "item_id", "level_no", "lv.csem", "lv.cprompt", "lv.clean_correct",
                      F.explode("lv.perturbations").alias("p"))
     rows = rows.select("rec_id", "rec_no", "item_id", "level_no", "csem", "cprompt", "clean_correct",
@@ -41,7 +47,7 @@ def complexity_points(records):
 
     The means are array folds inside the row, so nothing is shuffled.
     """
-    lv = records.select("rec_id", "rec_no", "item_id", F.explode("levels").alias("level_no", "lv"))
+    lv = exploded_levels(records)
 
     def mean_of(field):
         vals = F.transform("lv.perturbations", lambda p: F.coalesce(p[field], F.lit(0.0)))
