@@ -31,7 +31,7 @@ def flat_totals(records):
 @query("s01_jsonl_scan", _FLAT)
 def s01(spark, sf):
     path = scratch_path(spark, "records")
-    sinks.write_jsonl(record_rows(spark, sf), path)
+    sinks.write_jsonl(record_rows(spark, sf), path, packed=True)
     return flat_totals(readers.read_jsonl(spark, path, schemas.RECORD))
 
 

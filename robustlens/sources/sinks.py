@@ -5,8 +5,15 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 
-def write_jsonl(df, path):
-    df.write.mode("overwrite").json(path)
+PACKED_ROWS = 1_000_000     # rows of a packed file, which one task reads whole
+
+
+def write_jsonl(df, path, packed=False):
+    """JSON lines; `packed` by gzip, in files of bounded rows since such a file can not be split."""
+    writer = df.write.mode("overwrite")
+    if packed:
+        writer = writer.option("compression", "gzip").option("maxRecordsPerFile", PACKED_ROWS)
+    writer.json(path)
 
 
 def write_json_arrays(df, path):
