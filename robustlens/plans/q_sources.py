@@ -151,7 +151,7 @@ def s09(spark, sf):
     docs = im.select(F.array("x").alias("images"), F.expr("CAST(array() AS ARRAY<STRUCT<image_id: BIGINT, category_id: INT, area: DOUBLE, bbox: ARRAY<DOUBLE>>>)").alias("annotations"), cats.alias("categories")).unionByName(
         an.select(F.expr("CAST(array() AS ARRAY<STRUCT<id: BIGINT, file_name: STRING, width: INT, height: INT>>)").alias("images"), F.array("x").alias("annotations"), cats.alias("categories")))
     path = scratch_path(spark, "coco")
-    sinks.write_jsonl(docs, path)
+    sinks.write_jsonl(docs, path, packed=True)
     rows = readers.coco_annotations(readers.read_jsonl(spark, path, schemas.COCO))
     return rows.groupBy("image_id").agg(F.count("area").alias("n_annotations"), r6(F.coalesce(F.sum("area"), F.lit(0.0))).alias("total_area"), F.coalesce(F.max("category"), F.lit("none")).alias("last_category"))
 
