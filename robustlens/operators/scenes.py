@@ -106,7 +106,8 @@ def option_hardness(objects, seed=11):
     """Distractors of the answer's category plus half the distractors present in the scene."""
     c = classified_attribute(objects, seed)
     c = c.withColumn("opts", distractors(F.col("category"), F.col("value"), 3, seed, "scene", "oid"))
-    one = c.select("scene", "oid", "category", F.explode("opts").alias("attr"))
+    # The outer form: below an inner `explode` Spark's filters on the list would compute it anew for each.
+    one = c.select("scene", "oid", "category", F.posexplode_outer("opts").alias("k", "attr")).where(F.col("k").isNotNull()).drop("k")
     inv = attribute_inventory(objects).withColumn("hit", F.lit(1))
     same = (F.try_element_at(map_of(attribute_category()), F.col("attr")) == F.col("category")).cast("long")
     g = one.join(inv, ["scene", "attr"], "left").groupBy("scene", "oid").agg(

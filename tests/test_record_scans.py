@@ -25,3 +25,8 @@ def test_packed_files_are_bounded_and_read_back(spark, tmp_path, monkeypatch):
     files = [f for f in os.listdir(tmp_path / "x") if f.startswith("part-")]
     assert len(files) == 10 and all(f.endswith(".json.gz") for f in files)
     assert sorted(r.id for r in readers.read_jsonl(spark, str(tmp_path / "x"), "id BIGINT").collect()) == list(range(1000))
+
+
+def test_option_lists_are_computed_once(spark):
+    plan = __spark_entry__.queries()["j17_option_hardness"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") <= 5      # three times as many if filters on the list stand below its explode
