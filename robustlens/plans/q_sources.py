@@ -38,8 +38,8 @@ def s01(spark, sf):
 @query("s02_json_array_scan", _FLAT)
 def s02(spark, sf):
     path = scratch_path(spark, "arrays")
-    sinks.write_json_arrays(record_rows(spark, sf), path)
-    return flat_totals(readers.to_parquet(spark, readers.read_json_arrays(spark, path, schemas.RECORD), "records"))
+    sinks.write_json_arrays(record_rows(spark, sf), path, packed=True)
+    return flat_totals(readers.read_json_arrays(spark, path, schemas.RECORD))     # written once by the scan
 
 
 def image(cond, key):

@@ -3,19 +3,27 @@
 Spark's text scan cuts the bytes at every closing brace, so one large file is read by many tasks. Whether such a fragment begins inside a string, and at
 which depth, follows from prefix sums: over the fragments of a byte range, then over one summary row a range. A fragment that comes back to the array's
 own depth ends a record. Records are put together within their range; only those that cross a border of ranges are grouped a second time.
+
+That is for files too large for one value. A smaller one is parsed whole in one step, and counts only if it is surely one array of objects that fit.
 """
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..session import materialize
 
 _BROKEN = "__broken"
+_END = "__end"
+WHOLE_BYTES = 16 << 20      # a file up to this size is one value; a packed one takes up to a 16th
+_PACKED = r"\.(gz|bz2|zst|lz4|snappy|deflate)$"
 
 
-def _fragments(spark, path):
+def _fragments(spark, path, keep):
     """(path, block, pos, value, size, quotes, out, within): `out` and `within` are the changes of depth for a start outside and inside a string."""
-    rows = spark.read.option("lineSep", "}").text(path).select(
+    rows = spark.read.option("lineSep", "}").text(path)
+    rows = (rows if keep is None else rows.where(keep)).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"), "value")
     plain = F.regexp_replace("value", r"(?s)\\.", "")
     quotes = F.length(plain) - F.length(F.translate(plain, '"', ""))
@@ -51,14 +59,14 @@ def _starts(fragments):
     return ranges.select("path", "block", "inside", "depth", "offset")
 
 
-def array_records(spark, path):
-    """(path, offset, text) of every object in the arrays; offset counts bytes from the file's begin.
+def array_records(spark, path, keep=None):
+    """(path, offset, text) of every object in the arrays; offset counts bytes from the file's begin. `keep` is a condition on `_metadata` that files meet.
 
     A blank file and an empty array give no row. An element that is no object, a missing comma, a file that is no array, one that is not closed and
     anything behind the closing bracket fail the scan with path and offset. Memory follows the longest record and the size of a byte range
     (`spark.sql.files.maxPartitionBytes`). The pieces are written once to the shared folder.
     """
-    fragments = _fragments(spark, path)
+    fragments = _fragments(spark, path, keep)
     starts = materialize(spark, _starts(fragments), "ranges")
     f = _run(fragments).join(starts, ["path", "block"])
     inside = (F.col("odd") + F.col("inside") + F.col("quotes")) % 2
@@ -85,10 +93,54 @@ def array_records(spark, path):
     return rows.where(is_record).select("path", (F.col("offset") + F.octet_length("text") - F.octet_length(body)).alias("offset"), body.alias("text"))
 
 
+def _struct(schema):
+    return StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
+def small_files(spark):
+    """Condition on `_metadata`: the file is parsed whole. No file beyond a byte range is, so a larger one is still read by several tasks."""
+    ranges = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = F.when(F.col("_metadata.file_name").rlike(_PACKED), F.col("_metadata.file_size") * 16).otherwise(F.col("_metadata.file_size"))
+    return size <= min(WHOLE_BYTES, ranges)
+
+
+def whole_files(spark, path, schema):
+    """(path, ok, r) from the small files: a row per object, or one row that is not `ok` for a file that `array_records` has to judge.
+
+    Spark's parser ignores what stands behind the first value. So the file's text is the first of two elements of an outer array, whose second holds
+    a mark no file can know; both must come out, which leaves exactly one array in the file.
+    """
+    mark = uuid.uuid4().hex
+    element = StructType([*_struct(schema).fields, StructField(_END, StringType())])
+    outer = StructType([StructField("a", ArrayType(ArrayType(element))), StructField(_BROKEN, StringType())])
+    files = spark.read.text(path, wholetext=True).where(small_files(spark)).select(F.col("_metadata.file_path").alias("path"), "value")
+    text = F.concat(F.lit('{"a": ['), "value", F.lit(f', [{{"{_END}": "{mark}"}}]]}}'))
+    parsed = files.where(F.trim("value", F.lit(" \t\r\n")) != "").select("path", F.from_json(text, outer, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}).alias("p"))
+    parts = parsed.select("path", F.col(f"p.{_BROKEN}").isNull().alias("fits"), F.col("p.a").alias("a"))
+    ok = (F.col("fits") & (F.size("a") == 2) & F.get("a", F.lit(0)).isNotNull() & (F.get(F.get("a", F.lit(1)), F.lit(0))[_END] == mark)
+          & ~F.exists(F.get("a", F.lit(0)), lambda r: r.isNull() | r[_END].isNotNull()))
+    judged = parts.select("path", F.coalesce(ok, F.lit(False)).alias("ok"), F.get("a", F.lit(0)).alias("a"))
+    # an array of a null stands for a file that is not ok; an empty array gives no row
+    rows = judged.select("path", "ok", F.explode(F.when(F.col("ok"), F.col("a")).otherwise(F.array(F.lit(None).cast(element)))).alias("r"))
+    return rows.select("path", "ok", F.struct(*[F.col("r")[f.name].alias(f.name) for f in _struct(schema).fields]).alias("r"))
+
+
+def read_arrays(spark, path, schema):
+    """Columns of `schema` from every object in the arrays. Small files are parsed whole and written once, larger ones are read by byte ranges. If the
+    whole parse finds anything amiss, all files are read by byte ranges, which gives their rows or fails with path and offset."""
+    whole = materialize(spark, whole_files(spark, path, schema), "whole")
+    if not whole.where("NOT ok").isEmpty():
+        return parse_records(array_records(spark, path), schema)
+    rows = whole.select(*[F.col("r")[f.name].alias(f.name) for f in _struct(schema).fields])
+    large = ~small_files(spark)
+    if spark.read.format("binaryFile").load(path).where(large).select("path").isEmpty():
+        return rows
+    return rows.unionByName(parse_records(array_records(spark, path, large), schema))
+
+
 def parse_records(records, schema):
     """Columns of `schema` from (path, offset, text); a record that does not fit it fails with its offset."""
-    if isinstance(schema, str):
-        schema = StructType.fromDDL(schema)
+    schema = _struct(schema)
     marked = StructType([*schema.fields, StructField(_BROKEN, StringType())])
     parsed = records.select("path", "offset", F.from_json("text", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}).alias("r"))
     fail = F.raise_error(F.concat(F.lit("broken JSON record: "), "path", F.lit(" at byte "), F.col("offset").cast("string"))).cast("boolean")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import letter_labels, parse_options
 from . import schemas
-from .json_arrays import array_records, parse_records
+from .json_arrays import read_arrays
 
 
 def read_jsonl(spark, path, schema, streaming=False):
@@ -25,8 +25,8 @@ def read_jsonl(spark, path, schema, streaming=False):
 
 
 def read_json_arrays(spark, path, schema):
-    """Files that each hold one top-level JSON array of objects, read by byte ranges (`json_arrays`); a broken record fails the scan with its offset."""
-    return parse_records(array_records(spark, path), schema)
+    """Files that each hold one top-level JSON array of objects, large ones read by byte ranges (`json_arrays`); a broken record fails the scan with its offset."""
+    return read_arrays(spark, path, schema)
 
 
 def to_parquet(spark, df, name):

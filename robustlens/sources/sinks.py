@@ -16,13 +16,13 @@ def write_jsonl(df, path, packed=False):
     writer.json(path)
 
 
-def write_json_arrays(df, path):
-    """Files that each hold one JSON array: an Arrow batch becomes one array, one array one file."""
+def write_json_arrays(df, path, packed=False):
+    """Files that each hold one JSON array: an Arrow batch becomes one array, one array one file; `packed` by gzip."""
     def run(batches):
         for pdf in batches:
             yield pd.DataFrame({"value": ["[" + ",\n".join(pdf["value"]) + "]"]})
     text = df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInPandas(run, "value string")
-    text.write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+    text.write.mode("overwrite").option("maxRecordsPerFile", 1).option("compression", "gzip" if packed else "none").text(path)
 
 
 def write_summary(df, path):

@@ -61,3 +61,20 @@ def test_broken_files_fail_with_their_offset(spark, tmp_path, text, at):
     (tmp_path / "a.json").write_text(text)
     with pytest.raises(Exception, match=rf"a.json at byte {at}\b"):
         read_json_arrays(spark, str(tmp_path), "id long").collect()
+
+
+def test_small_files_are_parsed_whole_and_only_when_surely_one_array(spark, tmp_path):
+    from robustlens.sources.json_arrays import whole_files
+    data = rows(300, 7)
+    (tmp_path / "a.json").write_text(json.dumps(data, indent=1))
+    (tmp_path / "none.json").write_text(" [ \n] ")
+    (tmp_path / "blank.json").write_text(" \n")
+    got = whole_files(spark, str(tmp_path), SCHEMA)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got._jdf.queryExecution().executedPlan().toString().count("from_json") == 1
+    assert sorted((r.r.id, r.ok) for r in got.collect()) == [(i, True) for i in range(300)]
+    for n, text in enumerate(['[{"id": 1}][{"id": 2}]', '[{"id": 1}]] [[', '[{"id": 1}], []', '[{"id": 1}], []]} x', '{"id": 1}', '[{"id": 1}], "b": [1]', '[{"id": 1}, null]', '[[{"id": 1}]]', 'null', '[1]', '[{"id": "x"}]']):
+        folder = tmp_path / f"odd{n}"
+        folder.mkdir()
+        (folder / "a.json").write_text(text)
+        assert [r.ok for r in whole_files(spark, str(folder), "id long").collect()] == [False], text
