@@ -6,6 +6,7 @@ from ..functions.numeric import r6
 from ..functions.wordlists import (BOOLEAN_OPTIONS, LEVEL_NAMES, MEANINGFUL_FILLER, NEUTRAL_PHRASES, OPPOSITE_RELATION, PSEUDO_WORDS, STOPWORDS,
                                    STRUCTURED_PREFIX, TOKEN_PATTERN, WORDY_FILLER, WORDY_PREFIX, WORDY_SUFFIX)
 from ..operators import scenes as sc
+from ..session import materialize
 from . import bindings as b
 from .q_aggregates import rounded
 from .registry import query
@@ -170,7 +171,7 @@ UNION ALL SELECT scene, 3, concat('Is the ', sn, ' ', CASE WHEN pos THEN relatio
 UNION ALL SELECT l2o.scene, 4, concat('What ', category, ' is the ', name, ' that is ', relation, ' the ', tn, '?'), chr(CAST(65 + (SELECT count(*) FROM dis d WHERE d.scene = l2o.scene AND d.oid = l2o.oid AND {H(27, 'l2o.scene', 'd.word')} < {H(27, 'l2o.scene', 'l2o.value')}) AS INT))
   FROM l2o JOIN ro ON ro.scene = l2o.scene AND ro.subject = l2o.oid""")
 def f12(spark, sf):
-    so = b.scene_objects(spark, sf)
+    so = materialize(spark, b.scene_objects(spark, sf).drop("full_name", "size"), "objects")     # every rung reads them
     return sc.scene_questions(so, b.scene_relations(so))
 
 
