@@ -71,6 +71,22 @@ def overlap(w, d):
     return dot(w, d)
 
 
+def band_overlap(w, d, bands):
+    """`overlap` of arrays of `bands` values, written out: a plain sum in the same order, without a lambda for every element."""
+    total = F.lit(0.0)
+    for i in range(bands):
+        total = total + F.get(col(w), F.lit(i)) * F.get(col(d), F.lit(i))
+    return total
+
+
+def band_quadratic_overlap(w, d, bands):
+    total = F.lit(0.0)
+    for i in range(bands):
+        x, y = F.get(col(w), F.lit(i)), F.get(col(d), F.lit(i))
+        total = total + (x * x) * (y * y)
+    return total
+
+
 def quadratic_overlap(w, d):
     def squares(a):
         return F.transform(col(a), lambda x: x * x)
@@ -157,6 +173,38 @@ def spectral_features(a, entropy_threshold=0.86, dominance_margin=0.12):
         F.transform(m, lambda x: F.try_divide(x, s["total"])), lambda p: let(measure(p, s), lambda q: close(q, s)))))
 
 
+def with_band_signature(df, a, name, bands):
+    """Add the `signature` of `spectral_features` of an array of `bands` values, written out band by band. Each step is a projection of its own, so shared
+    terms are computed once. An array of another length, or with a null or NaN, takes the general form."""
+    x = [F.get(col(a), F.lit(i)) for i in range(bands)]
+    plain = F.size(col(a)) == bands
+    for v in x:
+        plain = plain & v.isNotNull() & ~F.isnan(v)
+
+    def total(terms):
+        out = F.lit(0.0)
+        for t in terms:
+            out = out + t
+        return out
+    own = df.columns
+    n1 = -(-bands // 3)
+    n2 = -(-(bands - n1) // 2)
+    df = df.select(*own, F.coalesce(plain, F.lit(False)).alias("_plain"), total([F.abs(v) for v in x]).alias("_total"))
+    df = df.select(*own, "_plain", "_total", *[F.try_divide(F.abs(v), F.col("_total")).alias(f"_p{i}") for i, v in enumerate(x)])
+    p = [F.col(f"_p{i}") for i in range(bands)]
+    ent = F.try_divide(-total([v * F.log(F.greatest(v, F.lit(TINY))) for v in p]), F.log(F.lit(float(bands))))
+    df = df.select(*own, "_plain", "_total", ent.alias("_ent"), total(p[:n1]).alias("_low"), total(p[n1:n1 + n2]).alias("_mid"), total(p[n1 + n2:]).alias("_high"))
+    low, mid, high = F.col("_low"), F.col("_mid"), F.col("_high")
+    df = df.select(*own, "_plain", "_total", "_ent", "_low", "_mid", "_high", F.greatest(low, mid, high).alias("_top"))
+    top = F.col("_top")
+    label = (F.when(F.col("_total") <= TINY, "broadband").when((F.col("_ent") >= 0.86) & (top - (low + mid + high - top - F.least(low, mid, high)) < 0.12), "broadband")
+             .when(low == top, "low").when(mid == top, "mid").otherwise("high"))
+    # Spark evaluates a lambda's branch for every row, so the general form gets its array in one that is null for plain rows, and runs over those left
+    df = df.select(*own, F.when(F.col("_plain"), label).alias(name), F.when(~F.col("_plain"), F.array(a)).alias("_odd"))
+    general = F.transform("_odd", lambda z: spectral_features(z)["signature"])
+    return df.select(*own, F.coalesce(name, F.get(general, F.lit(0))).alias(name))
+
+
 def js_divergence(p, q):
     """Jensen-Shannon divergence (nats) after clipping to EPS and renormalising; 0 when a side is empty."""
     def prep(a):

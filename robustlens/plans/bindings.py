@@ -208,13 +208,13 @@ def filter_tables(spark, sf_dir):
 
 def pairs(spark, sf_dir, *extra):
     """Trials with outcome columns, their filter and the first-order and quadratic overlap."""
-    from ..functions.arrays import overlap, quadratic_overlap
+    from ..functions.arrays import band_overlap, band_quadratic_overlap
     from ..operators.joins import with_filters
     from ..operators.trials import with_outcomes
     f, avg = filter_tables(spark, sf_dir)
     t = with_outcomes(trials(spark, sf_dir, "d", *extra))
-    return (with_filters(t, f, avg).withColumn("predicted", overlap("w", "d"))
-            .withColumn("predicted_quadratic", quadratic_overlap("w", "d")))
+    return (with_filters(t, f, avg).withColumn("predicted", band_overlap("w", "d", BANDS))
+            .withColumn("predicted_quadratic", band_quadratic_overlap("w", "d", BANDS)))
 
 
 def PAIRS(*extra):

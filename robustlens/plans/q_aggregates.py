@@ -277,19 +277,26 @@ sig AS (SELECT *, CASE WHEN went >= 0.86 AND greatest(wl, wm, wh) - (wl + wm + w
 
 
 def signature_rows(spark, sf):
-    from ..functions.arrays import spectral_features
-    p = b.pairs(spark, sf).withColumn("df", spectral_features("d")).withColumn("wf", spectral_features("w"))
-    rows = p.select("family", "predicted", "volatility", "erosion", F.col("df.signature").alias("delta_signature"),
-                    F.when(F.col("wf.signature") == "broadband", "broadband").otherwise("narrow").alias("filter_signature"))
-    # moments and medians read these rows several times: label them once, keep six narrow columns
-    return materialize(spark, rows, "signatures")
+    """Trials with the label of their delta and of their filter. A filter is labelled once, before it meets its trials."""
+    from ..functions.arrays import band_overlap, spectral_features, with_band_signature
+    from ..operators.joins import with_filters
+
+    def labelled(filters):
+        kind = F.when(spectral_features("w")["signature"] == "broadband", "broadband").otherwise("narrow")
+        return filters.withColumn("w", F.when(F.col("w").isNotNull(), F.struct("w", kind.alias("kind"))))
+    own, level = b.filter_tables(spark, sf)
+    # the delta is labelled below the join: labels and overlap in one step make a method too large for the JVM to compile
+    t = outcomes(spark, sf, "d").select("item_id", "level_no", "family", "volatility", "erosion", "d")
+    p = with_filters(with_band_signature(t, "d", "delta_signature", b.BANDS), labelled(own), labelled(level))
+    return p.select("family", band_overlap(F.col("w.w"), "d", b.BANDS).alias("predicted"), "volatility", "erosion", "delta_signature", F.col("w.kind").alias("filter_signature"))
 
 
 @query("a29_signature_matrix", f"""{_SIG} SELECT delta_signature, filter_signature, {CI('volatility', 'volatility')},
   {CI('erosion', 'erosion').split(', ', 1)[1]}, {R(CORR('predicted', 'volatility', 3, 'NULL'))} AS r_volatility, {R(CORR('predicted', 'erosion', 3, 'NULL'))} AS r_erosion
 FROM sig GROUP BY 1, 2""")
 def a29(spark, sf):
-    out = ag.signature_matrix(signature_rows(spark, sf), ["delta_signature", "filter_signature"])
+    # moments and medians read these rows several times: label them once, keep six narrow columns
+    out = ag.signature_matrix(materialize(spark, signature_rows(spark, sf), "signatures"), ["delta_signature", "filter_signature"])
     return rounded(out, *[c for c in out.columns if c not in ("delta_signature", "filter_signature", "n")])
 
 
@@ -299,7 +306,7 @@ SELECT family, delta_signature, CAST(k AS BIGINT) AS k, {R('k / n')} AS share,
   delta_signature = (SELECT x.delta_signature FROM c x WHERE x.family = c.family ORDER BY x.k DESC, x.delta_signature DESC LIMIT 1) AS dominant
 FROM c JOIN t USING (family)""")
 def a58(spark, sf):
-    c = signature_rows(spark, sf).groupBy("family", "delta_signature").agg(F.count("*").alias("k"))
+    c = materialize(spark, signature_rows(spark, sf).groupBy("family", "delta_signature").agg(F.count("*").alias("k")), "shares")
     t = c.groupBy("family").agg(F.sum("k").alias("n"), F.max(F.struct("k", "delta_signature")).alias("top"))
     return c.join(t, "family").select("family", "delta_signature", "k", r6(F.col("k") / F.col("n")).alias("share"),
                                       (F.col("delta_signature") == F.col("top.delta_signature")).alias("dominant"))

@@ -16,3 +16,29 @@ def test_scene_objects_are_built_once(spark):
     import __spark_entry__  # noqa: F401
     text = plan(QUERIES["f12_scene_questions"](spark, SF))
     assert "l_orderkey" not in text and "p_partkey" not in text
+
+
+def test_band_forms_equal_the_general_ones(spark):
+    """Also for arrays that are short, long, null, empty, or hold null, NaN, zeros or negatives."""
+    import random
+
+    from robustlens.functions import arrays as ar
+    r = random.Random(5)
+    rows = [(i, [r.choice([0.0, 0.1, 0.5, 1.0, -0.3, r.random()]) for _ in range(8)], [r.random() for _ in range(8)]) for i in range(300)]
+    rows += [(300, None, [0.1] * 8), (301, [], [0.1] * 8), (302, [0.0] * 8, [0.1] * 8), (303, [0.1] * 7 + [None], [0.2] * 8), (304, [0.3] * 7 + [float("nan")], [0.2] * 8),
+             (305, [1.0, 2.0, 0.5], [0.1] * 8), (306, [1.0] * 9, [0.1] * 8), (307, [1e-14] * 8, [0.1] * 8), (308, [0.4] * 8, None)]
+    df = spark.createDataFrame(rows, "i int, d array<double>, w array<double>")
+    got = ar.with_band_signature(df, "d", "got", 8).withColumn("want", ar.spectral_features("d")["signature"]).collect()
+    assert len(got) == len(rows) and [(x.i, x.got) for x in got] == [(x.i, x.want) for x in got]
+    assert len({x.got for x in got}) >= 4
+    full = df.where("i < 300 OR i IN (300, 302, 303, 308)")
+    for a, b_ in ((ar.band_overlap("w", "d", 8), ar.overlap("w", "d")), (ar.band_quadratic_overlap("w", "d", 8), ar.quadratic_overlap("w", "d"))):
+        assert full.where(~a.eqNullSafe(b_)).count() == 0
+
+
+def test_filters_are_labelled_before_they_meet_trials(spark):
+    """Above the join no lambda runs over a whole filter."""
+    from robustlens.plans.q_aggregates import signature_rows
+    text = plan(signature_rows(spark, SF))
+    top = text[:text.index("Join LeftOuter")]
+    assert "lambda" not in top
