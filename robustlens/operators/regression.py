@@ -47,9 +47,10 @@ def cluster_sums(cells, cols, keys, cluster, centred=False, single=False):
         return d.select(*keys, cluster, "n", "shift", *[(F.col("n") * F.col(f"d{i}")).alias(f"s{i}") for i in range(len(cols))],
                         *[(F.col(f"c{i}_{j}") + F.col("n") * F.col(f"d{i}") * F.col(f"d{j}")).alias(f"q{i}_{j}") for i, j in _pairs(len(cols))])
     sums = d.groupBy(*keys, cluster).agg(
-        F.sum("n").alias("n"), F.first("shift").alias("shift"), *[F.sum(F.col("n") * F.col(f"d{i}")).alias(f"s{i}") for i in range(len(cols))],
+        F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col(f"d{i}")).alias(f"s{i}") for i in range(len(cols))],
         *[F.sum(F.col(f"c{i}_{j}") + F.col("n") * F.col(f"d{i}") * F.col(f"d{j}")).alias(f"q{i}_{j}") for i, j in _pairs(len(cols))])
-    return materialize(cells.sparkSession, sums, "sums")
+    # the shift is put back behind the aggregate: a struct among its values would make it sort its rows
+    return materialize(cells.sparkSession, sums.withColumn("shift", shift), "sums")
 
 
 def _few(df, keyed):
@@ -94,8 +95,9 @@ def fit_cells(cells, xs, y, cluster, keys=(), within=False, absorb=None, spread=
     g = cluster_sums(cells, [*xs, y], own, cluster, absorb is not None, single)
     c = _center(g, k, within, own, bool(keys))
     total = c.groupBy(*own).agg(
-        F.sum("n").alias("n"), F.count("*").alias("g"), F.first("shift").alias("shift"),
+        F.sum("n").alias("n"), F.count("*").alias("g"), *[F.first(F.col("shift")[x]).alias(f"h{i}") for i, x in enumerate([*xs, y])],
         *[F.sum(f"c{i}_{j}").alias(f"c{i}_{j}") for i, j in _pairs(m)], *[F.first(f"m{i}").alias(f"m{i}") for i in range(m)])
+    total = total.withColumn("shift", F.struct(*[F.col(f"h{i}").alias(x) for i, x in enumerate([*xs, y])])).drop(*[f"h{i}" for i in range(m)])
     total = materialize(df.sparkSession, total, "totals")
 
     key_fields = [df.schema[c_] if c_ in df.columns else T.StructField(c_, T.StringType()) for c_ in own]
@@ -228,20 +230,29 @@ def fit_cells(cells, xs, y, cluster, keys=(), within=False, absorb=None, spread=
     return res if keys else res.drop("_one")
 
 
-def long_format_fit(df, xs, y, cluster, by):
+def long_format_fit(df, xs, y, cluster, by, models=("no_fe", "fe")):
     """Regression with and without the fixed effects of `by` (T20), as one table with a `model` column. The facts are folded once to
-    (level, cluster); demeaning within a level moves only the cells' means."""
+    (level, cluster); demeaning within a level moves only the cells' means. A model that is not asked for is not worked out."""
     cols = [*xs, y]
     m = len(cols)
     cells = fold(df.withColumn("_one", F.lit("all")), cols, ["_one", by, cluster])
-    plain = fit_cells(cells, xs, y, cluster).withColumn("model", F.lit("no_fe"))
-    level = cells.groupBy(F.col(by).alias("_by")).agg(*[(F.sum(F.col("n") * F.col(f"m{i}")) / F.sum("n")).alias(f"l{i}") for i in range(m)])
-    level = materialize(df.sparkSession, level, "levels")
-    moved = cells.join(level, F.col(by) == F.col("_by")).withColumns({f"m{i}": F.col(f"m{i}") - F.col(f"l{i}") for i in range(m)}).drop("_by", *[f"l{i}" for i in range(m)])
-    sums = cluster_sums(cells, cols, ["_one"], cluster)
-    spread = sums.groupBy("_one").agg(*[(F.sum(f"q{i}_{i}") / F.sum("n") - F.pow(F.sum(f"s{i}") / F.sum("n"), F.lit(2))).alias(f"w{i}") for i in range(m)])
-    fe = fit_cells(moved, xs, y, cluster, absorb=level.count(), spread=spread).withColumn("model", F.lit("fe"))
-    return plain.unionByName(fe)
+    fits = []
+    if "no_fe" in models:
+        fits.append(fit_cells(cells, xs, y, cluster).withColumn("model", F.lit("no_fe")))
+    if "fe" in models:
+        level = cells.groupBy(F.col(by).alias("_by")).agg(*[(F.sum(F.col("n") * F.col(f"m{i}")) / F.sum("n")).alias(f"l{i}") for i in range(m)])
+        level = materialize(df.sparkSession, level, "levels")
+        moved = cells.join(level, F.col(by) == F.col("_by")).withColumns({f"m{i}": F.col(f"m{i}") - F.col(f"l{i}") for i in range(m)}).drop("_by", *[f"l{i}" for i in range(m)])
+        fits.append(fit_cells(moved, xs, y, cluster, absorb=level.count(), spread=_spread(cells, m)).withColumn("model", F.lit("fe")))
+    return fits[0] if len(fits) == 1 else fits[0].unionByName(fits[1])
+
+
+def _spread(cells, m):
+    """Variances w<i> of the columns over all rows, straight from the cells about their grand mean; no row moves by cluster."""
+    mean = cells.agg(*[(F.sum(F.col("n") * F.col(f"m{i}")) / F.sum("n")).alias(f"g{i}") for i in range(m)]).select(F.struct(*[f"g{i}" for i in range(m)]).alias("z")).scalar()
+    d = cells.withColumn("_g", mean)
+    dev = [F.col(f"m{i}") - F.col(f"_g.g{i}") for i in range(m)]
+    return d.groupBy("_one").agg(*[(F.sum(F.col(f"c{i}_{i}") + F.col("n") * x * x) / F.sum("n")).alias(f"w{i}") for i, x in enumerate(dev)])
 
 
 def fit_by_key(df, xs, y, cluster, key, min_rows):

@@ -256,8 +256,7 @@ _NPERT = "(2 + (SELECT count(DISTINCT perturbation) FROM tr))"
 
 @query("t16_dummy_fixed_effects", f"{b.T()}, {_FE}, {OLS2('rw', _NPERT, tss='var_pop(ry) * count(*)')} SELECT {_OUT} FROM o")
 def t16(spark, sf):
-    f = rg.long_format_fit(outcomes(spark, sf), _X2, "volatility", "item_id", "perturbation")
-    return coef(f.where("model = 'fe'"))
+    return coef(rg.long_format_fit(outcomes(spark, sf), _X2, "volatility", "item_id", "perturbation", ["fe"]))
 
 
 @query("t17_vif", f"""{b.T()}, r AS (SELECT level_no, count(*) AS n, corr(csem, cprompt) AS a, corr(csem, volatility) AS b, corr(cprompt, volatility) AS c FROM tr GROUP BY 1), d AS (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS det FROM r)

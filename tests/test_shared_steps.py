@@ -42,3 +42,24 @@ def test_filters_are_labelled_before_they_meet_trials(spark):
     text = plan(signature_rows(spark, SF))
     top = text[:text.index("Join LeftOuter")]
     assert "lambda" not in top
+
+
+def test_a_fit_that_is_not_asked_for_is_not_worked_out(spark, monkeypatch):
+    """Fixed effects alone give the same rows, with fewer written tables, and sums by cluster need no sort."""
+    from robustlens.operators import regression as rg
+    df = spark.range(400).select((F.col("id") % 23).alias("c"), (F.col("id") % 5).cast("string").alias("p"), (F.col("id") % 7 * 1.0).alias("x"), F.sin("id").alias("z"), F.cos(F.col("id") * 3).alias("y"))
+    names, plans, write = [], [], rg.materialize
+
+    def counted(spark, df, name, *a):
+        names.append(name)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(spark, df, name, *a)
+    monkeypatch.setattr(rg, "materialize", counted)
+    cols = ["predictor", "beta", "stderr", "classical_stderr", "n", "n_clusters", "r_squared"]
+    both = rg.long_format_fit(df, ["x", "z"], "y", "c", "p").where("model = 'fe'").select(cols).orderBy("predictor").collect()
+    assert names.count("sums") == 2 and not any("SortAggregate" in p for n, p in zip(names, plans) if n in ("sums", "totals"))
+    names.clear()
+    alone = rg.long_format_fit(df, ["x", "z"], "y", "c", "p", ["fe"]).select(cols).orderBy("predictor").collect()
+    assert names.count("sums") == 1
+    assert [x.predictor for x in alone] == [x.predictor for x in both] == ["x", "z"]
+    assert all(abs(a - b_) < 1e-9 for r, s in zip(alone, both) for a, b_ in zip(r[1:], s[1:]))
