@@ -235,7 +235,7 @@ _GM = ("predicted", "predicted_quadratic", "csem", "cprompt", "hopt", "is_binary
 
 
 def grouped(spark, sf, *extra):
-    return ag.grouped_pairs(b.pairs(spark, sf, *extra), ["item_id", "level_no", "family"], _GM)
+    return ag.grouped_pairs(b.pairs(spark, sf, *extra), ["item_id", "level_no", "family"], _GM, b.table(spark, sf, "lineitem").count())
 
 
 @query("a19_grouped_pairs", f"{_GP} SELECT item_id, level_no, family, " + ", ".join(

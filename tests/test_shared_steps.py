@@ -63,3 +63,15 @@ def test_a_fit_that_is_not_asked_for_is_not_worked_out(spark, monkeypatch):
     assert names.count("sums") == 1
     assert [x.predictor for x in alone] == [x.predictor for x in both] == ["x", "z"]
     assert all(abs(a - b_) < 1e-9 for r, s in zip(alone, both) for a, b_ in zip(r[1:], s[1:]))
+
+
+def test_pair_rows_are_shared_by_their_number(spark, monkeypatch):
+    """Rows move before they are folded, to more tasks where there are more rows."""
+    from robustlens.operators import aggregates as ag
+    from robustlens.plans.q_aggregates import grouped
+    monkeypatch.setattr(ag, "GROUP_ROWS", 100)
+    got = grouped(spark, SF).select("item_id", "level_no", "family", "net_drop")
+    n = b.table(spark, SF, "lineitem").count()
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert f"hashpartitioning(item_id" in text and f", {-(-n // 100)})" in text
+    assert text.index("partial_avg") < text.index(f", {-(-n // 100)})")      # the partial step stands above the exchange
