@@ -18,7 +18,8 @@ DIMS = 2048
 FIT_ROWS = 4000          # labelled rows of a fit over all languages together
 UNKNOWN = "und"
 LANGUAGES = 200          # more label values than this are refused
-_ROWS = 512
+_ROWS = 128              # texts handled at once: a worker holds the batch and little beside it
+_BYTES = 1 << 18
 
 # Families of common language codes; any other code is a family of its own.
 FAMILIES = {"germanic": "en de nl sv da no nb nn is af lb fy", "romance": "fr es it pt ro ca gl oc", "slavic": "ru uk be bg mk sr hr bs sl cs sk pl",
@@ -32,8 +33,7 @@ _LETTER[128:] = np.arange(128, 256)
 
 def features(column):
     """Yield (first row, matrix) with a row of unit length for each text; texts without letters are all zero."""
-    lowered = pc.utf8_lower(column.cast(pa.large_string()))
-    for row, offsets, data in tx.chunks(lowered, most=_ROWS):
+    for first, row, offsets, data in _lowered(column):
         n = len(offsets) - 1
         out = np.zeros((n, DIMS), np.float32)
         if len(data) > 2:
@@ -44,7 +44,14 @@ def features(column):
             slot = (code[good] * np.uint32(2654435761)) >> np.uint32(32 - DIMS.bit_length() + 1)
             out = np.bincount(owner[:-2][good] * DIMS + slot, minlength=n * DIMS).reshape(n, DIMS).astype(np.float32)
             out = np.sqrt(out / np.maximum(out.sum(1, keepdims=True), 1))
-        yield row, out
+        yield first + row, out
+
+
+def _lowered(column):
+    """Chunks of the lower-cased column, which is lowered by runs of rows and never as a whole."""
+    for first in range(0, len(column), _ROWS):
+        for chunk in tx.chunks(pc.utf8_lower(column.slice(first, _ROWS).cast(pa.large_string())), _BYTES):
+            yield first, *chunk
 
 
 def machine(x, y, rounds=120, ridge=1e-4):
@@ -133,18 +140,20 @@ def identify(docs, model, text="text"):
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    at = kept.index(text) if text in kept else len(kept)        # a text that stays is sent once
 
     def run(batches):
         model = shared.value
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
+            column = batch.column(at)
             lang, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
             letters = pc.fill_null(pc.match_substring_regex(column, r"\pL"), False).to_numpy(zero_copy_only=False)
             if model is not None:
                 for row, x in features(column):
                     lang[row:row + len(x)], score[row:row + len(x)] = model.predict(x)
             lang[~letters], score[~letters] = UNKNOWN, 0.0
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], [*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], pa.array(lang, pa.string()), pa.array(score)], [*kept, "lang_pred", "score"])
 
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    own = [] if text in kept else [F.col(f"`{text}`").alias("__text")]
+    return docs.select(*[F.col(f"`{c}`") for c in kept], *own).mapInArrow(run, schema)

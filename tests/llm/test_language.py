@@ -1,5 +1,6 @@
 """Language identification: held-out accuracy, edge cases, and the pair machines."""
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from robustlens.llm import language as lg
@@ -46,3 +47,17 @@ def test_machine_separates(spark):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     w = lg.machine(x, y, rounds=500)
     assert ((x @ w[:-1] + w[-1] > 0) == (y > 0)).mean() > 0.95
+
+
+def test_memory_follows_runs_of_rows(spark):
+    column = pa.array(["THE of and " * 200] * 9000)
+    before, most, seen = pa.total_allocated_bytes(), 0, []
+    for row, x in lg.features(column):
+        most = max(most, pa.total_allocated_bytes() - before)
+        seen += range(row, row + len(x))
+    assert seen == list(range(9000)) and most < column.nbytes / 10
+    docs = spark.createDataFrame([(1, "the of", "en", 0.5)], "doc_id long, body string, lang string, score double")
+    for text in ("body", "score"):     # a replaced column is read beside the rows, any other is sent once
+        df = lg.identify(docs.withColumn("score", F.lit("the of")) if text == "score" else docs, None, text)
+        assert df.columns == ["doc_id", "body", "lang", "lang_pred", "score"] and df.count() == 1
+        assert ("__text" in df._jdf.queryExecution().analyzed().toString()) == (text == "score")
