@@ -7,13 +7,14 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import let
 from ..functions.numeric import hash_int, safe_corr, safe_slope
 from ..session import materialize
-from .windows import average_ranks
+from .windows import average_ranks, rung_ranks
 
 PRIME = (1 << 61) - 1   # a Mersenne prime: residues of products need no division
 
@@ -58,6 +59,45 @@ def spearman(df, keys, x, y, min_n=3, default=0.0, weight=None):
     return g.select(*keys, F.coalesce("n", F.lit(0)).alias("n"), rho.alias("rho"))
 
 
+def view_correlations(cells, keys, x, y, level, weight, halves, min_n=3, default=0.0):
+    """`pearson` and `spearman` of every view of a ladder: (keys.., view, n, r, rho) for its halves, the whole (`pooled`) and each rung (`level_<rung>`).
+
+    `cells` has (keys.., level, x, y) with a count, `halves` the rungs of each half by name. Cells are not copied for their views: sums are taken once a rung,
+    about its means and about the mean rank in each of its three views, and added up over the rungs (a row a key and rung is broadcast).
+    """
+    keys = list(keys)
+    at = keys + [level]
+    cells = cells.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(level).isin([r for h in halves.values() for r in h]))
+    half = F.lit(None).cast("string")
+    for name, rungs in halves.items():
+        half = F.when(F.col(level).isin(list(rungs)), F.lit(name)).otherwise(half)
+    k, a, b = F.col(weight), F.col(x) - F.col("_mx"), F.col(y) - F.col("_my")
+    means = cells.groupBy(*at).agg(F.sum(weight).alias("n"), (F.sum(k * F.col(x)) / F.sum(k)).alias("_mx"), (F.sum(k * F.col(y)) / F.sum(k)).alias("_my"))
+    whole = Window.partitionBy(*keys)
+    means = materialize(cells.sparkSession, means.withColumn("_half", half).withColumns({"_n_pooled": F.sum("n").over(whole), "_n_half": F.sum("n").over(Window.partitionBy(*keys, "_half"))}), "means")
+    sums = cells.join(F.broadcast(means), at).groupBy(*at).agg(F.sum(k * a * b).alias("ab"), F.sum(k * a * a).alias("aa"), F.sum(k * b * b).alias("bb"),
+                                                            F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
+    rx, ry = (rung_ranks(cells, v, keys, level, weight, list(halves.values())).withColumnsRenamed({c: f"{c}_{p}" for c in ("half", "pooled", "rung")}) for v, p in ((x, "x"), (y, "y")))
+    ranked = cells.join(rx, at + [x]).join(ry, at + [y]).join(F.broadcast(means.select(*at, "n", "_n_pooled", "_n_half")), at)
+    parts = []
+    for view, n in (("half", "_n_half"), ("pooled", "_n_pooled"), ("rung", "n")):
+        ra, rb = (F.col(f"{view}_{p}") - (F.col(n) + 1) / 2 for p in ("x", "y"))
+        parts += [F.sum(k * ra * rb).alias(f"{view}_ab"), F.sum(k * ra * ra).alias(f"{view}_aa"), F.sum(k * rb * rb).alias(f"{view}_bb")]
+    both = means.join(sums, at).join(ranked.groupBy(*at).agg(*parts), at, "left")
+    named = {"half": F.col("_half"), "pooled": F.lit("pooled"), "rung": F.concat(F.lit("level_"), F.col(level).cast("string"))}
+    views = both.withColumn("_v", F.explode(F.array(*[F.struct(name.alias("view"), *[F.col(f"{v}_{s}").alias(f"s{s}") for s in ("ab", "aa", "bb")]) for v, name in named.items()])))
+    views = views.select(*keys, "n", "_mx", "_my", "ab", "aa", "bb", "x0", "x1", "y0", "y1", "_v.*")
+    own = Window.partitionBy(*keys, "view")
+    views = views.withColumns({"_dx": F.col("_mx") - F.sum(F.col("n") * F.col("_mx")).over(own) / F.sum("n").over(own), "_dy": F.col("_my") - F.sum(F.col("n") * F.col("_my")).over(own) / F.sum("n").over(own)})
+    n, dx, dy = F.col("n"), F.col("_dx"), F.col("_dy")
+    g = views.groupBy(*keys, "view").agg(F.sum("n").alias("n"), F.sum(F.col("ab") + n * dx * dy).alias("ab"), F.sum(F.col("aa") + n * dx * dx).alias("aa"), F.sum(F.col("bb") + n * dy * dy).alias("bb"),
+                                         (F.min("x0") < F.max("x1")).alias("vx"), (F.min("y0") < F.max("y1")).alias("vy"), *[F.sum(c).alias(c) for c in ("sab", "saa", "sbb")])
+    none = F.lit(default).cast("double")
+    r = F.when((n >= min_n) & F.col("vx") & F.col("vy"), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).otherwise(none)
+    rho = F.when((n >= min_n) & (F.col("saa") > 0) & (F.col("sbb") > 0), F.col("sab") / F.sqrt(F.col("saa") * F.col("sbb"))).otherwise(none)
+    return g.select(*keys, "view", "n", r.alias("r"), rho.alias("rho"))
+
+
 def ladder(points, keys, order, *values):
     """The level means of one key as an array sorted by rung. A ladder has at most eight rungs."""
     s = F.struct(F.col(order).alias("ord"), *[F.col(v).cast("double").alias(v) for v in values])

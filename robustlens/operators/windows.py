@@ -22,7 +22,18 @@ def ordered_counts(df, value, keys=(), weight=None):
     keys = list(keys)
     by = keys or ["_all"]
     df = df if keys else df.withColumn("_all", F.lit(0))
-    counts = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, value).agg((F.sum(weight) if weight else F.count("*")).alias("k"))
+    counts = _in_order(df, value).groupBy(*by, value).agg((F.sum(weight) if weight else F.count("*")).alias("k"))
+    run = _running(counts, value, keys, ["k"])
+    return run.select(*keys, value, "k", F.col("_first_k").alias("first"), F.col("_total_k").alias("total"))
+
+
+def _in_order(df, value):
+    return df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+
+
+def _running(counts, value, keys, ks):
+    """`counts` (a row per value, grouped by `keys`, by `_all` without them) with, for each of the counts `ks`, their sum over smaller values and over all."""
+    by = keys or ["_all"]
     buckets = _COARSE * _FINE
     cuts = F.array_distinct(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10 * buckets))
     coarse = F.filter("_cuts", lambda q, i: (i + 1) % _FINE == 0).alias("_coarse")     # once a group, not once a value
@@ -34,13 +45,13 @@ def ordered_counts(df, value, keys=(), weight=None):
     # A value's bucket in two steps: the coarse cuts below it, then the cuts of that stretch.
     c = c.withColumn("_at", F.size(F.filter("_coarse", lambda q: q < F.col(value))) * _FINE)
     c = c.withColumn("bkt", F.col("_at") + F.size(F.filter(F.slice("_cuts", F.col("_at") + 1, F.lit(_FINE)), lambda q: q < F.col(value)))).drop("_cuts", "_coarse", "_at")
-    sizes = c.groupBy(*by, "bkt").agg(F.sum("k").alias("n"))
+    sizes = c.groupBy(*by, "bkt").agg(*[F.sum(k).alias(f"_n_{k}") for k in ks])
     w = Window.partitionBy(*by)
-    offs = sizes.select(*by, "bkt", (F.sum("n").over(w.orderBy("bkt")) - F.col("n")).alias("off"),
-                        F.sum("n").over(w).alias("total"))
+    offs = sizes.select(*by, "bkt", *[(F.sum(f"_n_{k}").over(w.orderBy("bkt")) - F.col(f"_n_{k}")).alias(f"_off_{k}") for k in ks],
+                        *[F.sum(f"_n_{k}").over(w).alias(f"_total_{k}") for k in ks])
     inside = Window.partitionBy(*by, "bkt").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = c.withColumn("upto", F.sum("k").over(inside)).join(offs, by + ["bkt"])
-    return run.select(*keys, value, "k", (F.col("off") + F.col("upto") - F.col("k")).alias("first"), "total")
+    run = c.withColumns({f"_upto_{k}": F.sum(k).over(inside) for k in ks}).join(offs, by + ["bkt"])
+    return run.withColumns({f"_first_{k}": F.col(f"_off_{k}") + F.col(f"_upto_{k}") - F.col(k) for k in ks})
 
 
 def average_ranks(df, value, group=None, weight=None):
@@ -49,6 +60,23 @@ def average_ranks(df, value, group=None, weight=None):
     return o.select(*(group or []), value, "k", (F.col("first") + (F.col("k") + 1) / F.lit(2.0)).alias("rank"))
 
 
+def rung_ranks(cells, value, keys, level, weight, halves):
+    """Average ranks of every (rung, value) of a ladder among three sets: its half, the whole ladder and its rung, as (keys.., level, value, half, pooled, rung).
+
+    `halves` lists the rungs of each half. Values are put in order once, with a running count for every rung; all three ranks are sums of those.
+    """
+    rungs = [r for half in halves for r in half]
+    count = {r: f"_k{r}" for r in rungs}
+    wide = _in_order(cells, value).groupBy(*keys, value).agg(*[F.coalesce(F.sum(F.when(F.col(level) == r, F.col(weight))), F.lit(0)).alias(c) for r, c in count.items()])
+    run = _running(wide, value, list(keys), list(count.values()))
+
+    def rank(among):
+        return sum((F.col(f"_first_{count[r]}") for r in among), F.lit(0)) + (sum((F.col(count[r]) for r in among), F.lit(0)) + 1) / F.lit(2.0)
+    run = run.select(*keys, value, *count.values(), *[F.col(f"_first_{c}") for c in count.values()], rank(rungs).alias("pooled"), *[rank(h).alias(f"_half{i}") for i, h in enumerate(halves)])
+    own = F.array(*[F.when(F.col(count[r]) > 0, F.struct(F.lit(r).alias(level), F.col(f"_half{i}").alias("half"), rank([r]).alias("rung"))) for i, h in enumerate(halves) for r in h])
+    return run.select(*keys, value, "pooled", F.explode(F.array_compact(own)).alias("_r")).select(*keys, F.col(f"_r.{level}").cast(cells.schema[level].dataType).alias(level), value, "_r.half", "pooled", "_r.rung")
+
+
 def exact_quantiles(df, value, probs, keys=()):
     """Exact linearly interpolated quantiles per group: (keys.., q0, q1, ..). Scales with `ordered_counts`."""
     o = ordered_counts(df, value, keys)

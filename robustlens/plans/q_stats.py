@@ -376,18 +376,15 @@ q AS (SELECT grain, target, view, count(*) AS n, {CORR('predicted', 'y')} AS r,
 SELECT grain, target, view, CAST(n AS BIGINT) AS n, {R('r')} AS r, {R(f"CASE WHEN n <= 3 THEN r ELSE {_CI9.format(s='-')} END")} AS ci_lower, {R(f"CASE WHEN n <= 3 THEN r ELSE {_CI9.format(s='+')} END")} AS ci_upper, {RP('q.r', 'q.n')} AS p_value,
   {R('rho')} AS rho, r > CASE grain WHEN 'sample' THEN 0.3 ELSE 0.7 END AND n >= 30 AS passed, rho > 0.8 AS strong_rho, rho > 0.6 AS secondary_rho FROM q""")
 def t26(spark, sf):
-    p = b.pairs(spark, sf).withColumns({c: F.round(c, 9) for c in ("predicted", *_TG)})
-    g = grouped(spark, sf).withColumns({c: F.round(c, 9) for c in ("predicted", *_TG)})
-    both = [x.select(F.lit(lab).alias("grain"), "level_no", "predicted", *_TG) for lab, x in (("grouped", g), ("sample", p))]
-    # both grains fold to value cells before anything reads them again
-    w = tr.unpivot_targets(both[0].unionByName(both[1]), list(_TG))
-    cells = materialize(spark, w.groupBy("grain", "target", "level_no", "predicted", "value").agg(F.count("*").alias("k")), "cells")
-    views = tr.level_views(cells).unionByName(cells.withColumn("view", F.concat(F.lit("level_"), "level_no")))
-    keys = ["grain", "target", "view"]
-    r = st.pearson(views, keys, "predicted", "value", weight="k")
-    rho = st.spearman(views, keys, "predicted", "value", weight="k").drop("n")
+    # trials with equal values are folded before they are rounded and unpivoted, and both grains fold to value cells before anything reads them again
+    p = b.pairs(spark, sf).groupBy("level_no", "predicted", *_TG).agg(F.count("*").alias("k"))
+    g = grouped(spark, sf).withColumn("k", F.lit(1).cast("long"))
+    w = [x.select(F.lit(lab).alias("grain"), "level_no", "k", *[F.round(c, 9).alias(c) for c in ("predicted", *_TG)]) for lab, x in (("grouped", g), ("sample", p))]
+    w = tr.unpivot_targets(w[0].unionByName(w[1]), list(_TG))
+    cells = materialize(spark, w.groupBy("grain", "target", "level_no", "predicted", "value").agg(F.sum("k").alias("k")), "cells")
+    out = st.view_correlations(cells, ["grain", "target"], "predicted", "value", "level_no", "k", {"primary": tr.PRIMARY_LEVELS, "wordy": tr.WORDY_LEVELS})
     lo, hi = st.fisher_ci(F.col("r"), F.col("n"))
-    out = r.join(rho, keys).withColumns({"ci_lower": lo, "ci_upper": hi, "p_value": p4(pv.corr_pvalue("r", "n")), "strong_rho": F.col("rho") > 0.8, "secondary_rho": F.col("rho") > 0.6,
+    out = out.withColumns({"ci_lower": lo, "ci_upper": hi, "p_value": p4(pv.corr_pvalue("r", "n")), "strong_rho": F.col("rho") > 0.8, "secondary_rho": F.col("rho") > 0.6,
                                          "passed": (F.col("r") > F.when(F.col("grain") == "sample", 0.3).otherwise(0.7)) & (F.col("n") >= 30)})
     return rounded(out, "r", "rho", "ci_lower", "ci_upper")
 

@@ -75,3 +75,23 @@ def test_pair_rows_are_shared_by_their_number(spark, monkeypatch):
     text = got._jdf.queryExecution().executedPlan().toString()
     assert f"hashpartitioning(item_id" in text and f", {-(-n // 100)})" in text
     assert text.index("partial_avg") < text.index(f", {-(-n // 100)})")      # the partial step stands above the exchange
+
+
+def test_view_correlations_do_not_copy_cells(spark):
+    """The same as a copy of the cells for each view, also with ties, NaN, a constant rung and rungs of few rows; and no view is made of cells."""
+    import math
+    import random
+
+    from robustlens.operators import stats as st
+    r = random.Random(3)
+    rows = [(g, level, round(r.random() * (1 if g else 3), 1), 1.0 if level == 2 else round(r.random(), 2), r.randint(1, 4)) for g in (0, 1) for level in (1, 2, 3, 5, 6, 8) for _ in range(150)]
+    rows += [(1, 7, 0.5, 0.25, 1), (1, 7, None, 0.5, 1)] + [(2, 1, 0.5, float("nan"), 1), (2, 1, 0.25, 0.5, 2), (2, 6, 0.75, 0.5, 2), (2, 6, 0.5, 0.75, 3)]
+    df = spark.createDataFrame(rows, "g int, level int, x double, y double, k long").groupBy("g", "level", "x", "y").agg(F.sum("k").alias("k"))
+    own = F.when(F.col("level") < 5, "primary").otherwise("wordy")
+    views = df.withColumn("view", F.explode(F.array(own, F.lit("pooled"), F.concat(F.lit("level_"), "level"))))
+    both = st.pearson(views, ["g", "view"], "x", "y", weight="k").join(st.spearman(views, ["g", "view"], "x", "y", weight="k").drop("n"), ["g", "view"])
+    want = {(w.g, w.view): (w.n, w.r, w.rho) for w in both.collect()}
+    got = {(w.g, w.view): (w.n, w.r, w.rho) for w in st.view_correlations(df, ["g"], "x", "y", "level", "k", {"primary": (1, 2, 3, 4), "wordy": (5, 6, 7, 8)}).collect()}
+    assert set(got) == set(want)
+    for key, (n, *cs) in want.items():
+        assert got[key][0] == n and all(math.isclose(a, b, abs_tol=1e-9) or math.isnan(a) and math.isnan(b) for a, b in zip(got[key][1:], cs)), (key, got[key], want[key])
