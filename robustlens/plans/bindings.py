@@ -60,11 +60,13 @@ def T(*extra):
 
 # --- nested records: one row per record, levels as a map, perturbations as an array -------------
 def records(spark, sf_dir):
-    pert = """transform(filter(array(1, 2, 3), s -> s <= l_linenumber % 4), s -> named_struct(
-        'name', concat(l_returnflag, '(', s, ')|sev', s), 'family', l_returnflag, 'severity', s,
-        'accuracy_drop', CASE WHEN {cc} = 1 AND (l_orderkey + s) % 3 = 0 THEN 1e0 ELSE 0e0 END,
-        'loglik_drift', CASE WHEN (l_orderkey + s) % 5 = 0 THEN NULL
-                        ELSE round((l_discount - 0.05) * 20 * s * {k}, 6) END))"""
+    # written out: lambdas are interpreted for every element
+    one = """named_struct(
+        'name', concat(l_returnflag, '({s})|sev{s}'), 'family', l_returnflag, 'severity', {s},
+        'accuracy_drop', CASE WHEN {cc} = 1 AND (l_orderkey + {s}) % 3 = 0 THEN 1e0 ELSE 0e0 END,
+        'loglik_drift', CASE WHEN (l_orderkey + {s}) % 5 = 0 THEN NULL
+                        ELSE round((l_discount - 0.05) * 20 * {s} * {k}, 6) END)"""
+    pert = "slice(array(" + ", ".join(one.replace("{s}", str(i)) for i in (1, 2, 3)) + "), 1, greatest(l_linenumber % 4, 0))"
     base_no = "CAST((l_orderkey + l_linenumber) % 4 + 1 AS INT)"
     cc = "(CASE WHEN (l_partkey + l_linenumber) % 4 < 3 THEN 1 ELSE 0 END)"
 

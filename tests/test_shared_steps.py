@@ -95,3 +95,12 @@ def test_view_correlations_do_not_copy_cells(spark):
     assert set(got) == set(want)
     for key, (n, *cs) in want.items():
         assert got[key][0] == n and all(math.isclose(a, b, abs_tol=1e-9) or math.isnan(a) and math.isnan(b) for a, b in zip(got[key][1:], cs)), (key, got[key], want[key])
+
+
+def test_records_are_made_without_lambdas(spark):
+    """Each record holds its first l_linenumber % 4 perturbations, none of them interpreted element by element."""
+    rec = b.records(spark, SF)
+    assert "lambda" not in plan(rec)
+    for r in rec.where("rec_id < 50").collect():
+        for lv in r.levels.values():
+            assert [p.severity for p in lv.perturbations] == list(range(1, r.rec_no % 4 + 1)) and all(p.name == f"{p.family}({p.severity})|sev{p.severity}" for p in lv.perturbations)
