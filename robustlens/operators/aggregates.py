@@ -120,16 +120,21 @@ def level_summary(trials, clean_key=("item_id", "level_no"), level="level_no"):
 GROUP_ROWS = 1_000_000       # rows a task folds to groups
 
 
-def grouped_pairs(trials, keys, measures, rows=0):
+def group_tasks(spark, rows, most=GROUP_ROWS):
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // most))
+
+
+def grouped_pairs(trials, keys, measures, rows=0, dealt=False):
     """Means of the measures per (item, level, family) with right->wrong / wrong->right counts.
 
     A group has few rows, so rows move as they are: partial aggregates of a whole input split would be held by one task, and save nothing.
-    `rows`, their number at most, sets how many tasks share them where Spark's own number would give one task too many.
+    `rows`, their number at most, sets how many tasks share them where Spark's own number would give one task too many. Rows that are `dealt` by a part
+    of the keys stay where they are.
     """
-    parts = max(int(trials.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // GROUP_ROWS))
     ci = ((F.col("clean_correct") == 1) & (F.col("pert_correct") == 0)).cast("double")
     ic = ((F.col("clean_correct") == 0) & (F.col("pert_correct") == 1)).cast("double")
-    g = trials.repartition(parts, *keys).groupBy(*keys).agg(
+    rows_by_key = trials if dealt else trials.repartition(group_tasks(trials.sparkSession, rows), *keys)
+    g = rows_by_key.groupBy(*keys).agg(
         *[F.avg(m).alias(m) for m in measures], F.avg("clean_correct").alias("clean_accuracy"),
         F.avg("pert_correct").alias("perturbed_accuracy"), F.sum(ci).cast("long").alias("ci_count"),
         F.sum(ic).cast("long").alias("ic_count"), F.avg(ci - ic).alias("net_drop"), F.count("*").alias("n"))

@@ -32,12 +32,18 @@ def clean_vs_perturbed(clean, pert, keys=("item_id", "level_no")):
             .drop("clean_scores"))
 
 
-def with_filters(trials, item_filters, level_filters):
-    """Each trial with its own filter or the level average; trials with neither are dropped."""
+def with_filters(trials, item_filters, level_filters, by_item=False):
+    """Each trial with its own filter or the level average; trials with neither are dropped. `by_item` keeps trials that were dealt by item where they are."""
     own = item_filters.select("item_id", "level_no", F.col("w").alias("w_own"))
     avg = level_filters.select("level_no", F.col("w").alias("w_avg"))
-    return (trials.join(own, ["item_id", "level_no"], "left")
-            .join(F.broadcast(avg), "level_no", "left")   # one row per rung of the eight-step ladder
+    if by_item:
+        # the level between bounds is no key of the join; as one, Spark would deal both sides anew by item and level
+        own = own.withColumnsRenamed({"item_id": "_item", "level_no": "_level"})
+        same = (F.col("item_id") == F.col("_item")) & (F.col("level_no") >= F.col("_level")) & (F.col("level_no") <= F.col("_level"))
+        joined = trials.join(own, same, "left").drop("_item", "_level")
+    else:
+        joined = trials.join(own, ["item_id", "level_no"], "left")
+    return (joined.join(F.broadcast(avg), "level_no", "left")   # one row per rung of the eight-step ladder
             .withColumn("w", F.coalesce("w_own", "w_avg")).drop("w_own", "w_avg")
             .where(F.col("w").isNotNull()))
 

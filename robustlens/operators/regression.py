@@ -13,20 +13,28 @@ from pyspark.sql import types as T
 
 from ..functions.pvalues import t_sf2
 from ..session import materialize
-from .stats import marginal_relationships
-from .trials import complete_cases, level_views
+from .stats import log_prediction, marginal_relationships
+from .trials import complete_cases, is_complete, level_views
 
 
 def _pairs(k):
     return [(i, j) for i in range(k) for j in range(i, k)]
 
 
-def fold(df, cols, by):
-    """One pass over the facts: count, means m<i> and centred cross products c<i>_<j> of `cols` per cell of `by`, written once."""
-    rows = complete_cases(df, cols, by)
-    v = [F.col(c).cast("double") for c in cols]
-    cells = rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(v)],
-                                  *[(F.covar_pop(v[i], v[j]) * F.count("*")).alias(f"c{i}_{j}") for i, j in _pairs(len(v))])
+def fold(df, cols, by, also=None):
+    """One pass over the facts: count, means m<i> and centred cross products c<i>_<j> of `cols` per cell of `by`, written once.
+
+    `also` are aggregates over all rows of a cell, complete or not; with them, cells without a complete row are written too.
+    """
+    if also:
+        ok = is_complete(cols, by)
+        rows = df.withColumns({"_ok": ok, **{f"_v{i}": F.when(ok, F.col(c).cast("double")) for i, c in enumerate(cols)}})
+        v, n = [F.col(f"_v{i}") for i in range(len(cols))], F.count_if("_ok")
+    else:
+        rows = complete_cases(df, cols, by)
+        v, n = [F.col(c).cast("double") for c in cols], F.count("*")
+    cells = rows.groupBy(*by).agg(n.alias("n"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(v)],
+                                  *[(F.covar_pop(v[i], v[j]) * n).alias(f"c{i}_{j}") for i, j in _pairs(len(v))], *(also or []))
     return materialize(df.sparkSession, cells, "cells")
 
 
@@ -264,6 +272,34 @@ def fit_by_key(df, xs, y, cluster, key, min_rows):
     return counts.join(res, key, "left").withColumn("skipped", F.col("predictor").isNull())
 
 
+def prediction_fit(df, predicted, xs, y, cluster):
+    """Fit per level view on overlap_z, `stats.standardized_bridge` of the prediction, `xs`, and `is_binary` and `prediction_entropy` where they vary / exist.
+
+    z is affine, so the facts are folded once with its logarithm, beside what its mean and deviation and the choice of predictors are taken from; the
+    cells then move to z. Only a predictor that drops out is a second fold. Facts dealt by `cluster` do not move for the fold.
+    """
+    spark = df.sparkSession
+    v = level_views(df.withColumn("_log", log_prediction(predicted)))
+    more = [c for c in ("is_binary", "prediction_entropy") if c in df.columns]
+    cells = fold(v, ["_log", *xs, *more, y], ["view", cluster], [
+        F.count("_log").alias("_n"), F.avg("_log").alias("_m"), (F.var_pop("_log") * F.count("_log")).alias("_q"),
+        *[e for c in more for e in (F.count(c).alias(f"_{c}_n"), F.min(c).alias(f"_{c}_lo"), F.max(c).alias(f"_{c}_hi"))]])
+    every = cells.where("view = 'pooled'")     # each row once
+    s = every.agg(F.try_divide(F.sum(F.col("_n") * F.col("_m")), F.sum("_n")).alias("m"), *[e for c in more for e in (
+        F.sum(f"_{c}_n").alias(f"{c}_n"), F.min(f"_{c}_lo").alias(f"{c}_lo"), F.max(f"_{c}_hi").alias(f"{c}_hi"))]).first()
+    mean = s["m"] if s["m"] is not None else float("nan")
+    var = every.agg(F.try_divide(F.sum(F.col("_q") + F.col("_n") * (F.col("_m") - mean) * (F.col("_m") - mean)), F.sum("_n"))).first()[0]
+    sd = np.sqrt(var) if var is not None else float("nan")
+    kept = [c for c in more if (s["is_binary_lo"] == 0 and s["is_binary_hi"] == 1 if c == "is_binary" else s[f"{c}_n"] > 0)]
+    if kept != more:
+        cells = fold(v, ["_log", *xs, *kept, y], ["view", cluster])
+    names = ["overlap_z", *xs, *kept]
+    scale = 1.0 / sd if sd > 1e-8 else 1.0
+    cells = cells.where(F.col("n") > 0).where(F.lit(bool(np.isfinite(mean) and np.isfinite(sd))))   # without a finite z no row is complete
+    to_z = {"m0": (F.col("m0") - mean) * scale, "c0_0": F.col("c0_0") * scale * scale, **{f"c0_{j}": F.col(f"c0_{j}") * scale for j in range(1, len(names) + 1)}}
+    return fit_cells(cells.withColumns(to_z), names, y, cluster, ["view"], single=True)
+
+
 def sign_stability(fits):
     """Share of positive and negative coefficients per predictor over the keys, and their spread."""
     f = fits.where("predictor IS NOT NULL AND predictor <> 'intercept'")

@@ -388,9 +388,13 @@ def z(c, m, s):
     return F.when(s > 1e-8, (c - m) / s).otherwise(c - m)
 
 
+def log_prediction(predicted):
+    return F.log1p(F.greatest(F.col(predicted), F.lit(0.0)))
+
+
 def standardized_bridge(df, predicted="predicted", actual="actual"):
     """z(log1p(max(pred,0))) and z(actual) on every row."""
-    d = df.withColumn("pred_log", F.log1p(F.greatest(F.col(predicted), F.lit(0.0))))
+    d = df.withColumn("pred_log", log_prediction(predicted))
     st = d.agg(F.avg("pred_log").alias("pm"), F.stddev_pop("pred_log").alias("ps"), F.avg(actual).alias("am"), F.stddev_pop(actual).alias("as"))
     d = with_scalars(d, st)
     return d.withColumn("pred_z", z(F.col("pred_log"), F.col("_st.pm"), F.col("_st.ps"))).withColumn(

@@ -68,14 +68,18 @@ def clean_correct_only(df):
     return df.where(F.col("clean_correct") == 1)
 
 
-def complete_cases(df, numeric, keys=()):
-    """Rows whose numeric columns are all finite and whose key columns are present."""
+def is_complete(numeric, keys=()):
     cond = F.lit(True)
     for c in numeric:
         cond = cond & is_finite(F.col(c).cast("double"))
     for k in keys:
         cond = cond & F.col(k).isNotNull()
-    return df.where(cond)
+    return cond
+
+
+def complete_cases(df, numeric, keys=()):
+    """Rows whose numeric columns are all finite and whose key columns are present."""
+    return df.where(is_complete(numeric, keys))
 
 
 def allow_kinds(df, kinds, kind_col="family"):

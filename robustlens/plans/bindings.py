@@ -37,9 +37,11 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def trials(spark, sf_dir, *extra):
+def trials(spark, sf_dir, *extra, dealt=None):
+    """`dealt` deals the raw rows to tasks, which are narrower than the trials computed from them."""
     cols = {**TRIAL_COLS, **{k: TRIAL_EXTRA[k] for k in extra}}
-    return table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS {a}" for a, e in cols.items()])
+    raw = table(spark, sf_dir, "lineitem")
+    return (dealt(raw) if dealt else raw).selectExpr(*[f"{e} AS {a}" for a, e in cols.items()])
 
 
 def trials_cte(*extra):
@@ -208,14 +210,15 @@ def filter_tables(spark, sf_dir):
     return f, mean_vector(f, "radial", "level_no").select("level_no", normalize("mean_vec").alias("w"))
 
 
-def pairs(spark, sf_dir, *extra):
-    """Trials with outcome columns, their filter and the first-order and quadratic overlap."""
+def pairs(spark, sf_dir, *extra, item_tasks=0):
+    """Trials with outcome columns, their filter and the first-order and quadratic overlap. With `item_tasks` they move once, as raw rows by item to so
+    many tasks, and stay there."""
     from ..functions.arrays import band_overlap, band_quadratic_overlap
     from ..operators.joins import with_filters
     from ..operators.trials import with_outcomes
     f, avg = filter_tables(spark, sf_dir)
-    t = with_outcomes(trials(spark, sf_dir, "d", *extra))
-    return (with_filters(t, f, avg).withColumn("predicted", band_overlap("w", "d", BANDS))
+    t = with_outcomes(trials(spark, sf_dir, "d", *extra, dealt=(lambda raw: raw.repartition(item_tasks, "l_partkey")) if item_tasks else None))
+    return (with_filters(t, f, avg, by_item=bool(item_tasks)).withColumn("predicted", band_overlap("w", "d", BANDS))
             .withColumn("predicted_quadratic", band_quadratic_overlap("w", "d", BANDS)))
 
 

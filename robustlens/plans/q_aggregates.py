@@ -238,6 +238,12 @@ def grouped(spark, sf, *extra):
     return ag.grouped_pairs(b.pairs(spark, sf, *extra), ["item_id", "level_no", "family"], _GM, b.table(spark, sf, "lineitem").count())
 
 
+def grouped_by_item(spark, sf):
+    """`grouped` with all groups of an item in one task, for what folds them by item: rows move once, and an item's rows to one task."""
+    p = b.pairs(spark, sf, item_tasks=ag.group_tasks(spark, b.table(spark, sf, "lineitem").count()))
+    return ag.grouped_pairs(p, ["item_id", "level_no", "family"], _GM, dealt=True)
+
+
 @query("a19_grouped_pairs", f"{_GP} SELECT item_id, level_no, family, " + ", ".join(
     f"{R(c)} AS {c}" for c in (*_GM, "clean_accuracy", "perturbed_accuracy")) + ", n FROM g")
 def a19(spark, sf):

@@ -10,7 +10,7 @@ from ..operators import trials as tr
 from ..operators import windows as wn
 from ..session import materialize
 from . import bindings as b
-from .q_aggregates import _DROP, _GP, _MS, grouped, metric_means, outcomes, rounded
+from .q_aggregates import _DROP, _GP, _MS, grouped, grouped_by_item, metric_means, outcomes, rounded
 from .q_joins import _CTRL, _COS, _L2
 from .q_windows import _FL, layered_filters, overlap_2d_rows, _M2
 from .registry import query
@@ -356,10 +356,7 @@ def t24(spark, sf):
 
 @query("t25_prediction_factor_fit", None)
 def t25(spark, sf):
-    z = st.standardized_bridge(grouped(spark, sf), "predicted", "volatility").withColumnRenamed("pred_z", "overlap_z")
-    v = tr.level_views(z)
-    xs = tr.predictor_list(z, ("overlap_z", "csem", "cprompt", "hopt"))   # the binary control only where it varies
-    f = rg.fit(v, xs, "volatility", "item_id", ["view"])
+    f = rg.prediction_fit(grouped_by_item(spark, sf), "predicted", ["csem", "cprompt", "hopt"], "volatility", "item_id")
     return rounded(f.select("view", "predictor", "beta", "standardized_beta", "stderr", "p_value", "r_squared", "n"), "beta", "standardized_beta", "stderr", "p_value", "r_squared")
 
 
