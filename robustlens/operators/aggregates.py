@@ -120,8 +120,8 @@ def level_summary(trials, clean_key=("item_id", "level_no"), level="level_no"):
 GROUP_ROWS = 1_000_000       # rows a task folds to groups
 
 
-def group_tasks(spark, rows, most=GROUP_ROWS):
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // most))
+def group_tasks(spark, rows):
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // GROUP_ROWS))
 
 
 def grouped_pairs(trials, keys, measures, rows=0, dealt=False):

@@ -2,7 +2,8 @@
 from pyspark.sql import functions as F
 
 from ..functions.numeric import r6
-from ..session import scratch_path
+from ..operators.aggregates import group_tasks
+from ..session import discard, scratch_path, shuffles_dropped
 from ..sources import sinks
 from ..streaming import jobs
 from . import bindings as b
@@ -25,6 +26,16 @@ def feed(spark, df, schema, rows, closing=None):
     return jobs.json_stream(spark, path, schema, files)
 
 
+def packed_feed(spark, rows_of, rows, path):
+    """`feed` by gzip into the folder `path`. `rows_of` gives the rows dealt to a number of tasks; a file holds at most about half of what one task may
+    read whole, so uneven dealing cuts none in two."""
+    files = -(-max(rows, 1) // (BATCHES * (sinks.PACKED_ROWS // 2)))        # of one batch
+    df = rows_of(BATCHES * files)
+    with shuffles_dropped(spark):
+        sinks.write_jsonl(df, path, packed=True)
+    return jobs.json_stream(spark, path, df.schema, files)
+
+
 def paths(spark, name):
     return scratch_path(spark, name), scratch_path(spark, f"{name}-cp")
 
@@ -45,9 +56,15 @@ _X02 = (*_GM, "recovery", "clean_accuracy", "perturbed_accuracy", "net_drop", "r
        + ", ".join(f"{R(c)} AS {c}" for c in _X02) + ", ci_count, ic_count, n FROM q")
 def x02(spark, sf):
     out, cp = paths(spark, "pairs")
-    t = b.trials(spark, sf, "d")
-    jobs.write_partials(feed(spark, t, t.schema, t.count()), jobs.pair_partials(*b.filter_tables(spark, sf)), out, cp).awaitTermination()
-    return rounded(jobs.merge_pairs(spark.read.parquet(f"{out}/*")), *_X02)
+
+    def rows_of(tasks):
+        return b.trials(spark, sf, "d", dealt=lambda raw: raw.repartition(tasks, "l_orderkey", "l_linenumber")).select(*jobs.PAIR_COLUMNS)
+    arrivals = scratch_path(spark, "feed")
+    rows = b.table(spark, sf, "lineitem").count()
+    partial = jobs.pair_partials(*b.filter_tables(spark, sf), b.BANDS, group_tasks(spark, rows // BATCHES))
+    jobs.write_partials(packed_feed(spark, rows_of, rows, arrivals), partial, out, cp).awaitTermination()
+    discard(spark, arrivals)     # all of it is in the partial sums
+    return rounded(jobs.merge_pairs(spark.read.parquet(f"{out}/*"), rows), *_X02)
 
 
 @query("x03_running_transitions", f"""{b.T()} SELECT perturbation, CAST(count(*) AS BIGINT) AS instances, CAST(sum(changed::INT) AS BIGINT) AS changed, CAST(count(*) FILTER (WHERE clean_correct = 1 AND pert_correct = 0) AS BIGINT) AS r2w, CAST(count(*) FILTER (WHERE clean_correct = 0 AND pert_correct = 1) AS BIGINT) AS w2r FROM tr GROUP BY perturbation""")

@@ -1,5 +1,6 @@
 """Session helpers: a tuned local session for tests and benches, and the shared scratch folder."""
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -49,11 +50,28 @@ def scratch_path(spark, name):
 def release(spark):
     """Delete the scratch tables made so far by this process. Results that still read them must have been written before."""
     for path in _SCRATCH:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        discard(spark, path)
     _SCRATCH.clear()
 
 
+def discard(spark, path):
+    """Delete one folder through the Hadoop file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark):
+    """What is written inside leaves no shuffle files; Spark would keep them until its driver happens to collect garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(spark, df, name, partition_by=None):
     """Write `df` once as a Parquet table in the shared folder and read it back (cuts lineage)."""
     path = scratch_path(spark, name)

@@ -2,10 +2,12 @@
 so a re-run of the batch overwrites the same rows. State lives in checkpoints in the shared folder."""
 from pyspark.sql import functions as F
 
-from ..functions.arrays import overlap, quadratic_overlap
+from ..functions.arrays import band_overlap, band_quadratic_overlap, overlap, quadratic_overlap
+from ..operators.aggregates import group_tasks
 from ..operators.joins import with_filters
 from ..operators.topk import balanced_sample, salted_row_number
 from ..operators.trials import with_outcomes
+from ..session import shuffles_dropped
 
 
 def json_stream(spark, path, schema, files_per_batch=None):
@@ -23,30 +25,37 @@ def ingest(stream, out, checkpoint):
 def write_partials(stream, partial, out, checkpoint):
     """Per micro-batch partial sums, one folder per batch id (exactly once under replay)."""
     def save(df, batch_id):
-        partial(df).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        with shuffles_dropped(df.sparkSession):
+            partial(df).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 GROUP_KEYS = ("item_id", "level_no", "family")
 
 
+PAIR_COLUMNS = (*GROUP_KEYS, "clean_correct", "pert_correct", "loglik_drift", "csem", "cprompt", "hopt", "is_binary", "d")     # what pair_partials reads
 PAIR_MEASURES = ("predicted", "predicted_quadratic", "csem", "cprompt", "hopt", "is_binary", "accuracy_drop", "loglik_drift", "volatility", "erosion",
                  "recovery", "clean_correct", "pert_correct")
 
 
-def pair_partials(filters, average):
+def pair_partials(filters, average, bands=None, tasks=0):
     """Stream-static join with the filter table, the level average where an item has no filter of its own, and partial sums of every
-    measure per (item, level, family) (X02)."""
+    measure per (item, level, family) (X02). `bands` is the length of all arrays, if it is known. With `tasks` the rows of a batch move once, by item to
+    so many tasks."""
+    linear, quadratic = (band_overlap("w", "d", bands), band_quadratic_overlap("w", "d", bands)) if bands else (overlap("w", "d"), quadratic_overlap("w", "d"))
+
     def partial(df):
-        j = with_filters(with_outcomes(df), filters, average).withColumn("predicted", overlap("w", "d")).withColumn("predicted_quadratic", quadratic_overlap("w", "d"))
+        rows = df.repartition(tasks, "item_id") if tasks else df
+        j = with_filters(with_outcomes(rows), filters, average, by_item=bool(tasks)).withColumn("predicted", linear).withColumn("predicted_quadratic", quadratic)
         right, wrong = (F.col("clean_correct") == 1) & (F.col("pert_correct") == 0), (F.col("clean_correct") == 0) & (F.col("pert_correct") == 1)
         return j.groupBy(*GROUP_KEYS).agg(*[F.sum(m).cast("double").alias(m) for m in PAIR_MEASURES], F.count_if(right).alias("ci_count"), F.count_if(wrong).alias("ic_count"), F.count("*").alias("n"))
     return partial
 
 
-def merge_pairs(partials):
-    """Group means, counts and net change from the batches' partial sums."""
-    g = partials.groupBy(*GROUP_KEYS).agg(*[(F.sum(m) / F.sum("n")).alias(m) for m in PAIR_MEASURES], *[F.sum(c).alias(c) for c in ("ci_count", "ic_count", "n")])
+def merge_pairs(partials, rows=0):
+    """Group means, counts and net change from the batches' partial sums, which hold a group once a batch, so they move as they are. `rows`, their number
+    at most, sets how many tasks share them where Spark's own number would give one task too many."""
+    g = partials.repartition(group_tasks(partials.sparkSession, rows), *GROUP_KEYS).groupBy(*GROUP_KEYS).agg(*[(F.sum(m) / F.sum("n")).alias(m) for m in PAIR_MEASURES], *[F.sum(c).alias(c) for c in ("ci_count", "ic_count", "n")])
     net = (F.col("ci_count") - F.col("ic_count")) / F.col("n")
     return (g.withColumnsRenamed({"clean_correct": "clean_accuracy", "pert_correct": "perturbed_accuracy"}).withColumn("net_drop", net)
             .withColumn("relative_drop", F.when(F.col("clean_accuracy") > 1e-8, F.try_divide("net_drop", "clean_accuracy"))))

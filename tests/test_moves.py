@@ -56,3 +56,52 @@ def test_prediction_fit_equals_the_fit_on_standardized_rows(spark, monkeypatch):
         for k, x in a.items():
             for c in got.columns[2:]:
                 assert x[c] == b[k][c] or abs(x[c] - b[k][c]) <= 1e-8 * max(1, abs(b[k][c])), (k, c, x[c], b[k][c])
+
+
+def test_running_pairs_feed_is_packed_narrow_and_gone(spark, monkeypatch):
+    """Files by gzip with the columns the job reads, each of bounded rows, in BATCHES batches; nothing of the feed is left with the result."""
+    import glob
+    import os
+
+    from robustlens.plans import bindings as b
+    from robustlens.plans import q_streaming as q
+    from robustlens.sources import sinks
+    monkeypatch.setattr(sinks, "PACKED_ROWS", 1000)
+    seen, start = {}, q.jobs.write_partials
+
+    def noted(stream, partial, out, cp):
+        path = stream._jdf.queryExecution().toString().split("FileSource[")[1].split("]")[0].removeprefix("file:")
+        seen.update(path=path, columns=set(stream.columns), files=[f for f in os.listdir(path) if f.startswith("part-")], cp=cp, names=spark.read.json(path).columns,
+                    most=max(spark.read.json(f).count() for f in glob.glob(f"{path}/part-*")))
+        return start(stream, partial, out, cp)
+    monkeypatch.setattr(q.jobs, "write_partials", noted)
+    n = QUERIES["x02_running_pairs"](spark, SF).agg(F.sum("n")).first()[0]
+    assert n == b.table(spark, SF, "lineitem").count()
+    assert all(f.endswith(".json.gz") for f in seen["files"]) and seen["most"] <= 1000 and len(seen["files"]) >= q.BATCHES
+    assert not {"rung", "severity", "perturbation"} & {*seen["names"], *seen["columns"]}
+    assert len([f for f in os.listdir(f"{seen['cp']}/commits") if f.isdigit()]) == q.BATCHES
+    assert not os.path.exists(seen["path"])
+
+
+def test_batches_leave_no_shuffle_files(spark):
+    """The setting holds for what is written inside, then it is as it was."""
+    import time
+
+    from robustlens.session import scratch_path, shuffles_dropped
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    disk, before = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), spark.conf.get(key)
+
+    def files():
+        found = disk.getAllFiles()
+        return {n for n in (found.apply(i).getName() for i in range(found.size())) if n.startswith("shuffle_")}
+    old, made, path = files(), set(), scratch_path(spark, "dropped")
+    with shuffles_dropped(spark):
+        spark.range(1000).repartition(3, "id").groupBy("id").count().write.parquet(path)
+    for _ in range(50):
+        made = files() - old
+        if not made:
+            break
+        time.sleep(0.2)
+    assert not made and spark.conf.get(key) == before and spark.read.parquet(path).count() == 1000
+    spark.range(1000).repartition(3, "id").groupBy("id").count().write.mode("overwrite").parquet(path)
+    assert files() - old
