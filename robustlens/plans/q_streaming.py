@@ -27,13 +27,12 @@ def feed(spark, df, schema, rows, closing=None):
 
 
 def packed_feed(spark, rows_of, rows, path):
-    """`feed` by gzip into the folder `path`. `rows_of` gives the rows dealt to a number of tasks; a file holds at most about half of what one task may
-    read whole, so uneven dealing cuts none in two."""
-    files = -(-max(rows, 1) // (BATCHES * (sinks.PACKED_ROWS // 2)))        # of one batch
-    df = rows_of(BATCHES * files)
+    """`feed` by gzip into the folder `path`. `rows_of` gives the rows dealt to a number of tasks or more; a file holds about half of what one task may
+    read whole, so uneven dealing cuts none in two. The files of a batch follow from those that were written."""
+    df = rows_of(BATCHES * -(-max(rows, 1) // (BATCHES * (sinks.PACKED_ROWS // 2))))
     with shuffles_dropped(spark):
         sinks.write_jsonl(df, path, packed=True)
-    return jobs.json_stream(spark, path, df.schema, files)
+    return jobs.json_stream(spark, path, df.schema, -(-len(sinks.part_files(spark, path)) // BATCHES))
 
 
 def paths(spark, name):

@@ -53,12 +53,18 @@ def cached_table(spark, root, version, build, **parts):
     return spark.read.parquet(path)
 
 
+def part_files(spark, path):
+    """Names of the part files of one written folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-"))
+
+
 def rename_parts(spark, path, prefix):
     """Rename the part files of one written folder to <prefix>-<n>.<ext> through the Hadoop file system."""
     jvm = spark._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    parts = sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-"))
-    for i, name in enumerate(parts):
+    for i, name in enumerate(part_files(spark, path)):
         ext = name.rsplit(".", 1)[-1]
         fs.rename(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), jvm.org.apache.hadoop.fs.Path(f"{path}/{prefix}-{i:05d}.{ext}"))

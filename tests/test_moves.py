@@ -83,6 +83,21 @@ def test_running_pairs_feed_is_packed_narrow_and_gone(spark, monkeypatch):
     assert not os.path.exists(seen["path"])
 
 
+def test_packed_feed_has_its_batches_whatever_files_were_written(spark, monkeypatch):
+    """More files than asked for, as where a task's rows exceed a file, or fewer, as where tasks are empty, make no more batches."""
+    import os
+
+    from robustlens.plans import q_streaming as q
+    from robustlens.session import scratch_path
+    monkeypatch.setattr(q.sinks, "PACKED_ROWS", 50)
+    for rows, tasks in ((1000, 13), (3, 40), (0, 4)):
+        out, cp = scratch_path(spark, "out"), scratch_path(spark, "cp")
+        s = q.packed_feed(spark, lambda n: spark.range(rows).repartition(max(n, tasks), "id"), 100, scratch_path(spark, "feed"))
+        q.jobs.append_parquet(s, out, cp).awaitTermination()
+        assert spark.read.parquet(out).count() == rows
+        assert len([f for f in os.listdir(f"{cp}/commits") if f.isdigit()]) <= q.BATCHES
+
+
 def test_batches_leave_no_shuffle_files(spark):
     """The setting holds for what is written inside, then it is as it was."""
     import time
