@@ -40,7 +40,7 @@ PAIR_MEASURES = ("predicted", "predicted_quadratic", "csem", "cprompt", "hopt",
 
 def pair_partials(filters, average, bands=None, tasks=0):
     """Stream-static join with the filter table, the level average where an item has no filter of its own, and partial sums of every
-    measure per (item, level, family) (X02). `bands` is the length of all arrays, if it is known. With `tasks` the rows of a batch move once, by item to
+    measure, with the number of its missing values (mostly 0, which packs to nothing), per (item, level, family) (X02). `bands` is the length of all arrays, if it is known. With `tasks` the rows of a batch move once, by item to
     so many tasks."""
     linear, quadratic = (band_overlap("w", "d", bands), band_quadratic_overlap("w", "d", bands)) if bands else (overlap("w", "d"), quadratic_overlap("w", "d"))
 
@@ -48,14 +48,14 @@ def pair_partials(filters, average, bands=None, tasks=0):
         rows = df.repartition(tasks, "item_id") if tasks else df
         j = with_filters(with_outcomes(rows), filters, average, by_item=bool(tasks)).withColumn("predicted", linear).withColumn("predicted_quadratic", quadratic)
         right, wrong = (F.col("clean_correct") == 1) & (F.col("pert_correct") == 0), (F.col("clean_correct") == 0) & (F.col("pert_correct") == 1)
-        return j.groupBy(*GROUP_KEYS).agg(*[F.sum(m).cast("double").alias(m) for m in PAIR_MEASURES], F.count_if(right).alias("ci_count"), F.count_if(wrong).alias("ic_count"), F.count("*").alias("n"))
+        return j.groupBy(*GROUP_KEYS).agg(*[F.sum(m).cast("double").alias(m) for m in PAIR_MEASURES], *[F.count_if(F.col(m).isNull()).alias(f"no_{m}") for m in PAIR_MEASURES], F.count_if(right).alias("ci_count"), F.count_if(wrong).alias("ic_count"), F.count("*").alias("n"))
     return partial
 
 
 def merge_pairs(partials, rows=0):
     """Group means, counts and net change from the batches' partial sums, which hold a group once a batch, so they move as they are. `rows`, their number
     at most, sets how many tasks share them where Spark's own number would give one task too many."""
-    g = partials.repartition(group_tasks(partials.sparkSession, rows), *GROUP_KEYS).groupBy(*GROUP_KEYS).agg(*[(F.sum(m) / F.sum("n")).alias(m) for m in PAIR_MEASURES], *[F.sum(c).alias(c) for c in ("ci_count", "ic_count", "n")])
+    g = partials.repartition(group_tasks(partials.sparkSession, rows), *GROUP_KEYS).groupBy(*GROUP_KEYS).agg(*[F.try_divide(F.sum(m), F.sum(F.col("n") - F.col(f"no_{m}"))).alias(m) for m in PAIR_MEASURES], *[F.sum(c).alias(c) for c in ("ci_count", "ic_count", "n")])
     net = (F.col("ci_count") - F.col("ic_count")) / F.col("n")
     return (g.withColumnsRenamed({"clean_correct": "clean_accuracy", "pert_correct": "perturbed_accuracy"}).withColumn("net_drop", net)
             .withColumn("relative_drop", F.when(F.col("clean_accuracy") > 1e-8, F.try_divide("net_drop", "clean_accuracy"))))

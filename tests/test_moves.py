@@ -120,3 +120,18 @@ def test_batches_leave_no_shuffle_files(spark):
     assert not made and spark.conf.get(key) == before and spark.read.parquet(path).count() == 1000
     spark.range(1000).repartition(3, "id").groupBy("id").count().write.mode("overwrite").parquet(path)
     assert files() - old
+
+
+def test_running_means_leave_missing_values_out(spark):
+    """Also where a whole batch, or all of a group, has none."""
+    from robustlens.streaming import jobs
+    schema = "item_id bigint, level_no int, family string, clean_correct int, pert_correct int, loglik_drift double, csem double, cprompt double, hopt double, is_binary double, d array<double>"
+    w = spark.createDataFrame([(1, 1, [0.5, 0.5])], "item_id bigint, level_no int, w array<double>")
+    partial = jobs.pair_partials(w, w.select("level_no", "w"), 2, 2)
+
+    def row(drift, csem=1.0, d=(1.0, 3.0)):
+        return (1, 1, "A", 1, 0, drift, csem, 2.0, None, 1.0, list(d))
+    batches = [spark.createDataFrame(x, schema) for x in ([row(0.2), row(None, 3.0), row(0.6, d=(None, 1.0))], [row(None)])]
+    x = jobs.merge_pairs(partial(batches[0]).unionByName(partial(batches[1]))).first()
+    assert (x.n, x.csem, x.hopt, x.predicted, x.ci_count) == (4, 1.5, None, 2.0, 4)
+    assert abs(x.loglik_drift - 0.4) < 1e-12 and abs(x.volatility - 0.4) < 1e-12 and abs(x.erosion - 0.2) < 1e-12
